@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import OP1_SQL, op1_decontamination
 from .mixing import op8_mixing
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op8_mixing": op8_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+}
