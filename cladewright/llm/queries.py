@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_decontamination
 from .mixing import op8_mixing
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_mixing": op8_mixing,
 }
 
