@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_decontamination
 from .mixing import op8_mixing
+from .ngram_join import op6_ngram_join
 from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
 }
 
