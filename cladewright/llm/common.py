@@ -82,17 +82,23 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
 @functools.cache
-def byte_codes(fold_case: bool) -> np.ndarray:
-    """A fixed random 64-bit code for each byte value; A-Z share those of a-z when case is folded."""
+def byte_codes(fold_case: bool, fold_digits: bool = False) -> np.ndarray:
+    """A fixed random 64-bit code for each byte value; A-Z share those of a-z, and digits one, when folded."""
     codes = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
     if fold_case:
         codes[65:91] = codes[97:123]
+    if fold_digits:
+        codes[48:58] = codes[48]
     return codes
 
 
-@functools.lru_cache(4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the multiplier and of its inverse, modulo 2**64."""
+    """Powers 0..n, or more, of the multiplier and of its inverse, modulo 2**64."""
+    return _powers(max(STEP_BYTES, 1 << n.bit_length()))
+
+
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     both = []
     for base in (_MULTIPLIER, _INVERSE):
         out = np.full(n + 1, base, np.uint64)
@@ -113,11 +119,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class PrefixHash:
     """Polynomial hashes of any byte range in constant time after one cumulative sum."""
 
-    def __init__(self, data: np.ndarray, fold_case: bool = False):
-        size = max(STEP_BYTES, 1 << (len(data)).bit_length())
-        self.up, self.down = powers(size)
+    def __init__(self, data: np.ndarray, fold_case: bool = False, fold_digits: bool = False):
+        self.up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_codes(fold_case)[data] * self.up[: len(data)], out=self.sums[1:])
+        np.cumsum(byte_codes(fold_case, fold_digits)[data] * self.up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
@@ -174,11 +179,11 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return np.flatnonzero(on & ~before), np.flatnonzero(on & ~after) + 1
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold_case: bool = True):
+def hashed_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold_case: bool = True, fold_digits: bool = False):
     """(hash of each word, number of words of each text)."""
     start, end = spans(data, offsets, inside)
     counts = np.diff(np.searchsorted(start, offsets))
-    return (PrefixHash(data, fold_case).of(start, end) if len(start) else np.zeros(0, np.uint64)), counts
+    return (PrefixHash(data, fold_case, fold_digits).of(start, end) if len(start) else np.zeros(0, np.uint64)), counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

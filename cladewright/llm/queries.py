@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_decontamination
+from .line_dedup import op9_line_dedup
 from .mixing import op8_mixing
 from .ngram_join import op6_ngram_join
 from .suffix_dedup import op4_suffix_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 SQL: dict[str, str] = {
