@@ -7,10 +7,12 @@ from .line_dedup import op9_line_dedup
 from .mixing import op8_mixing
 from .ngram_join import op6_ngram_join
 from .suffix_dedup import op4_suffix_dedup
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
