@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from .additive_ann import op10_additive_ann
 from .decontamination import OP1_SQL, op1_decontamination
 from .line_dedup import op9_line_dedup
 from .mixing import op8_mixing
 from .ngram_join import op6_ngram_join
 from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op5_toxicity
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_additive_ann": op10_additive_ann,
 }
 
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op2_warc": OP2_SQL,
 }
