@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .additive_ann import op10_additive_ann
 from .decontamination import OP1_SQL, op1_decontamination
+from .license_scan import OP7_SQL, op7_license_scan
 from .line_dedup import op9_line_dedup
 from .mixing import op8_mixing
 from .ngram_join import op6_ngram_join
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
+    "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_additive_ann": op10_additive_ann,
@@ -25,4 +27,5 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op2_warc": OP2_SQL,
+    "op7_license_scan": OP7_SQL,
 }
