@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-BOOKS, WORDS, BEAM = 8, 64, 4
+BOOKS, WORDS, BEAM = 8, 256, 4
 SAMPLE = 8192
-QUERY_BLOCK, DATA_BLOCK, RERANK = 1024, 8192, 320
+QUERY_BLOCK, DATA_BLOCK, RERANK = 1024, 8192, 640
 
 
 def usable(vectors: DataFrame) -> DataFrame:
