@@ -8,6 +8,7 @@ from .license_scan import OP7_SQL, op7_license_scan
 from .line_dedup import op9_line_dedup
 from .mixing import op8_mixing
 from .ngram_join import op6_ngram_join
+from .pitman_yor import op3_pitman_yor
 from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op5_toxicity
 from .warc import OP2_SQL, op2_warc
@@ -15,6 +16,7 @@ from .warc import OP2_SQL, op2_warc
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
