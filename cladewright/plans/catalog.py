@@ -1,6 +1,253 @@
-"""The registered queries and their SQL, by name."""
+"""The registered queries over the supplied tables, and the SQL that checks them, by name.
+
+A query derives its domain table (sources.derived) and applies one operator; its SQL starts from the same derivation.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from cladewright.functions import sequences
+from cladewright.operators import characters, distances, likelihood, lineages, molecules
+from cladewright.sources.derived import derive, with_derived
+from cladewright.streaming import counts as streaming
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+GROUP_SQL = "SELECT user_id AS cell, cast(user_id % 4 + 1 AS int) AS lineageGrp FROM events GROUP BY user_id"
+
+
+def _query(name: str, sql: str | None = None, source: str = "molecules"):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(derive(spark, sf_dir, source))
+        if sql is not None:
+            SQL[name] = with_derived(sql)
+        return f
+
+    return add
+
+
+# -- molecules -----------------------------------------------------------------------------------------------------
+
+_query("filter_qualities", "SELECT cellBC, UMI, readName FROM reads WHERE ascii(substr(qual, 1, 1)) >= 43 AND ascii(substr(qual, 2, 1)) >= 43 AND ascii(substr(qual, 3, 1)) >= 43", "reads")(
+    lambda t: molecules.filter_qualities(t).select("cellBC", "UMI", "readName")
+)
+_query(
+    "resolve_umis",
+    """SELECT cellBC, UMI, readName, seq, first, second, total FROM (SELECT cellBC, UMI, readName, seq, readCount AS first,
+  lead(readCount) OVER w AS second, cast(sum(readCount) OVER (PARTITION BY cellBC, UMI) AS bigint) AS total, row_number() OVER w AS rn
+  FROM reads WINDOW w AS (PARTITION BY cellBC, UMI ORDER BY readCount DESC, readName, seq)) x WHERE rn = 1""",
+    "reads",
+)(lambda t: molecules.resolve_umis(t.dropDuplicates()))
+GOOD_CELLS = "SELECT cellBC FROM molecules GROUP BY cellBC HAVING count(*) >= 500 AND sum(readCount) / count(*) >= 25.5"
+_query("filter_cells", f"SELECT cellBC, intBC, UMI, readCount FROM molecules WHERE cellBC IN ({GOOD_CELLS})")(lambda t: molecules.filter_cells(t, 500, 25.5).select("cellBC", "intBC", "UMI", "readCount"))
+_query("filter_cells_by_count", "SELECT cellBC, UMI, readCount FROM (SELECT cellBC, count(*) AS UMI, cast(sum(readCount) AS bigint) AS readCount FROM molecules GROUP BY cellBC) x WHERE UMI >= 500 AND readCount / UMI >= 25.5")(
+    lambda t: molecules.filter_cells(t.groupBy("cellBC").agg(F.count(F.lit(1)).alias("UMI"), F.sum("readCount").alias("readCount")), 500, 25.5, umi_is_count=True)
+)
+_query("read_threshold", "SELECT cast(coalesce(floor(quantile_cont(readCount, 0.99) / 10), 0) AS bigint) AS threshold FROM molecules")(molecules.read_threshold)
+_query("filter_umis", "SELECT cellBC, UMI, readCount FROM molecules WHERE readCount >= (SELECT floor(quantile_cont(readCount, 0.99) / 10) FROM molecules)")(lambda t: molecules.filter_umis(t).select("cellBC", "UMI", "readCount"))
+_query(
+    "correct_to_whitelist",
+    """WITH wl AS (SELECT DISTINCT intBC AS barcode FROM molecules WHERE substr(intBC, 3, 1) IN ('A', 'T')),
+p AS (SELECT s.intBC, barcode, levenshtein(s.intBC, barcode) AS d FROM (SELECT DISTINCT intBC FROM molecules) s, wl WHERE levenshtein(s.intBC, barcode) <= 1),
+b AS (SELECT intBC, min(barcode) AS barcode FROM (SELECT *, min(d) OVER (PARTITION BY intBC) AS m FROM p) x WHERE d = m GROUP BY intBC HAVING count(*) = 1)
+SELECT cellBC, barcode AS intBC, UMI FROM molecules JOIN b ON molecules.intBC = b.intBC""",
+)(lambda t: molecules.correct_to_whitelist(t, t.filter(F.substring("intBC", 3, 1).isin("A", "T")).select(F.col("intBC").alias("barcode"))).select("cellBC", "intBC", "UMI"))
+_query(
+    "correct_intbcs",
+    """WITH g AS (SELECT *, row_number() OVER (PARTITION BY cellBC, allele ORDER BY n DESC, intBC) AS rn FROM (SELECT cellBC, intBC, allele, count(*) AS n FROM alleles GROUP BY cellBC, intBC, allele) x),
+p AS (SELECT b.cellBC, b.allele, b.intBC, a.intBC AS dest, a.rn FROM g a JOIN g b ON a.cellBC = b.cellBC AND a.allele = b.allele AND a.rn < b.rn
+  WHERE levenshtein(a.intBC, b.intBC) <= 1 AND b.n / (a.n + b.n) < 0.5 AND b.n <= 10),
+r AS (SELECT cellBC, allele, intBC, arg_max(dest, rn) AS dest FROM p GROUP BY cellBC, allele, intBC)
+SELECT alleles.cellBC, coalesce(dest, alleles.intBC) AS intBC, alleles.allele, UMI FROM alleles LEFT JOIN r ON alleles.cellBC = r.cellBC AND alleles.allele = r.allele AND alleles.intBC = r.intBC""",
+    "alleles",
+)(lambda t: molecules.correct_intbcs(t).select("cellBC", "intBC", "allele", "UMI"))
+RANKED = "SELECT cellBC, intBC, UMI, readCount, row_number() OVER (PARTITION BY cellBC, intBC ORDER BY readCount DESC, UMI DESC) AS rn FROM molecules"
+LINKS = f"""r AS ({RANKED}), l AS (SELECT b.cellBC, b.intBC, b.UMI, arg_min(a.UMI, a.rn) AS dest FROM r a JOIN r b ON a.cellBC = b.cellBC AND a.intBC = b.intBC AND a.rn < b.rn
+  WHERE hamming(a.UMI, b.UMI) <= 2 GROUP BY b.cellBC, b.intBC, b.UMI)"""
+_query("umi_corrections", f"WITH {LINKS} SELECT cellBC, intBC, UMI, dest FROM l")(lambda t: molecules.umi_corrections(t, 2).withColumnRenamed("to", "dest"))
+_query(
+    "correct_umis",
+    f"""WITH RECURSIVE {LINKS}, chain AS (
+  SELECT cellBC, intBC, UMI, UMI AS cur, 0 AS k FROM molecules UNION ALL
+  SELECT chain.cellBC, chain.intBC, chain.UMI, l.dest, k + 1 FROM chain JOIN l ON chain.cellBC = l.cellBC AND chain.intBC = l.intBC AND chain.cur = l.UMI),
+root AS (SELECT cellBC, intBC, UMI, arg_max(cur, k) AS root FROM chain GROUP BY cellBC, intBC, UMI)
+SELECT m.cellBC, m.intBC, root.root AS UMI, cast(sum(m.readCount) AS bigint) AS readCount FROM molecules m JOIN root ON m.cellBC = root.cellBC AND m.intBC = root.intBC AND m.UMI = root.UMI GROUP BY m.cellBC, m.intBC, root.root""",
+)(lambda t: molecules.correct_umis(t, 2).select("cellBC", "intBC", "UMI", "readCount"))
+PROP = "SELECT cellBC, sum(n - main) / sum(n) AS prop FROM (SELECT cellBC, intBC, sum(n) AS n, max(n) AS main FROM (SELECT cellBC, intBC, allele, count(*) AS n FROM alleles GROUP BY ALL) a GROUP BY ALL) b GROUP BY cellBC"
+_query("conflicting_share", f"SELECT cellBC, round(prop, 9) AS prop FROM ({PROP}) p", "alleles")(lambda t: molecules.conflicting_share(t).withColumn("prop", F.round("prop", 9)))
+_query("filter_intra_doublets", f"SELECT cellBC, intBC, UMI FROM alleles WHERE cellBC IN (SELECT cellBC FROM ({PROP}) p WHERE prop <= 0.76)", "alleles")(lambda t: molecules.filter_intra_doublets(t, 0.76).select("cellBC", "intBC", "UMI"))
+CHOSEN = """SELECT cellBC, intBC, allele FROM (SELECT *, row_number() OVER (PARTITION BY cellBC, intBC ORDER BY n DESC, reads DESC, allele) AS rn
+  FROM (SELECT cellBC, intBC, allele, count(*) AS n, sum(readCount) AS reads FROM alleles GROUP BY cellBC, intBC, allele) a) b WHERE rn = 1"""
+_query("map_intbcs", f"SELECT cellBC, intBC, allele, UMI FROM alleles SEMI JOIN ({CHOSEN}) c USING (cellBC, intBC, allele)", "alleles")(lambda t: molecules.map_intbcs(t).select("cellBC", "intBC", "allele", "UMI"))
+_query(
+    "allele_table",
+    f"""SELECT cellBC, intBC, allele, r1, r2, r3, count(UMI) AS UMI, cast(sum(readCount) AS bigint) AS readCount FROM alleles SEMI JOIN ({CHOSEN.replace("FROM alleles", f"FROM alleles WHERE cellBC IN ({GOOD_CELLS})")}) c
+USING (cellBC, intBC, allele) GROUP BY cellBC, intBC, allele, r1, r2, r3""",
+    "alleles",
+)(lambda t: molecules.collapse_alleles(molecules.map_intbcs(molecules.filter_cells(t, 500, 25.5))))
+_query("repeated_umis", "SELECT cellBC, intBC, substr(UMI, 1, 7) AS UMI, count(*) AS n FROM molecules GROUP BY cellBC, intBC, substr(UMI, 1, 7) HAVING count(*) > 1")(lambda t: molecules.repeated_umis(t.withColumn("UMI", F.substring("UMI", 1, 7))))
+_query("molecule_statistics", "SELECT count(*) AS n_molecules, count(DISTINCT cellBC) AS n_cells, count(DISTINCT intBC) AS n_intbcs, avg(readCount) AS mean_reads, quantile_cont(readCount, 0.5) AS median_reads FROM molecules")(
+    molecules.molecule_statistics
+)
+_query("read_histogram", "SELECT readCount, count(*) AS n FROM molecules GROUP BY readCount")(molecules.read_histogram)
+_query("umi_hamming", "SELECT a.cellBC, a.intBC, a.UMI AS x, b.UMI AS y, cast(hamming(a.UMI, b.UMI) AS int) AS d FROM molecules a JOIN molecules b ON a.cellBC = b.cellBC AND a.intBC = b.intBC AND a.UMI < b.UMI WHERE hamming(a.UMI, b.UMI) <= 3")(
+    lambda t: t.select("cellBC", "intBC", F.col("UMI").alias("x")).join(t.select("cellBC", "intBC", F.col("UMI").alias("y")), ["cellBC", "intBC"]).filter("x < y").withColumn("d", sequences.hamming("x", "y")).filter("d <= 3")
+)
+
+# -- lineages ------------------------------------------------------------------------------------------------------
+
+SHARES = "sh AS (SELECT cell, intBC, n / sum(n) OVER (PARTITION BY cell) AS share FROM cell_barcodes)"
+TOP = "top AS (SELECT intBC FROM sh GROUP BY intBC ORDER BY round(sum(share), 9) DESC, intBC LIMIT 1)"
+CELLS = "tc AS (SELECT DISTINCT cell FROM sh WHERE intBC IN (SELECT intBC FROM top))"
+BARS = "gb AS (SELECT intBC FROM sh WHERE cell IN (SELECT cell FROM tc) GROUP BY intBC HAVING count(*) / (SELECT count(*) FROM tc) >= 0.2)"
+_query("barcode_shares", f"WITH {SHARES} SELECT cell, intBC, round(share, 9) AS share FROM sh", "cell_barcodes")(lambda t: lineages.shares(t).withColumn("share", F.round("share", 9)))
+_query("top_intbc", f"WITH {SHARES}, {TOP} SELECT intBC FROM top", "cell_barcodes")(lambda t: lineages.top_intbc(lineages.shares(t)))
+
+
+def _members(t):
+    share = lineages.shares(t)
+    return lineages.members(share, lineages.group_barcodes(share, lineages.top_intbc(share))).withColumn("kinship", F.round("kinship", 9))
+
+
+_query("lineage_members", f"WITH {SHARES}, {TOP}, {CELLS}, {BARS} SELECT cell, round(sum(share), 9) AS kinship FROM sh WHERE intBC IN (SELECT intBC FROM gb) GROUP BY cell HAVING sum(share) >= 0.2", "cell_barcodes")(_members)
+_query("assign_groups", source="cell_barcodes")(lineages.assign_groups)
+GRP = "gr AS (SELECT DISTINCT cell, cast(cell % 4 + 1 AS int) AS lineageGrp FROM cell_barcodes)"
+SIZE = "sz AS (SELECT lineageGrp, count(*) AS size FROM gr GROUP BY lineageGrp)"
+PROFILE = f"""{GRP}, {SIZE}, hd AS (SELECT lineageGrp, intBC, count(DISTINCT cell_barcodes.cell) / any_value(size) AS presence FROM cell_barcodes JOIN gr USING (cell) JOIN sz USING (lineageGrp) WHERE n > 12 GROUP BY lineageGrp, intBC),
+pf AS (SELECT lineageGrp, intBC, presence FROM (SELECT *, max(presence) OVER (PARTITION BY lineageGrp) AS mx FROM hd) x WHERE presence / mx >= 0.5)"""
+
+
+def _groups(t):
+    return t.select("cell", (F.pmod("cell", F.lit(4)) + 1).cast("int").alias("lineageGrp")).distinct()
+
+
+def _profiles(t):
+    return lineages.group_profiles(t.filter("n > 12"), _groups(t), 0.5)
+
+
+_query("group_profiles", f"WITH {PROFILE} SELECT lineageGrp, intBC, round(presence, 9) AS presence FROM pf", "cell_barcodes")(lambda t: _profiles(t).withColumn("presence", F.round("presence", 9)))
+_query(
+    "score_kinships",
+    f"""WITH {PROFILE}, {SHARES}, sc AS (SELECT cell, lineageGrp, round(sum(share), 9) AS kinship FROM sh JOIN pf USING (intBC) GROUP BY cell, lineageGrp)
+SELECT c.cell, coalesce(arg.lineageGrp, 1) AS lineageGrp, coalesce(arg.kinship, 0) AS kinship FROM (SELECT DISTINCT cell FROM cell_barcodes) c
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY kinship DESC, lineageGrp) AS rn FROM sc) y WHERE rn = 1) arg ON c.cell = arg.cell""",
+    "cell_barcodes",
+)(lambda t: lineages.score_kinships(t, _profiles(t)).withColumn("kinship", F.round("kinship", 9)))
+_query(
+    "renumber_by_size",
+    "WITH g AS (SELECT DISTINCT cell, cast(cell % 7 % 3 AS int) AS lineageGrp FROM cell_barcodes), s AS (SELECT lineageGrp, cast(row_number() OVER (ORDER BY count(*) DESC, lineageGrp DESC) AS int) AS r FROM g GROUP BY lineageGrp) SELECT cell, r AS lineageGrp FROM g JOIN s USING (lineageGrp)",
+    "cell_barcodes",
+)(lambda t: lineages.renumber_by_size(t.select("cell", F.pmod(F.pmod("cell", F.lit(7)), F.lit(3)).cast("int").alias("lineageGrp")).distinct()))
+MEMBER = f"""WITH {PROFILE}, tot AS (SELECT lineageGrp, sum(presence) AS total FROM pf GROUP BY lineageGrp),
+rw AS (SELECT cell, lineageGrp, sum(presence) / any_value(total) AS p FROM (SELECT DISTINCT cell, intBC FROM cell_barcodes) b JOIN pf USING (intBC) JOIN tot USING (lineageGrp) GROUP BY cell, lineageGrp),
+ms AS (SELECT cell, lineageGrp, p / sum(p) OVER (PARTITION BY cell) AS membership FROM rw)"""
+_query("memberships", f"{MEMBER} SELECT cell, lineageGrp, round(membership, 9) AS membership FROM ms", "cell_barcodes")(lambda t: lineages.memberships(t, _profiles(t)).withColumn("membership", F.round("membership", 9)))
+_query("filter_inter_doublets", f"{MEMBER} SELECT cell, lineageGrp FROM gr JOIN ms USING (cell, lineageGrp) WHERE membership >= 0.24", "cell_barcodes")(lambda t: lineages.filter_inter_doublets(t, _groups(t), _profiles(t), 0.24))
+_query("filter_group_barcodes", f"WITH {GRP}, {SIZE}, h AS (SELECT lineageGrp, intBC FROM (SELECT * FROM cell_barcodes WHERE n > 12) c JOIN gr USING (cell) JOIN sz USING (lineageGrp) GROUP BY lineageGrp, intBC HAVING count(DISTINCT cell) / any_value(size) > 0.4 AND intBC <> 'NC') SELECT cell, intBC, n, lineageGrp FROM cell_barcodes JOIN gr USING (cell) SEMI JOIN h USING (lineageGrp, intBC) WHERE n > 12", "cell_barcodes")(
+    lambda t: lineages.filter_group_barcodes(t.filter("n > 12"), _groups(t), 0.4)
+)
+
+# -- characters ----------------------------------------------------------------------------------------------------
+
+LONG = "lg AS (SELECT cellBC, intBC || '_' || site AS character, indel FROM (SELECT cellBC, intBC, unnest(['r1', 'r2', 'r3']) AS site, unnest([r1, r2, r3]) AS indel FROM alleles) x)"
+KEEP = "kp AS (SELECT character FROM (SELECT character, indel, count(*) AS n FROM (SELECT DISTINCT cellBC, character, indel FROM lg) y GROUP BY ALL) z GROUP BY character HAVING max(n) / sum(n) <= 0.6)"
+CODES = "cd AS (SELECT character, indel, cast(row_number() OVER (PARTITION BY character ORDER BY min(cellBC), indel) AS int) AS state FROM lg WHERE NOT contains(lower(indel), 'none') GROUP BY character, indel UNION ALL SELECT DISTINCT character, indel, 0 FROM lg WHERE contains(lower(indel), 'none'))"
+_query("lineage_profile", f"WITH {LONG} SELECT cellBC, character, array_to_string(list_sort(list(DISTINCT indel)), ',') AS indels FROM lg GROUP BY cellBC, character", "alleles")(lambda t: characters.lineage_profile(t).withColumn("indels", F.array_join("indels", ",")))
+_query("informative_characters", f"WITH {LONG}, {KEEP} SELECT character FROM kp", "alleles")(lambda t: characters.informative_characters(t, 0.6))
+_query("state_codes", f"WITH {LONG}, {CODES} SELECT character, indel, state FROM cd", "alleles")(characters.state_codes)
+_query("character_matrix", f"WITH {LONG}, {KEEP}, {CODES} SELECT cellBC, character, array_to_string(list_sort(list(DISTINCT state)), ',') AS states FROM lg SEMI JOIN kp USING (character) JOIN cd USING (character, indel) GROUP BY cellBC, character", "alleles")(
+    lambda t: characters.character_matrix(t, 0.6).withColumn("states", F.array_join(F.col("states").cast("array<string>"), ","))
+)
+_query("indel_priors", "SELECT indel, count(*) AS count, round(count(*) / (SELECT count(DISTINCT intBC) FROM alleles), 9) AS freq FROM (SELECT DISTINCT intBC, unnest([r1, r2, r3]) AS indel FROM alleles) x WHERE NOT contains(lower(indel), 'none') GROUP BY indel", "alleles")(
+    lambda t: characters.indel_priors(t).withColumn("freq", F.round("freq", 9))
+)
+PACKED = "pk AS (SELECT cell, string_agg(coalesce(cast(state AS varchar), '?'), '|' ORDER BY site) AS states FROM characters GROUP BY cell)"
+_query("equal_rows", f"WITH {PACKED} SELECT states, min(cell) AS seed, count(*) AS n FROM pk GROUP BY states", "characters")(lambda t: characters.equal_rows(t).drop("cells"))
+_query("uninformative_sites", "SELECT site FROM characters WHERE cell % 3 = 0 AND site > 4 GROUP BY site HAVING coalesce(bool_and(state = 0), true)", "characters")(lambda t: characters.uninformative_sites(t.filter("cell % 3 = 0 and site > 4")))
+_query("site_statistics", "SELECT site, count(*) - count(state) AS missing, count(*) FILTER (state = 0) AS zero, count(DISTINCT CASE WHEN state > 0 THEN state END) AS alphabet FROM characters GROUP BY site", "characters")(characters.site_statistics)
+_query("recoded_states", "WITH c AS (SELECT site, state, cast(row_number() OVER (PARTITION BY site ORDER BY state) AS int) AS code FROM (SELECT DISTINCT site, state FROM characters WHERE state > 0) d) SELECT cell, characters.site, CASE WHEN characters.state = 0 THEN 0 ELSE code END AS state FROM characters LEFT JOIN c ON characters.site = c.site AND characters.state = c.state", "characters")(
+    characters.recoded
+)
+_query("site_priors", "SELECT site, state, 1 / count(*) OVER (PARTITION BY site) AS q FROM (SELECT DISTINCT site, state FROM characters WHERE state > 0) d", "characters")(characters.site_priors)
+_query("mutation_rate", "SELECT round(0 - ln(1 - count(*) FILTER (state > 0) / count(state)), 9) AS rate FROM characters", "characters")(lambda t: characters.mutation_rate(t).withColumn("rate", F.round("rate", 9)))
+
+# -- distances and trees -------------------------------------------------------------------------------------------
+
+PAIR = "FROM characters x JOIN characters y ON x.site = y.site AND x.cell < y.cell GROUP BY x.cell, y.cell"
+_query(
+    "weighted_hamming",
+    f"""SELECT x.cell AS a, y.cell AS b, round(coalesce(sum(CASE WHEN x.state IS NULL OR y.state IS NULL THEN NULL WHEN x.state = y.state THEN 0 WHEN x.state = 0 OR y.state = 0 THEN 1 ELSE 2 END)
+ / nullif(count(*) FILTER (x.state IS NOT NULL AND y.state IS NOT NULL), 0), 0), 9) AS d {PAIR}""",
+    "characters",
+)(lambda t: distances.weighted_hamming(t).withColumn("d", F.round("d", 9)))
+COUNTS = f"""SELECT x.cell AS a, y.cell AS b, count(*) FILTER (x.state = 0 AND y.state = 0) AS z_z, count(*) FILTER (x.state = 0 AND y.state > 0) AS z_a, count(*) FILTER (x.state > 0 AND y.state = 0) AS a_z,
+ count(*) FILTER (x.state > 0 AND x.state = y.state) AS a_a, count(*) FILTER (x.state > 0 AND y.state > 0 AND x.state <> y.state) AS a_b, count(*) FILTER (x.state IS NULL AND y.state IS NOT NULL) AS m_k,
+ count(*) FILTER (x.state IS NOT NULL AND y.state IS NULL) AS k_m, count(*) FILTER (x.state IS NULL AND y.state IS NULL) AS m_m {PAIR}"""
+_query("pair_counts", COUNTS, "characters")(distances.pair_counts)
+_query("pairwise_branch_estimates", f"SELECT a, b, round(0 - ln(z_z / (z_z + a_z)), 9) AS d_a, round(0 - ln(z_z / (z_z + z_a)), 9) AS d_b FROM ({COUNTS}) c WHERE z_z > 0", "characters")(
+    lambda t: distances.pairwise_branch_estimates(t).select("a", "b", F.round("d_a", 9).alias("d_a"), F.round("d_b", 9).alias("d_b"))
+)
+CLOSURE = """up AS (SELECT node, node AS ancestor, 0 AS up, CAST(0 AS double) AS length FROM tree UNION ALL
+ SELECT up.node, t.parent, up.up + 1, up.length + t.brlen FROM up JOIN tree t ON up.ancestor = t.node WHERE t.parent > 0)"""
+_query("ancestors", f"WITH RECURSIVE {CLOSURE} SELECT node, ancestor, up, round(length, 9) AS length FROM up", "tree")(lambda t: distances.ancestors(t, 6).withColumn("length", F.round("length", 9)))
+LCA = f"WITH RECURSIVE {CLOSURE}, lf AS (SELECT up.* FROM up JOIN tree USING (node) WHERE is_leaf), pr AS (SELECT a.node AS a, b.node AS b, arg_min(a.ancestor, a.up) AS lca, arg_min(a.length + b.length, a.up) AS distance FROM lf a JOIN lf b ON a.ancestor = b.ancestor AND a.node < b.node GROUP BY a.node, b.node)"
+_query("leaf_lcas", f"{LCA} SELECT a, b, lca, round(distance, 9) AS distance FROM pr", "tree")(lambda t: distances.leaf_lcas(t, 6).withColumn("distance", F.round("distance", 9)))
+_query("tree_coupling", f"{LCA} SELECT lca, count(*) AS n, round(avg(distance), 9) AS mean_distance FROM pr GROUP BY lca", "tree")(lambda t: distances.tree_coupling(t, 6).withColumn("mean_distance", F.round("mean_distance", 9)))
+
+
+def _regrafted(t):
+    """The same tree with two grandchildren of different children swapped."""
+    return t.withColumn("parent", F.when(F.col("node") == 5, 3).when(F.col("node") == 6, 2).otherwise(F.col("parent")))
+
+
+SIDE = "SELECT ancestor, string_agg(cast(node AS varchar), ',' ORDER BY node) AS side, count(*) AS n FROM {0} u JOIN tree USING (node) WHERE is_leaf AND up > 0 AND ancestor > 1 GROUP BY ancestor"
+_query("bipartitions", f"WITH RECURSIVE {CLOSURE} SELECT ancestor, side, n FROM ({SIDE.format('up')}) s", "tree")(lambda t: distances.bipartitions(t, 6))
+_query(
+    "robinson_foulds",
+    f"""WITH RECURSIVE {CLOSURE}, tree2 AS (SELECT node, CASE node WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE parent END AS parent, brlen FROM tree),
+{CLOSURE.replace("up AS", "up2 AS").replace("FROM up JOIN tree t", "FROM up2 up JOIN tree2 t")}, a AS ({SIDE.format("up")}), b AS ({SIDE.format("up2")})
+SELECT count(*) FILTER (b.side IS NULL) AS only_first, count(*) FILTER (a.side IS NULL) AS only_second, count(*) FILTER (a.side IS NOT NULL AND b.side IS NOT NULL) AS shared,
+ round((count(*) FILTER (b.side IS NULL) + count(*) FILTER (a.side IS NULL)) / (count(*) FILTER (b.side IS NULL) + count(*) FILTER (a.side IS NULL) + 2 * count(*) FILTER (a.side IS NOT NULL AND b.side IS NOT NULL)), 9) AS rf
+FROM a FULL JOIN b ON a.side = b.side""",
+    "tree",
+)(lambda t: distances.robinson_foulds(t, _regrafted(t), 6).withColumn("rf", F.round("rf", 9)))
+
+
+def _leaves(spark, sf_dir):
+    cells = derive(spark, sf_dir, "characters")
+    order = cells.select("cell").distinct().select("cell", (F.row_number().over(characters.Window.orderBy("cell")) + 63).alias("node"))
+    return cells.join(order, "cell").select("node", "site", "state")
+
+
+LEAVES = "lv AS (SELECT node, site, state FROM characters JOIN (SELECT cell, cast(row_number() OVER (ORDER BY cell) + 63 AS int) AS node FROM (SELECT DISTINCT cell FROM characters) c) o USING (cell))"
+QUERIES["small_parsimony"] = lambda spark, sf_dir: distances.small_parsimony(derive(spark, sf_dir, "tree"), _leaves(spark, sf_dir), 6)
+FITCH = """, f{k} AS (SELECT node // 2 AS node, site, CASE WHEN len(x) = 0 OR len(y) = 0 THEN list_concat(x, y) WHEN len(list_intersect(x, y)) > 0 THEN list_intersect(x, y) ELSE list_distinct(list_concat(x, y)) END AS s,
+ c + CASE WHEN len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) = 0 THEN 1 ELSE 0 END AS c FROM (SELECT a.node, a.site, a.s AS x, b.s AS y, a.c + b.c AS c FROM f{j} a JOIN f{j} b ON a.site = b.site AND b.node = a.node + 1 AND a.node % 2 = 0) z)"""
+SQL["small_parsimony"] = with_derived(f"WITH {LEAVES}, f0 AS (SELECT node, site, CASE WHEN state IS NULL THEN CAST([] AS INTEGER[]) ELSE [state] END AS s, 0 AS c FROM lv)" + "".join(FITCH.format(k=k, j=k - 1) for k in range(1, 7)) + " SELECT site, CAST(c AS BIGINT) AS changes FROM f6")
+
+
+def _likelihood(spark, sf_dir):
+    leaves = _leaves(spark, sf_dir).cache()
+    priors = spark.range(1, 6).select(F.col("id").cast("int").alias("state"), F.lit(0.2).alias("q")).crossJoin(leaves.select("site").distinct())
+    return likelihood.level_likelihood(derive(spark, sf_dir, "tree"), leaves, priors, 6, 0.1, 0.05).withColumn("llh", F.round("llh", 6))
+
+
+QUERIES["level_likelihood"] = _likelihood
+# one value column for each state: zero, silent and the five mutations, as lists
+_EDGE = "SELECT v.node // 2 AS node, site, d, z, sl, al FROM l{j} v JOIN (SELECT node AS tn, brlen AS d FROM tree) t ON v.node = t.tn"
+_LEVEL = """, e{k} AS (SELECT *, greatest(z - d * 1.1e0, sl + ln(1 - exp(-d * 0.1e0)), list_max(al) + ln(0.2e0 * (1 - exp(-d))) - d * 0.1e0) AS m FROM ({edge}) x),
+l{k} AS (SELECT node, site, sum(m + ln(exp(z - d * 1.1e0 - m) + exp(sl + ln(1 - exp(-d * 0.1e0)) - m) + list_sum(list_transform(al, lambda a: exp(a + ln(0.2e0 * (1 - exp(-d))) - d * 0.1e0 - m))))) AS z, sum(sl) AS sl,
+ [greatest(-1e7, sum(al2[1])), greatest(-1e7, sum(al2[2])), greatest(-1e7, sum(al2[3])), greatest(-1e7, sum(al2[4])), greatest(-1e7, sum(al2[5]))] AS al
+ FROM (SELECT *, list_transform(al, lambda a: greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0))) + ln(exp(a - d * 0.1e0 - greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0)))) + exp(sl + ln(1 - exp(-d * 0.1e0)) - greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0)))))) AS al2 FROM e{k}) y GROUP BY node, site)"""
+SQL["level_likelihood"] = with_derived(
+    f"WITH {LEAVES}, l0 AS (SELECT node, site, CASE WHEN state IS NULL THEN ln(0.05e0) WHEN state = 0 THEN ln(0.95e0) ELSE -1e6 END AS z, CASE WHEN state IS NULL THEN 0e0 ELSE -1e6 END AS sl, list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN state IS NULL THEN ln(0.05e0) WHEN state = k THEN ln(0.95e0) ELSE -1e6 END) AS al FROM lv)"
+    + "".join(_LEVEL.format(k=k, edge=_EDGE.format(j=k - 1)) for k in range(1, 8))
+    + " SELECT site, round(z, 6) AS llh FROM l7"
+)
+
+# -- streaming -----------------------------------------------------------------------------------------------------
+
+QUERIES["streamed_molecule_counts"] = lambda spark, sf_dir: streaming.drained_counts(spark, sf_dir)
+SQL["streamed_molecule_counts"] = "SELECT user_id AS cell, event_type AS intBC, count(*) AS n FROM events GROUP BY user_id, event_type"
