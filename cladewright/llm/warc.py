@@ -39,36 +39,42 @@ def _uuid(*parts) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def base32_digest(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five hex digits at a time become four characters."""
-    h = F.sha1(payload)
-    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    parts = []
-    for a in range(8):
-        number = F.conv(F.substring(h, 5 * a + 1, 5), 16, 10).cast("int")
-        parts += [F.substring(alphabet, F.shiftright(number, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*parts)
+def base32(hexadecimal: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: ten hex digits at a time are eight digits to base 32."""
+    parts = [F.lpad(F.conv(F.substring(hexadecimal, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """(page_id, url, body, digest, copy, capture, revisit_of, refers_to) for each row of pages.
+    """(page_id, url, body, digest, capture, revisit_of, refers_to) for each row of pages.
 
-    capture is the record identifier of the response or revisit; revisit_of that of the response it repeats.
+    capture is the record identifier of the response or revisit; revisit_of that of the response it repeats. What
+    refers to what is settled on digests; bodies are shuffled once, to meet the outcome.
     """
-    body = F.coalesce("html", F.lit(""))
-    # rows equal in all columns are told apart by a number; the groups are counted before they are shuffled
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), body.alias("body"))
-    rows = rows.groupBy("page_id", "url", "body").agg(F.count(F.lit(1)).alias("n")).select("page_id", "url", "body", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
-    rows = rows.withColumn("content", F.concat(F.sha2("body", 256), F.length(F.encode("body", "utf-8")).cast("string")))
-    order = F.struct(F.col("page_id").isNotNull().alias("known"), F.col("page_id").alias("page_id"))
-    last = saved(rows.groupBy("content").agg(F.max(order).alias("last")), "last")
-    rows = rows.join(last, "content").withColumn("at_last", order.eqNullSafe(F.col("last"))).withColumn("capture", _uuid(F.lit("capture"), "page_id", "url", "content", "copy"))
-    # of the few rows that tie at the largest page_id the first is the response
-    response = saved(rows.filter("at_last").groupBy("content").agg(F.min(F.struct("url", "copy", "capture", "page_id")).alias("r")).select("content", "r.capture", "r.page_id"), "responses")
-    response = response.select(F.col("content"), F.col("capture").alias("of"), F.col("page_id").alias("of_page"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("body"))
+    content = F.concat(F.sha1("body"), F.sha2("body", 256)).alias("content")
+    keys = ["page_id", "url", "content"]
+    light = saved(rows.select("page_id", "url", content).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "light")
+    order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id")
+    copies = light.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).withColumn("capture", _uuid(F.lit("capture"), *keys, "copy"))
+    # the largest page_id answers; of rows that tie there, the first by url and copy
+    answer = copies.groupBy("content").agg(F.max(F.struct(order, F.struct(_reversed("url").alias("u"), (-F.col("copy")).alias("c")), "capture", "page_id")).alias("x"))
+    answer = saved(answer.select("content", F.col("x.capture").alias("of"), F.col("x.page_id").alias("of_page")), "answers")
+    settled = copies.join(answer, "content")
     again = F.col("capture") != F.col("of")
-    out = rows.join(response, "content")
-    return out.select("page_id", "url", "body", "copy", "content", "capture", F.when(again, F.col("of")).alias("revisit_of"), F.when(again, F.col("of_page")).alias("refers_to"))
+    settled = settled.select(*keys, F.struct("capture", F.when(again, F.col("of")).alias("revisit_of"), F.when(again, F.col("of_page")).alias("refers_to")).alias("x"))
+    settled = saved(settled.groupBy(*keys).agg(F.collect_list("x").alias("x")), "settled").withColumnsRenamed({k: f"k_{k}" for k in keys})
+    bodies = rows.select("*", content)
+    if not light.filter("n > 1").isEmpty():  # equal rows: one of them carries all copies
+        bodies = bodies.dropDuplicates(keys)
+    same = F.col("page_id").eqNullSafe(F.col("k_page_id")) & (F.col("url") == F.col("k_url")) & (F.col("content") == F.col("k_content"))
+    out = bodies.join(settled, same).select("page_id", "url", "body", base32(F.substring("content", 1, 40)).alias("digest"), F.explode("x").alias("x"))
+    return out.select("page_id", "url", "body", "digest", "x.*")
+
+
+def _reversed(text: str) -> Column:
+    """Bytes of a text with their order turned round, so that the largest comes from the smallest text."""
+    return F.concat(F.translate(F.hex(F.encode(text, "utf-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
 
 
 def _record(kind: Column | str, record_id: Column, fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -84,7 +90,7 @@ def write_archives(pages: DataFrame, path: str | None = None, gzip: bool = True)
     if path is None:
         path = f"{shared_dir(pages.sparkSession)}/cladewright-warc-{uuid.uuid4().hex}"
         _made.append(path)
-    c = captures(pages).withColumn("digest", base32_digest(F.encode("body", "utf-8")))
+    c = captures(pages)
     eol2, uri = "\r\n\r\n", F.col("url")
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("body").cast("string"), F.lit(eol2))
@@ -171,16 +177,19 @@ def assemble(found: DataFrame) -> DataFrame:
 
     A record belongs to the response or revisit that its WARC-Concurrent-To names, or that the record named there names.
     """
-    answers = F.col("warc_type").isin("response", "revisit", "resource")
+    answers = F.coalesce(F.col("warc_type").isin("response", "revisit", "resource"), F.lit(False))
     nested = F.struct("warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "http_head", "payload", "headers")
-    others = found.filter(~answers & ~F.coalesce(F.col("warc_type") == "warcinfo", F.lit(False))).select("record_id", "warc_type", F.get("concurrent_to", F.lit(0)).alias("to"), nested.alias("record"))
-    hop = others.select(F.col("record_id").alias("via"), F.col("to").alias("via_to")).filter("via_to is not null")
-    side = others.join(hop, F.col("to") == F.col("via"), "left").select(F.coalesce("via_to", "to", "record_id").alias("capture_id"), "warc_type", "record")
-    main = found.filter(answers).select(F.col("record_id").alias("capture_id"), "warc_type", nested.alias("record"))
-    every = main.unionByName(side).withColumn("kind", F.when(answers, "response").when(F.col("warc_type") == "request", "request").otherwise("metadata"))
-    pick = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("record")), ignorenulls=True).alias(kind)
-    more = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("record"))).alias(kind)
-    return every.groupBy("capture_id").agg(pick("response"), more("request"), more("metadata")).withColumn("target_uri", F.coalesce("response.target_uri", F.get("request", F.lit(0))["target_uri"], F.get("metadata", F.lit(0))["target_uri"]))
+    # requests and metadata are small: they are kept, and attached to what they name; payloads are shuffled once
+    others = found.filter(~answers & ~F.coalesce(F.col("warc_type") == "warcinfo", F.lit(False)))
+    others = saved(others.select("record_id", "warc_type", F.get("concurrent_to", F.lit(0)).alias("to"), nested.alias("record")), "others")
+    hop = others.filter("to is not null").select(F.col("record_id").alias("via"), F.col("to").alias("via_to"))
+    side = others.join(hop, F.col("to") == F.col("via"), "left").select(F.coalesce("via_to", "to", "record_id").alias("side_id"), "warc_type", "record")
+    request = F.coalesce(F.col("warc_type") == "request", F.lit(False))
+    more = lambda x, name: F.collect_list(F.when(x, F.col("record"))).alias(name)
+    side = saved(side.groupBy("side_id").agg(more(request, "request"), more(~request, "metadata")), "side")
+    main = found.filter(answers).select(F.col("record_id").alias("main_id"), nested.alias("response"))
+    out = main.join(side, F.col("main_id") == F.col("side_id"), "full").withColumn("capture_id", F.coalesce("main_id", "side_id")).drop("main_id", "side_id")
+    return out.withColumn("target_uri", F.coalesce("response.target_uri", F.get("request", F.lit(0))["target_uri"], F.get("metadata", F.lit(0))["target_uri"]))
 
 
 def payload_facts(batches):
@@ -198,7 +207,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip: what the assembled captures of the archives say of each page."""
     rows = assemble(read_records(spark, write_archives(table(spark, sf_dir, "pages"))))
     note = F.get("metadata", F.lit(0))["payload"].cast("string")
-    flat = rows.select("capture_id", F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("response.payload_digest").alias("stated"), F.nullif(F.regexp_extract(note, r"page-id: (\d*)\r\n", 1), F.lit("")).cast("long").alias("page_id"), F.size("request").alias("n_requests"), F.col("response.payload").alias("payload"))
+    flat = rows.select("capture_id", F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("response.payload_digest").alias("stated"), F.nullif(F.regexp_extract(note, r"page-id: (\d*)\r\n", 1), F.lit("")).cast("long").alias("page_id"), F.coalesce(F.size("request"), F.lit(0)).alias("n_requests"), F.col("response.payload").alias("payload"))
     fields = "capture_id string, record_type string, to string, stated string, page_id long, n_requests int, own_bytes long, own_digest string"
     flat = saved(flat.mapInArrow(payload_facts, fields), "captures")
     # a revisit has no payload of its own: its size and digest are those of the response that it refers to
