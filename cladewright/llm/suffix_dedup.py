@@ -303,7 +303,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     found = saved(source.mapInArrow(_anchor_task(length, gram), ANCHOR), "anchors")
     counted = [F.count(F.lit(1)).alias("bucket"), F.min("stretch").alias("least"), F.max("stretch").alias("most")]
     place = F.struct("doc_id", "text_key", "low")
-    buckets = found.groupBy("gram").agg(*counted, *[F.min(place).alias("at")] * keep_first).filter("bucket > 1")
+    buckets = saved(found.groupBy("gram").agg(*counted, *[F.min(place).alias("at")] * keep_first).filter("bucket > 1"), "buckets")
     # a bucket with one stretch only is settled; of the others one copy of each stretch is fetched from its text
     met = saved(found.join(buckets, "gram").withColumn("single", F.col("least") == F.col("most")).drop("bucket", "least", "most"), "met")
     mixed = met.filter("not single")

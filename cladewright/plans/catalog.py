@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
-from cladewright.operators import characters, distances, likelihood, lineages, molecules
+from cladewright.operators import characters, distances, inference, likelihood, lineages, molecules, simulation
 from cladewright.sources.derived import derive, with_derived
 from cladewright.streaming import counts as streaming
 
@@ -247,6 +247,23 @@ SQL["level_likelihood"] = with_derived(
     + " SELECT site, round(z, 6) AS llh FROM l7"
 )
 
+# -- inference and simulation ----------------------------------------------------------------------------------------
+
+
+def _inference_data(spark, sf_dir):
+    return inference.data_from(_leaves(spark, sf_dir).withColumnRenamed("node", "cell"))
+
+
+def _tree_text(spark, sf_dir):
+    rows = {r["node"]: r for r in derive(spark, sf_dir, "tree").collect()}  # 127 nodes, fixed
+    text = lambda i: (f"({text(2 * i)},{text(2 * i + 1)})" if 2 * i in rows else str(i)) + f":{rows[i]['brlen']}"
+    return text(1) + ";"
+
+
+QUERIES["fit_tree"] = lambda spark, sf_dir: inference.multi_start(spark, _tree_text(spark, sf_dir), _inference_data(spark, sf_dir), 4, settings=inference.Settings(tolerance=1e-6, most_rounds=200))
+QUERIES["search_topology"] = lambda spark, sf_dir: inference.search(spark, _tree_text(spark, sf_dir), _inference_data(spark, sf_dir), most_moves=2)
+QUERIES["simulate_characters"] = lambda spark, sf_dir: simulation.simulate(simulation.balanced_tree(spark, 6, 0.2), simulation.uniform_priors(spark, 7, 5), 6, 0.1, 0.05)
+
 # -- streaming -----------------------------------------------------------------------------------------------------
 
 QUERIES["streamed_molecule_counts"] = lambda spark, sf_dir: streaming.drained_counts(spark, sf_dir)
