@@ -5,7 +5,8 @@ them into archive files: a record ends with two line ends, which is the line sep
 are committed, and written anew when an executor is lost, like any other Spark output. Files hold a bounded number of
 records. Reading takes files as bytes and walks their records by Content-Length, so payloads may contain anything;
 gzipped archives (whole or by record) are unpacked on the way. A transaction is assembled by joining records on the
-identifiers that WARC-Concurrent-To names, directly or through one other record, into one nested row per capture.
+identifiers that all WARC-Concurrent-To headers name, in both directions, into one nested row per capture; a record that
+reaches several captures is nested in each.
 
 A file is read in one piece, which bounds memory by file size; RECORDS_A_FILE keeps the files written here small.
 
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _made, saved, shared_dir, table
+from .components import components
 
 RECORDS_A_FILE = 3000
 DATE = "2024-01-01T00:00:00Z"
@@ -172,18 +174,78 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_parse_task, RECORD)
 
 
+def _reached(names: DataFrame, given: DataFrame) -> DataFrame:
+    """(id, capture): given, and for all records that name one of these, directly or through others, its captures."""
+    out = newest = saved(given.distinct(), "reached")
+    while True:
+        more = names.join(newest.withColumnRenamed("id", "to"), "to").select("id", "capture").distinct()
+        newest = saved(more.join(out, ["id", "capture"], "left_anti"), "reached")
+        if newest.isEmpty():
+            return out
+        out = out.unionByName(newest)
+
+
+def captures_of(ends: DataFrame) -> DataFrame:
+    """(id, capture) of requests and metadata, from record_id, answers and concurrent_to of all records.
+
+    Those that name a response or are named by one, and those that name such records, belong to all captures so reached.
+    What is left takes the captures of the records that name it; then what it names outside the archives; then itself.
+    """
+    answer = ends.filter("answers and record_id is not null").select(F.col("record_id").alias("answer")).distinct()
+    other = ends.filter("not answers and record_id is not null").select("record_id").distinct()
+    named = ends.filter("record_id is not null").select("answers", F.col("record_id").alias("id"), F.explode("concurrent_to").alias("to")).filter("id <> to").distinct()
+    is_other = other.withColumnRenamed("record_id", "to")
+    links = saved(named.filter("not answers").join(is_other, "to", "left_semi").select("id", "to"), "links")
+    direct = named.filter("not answers").join(answer, F.col("to") == F.col("answer")).select("id", F.col("answer").alias("capture"))
+    back = named.filter("answers").join(is_other, "to", "left_semi").select(F.col("to").alias("id"), F.col("id").alias("capture"))
+    out = _reached(links, direct.unionByName(back))
+    left = lambda: other.withColumnRenamed("record_id", "id").join(out, "id", "left_anti")
+    rest = saved(left(), "rest")
+    if rest.isEmpty():
+        return out
+    named_by = links.select(F.col("to").alias("id"), F.col("id").alias("to"))
+    both = links.unionByName(named_by)
+
+    def spread(edges):
+        nonlocal out, rest
+        while not rest.isEmpty():
+            more = saved(rest.join(edges, "id").join(out.withColumnRenamed("id", "to"), "to").select("id", "capture").distinct(), "reached")
+            if more.isEmpty():
+                return
+            out = out.unionByName(more)
+            rest = saved(left(), "rest")
+
+    spread(both)
+    outside = named.filter("not answers").join(is_other, "to", "left_anti").join(rest, "id", "left_semi").select("id", F.col("to").alias("capture"))
+    out = out.unionByName(_reached(links.join(rest, "id", "left_semi"), outside))
+    rest = saved(left(), "rest")
+    spread(both)
+    # records that name nothing are captures of their own; a ring of records that name each other has the least as its own
+    alone = rest.join(links.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("capture"))
+    out = out.unionByName(_reached(links.join(rest, "id", "left_semi"), alone))
+    rest = saved(left(), "rest")
+    if not rest.isEmpty():
+        roots = components(links.join(rest, "id", "left_semi").select(F.xxhash64("id").alias("a"), F.xxhash64("to").alias("b")))
+        ring = saved(rest.join(roots, F.xxhash64("id") == F.col("node")).select("id", "root"), "rings")
+        out = out.unionByName(ring.join(ring.groupBy("root").agg(F.min("id").alias("capture")), "root").select("id", "capture"))
+    return out
+
+
 def assemble(found: DataFrame) -> DataFrame:
     """One row per capture: capture_id, target_uri, response (or revisit), requests and metadata as nested records.
 
-    A record belongs to the response or revisit that its WARC-Concurrent-To names, or that the record named there names.
+    A record belongs to every response or revisit that its WARC-Concurrent-To headers name or whose own name it, and to
+    those of the records that it names; see captures_of for records of which none of this holds.
     """
     answers = F.coalesce(F.col("warc_type").isin("response", "revisit", "resource"), F.lit(False))
     nested = F.struct("warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "http_head", "payload", "headers")
     # requests and metadata are small: they are kept, and attached to what they name; payloads are shuffled once
-    others = found.filter(~answers & ~F.coalesce(F.col("warc_type") == "warcinfo", F.lit(False)))
-    others = saved(others.select("record_id", "warc_type", F.get("concurrent_to", F.lit(0)).alias("to"), nested.alias("record")), "others")
-    hop = others.filter("to is not null").select(F.col("record_id").alias("via"), F.col("to").alias("via_to"))
-    side = others.join(hop, F.col("to") == F.col("via"), "left").select(F.coalesce("via_to", "to", "record_id").alias("side_id"), "warc_type", "record")
+    kept = found.filter(~F.coalesce(F.col("warc_type") == "warcinfo", F.lit(False)))
+    own = F.coalesce("record_id", F.when(~answers, F.concat_ws("#", "file", "number")))  # records without an id are told apart by their place
+    kept = saved(kept.select("record_id", own.alias("own"), answers.alias("answers"), "warc_type", "concurrent_to", F.when(~answers, nested).alias("record")), "others")
+    reached = captures_of(kept.select(F.col("own").alias("record_id"), "answers", "concurrent_to"))
+    others = kept.filter("not answers").select("record_id", "own", "warc_type", "record")
+    side = others.join(reached, F.col("own") == F.col("id")).withColumn("side_id", F.when(F.col("record_id").isNotNull() | (F.col("capture") != F.col("own")), F.col("capture")))
     request = F.coalesce(F.col("warc_type") == "request", F.lit(False))
     more = lambda x, name: F.collect_list(F.when(x, F.col("record"))).alias(name)
     side = saved(side.groupBy("side_id").agg(more(request, "request"), more(~request, "metadata")), "side")

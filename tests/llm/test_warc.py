@@ -43,3 +43,24 @@ def test_reader_takes_members_and_orphans(spark, tmp_path):
 def test_empty(spark, monkeypatch):
     monkeypatch.setattr(warc, "table", lambda *_: spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.op2_warc(spark, "").count() == 0
+
+
+def test_concurrent_to_of_all_records_in_both_directions(spark, tmp_path):
+    def record(kind, i, *to):
+        return (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{i}>\r\n" + "".join(f"WARC-Concurrent-To: <{x}>\r\n" for x in to) + "Content-Length: 1\r\n\r\nx\r\n\r\n").encode()
+
+    parts = [
+        record("request", "q1"), record("response", "r1", "q1"), record("metadata", "m1", "q1"),  # the response names its request
+        record("request", "q2", "r2"), record("revisit", "r2", "q2"), record("metadata", "m12", "r1", "q2"),  # both; one of several captures
+        record("metadata", "m3", "m4"), record("metadata", "m4", "q3"), record("request", "q3", "r3"), record("response", "r3"),  # a chain
+        record("metadata", "m5", "q5", "r5"), record("request", "q5"), record("response", "r5"),  # a request that metadata alone names
+        record("metadata", "m6", "q6"), record("request", "q6"), record("metadata", "m7", "m8"), record("metadata", "m8", "m7"),  # no response
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    rows = warc.assemble(warc.read_records(spark, str(tmp_path))).collect()
+    got = {r.capture_id: (r.response is not None, sorted(x.record_id for x in r.request or []), sorted(x.record_id for x in r["metadata"] or [])) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {
+        "<r1>": (True, ["<q1>"], ["<m12>", "<m1>"]), "<r2>": (True, ["<q2>"], ["<m12>"]), "<r3>": (True, ["<q3>"], ["<m3>", "<m4>"]),
+        "<r5>": (True, ["<q5>"], ["<m5>"]), "<q6>": (False, ["<q6>"], ["<m6>"]), "<m7>": (False, [], ["<m7>", "<m8>"]),
+    }
