@@ -97,19 +97,19 @@ def _pairs(n: int):
     return np.triu_indices(n, 1)
 
 
-def blocks_of(frames):
-    """Regroups pandas frames sorted by block so that each has whole blocks only."""
+def blocks_of(frames, column: str = "block"):
+    """Regroups pandas frames sorted by block (or another column) so that each has whole blocks only."""
     import pandas as pd
 
     held = []
     for f in frames:
         if not len(f):
             continue
-        last = f["block"].iloc[-1]
-        if f["block"].iloc[0] == last:
+        last = f[column].iloc[-1]
+        if f[column].iloc[0] == last:
             held.append(f)
             continue
-        cut = len(f) - int((f["block"].to_numpy()[::-1] != last).argmax())
+        cut = len(f) - int((f[column].to_numpy()[::-1] != last).argmax())
         yield pd.concat([*held, f.iloc[:cut]], ignore_index=True)
         held = [f.iloc[cut:]]
     if held:
@@ -117,24 +117,31 @@ def blocks_of(frames):
 
 
 def pair_steps(block: np.ndarray, side: np.ndarray, most: int = 200_000):
-    """Yields (a, b) row pairs of the same block; a block of two chunks (sides 0 and 1) has pairs across them only."""
+    """Yields (a, b) row pairs of the same block, about most at a time.
+
+    A block of two chunks (sides 0 and 1) has pairs across them only; its rows are sorted by side.
+    """
     edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
     left, right, size = [], [], 0
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if hi - lo < 2:
             continue
-        if side[lo] == 2:
-            a, b = _pairs(hi - lo)
-        else:
-            first = int((side[lo:hi] == 0).sum())  # rows of a block are sorted by side
-            a, b = (x.ravel() for x in np.indices((first, hi - lo - first)))
-            b = b + first
-        left.append(a + lo)
-        right.append(b + lo)
-        size += len(a)
-        if size >= most:
-            yield np.concatenate(left), np.concatenate(right)
-            left, right, size = [], [], 0
+        first = hi - lo if side[lo] == 2 else int((side[lo:hi] == 0).sum())
+        step = max(1, most // (hi - lo))
+        for row in range(0, first, step):
+            if side[lo] == 2 and first <= step:
+                a, b = _pairs(hi - lo)
+            else:
+                a, b = np.indices((min(step, first - row), hi - lo - (row if side[lo] == 2 else first))).reshape(2, -1)
+                a, b = a + row, b + (row if side[lo] == 2 else first)
+                if side[lo] == 2:
+                    a, b = a[b > a], b[b > a]
+            left.append(a + lo)
+            right.append(b + lo)
+            size += len(a)
+            if size >= most:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, size = [], [], 0
     if size:
         yield np.concatenate(left), np.concatenate(right)
 
