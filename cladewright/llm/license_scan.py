@@ -6,7 +6,8 @@ parameter; their table is broadcast only while it has at most BROADCAST_TEXTS ro
 
 Defined cases: null texts are empty; a text without words has the digest of the empty string and no licence; if several
 known texts have one canonical form, the first name by code point stands for them; rows are scanned one by one, so
-repeated rows and null doc_ids stay; an empty table gives no rows; further columns are ignored.
+repeated rows and null doc_ids stay; texts of any length are taken whole; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,21 +21,34 @@ from .license_texts import KNOWN
 BROADCAST_TEXTS = 10_000
 #: A line that states a copyright: the mark and then a year, a holder or another mark; "copyright notice" is no such line.
 COPYRIGHT_LINE = r"^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[|by )|\(c\)[ \t]*[0-9<\[]|©|all rights reserved)"
-#: Equivalent spellings; applied to canonical words in this order.
+#: Equivalent spellings of whole words, fixed values; applied in this order.
 SPELLINGS = (
-    ("licence", "license"), ("licencing", "licensing"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
-    ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("judgement", "judgment"),
-    ("copyright owner", "copyright holder"), ("per cent", "percent"), ("https", "http"),
+    ("acknowledgement", "acknowledgment"), ("acknowledgements", "acknowledgments"), ("analogue", "analog"), ("analyse", "analyze"),
+    ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("behaviour", "behavior"),
+    ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"), ("favour", "favor"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"),
+    ("https", "http"), ("initialise", "initialize"), ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"),
+    ("licenced", "licensed"), ("licences", "licenses"), ("licencing", "licensing"), ("maximise", "maximize"),
+    ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("offence", "offense"), ("optimise", "optimize"),
+    ("organisation", "organization"), ("organisations", "organizations"), ("per cent", "percent"), ("practise", "practice"),
+    ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("sub licence", "sublicense"),
+    ("sub license", "sublicense"), ("sublicence", "sublicense"), ("sub licensing", "sublicensing"), ("utilisation", "utilization"),
+    ("whilst", "while"), ("wilful", "willful"),
 )
 
 
+def spelled(words: str) -> str:
+    """A word form with a space on each side of every word, so that replacing meets whole words only."""
+    return " " + words.replace(" ", "  ") + " "
+
+
 def canonical(text: Column | str) -> Column:
     lines = F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n")
     kept = F.array_join(F.filter(lines, lambda x: ~x.rlike(COPYRIGHT_LINE)), "\n")
-    words = F.trim(F.regexp_replace(kept, BREAKS, " "))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, BREAKS, "  ")), F.lit(" "))
     for other, one in SPELLINGS:
-        words = F.replace(words, F.lit(other), F.lit(one))
-    return words
+        words = F.replace(words, F.lit(spelled(other)), F.lit(spelled(one)))
+    return F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
 
 
 def scan(docs: DataFrame, known: dict[str, str] = KNOWN) -> DataFrame:
@@ -52,10 +66,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     lines = f"string_split(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), chr(10))"
-    words = f"trim(regexp_replace(array_to_string(list_filter({lines}, lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}')), chr(10)), '{BREAKS}', ' ', 'g'))"
+    words = f"' ' || trim(regexp_replace(array_to_string(list_filter({lines}, lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}')), chr(10)), '{BREAKS}', '  ', 'g')) || ' '"
     for other, one in SPELLINGS:
-        words = f"replace({words}, '{other}', '{one}')"
-    return f"sha256({words})"
+        words = f"replace({words}, '{spelled(other)}', '{spelled(one)}')"
+    return f"sha256(trim(replace({words}, '  ', ' ')))"
 
 
 def _quoted(x: str) -> str:

@@ -1,4 +1,6 @@
-"""Known licence texts, as fixed values."""
+"""Known licence texts, as fixed values: short ones here, long ones as files in licenses/, named by their identifier."""
+
+from pathlib import Path
 
 _AS_IS_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
@@ -82,3 +84,5 @@ Permission is granted to anyone to use this software for any purpose, including
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+
+KNOWN |= {f.stem: f.read_text(encoding="utf-8") for f in sorted(Path(__file__).with_name("licenses").glob("*.txt"))}

@@ -27,6 +27,21 @@ def test_licences_are_known_by_any_spelling(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_long_licences_and_whole_words(spark):
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(KNOWN)
+    reflowed = KNOWN["GPL-3.0"].upper().replace("LICENSE", "LICENCE").replace("\n", "\n\n   ").replace("2007 FREE", "1999 Some Free")
+    twice = KNOWN["MPL-2.0"].replace("acknowledgment", "acknowledgement")
+    texts = [reflowed, KNOWN["Apache-2.0"], twice, "the super center", "the supercenter", "sub license sub license", "sublicense sublicense", None, KNOWN["Apache-2.0"]]
+    rows = [(None if i == 8 else i, t, "en", "a") for i, t in enumerate(texts)]
+    got = license_scan.scan(documents(spark, rows)).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert [by_id[i].license for i in (0, 1, 2)] == ["GPL-3.0", "Apache-2.0", "MPL-2.0"]
+    assert by_id[3].canonical_sha256 != by_id[4].canonical_sha256 and by_id[5].canonical_sha256 == by_id[6].canonical_sha256
+    assert by_id[None].license == "Apache-2.0" and by_id[7].license is None
+    # several known texts of one canonical form: the first name stands for them
+    assert license_scan.scan(documents(spark, [(1, "One, two", "en", "a")] * 2), {"b": "one two", "a": "ONE two"}).select("license").distinct().collect()[0][0] == "a"
+
+
 def targets(sizes):
     """By hand: fill all sources alike by weight, cap, and share the excess again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
