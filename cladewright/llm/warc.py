@@ -8,9 +8,12 @@ gzipped archives (whole or by record) are unpacked on the way. A transaction is
 identifiers that all WARC-Concurrent-To headers name, in both directions, into one nested row per capture; a record that
 reaches several captures is nested in each.
 
-A file is read in one piece, which bounds memory by file size; RECORDS_A_FILE keeps the files written here small.
+A file is read in one piece, which bounds memory by file size (2 GB at most, a limit of Spark's binary reader);
+RECORDS_A_FILE keeps the files written here small. Payloads of any length are written and read whole.
 
-Defined cases: a null html is an empty payload; null urls are written as the empty target; equal payloads, empty ones
+Defined cases: a null html is an empty payload; null urls are written as the empty target, and line ends in urls as %0D
+and %0A; bytes that are no whole record are read as a row of type broken, which no capture takes, and reading goes on
+at the next record; equal payloads, empty ones
 included, are revisits of the row of largest page_id, where rows that tie take the first by url, then by copy; null
 page_ids come before all others and are kept as null; repeated rows are captures of their own; an empty table gives no
 rows; a record that names no capture, or none that is in the archives, is a capture without a response.
@@ -93,7 +96,8 @@ def write_archives(pages: DataFrame, path: str | None = None, gzip: bool = True)
         path = f"{shared_dir(pages.sparkSession)}/cladewright-warc-{uuid.uuid4().hex}"
         _made.append(path)
     c = captures(pages)
-    eol2, uri = "\r\n\r\n", F.col("url")
+    # line ends would end a header: they are written as a URL writes them
+    eol2, uri = "\r\n\r\n", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("body").cast("string"), F.lit(eol2))
     first = F.col("revisit_of").isNull()
@@ -126,17 +130,32 @@ def unpacked(raw: bytes) -> bytes:
 
 
 def records(raw: bytes):
-    """Yields (headers as pairs, block) of each record; a record cut short by the end of the file is left out."""
+    """Yields (headers as pairs, block) of each record.
+
+    What is not a whole record (no header end, no length, or a length beyond the file) is given as (None, its bytes) up
+    to the next line that starts with a version mark, where reading goes on.
+    """
     at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
+    while at < len(raw):
+        if not raw.startswith(b"WARC/", at):
+            start = at if raw.startswith(b"\r\nWARC/", at) else raw.find(b"\nWARC/", at)
+            after = len(raw) if start < 0 else raw.find(b"WARC/", start)
+            if raw[at:after].strip():
+                yield None, raw[at:after]
+            at = after
+            continue
         end = raw.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        pairs = [(a.strip(), b.strip()) for a, _, b in (x.partition(":") for x in lines)]
-        size = next((int(b) for a, b in pairs if a.lower() == "content-length" and b.isdigit()), None)
+        size = None
+        if end >= 0:
+            lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            pairs = [(a.strip(), b.strip()) for a, _, b in (x.partition(":") for x in lines)]
+            size = next((int(b) for a, b in pairs if a.lower() == "content-length" and b.isascii() and b.isdigit()), None)
         if size is None or end + 4 + size > len(raw):
-            return
+            after = raw.find(b"\nWARC/", at)
+            after = len(raw) if after < 0 else after + 1
+            yield None, raw[at:after]
+            at = after
+            continue
         yield pairs, raw[end + 4 : end + 4 + size]
         at = end + 4 + size
 
@@ -154,6 +173,8 @@ def _parse_task(batches):
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             rows, size = [], 0
             for number, (pairs, block) in enumerate(records(unpacked(content.as_py()))):
+                broken = pairs is None
+                pairs = [("WARC-Type", "broken")] if broken else pairs
                 get = {a.lower(): b for a, b in pairs}
                 head, payload = None, block
                 if get.get("content-type", "").startswith("application/http"):
@@ -170,6 +191,7 @@ def _parse_task(batches):
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record, and one of type broken for each stretch of bytes that is no whole record."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_parse_task, RECORD)
 
@@ -240,7 +262,7 @@ def assemble(found: DataFrame) -> DataFrame:
     answers = F.coalesce(F.col("warc_type").isin("response", "revisit", "resource"), F.lit(False))
     nested = F.struct("warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "http_head", "payload", "headers")
     # requests and metadata are small: they are kept, and attached to what they name; payloads are shuffled once
-    kept = found.filter(~F.coalesce(F.col("warc_type") == "warcinfo", F.lit(False)))
+    kept = found.filter(~F.coalesce(F.col("warc_type").isin("warcinfo", "broken"), F.lit(False)))
     own = F.coalesce("record_id", F.when(~answers, F.concat_ws("#", "file", "number")))  # records without an id are told apart by their place
     kept = saved(kept.select("record_id", own.alias("own"), answers.alias("answers"), "warc_type", "concurrent_to", F.when(~answers, nested).alias("record")), "others")
     reached = captures_of(kept.select(F.col("own").alias("record_id"), "answers", "concurrent_to"))
@@ -274,9 +296,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = saved(flat.mapInArrow(payload_facts, fields), "captures")
     # a revisit has no payload of its own: its size and digest are those of the response that it refers to
     target = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("t"), F.col("page_id").alias("t_page"), F.col("own_bytes").alias("t_bytes"), F.col("own_digest").alias("t_digest"))
-    out = flat.join(target, F.col("to") == F.col("t"), "left")
-    again = F.col("record_type") == "revisit"
-    return out.select("page_id", F.when(again, F.col("t_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), F.when(again, F.col("t_digest")).otherwise(F.col("own_digest")).alias("payload_digest"), "record_type", F.when(again, F.col("t_page")).alias("refers_to"))
+    again = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    first = flat.filter(~again).select("page_id", "own_bytes", "own_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).toDF(*names)
+    later = flat.filter(again).join(target, F.col("to") == F.col("t"), "left")
+    return first.unionByName(later.select("page_id", "t_bytes", "t_digest", "record_type", "t_page").toDF(*names))
 
 
 #: DuckDB: base32 from the hex digest by bits.

@@ -64,3 +64,25 @@ def test_concurrent_to_of_all_records_in_both_directions(spark, tmp_path):
         "<r1>": (True, ["<q1>"], ["<m12>", "<m1>"]), "<r2>": (True, ["<q2>"], ["<m12>"]), "<r3>": (True, ["<q3>"], ["<m3>", "<m4>"]),
         "<r5>": (True, ["<q5>"], ["<m5>"]), "<q6>": (False, ["<q6>"], ["<m6>"]), "<m7>": (False, [], ["<m7>", "<m8>"]),
     }
+
+
+def test_odd_urls_lose_no_page(spark, monkeypatch):
+    urls = ["a\r\n\r\nb", "a\nWARC/1.1", "\r", "x: y", "Content-Length: 3\r\nContent-Length: 4", "", None, "\u2028", "é\x00"]
+    pages = [(i, u, f"<p>{i // 2}</p>\r\n\r\n") for i, u in enumerate(urls)] + [(20, "long", "WARC/1.1\r\n" * 300_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "table", lambda *_: df)
+    got = {r.page_id: r for r in warc.op2_warc(spark, "").collect()}
+    assert len(got) == len(pages)
+    for i, _, h in pages:
+        twin = i % 2 == 0 and i + 1 < len(urls)
+        assert (got[i].payload_bytes, got[i].refers_to) == (len(h), i + 1 if twin else None)
+
+
+def test_reader_goes_on_after_a_broken_record(spark, tmp_path):
+    good = lambda i: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n".encode()
+    broken = [b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n\r\n", b"WARC/1.1\r\nContent-Length: 99999\r\n\r\ntoo long\r\n\r\n", b"noise\r\n\r\n", b"WARC/1.1\r\nContent-Length: 7"]
+    (tmp_path / "a.warc").write_bytes(good(1) + broken[0] + good(2) + broken[1] + good(3) + broken[2] + good(4) + broken[3])
+    found = warc.read_records(spark, str(tmp_path))
+    assert found.filter("warc_type = 'broken'").count() == 4
+    rows = warc.assemble(found).collect()
+    assert sorted(r.capture_id for r in rows) == ["<1>", "<2>", "<3>", "<4>"]
