@@ -60,9 +60,37 @@ def equal_rows(characters: DataFrame) -> DataFrame:
     return packed.groupBy("states").agg(F.min("cell").alias("seed"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("cell")).alias("cells"))
 
 
-def uninformative_sites(characters: DataFrame) -> DataFrame:
-    """Sites at which all known states are 0."""
-    return characters.groupBy("site").agg(F.coalesce(F.bool_and(F.col("state") == 0), F.lit(True)).alias("none")).filter("none").select("site")
+def uninformative_sites(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sites, of each data set, at which all known states are 0."""
+    none = F.coalesce(F.bool_and(F.col("state") == 0), F.lit(True))
+    return characters.groupBy(*by, "site").agg(none.alias("none")).filter("none").select(*by, "site")
+
+
+def without_uninformative(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The matrix without its uninformative sites."""
+    return characters.join(uninformative_sites(characters, by), [*by, "site"], "left_anti")
+
+
+def without_all_missing(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The matrix without the sites that no cell of a data set has a state at."""
+    seen = characters.groupBy(*by, "site").agg(F.count("state").alias("known")).filter("known > 0")
+    return characters.join(seen.drop("known"), [*by, "site"], "left_semi")
+
+
+def average_rows(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., site, mean): the mean of the known states of the cells of each group."""
+    return characters.groupBy(*by, "site").agg(F.avg("state").alias("mean"))
+
+
+def chi_square(rows: DataFrame, first: str, second: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., chi2): the statistic of the contingency table of two columns, over rows that have both."""
+    cells = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(*by, first, second).agg(F.count(F.lit(1)).alias("n"))
+    margins = [cells.groupBy(*by, *c).agg(F.sum("n").alias(n)) for c, n in (((first,), "r"), ((second,), "c"), ((), "t"))]
+    # total * (sum of n^2 / (row * column) - 1); margins are one row for each value and data set
+    met = cells.join(margins[0], [*by, first]).join(margins[1], [*by, second])
+    part = met.groupBy(*by).agg(F.sum(F.col("n") * F.col("n") / F.col("r") / F.col("c")).alias("part"))
+    joined = part.join(margins[2], list(by)) if by else part.crossJoin(margins[2])
+    return joined.select(*by, ((F.col("part") - 1) * F.col("t")).alias("chi2"))
 
 
 def site_statistics(characters: DataFrame) -> DataFrame:

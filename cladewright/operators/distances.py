@@ -1,101 +1,219 @@
-"""Pairwise distances of cells and leaves, and tree relations (edge table: node, parent, brlen, is_leaf)."""
+"""Pairwise distances of cells and leaves, and tree relations.
+
+A tree is an edge table (node, parent, brlen, is_leaf); the root has a null parent, and its brlen is the edge above it. A
+table may hold many trees, with node numbers of their own: each is worked on by itself, in the same jobs. Nodes may have
+any number of children, and leaves any depth.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _pairs(characters: DataFrame) -> DataFrame:
-    a = characters.select(F.col("cell").alias("a"), "site", F.col("state").alias("x"))
-    b = characters.select(F.col("cell").alias("b"), "site", F.col("state").alias("y"))
-    return a.join(b, "site").filter("a < b")
+def _pairs(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of cells at each site, within the data sets that the columns by name."""
+    a = characters.select(*by, F.col("cell").alias("a"), "site", F.col("state").alias("x"))
+    b = characters.select(*by, F.col("cell").alias("b"), "site", F.col("state").alias("y"))
+    return a.join(b, [*by, "site"]).filter("a < b")
+
 
+def weighted_hamming(characters: DataFrame, weights: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, d): 1 where one of two known states is 0, 2 where both are mutated and differ, over sites known in both.
 
-def weighted_hamming(characters: DataFrame) -> DataFrame:
-    """(a, b, d): 1 where one of two known states is 0, 2 where both are mutated and differ, over sites known in both."""
+    weights: site, weight; each site counts with its weight.
+    """
+    pairs = _pairs(characters, by)
+    w = F.lit(1)
+    if weights is not None:
+        pairs, w = pairs.join(weights.select("site", "weight"), "site"), F.col("weight")
     cost = F.when(F.col("x") == F.col("y"), 0).when((F.col("x") == 0) | (F.col("y") == 0), 1).otherwise(2)
     known = F.col("x").isNotNull() & F.col("y").isNotNull()
-    d = F.sum(F.when(known, cost)) / F.nullif(F.count_if(known), F.lit(0))
-    return _pairs(characters).groupBy("a", "b").agg(F.coalesce(d, F.lit(0.0)).alias("d"))
+    d = F.sum(F.when(known, cost * w)) / F.nullif(F.count_if(known), F.lit(0))
+    return pairs.groupBy("a", "b").agg(F.coalesce(d, F.lit(0.0)).alias("d"))
 
 
-def pair_counts(characters: DataFrame) -> DataFrame:
+def pair_counts(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, ...): numbers of sites by class: both zero, one mutated, same and different mutations, and any missing."""
     x, y = F.col("x"), F.col("y")
-    return _pairs(characters).groupBy("a", "b").agg(
+    return _pairs(characters, by).groupBy("a", "b").agg(
         F.count_if((x == 0) & (y == 0)).alias("z_z"), F.count_if((x == 0) & (y > 0)).alias("z_a"), F.count_if((x > 0) & (y == 0)).alias("a_z"),
         F.count_if((x > 0) & (x == y)).alias("a_a"), F.count_if((x > 0) & (y > 0) & (x != y)).alias("a_b"),
         F.count_if(x.isNull() & y.isNotNull()).alias("m_k"), F.count_if(x.isNotNull() & y.isNull()).alias("k_m"), F.count_if(x.isNull() & y.isNull()).alias("m_m"),
     )
 
 
-def pairwise_branch_estimates(characters: DataFrame) -> DataFrame:
+def pairwise_branch_estimates(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, d_a, d_b): -ln of the share of sites still zero in each among those zero in the other or mutated alone."""
-    c = pair_counts(characters)
+    c = pair_counts(characters, by)
     alone = lambda other: -F.log(F.col("z_z") / F.nullif(F.col("z_z") + F.col(other), F.lit(0)))
     return c.filter("z_z > 0").select("a", "b", alone("a_z").alias("d_a"), alone("z_a").alias("d_b"))
 
 
-def ancestors(tree: DataFrame, depth: int) -> DataFrame:
-    """(node, ancestor, up, length): the closure to depth steps, each node its own at 0; one join a level."""
-    level = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("up"), F.lit(0.0).alias("length"))
-    step = tree.select(F.col("node").alias("ancestor"), F.col("parent").alias("above"), "brlen")
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(node, ancestor, via, up, length): the closure, each node its own ancestor at 0; one join for each level of depth.
+
+    via is the child of the ancestor on the way, length that between the two.
+    """
+    level = tree.select("node", F.col("node").alias("ancestor"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("up"), F.lit(0.0).alias("length"))
+    step = tree.filter("parent is not null").select(F.col("node").alias("via"), F.col("parent").alias("ancestor"), "brlen")
     out = level
-    for _ in range(depth):
-        level = level.join(step, "ancestor").filter("above > 0").select("node", F.col("above").alias("ancestor"), (F.col("up") + 1).alias("up"), (F.col("length") + F.col("brlen")).alias("length"))
+    while True:
+        above = level.select("node", F.col("ancestor").alias("via"), "up", "length").join(step, "via")
+        level = above.select("node", "ancestor", "via", (F.col("up") + 1).alias("up"), (F.col("length") + F.col("brlen")).alias("length")).checkpoint()
+        if level.isEmpty():
+            return out
         out = out.unionByName(level)
-    return out
 
 
-def leaf_lcas(tree: DataFrame, depth: int) -> DataFrame:
-    """(a, b, lca, distance) for each pair of leaves: the common ancestor of least distance."""
-    up = ancestors(tree, depth).join(tree.filter("is_leaf").select("node"), "node", "left_semi")
-    a = up.select(F.col("node").alias("a"), "ancestor", F.col("up").alias("ua"), F.col("length").alias("la"))
-    b = up.select(F.col("node").alias("b"), "ancestor", F.col("length").alias("lb"))
-    both = a.join(b, "ancestor").filter("a < b")
-    return both.groupBy("a", "b").agg(F.min_by("ancestor", "ua").alias("lca"), F.min_by(F.col("la") + F.col("lb"), "ua").alias("distance"))
+def node_depths(tree: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(node, root, depth, height): edges and length between each node and its root."""
+    far = (ancestors(tree) if up is None else up).groupBy("node").agg(F.max(F.struct("up", "ancestor", "length")).alias("x"))
+    return far.select("node", F.col("x.ancestor").alias("root"), F.col("x.up").alias("depth"), F.col("x.length").alias("height"))
+
+
+def leaf_lcas(tree: DataFrame) -> DataFrame:
+    """(a, b, lca, distance) for each pair of leaves of a tree: each pair is made where two siblings part them."""
+    below = ancestors(tree).filter("up > 0").join(tree.filter("is_leaf").select("node"), "node", "left_semi").select("node", "via", "length")
+    children = tree.filter("parent is not null").select("parent", "node")
+    siblings = children.withColumnRenamed("node", "va").join(children.withColumnRenamed("node", "vb"), "parent").filter("va <> vb")
+    a = below.select(F.col("node").alias("a"), F.col("via").alias("va"), F.col("length").alias("la"))
+    b = below.select(F.col("node").alias("b"), F.col("via").alias("vb"), F.col("length").alias("lb"))
+    return a.join(siblings, "va").join(b, "vb").filter("a < b").select("a", "b", F.col("parent").alias("lca"), (F.col("la") + F.col("lb")).alias("distance"))
+
 
+def bipartitions(tree: DataFrame) -> DataFrame:
+    """(ancestor, root, side, n): sorted leaves below each inner node but the root, as text."""
+    up = ancestors(tree)
+    inner = tree.filter("parent is not null").select(F.col("node").alias("ancestor"))
+    below = up.filter("up > 0").join(tree.filter("is_leaf").select("node"), "node", "left_semi").join(inner, "ancestor", "left_semi")
+    side = F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), ",").alias("side")
+    sides = below.groupBy("ancestor").agg(side, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    roots = node_depths(tree, up).select(F.col("node").alias("ancestor"), "root")
+    return sides.join(roots, "ancestor").select("ancestor", "root", "side", "n")
 
-def bipartitions(tree: DataFrame, depth: int) -> DataFrame:
-    """(side): sorted leaves below each inner edge, as text."""
-    up = ancestors(tree, depth).filter("up > 0 and ancestor > 1").join(tree.filter("is_leaf").select("node"), "node", "left_semi")
-    return up.groupBy("ancestor").agg(F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), ",").alias("side"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
+def splits(tree: DataFrame, shared: DataFrame) -> DataFrame:
+    """(root, split): the ways in which edges part the leaves in shared, for trees without regard to their root.
 
-def robinson_foulds(first: DataFrame, second: DataFrame, depth: int) -> DataFrame:
-    """One row: inner edges of either tree only, of both, and their normalised distance, for rooted trees on one leaf set."""
-    a = bipartitions(first, depth).select("side", F.lit(1).alias("i"))
-    b = bipartitions(second, depth).select("side", F.lit(1).alias("j"))
-    both = a.join(b, "side", "full")
+    Of the two sides that without the least leaf stands for a split; splits of less than two leaves on a side are left
+    out, and edges that part the leaves alike are one.
+    """
+    up = ancestors(tree)
+    roots = node_depths(tree, up).select("node", "root")
+    leaves = tree.filter("is_leaf").select("node").join(shared, "node", "left_semi").join(roots, "node")
+    whole = leaves.groupBy("root").agg(F.count(F.lit(1)).alias("total"), F.min("node").alias("least"), F.array_sort(F.collect_list("node")).alias("every"))
+    below = up.join(leaves, "node").groupBy("root", "ancestor").agg(F.array_sort(F.collect_list("node")).alias("side"))
+    both = below.join(whole, "root").filter((F.size("side") > 1) & (F.size("side") < F.col("total") - 1))
+    other = F.when(F.array_contains("side", F.col("least")), F.array_except("every", "side")).otherwise(F.col("side"))
+    return both.select("root", F.array_join(other.cast("array<string>"), ",").alias("split")).distinct()
+
+
+def robinson_foulds(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(root, only_first, only_second, shared, rf): unrooted distance on the leaves that both have, by the first's root.
+
+    Trees correspond where a split or leaf of theirs does; both tables give corresponding trees the same root number.
+    """
+    leaves = first.filter("is_leaf").select("node").join(second.filter("is_leaf").select("node"), "node", "left_semi")
+    a = splits(first, leaves).select("root", "split", F.lit(1).alias("i"))
+    b = splits(second, leaves).select("root", "split", F.lit(1).alias("j"))
+    both = a.join(b, ["root", "split"], "full").groupBy("root")
     out = both.agg(F.count_if(F.col("j").isNull()).alias("only_first"), F.count_if(F.col("i").isNull()).alias("only_second"), F.count_if(F.col("i").isNotNull() & F.col("j").isNotNull()).alias("shared"))
-    return out.withColumn("rf", (F.col("only_first") + F.col("only_second")) / (F.col("only_first") + F.col("only_second") + 2 * F.col("shared")))
+    apart = F.col("only_first") + F.col("only_second")
+    return out.withColumn("rf", apart / (apart + 2 * F.col("shared")))
+
+
+def ancestral_states(tree: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(node, site, state): the state that all known leaves below a node have, 0 if they differ.
+
+    leaves: node, site, state (null: missing). A node without known leaves takes the state of the node above it.
+    """
+    up = ancestors(tree)
+    below = up.join(leaves.select("node", "site", "state"), "node").groupBy("ancestor", "site")
+    own = below.agg(F.when(F.min("state") == F.max("state"), F.min("state")).when(F.count("state") > 0, F.lit(0)).alias("own"))
+    # the nearest node above that has known leaves
+    seen = up.join(own, "ancestor").filter("own is not null").groupBy("node", "site").agg(F.min_by("own", "up").alias("state"))
+    every = tree.select("node").join(node_depths(tree, up).select("node", "root"), "node")
+    every = every.join(leaves.join(node_depths(tree, up).select("node", "root"), "node").select("root", "site").distinct(), "root")
+    return every.join(seen, ["node", "site"], "left").select("node", "site", F.coalesce("state", F.lit(0)).alias("state"))
 
 
-def small_parsimony(tree: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
-    """(site, changes): Fitch counts on a balanced binary tree; leaves (node, site, state), null states fit anything.
+def small_parsimony(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None = None) -> DataFrame:
+    """(root, site, changes, score): mutations on the edges of each tree, under ancestral_states().
 
-    One join and grouping a level, all sites at once.
+    Above the root all sites are 0, and a mutated state is never undone: an edge changes a site where its lower end is
+    mutated and differs from its upper end. priors (site, state, q) weigh each change by -ln q; else score is changes.
     """
-    every = F.lit(None).cast("array<int>")
-    level = leaves.select("node", "site", F.when(F.col("state").isNotNull(), F.array(F.col("state"))).otherwise(every).alias("s"), F.lit(0).alias("changes"))
-    for _ in range(depth):
-        up = level.join(tree.select("node", "parent"), "node").groupBy("parent", "site").agg(F.collect_list(F.coalesce("s", F.array().cast("array<int>"))).alias("z"), F.sum("changes").alias("changes"))
-        x, y = F.get("z", F.lit(0)), F.get("z", F.lit(1))
-        both = F.array_sort(F.array_intersect(x, y))
-        free = (F.size(x) == 0) | (F.size(y) == 0)
-        joined = F.when(free, F.concat(x, y)).when(F.size(both) > 0, both).otherwise(F.array_sort(F.array_union(x, y)))
-        level = up.select(F.col("parent").alias("node"), "site", joined.alias("s"), (F.col("changes") + F.when(~free & (F.size(both) == 0), 1).otherwise(0)).alias("changes"))
-    return level.select("site", F.col("changes").cast("long").alias("changes"))
-
-
-def tree_coupling(tree: DataFrame, depth: int) -> DataFrame:
+    states = ancestral_states(tree, leaves)
+    above = states.select(F.col("node").alias("parent"), "site", F.col("state").alias("before"))
+    edge = states.join(tree.select("node", "parent"), "node").join(above, ["parent", "site"], "left")
+    moved = (F.col("state") != 0) & (F.col("state") != F.coalesce("before", F.lit(0)))
+    cost = F.lit(1.0)
+    if priors is not None:
+        edge, cost = edge.join(priors.select("site", "state", "q"), ["site", "state"], "left"), -F.log("q")
+    roots = node_depths(tree).select("node", "root")
+    score = F.coalesce(F.sum(F.when(moved, cost)), F.lit(0.0))
+    return edge.join(roots, "node").groupBy("root", "site").agg(F.count_if(moved).alias("changes"), score.alias("score"))
+
+
+def parsimony_scores(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None = None) -> DataFrame:
+    """(root, score, normalised): each tree's score over all sites, and that for each edge."""
+    score = small_parsimony(tree, leaves, priors).groupBy("root").agg(F.sum("score").alias("score"))
+    edges = node_depths(tree).groupBy("root").agg(F.count(F.lit(1)).alias("edges"))
+    return score.join(edges, "root").select("root", "score", (F.col("score") / F.col("edges")).alias("normalised"))
+
+
+def site_mutations(tree: DataFrame, states: DataFrame) -> DataFrame:
+    """(root, site, node, before, after): edges on which a site changes, from the states of all nodes (null: unknown)."""
+    above = states.select(F.col("node").alias("parent"), "site", F.col("state").alias("before"))
+    edge = states.select("node", "site", F.col("state").alias("after")).join(tree.filter("parent is not null").select("node", "parent"), "node").join(above, ["parent", "site"])
+    roots = node_depths(tree).select("node", "root")
+    return edge.filter("before <> after").join(roots, "node").select("root", "site", "node", "before", "after")
+
+
+def allelic_coupling(tree: DataFrame, leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, distance, d): for each pair of leaves of a tree its path length and the weighted Hamming distance of states."""
+    d = weighted_hamming(leaves.withColumnRenamed("node", "cell"), by=by)
+    return leaf_lcas(tree).select("a", "b", "distance").join(d, ["a", "b"])
+
+
+def tree_coupling(tree: DataFrame) -> DataFrame:
     """(lca, n, mean_distance): leaf pairs by their common ancestor."""
-    return leaf_lcas(tree, depth).groupBy("lca").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean_distance"))
+    return leaf_lcas(tree).groupBy("lca").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean_distance"))
+
+
+def aligned_branches(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(node, first, second): branch lengths of two trees side by side; null where only one tree has the node."""
+    a, b = (t.select("node", F.col("brlen").alias(n)) for t, n in ((first, "first"), (second, "second")))
+    return a.join(b, "node", "full").select("node", "first", "second")
 
 
-def depths(tree: DataFrame, depth: int) -> DataFrame:
-    """(node, steps, height): edges and length between each node and the root's own edge."""
-    up = ancestors(tree, depth)
-    last = up.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("up")))).filter("rn = 1")
-    return last.select("node", F.col("up").alias("steps"), "length")
+def pruned(tree: DataFrame, keep: DataFrame) -> DataFrame:
+    """The tree over the leaves in keep (node): nodes without such leaves go, inner nodes with one child are bridged.
+
+    The edges above a bridged node are added up. The topmost node that still has two children, or the last leaf, is the
+    root, with the length of all edges above it.
+    """
+    up = ancestors(tree)
+    left = up.join(tree.filter("is_leaf").select("node").join(keep, "node", "left_semi"), "node", "left_semi")
+    stays = left.groupBy("ancestor").agg(F.count_distinct("via").alias("kids"), F.max(F.col("up") == 0).alias("leaf")).filter("kids > 1 or leaf").select("ancestor", "leaf")
+    kept = stays.withColumnRenamed("ancestor", "node")
+    # of each node that stays the nearest one above it that stays, or the old root
+    above = up.filter("up > 0").join(kept.select("node"), "node", "left_semi").join(stays.select("ancestor"), "ancestor", "left_semi")
+    near = above.groupBy("node").agg(F.min_by(F.struct("ancestor", "length"), "up").alias("x"))
+    top = node_depths(tree, up).join(tree.select(F.col("node").alias("root"), "brlen"), "root").select("node", (F.col("height") + F.col("brlen")).alias("whole"))
+    out = kept.join(near, "node", "left").join(top, "node")
+    return out.select("node", F.col("x.ancestor").alias("parent"), F.coalesce("x.length", "whole").alias("brlen"), F.col("leaf").alias("is_leaf"))
+
+
+def with_duplicates(tree: DataFrame, copies: DataFrame) -> DataFrame:
+    """The tree with copies (seed, copy) hung beside their seed leaf: the leaf becomes an inner node numbered -seed.
+
+    Seed and copies are its children, at length 0.
+    """
+    seeds = copies.select(F.col("seed").alias("node")).distinct().withColumn("seeded", F.lit(True))
+    marked = tree.select("node", "parent", "brlen", "is_leaf").join(seeds, "node", "left")
+    hung = F.col("seeded").isNotNull()
+    old = marked.select(F.when(hung, -F.col("node")).otherwise(F.col("node")).alias("node"), "parent", "brlen", (F.col("is_leaf") & ~hung).alias("is_leaf"))
+    under = seeds.select("node", (-F.col("node")).alias("parent")).unionByName(copies.select(F.col("copy").alias("node"), (-F.col("seed")).alias("parent")))
+    return old.unionByName(under.select("node", "parent", F.lit(0.0).alias("brlen"), F.lit(True).alias("is_leaf")))

@@ -12,19 +12,24 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladewright.operators.distances import node_depths
+
 NEVER = -1e6  # the log of an impossible event, finite so that sums keep it
 
 
-def level_likelihood(tree: DataFrame, leaves: DataFrame, priors: DataFrame, depth: int, nu: float, phi: float) -> DataFrame:
-    """(site, llh) on a balanced tree of the given depth: one join and one grouping a level for all sites.
+def level_likelihood(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float) -> DataFrame:
+    """(root, site, llh) for each tree of a table: one join and one grouping a level, for all trees and sites at once.
 
-    leaves: node, site, state (null: missing). priors: site, state, q. A node's values for the mutated states are an
-    array in the order of the site's alphabet.
+    Leaves may have any depth and nodes any number of children: a level is met by the leaves at its depth and the nodes
+    that were lifted to it. leaves: node, site, state (null: missing). priors: site, state, q. A node's values for the
+    mutated states are an array in the order of the site's alphabet.
     """
     log = lambda p: F.when(p > 0, F.log(p)).otherwise(F.lit(NEVER))
     alphabet = priors.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("state", "q"))).alias("alphabet"))
+    placed = tree.select("node", "parent", "brlen").join(node_depths(tree).select("node", "root", "depth"), "node").checkpoint()
+    deepest = placed.agg(F.max("depth")).first()[0]
     missing, shown, hidden = F.col("state").isNull(), float(_log(1 - phi)), float(_log(phi))
-    level = leaves.join(F.broadcast(alphabet), "site").select(
+    seen = leaves.join(alphabet, "site").select(
         "node", "site", F.transform("alphabet", lambda a: a["q"]).alias("q"),
         F.when(missing, hidden).when(F.col("state") == 0, shown).otherwise(NEVER).alias("zero"),
         F.when(missing, 0.0).otherwise(NEVER).alias("silent"),
@@ -32,19 +37,25 @@ def level_likelihood(tree: DataFrame, leaves: DataFrame, priors: DataFrame, dept
     )
     d = F.col("brlen")
     both = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(F.least(a, b) - F.greatest(a, b)))
-    for _ in range(depth + 1):
-        edge = level.join(tree.select("node", "parent", "brlen"), "node").withColumn("lost", F.col("silent") + log(1 - F.exp(-d * nu)))
+    low = lambda x: F.greatest(x, F.lit(10 * NEVER))
+    level = None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        here = placed.filter(F.col("depth") == depth)
+        level = seen if level is None else seen.unionByName(level)
+        edge = level.join(here, "node").withColumn("lost", F.col("silent") + log(1 - F.exp(-d * nu)))
         # all ways that 0 can go, kept stable by the largest
         ways = F.concat(F.array(F.col("zero") - d * (1 + nu), F.col("lost")), F.zip_with("muts", "q", lambda v, q: v + log(q * (1 - F.exp(-d))) - d * nu))
         edge = edge.withColumn("ways", ways).withColumn("top", F.array_max("ways"))
         zero = F.col("top") + F.log(F.aggregate("ways", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
         kept = F.transform("muts", lambda v: both(v - d * nu, F.col("lost")))
-        up = edge.select(F.col("parent").alias("node"), "site", "q", zero.alias("zero"), "silent", kept.alias("muts"))
-        low = lambda x: F.greatest(x, F.lit(10 * NEVER))
+        # above a root there is nothing to meet: the root keeps its own number
+        up = edge.select(F.coalesce("parent", "root").alias("node"), "site", "q", zero.alias("zero"), (F.col("silent")).alias("silent"), kept.alias("muts"))
         total = F.aggregate("m", F.transform(F.get("m", F.lit(0)), lambda _: F.lit(0.0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
         level = up.groupBy("node", "site").agg(F.first("q").alias("q"), low(F.sum("zero")).alias("zero"), low(F.sum("silent")).alias("silent"), F.collect_list("muts").alias("m"))
         level = level.select("node", "site", "q", "zero", "silent", F.transform(total, low).alias("muts"))
-    return level.select("site", F.col("zero").alias("llh"))
+    if level is None:
+        return seen.select(F.col("node").alias("root"), "site", F.col("zero").alias("llh")).limit(0)
+    return level.select(F.col("node").alias("root"), "site", F.col("zero").alias("llh"))
 
 
 def _log(p: float) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
 from cladewright.operators import characters, distances, inference, likelihood, lineages, molecules, simulation
-from cladewright.sources.derived import derive, with_derived
+from cladewright.sources.derived import SPAN, derive, with_derived
 from cladewright.streaming import counts as streaming
 
 QUERIES: dict = {}
@@ -115,7 +115,7 @@ _query("lineage_members", f"WITH {SHARES}, {TOP}, {CELLS}, {BARS} SELECT cell, r
 _query("assign_groups", source="cell_barcodes")(lineages.assign_groups)
 GRP = "gr AS (SELECT DISTINCT cell, cast(cell % 4 + 1 AS int) AS lineageGrp FROM cell_barcodes)"
 SIZE = "sz AS (SELECT lineageGrp, count(*) AS size FROM gr GROUP BY lineageGrp)"
-PROFILE = f"""{GRP}, {SIZE}, hd AS (SELECT lineageGrp, intBC, count(DISTINCT cell_barcodes.cell) / any_value(size) AS presence FROM cell_barcodes JOIN gr USING (cell) JOIN sz USING (lineageGrp) WHERE n > 12 GROUP BY lineageGrp, intBC),
+PROFILE = f"""{GRP}, {SIZE}, hd AS (SELECT lineageGrp, intBC, count(DISTINCT cell_barcodes.cell) / any_value(size) AS presence FROM cell_barcodes JOIN gr USING (cell) JOIN sz USING (lineageGrp) GROUP BY lineageGrp, intBC),
 pf AS (SELECT lineageGrp, intBC, presence FROM (SELECT *, max(presence) OVER (PARTITION BY lineageGrp) AS mx FROM hd) x WHERE presence / mx >= 0.5)"""
 
 
@@ -124,7 +124,7 @@ def _groups(t):
 
 
 def _profiles(t):
-    return lineages.group_profiles(t.filter("n > 12"), _groups(t), 0.5)
+    return lineages.group_profiles(t, _groups(t), 0.5)
 
 
 _query("group_profiles", f"WITH {PROFILE} SELECT lineageGrp, intBC, round(presence, 9) AS presence FROM pf", "cell_barcodes")(lambda t: _profiles(t).withColumn("presence", F.round("presence", 9)))
@@ -145,8 +145,8 @@ rw AS (SELECT cell, lineageGrp, sum(presence) / any_value(total) AS p FROM (SELE
 ms AS (SELECT cell, lineageGrp, p / sum(p) OVER (PARTITION BY cell) AS membership FROM rw)"""
 _query("memberships", f"{MEMBER} SELECT cell, lineageGrp, round(membership, 9) AS membership FROM ms", "cell_barcodes")(lambda t: lineages.memberships(t, _profiles(t)).withColumn("membership", F.round("membership", 9)))
 _query("filter_inter_doublets", f"{MEMBER} SELECT cell, lineageGrp FROM gr JOIN ms USING (cell, lineageGrp) WHERE membership >= 0.24", "cell_barcodes")(lambda t: lineages.filter_inter_doublets(t, _groups(t), _profiles(t), 0.24))
-_query("filter_group_barcodes", f"WITH {GRP}, {SIZE}, h AS (SELECT lineageGrp, intBC FROM (SELECT * FROM cell_barcodes WHERE n > 12) c JOIN gr USING (cell) JOIN sz USING (lineageGrp) GROUP BY lineageGrp, intBC HAVING count(DISTINCT cell) / any_value(size) > 0.4 AND intBC <> 'NC') SELECT cell, intBC, n, lineageGrp FROM cell_barcodes JOIN gr USING (cell) SEMI JOIN h USING (lineageGrp, intBC) WHERE n > 12", "cell_barcodes")(
-    lambda t: lineages.filter_group_barcodes(t.filter("n > 12"), _groups(t), 0.4)
+_query("filter_group_barcodes", f"WITH {GRP}, {SIZE}, h AS (SELECT lineageGrp, intBC FROM cell_barcodes c JOIN gr USING (cell) JOIN sz USING (lineageGrp) GROUP BY lineageGrp, intBC HAVING count(DISTINCT cell) / any_value(size) > 0.4 AND intBC <> 'NC') SELECT cell, intBC, n, lineageGrp FROM cell_barcodes JOIN gr USING (cell) SEMI JOIN h USING (lineageGrp, intBC)", "cell_barcodes")(
+    lambda t: lineages.filter_group_barcodes(t, _groups(t), 0.4)
 )
 
 # -- characters ----------------------------------------------------------------------------------------------------
@@ -165,7 +165,21 @@ _query("indel_priors", "SELECT indel, count(*) AS count, round(count(*) / (SELEC
 )
 PACKED = "pk AS (SELECT cell, string_agg(coalesce(cast(state AS varchar), '?'), '|' ORDER BY site) AS states FROM characters GROUP BY cell)"
 _query("equal_rows", f"WITH {PACKED} SELECT states, min(cell) AS seed, count(*) AS n FROM pk GROUP BY states", "characters")(lambda t: characters.equal_rows(t).drop("cells"))
-_query("uninformative_sites", "SELECT site FROM characters WHERE cell % 3 = 0 AND site > 4 GROUP BY site HAVING coalesce(bool_and(state = 0), true)", "characters")(lambda t: characters.uninformative_sites(t.filter("cell % 3 = 0 and site > 4")))
+_query("uninformative_sites", "SELECT dataset, site FROM characters GROUP BY dataset, site HAVING coalesce(bool_and(state = 0), true)", "characters")(lambda t: characters.uninformative_sites(t, by=("dataset",)))
+_query(
+    "informative_matrix",
+    "SELECT dataset, cell, site, state FROM characters ANTI JOIN (SELECT dataset, site FROM characters GROUP BY dataset, site HAVING coalesce(bool_and(state = 0), true)) u USING (dataset, site)",
+    "characters",
+)(lambda t: characters.without_uninformative(t, by=("dataset",)).select("dataset", "cell", "site", "state"))
+_query("all_missing_sites", "SELECT cell, site, state FROM characters SEMI JOIN (SELECT dataset, site FROM characters GROUP BY dataset, site HAVING count(state) > 0) k USING (dataset, site)", "characters")(
+    lambda t: characters.without_all_missing(t, by=("dataset",)).select("cell", "site", "state")
+)
+_query("average_rows", "SELECT dataset, site, round(avg(state), 9) AS mean FROM characters GROUP BY dataset, site", "characters")(lambda t: characters.average_rows(t, by=("dataset",)).withColumn("mean", F.round("mean", 9)))
+_query("chi_square", """WITH o AS (SELECT dataset, site, state, count(*) AS n FROM characters WHERE state IS NOT NULL GROUP BY dataset, site, state),
+m AS (SELECT *, sum(n) OVER (PARTITION BY dataset, site) AS r, sum(n) OVER (PARTITION BY dataset, state) AS c, sum(n) OVER (PARTITION BY dataset) AS t FROM o)
+SELECT dataset, round(CAST(sum(n * n * t / CAST(r AS DOUBLE) / c) - any_value(t) AS DOUBLE), 6) AS chi2 FROM m GROUP BY dataset""", "characters")(
+    lambda t: characters.chi_square(t, "site", "state", by=("dataset",)).withColumn("chi2", F.round("chi2", 6))
+)
 _query("site_statistics", "SELECT site, count(*) - count(state) AS missing, count(*) FILTER (state = 0) AS zero, count(DISTINCT CASE WHEN state > 0 THEN state END) AS alphabet FROM characters GROUP BY site", "characters")(characters.site_statistics)
 _query("recoded_states", "WITH c AS (SELECT site, state, cast(row_number() OVER (PARTITION BY site ORDER BY state) AS int) AS code FROM (SELECT DISTINCT site, state FROM characters WHERE state > 0) d) SELECT cell, characters.site, CASE WHEN characters.state = 0 THEN 0 ELSE code END AS state FROM characters LEFT JOIN c ON characters.site = c.site AND characters.state = c.state", "characters")(
     characters.recoded
@@ -175,94 +189,155 @@ _query("mutation_rate", "SELECT round(0 - ln(1 - count(*) FILTER (state > 0) / c
 
 # -- distances and trees -------------------------------------------------------------------------------------------
 
-PAIR = "FROM characters x JOIN characters y ON x.site = y.site AND x.cell < y.cell GROUP BY x.cell, y.cell"
+PAIR = "FROM characters x JOIN characters y ON x.dataset = y.dataset AND x.site = y.site AND x.cell < y.cell GROUP BY x.cell, y.cell"
 _query(
     "weighted_hamming",
     f"""SELECT x.cell AS a, y.cell AS b, round(coalesce(sum(CASE WHEN x.state IS NULL OR y.state IS NULL THEN NULL WHEN x.state = y.state THEN 0 WHEN x.state = 0 OR y.state = 0 THEN 1 ELSE 2 END)
  / nullif(count(*) FILTER (x.state IS NOT NULL AND y.state IS NOT NULL), 0), 0), 9) AS d {PAIR}""",
     "characters",
-)(lambda t: distances.weighted_hamming(t).withColumn("d", F.round("d", 9)))
+)(lambda t: distances.weighted_hamming(t, by=("dataset",)).withColumn("d", F.round("d", 9)))
 COUNTS = f"""SELECT x.cell AS a, y.cell AS b, count(*) FILTER (x.state = 0 AND y.state = 0) AS z_z, count(*) FILTER (x.state = 0 AND y.state > 0) AS z_a, count(*) FILTER (x.state > 0 AND y.state = 0) AS a_z,
  count(*) FILTER (x.state > 0 AND x.state = y.state) AS a_a, count(*) FILTER (x.state > 0 AND y.state > 0 AND x.state <> y.state) AS a_b, count(*) FILTER (x.state IS NULL AND y.state IS NOT NULL) AS m_k,
  count(*) FILTER (x.state IS NOT NULL AND y.state IS NULL) AS k_m, count(*) FILTER (x.state IS NULL AND y.state IS NULL) AS m_m {PAIR}"""
-_query("pair_counts", COUNTS, "characters")(distances.pair_counts)
+_query("pair_counts", COUNTS, "characters")(lambda t: distances.pair_counts(t, by=("dataset",)))
 _query("pairwise_branch_estimates", f"SELECT a, b, round(0 - ln(z_z / (z_z + a_z)), 9) AS d_a, round(0 - ln(z_z / (z_z + z_a)), 9) AS d_b FROM ({COUNTS}) c WHERE z_z > 0", "characters")(
-    lambda t: distances.pairwise_branch_estimates(t).select("a", "b", F.round("d_a", 9).alias("d_a"), F.round("d_b", 9).alias("d_b"))
+    lambda t: distances.pairwise_branch_estimates(t, by=("dataset",)).select("a", "b", F.round("d_a", 9).alias("d_a"), F.round("d_b", 9).alias("d_b"))
 )
 CLOSURE = """up AS (SELECT node, node AS ancestor, 0 AS up, CAST(0 AS double) AS length FROM tree UNION ALL
- SELECT up.node, t.parent, up.up + 1, up.length + t.brlen FROM up JOIN tree t ON up.ancestor = t.node WHERE t.parent > 0)"""
-_query("ancestors", f"WITH RECURSIVE {CLOSURE} SELECT node, ancestor, up, round(length, 9) AS length FROM up", "tree")(lambda t: distances.ancestors(t, 6).withColumn("length", F.round("length", 9)))
+ SELECT up.node, t.parent, up.up + 1, up.length + t.brlen FROM up JOIN tree t ON up.ancestor = t.node WHERE t.parent IS NOT NULL)"""
+DEPTHS = "nd AS (SELECT node, arg_max(ancestor, up) AS root, max(up) AS depth, max_by(length, up) AS height FROM up GROUP BY node)"
+_query("ancestors", f"WITH RECURSIVE {CLOSURE} SELECT node, ancestor, up, round(length, 9) AS length FROM up", "tree")(
+    lambda t: distances.ancestors(t).select("node", "ancestor", "up", F.round("length", 9).alias("length"))
+)
+_query("node_depths", f"WITH RECURSIVE {CLOSURE}, {DEPTHS} SELECT node, root, depth, round(height, 9) AS height FROM nd", "tree")(lambda t: distances.node_depths(t).withColumn("height", F.round("height", 9)))
 LCA = f"WITH RECURSIVE {CLOSURE}, lf AS (SELECT up.* FROM up JOIN tree USING (node) WHERE is_leaf), pr AS (SELECT a.node AS a, b.node AS b, arg_min(a.ancestor, a.up) AS lca, arg_min(a.length + b.length, a.up) AS distance FROM lf a JOIN lf b ON a.ancestor = b.ancestor AND a.node < b.node GROUP BY a.node, b.node)"
-_query("leaf_lcas", f"{LCA} SELECT a, b, lca, round(distance, 9) AS distance FROM pr", "tree")(lambda t: distances.leaf_lcas(t, 6).withColumn("distance", F.round("distance", 9)))
-_query("tree_coupling", f"{LCA} SELECT lca, count(*) AS n, round(avg(distance), 9) AS mean_distance FROM pr GROUP BY lca", "tree")(lambda t: distances.tree_coupling(t, 6).withColumn("mean_distance", F.round("mean_distance", 9)))
+_query("leaf_lcas", f"{LCA} SELECT a, b, lca, round(distance, 9) AS distance FROM pr", "tree")(lambda t: distances.leaf_lcas(t).withColumn("distance", F.round("distance", 9)))
+_query("tree_coupling", f"{LCA} SELECT lca, count(*) AS n, round(avg(distance), 9) AS mean_distance FROM pr GROUP BY lca", "tree")(lambda t: distances.tree_coupling(t).withColumn("mean_distance", F.round("mean_distance", 9)))
 
 
 def _regrafted(t):
-    """The same tree with two grandchildren of different children swapped."""
-    return t.withColumn("parent", F.when(F.col("node") == 5, 3).when(F.col("node") == 6, 2).otherwise(F.col("parent")))
+    """The same trees with two grandchildren of different children of the root swapped, where there are such."""
+    local = F.col("node") - F.col("dataset") * SPAN
+    return t.withColumn("parent", F.when((F.col("dataset") % 2 == 0) & (local == 5), F.col("parent") + 1).when((F.col("dataset") % 2 == 0) & (local == 6), F.col("parent") - 1).otherwise(F.col("parent")))
 
 
-SIDE = "SELECT ancestor, string_agg(cast(node AS varchar), ',' ORDER BY node) AS side, count(*) AS n FROM {0} u JOIN tree USING (node) WHERE is_leaf AND up > 0 AND ancestor > 1 GROUP BY ancestor"
-_query("bipartitions", f"WITH RECURSIVE {CLOSURE} SELECT ancestor, side, n FROM ({SIDE.format('up')}) s", "tree")(lambda t: distances.bipartitions(t, 6))
+SIDE = "SELECT ancestor, string_agg(cast(u.node AS varchar), ',' ORDER BY u.node) AS side, count(*) AS n FROM up u JOIN tree t ON u.node = t.node JOIN tree x ON u.ancestor = x.node WHERE t.is_leaf AND u.up > 0 AND x.parent IS NOT NULL GROUP BY ancestor HAVING count(*) > 1"
+_query("bipartitions", f"WITH RECURSIVE {CLOSURE}, {DEPTHS} SELECT ancestor, root, side, n FROM ({SIDE}) s JOIN nd ON s.ancestor = nd.node", "tree")(distances.bipartitions)
+_SPLIT = """s{i} AS (SELECT DISTINCT root, CASE WHEN list_contains(side, least) THEN list_sort(list_filter(every, lambda x: NOT list_contains(side, x))) ELSE side END AS split FROM (
+ SELECT root, ancestor, list_sort(list(node)) AS side FROM {up} JOIN lv{i} USING (node) GROUP BY root, ancestor) b JOIN (SELECT root, count(*) AS total, min(node) AS least, list(node) AS every FROM lv{i} GROUP BY root) w USING (root) WHERE len(side) > 1 AND len(side) < total - 1)"""
+_LV = "lv{i} AS (SELECT node, arg_max(ancestor, up) AS root FROM {up} SEMI JOIN (SELECT node FROM tree WHERE is_leaf) k USING (node) GROUP BY node)"
 _query(
     "robinson_foulds",
-    f"""WITH RECURSIVE {CLOSURE}, tree2 AS (SELECT node, CASE node WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE parent END AS parent, brlen FROM tree),
-{CLOSURE.replace("up AS", "up2 AS").replace("FROM up JOIN tree t", "FROM up2 up JOIN tree2 t")}, a AS ({SIDE.format("up")}), b AS ({SIDE.format("up2")})
-SELECT count(*) FILTER (b.side IS NULL) AS only_first, count(*) FILTER (a.side IS NULL) AS only_second, count(*) FILTER (a.side IS NOT NULL AND b.side IS NOT NULL) AS shared,
- round((count(*) FILTER (b.side IS NULL) + count(*) FILTER (a.side IS NULL)) / (count(*) FILTER (b.side IS NULL) + count(*) FILTER (a.side IS NULL) + 2 * count(*) FILTER (a.side IS NOT NULL AND b.side IS NOT NULL)), 9) AS rf
-FROM a FULL JOIN b ON a.side = b.side""",
+    f"""WITH RECURSIVE {CLOSURE}, tree2 AS (SELECT node, CASE WHEN dataset % 2 = 0 AND node - dataset * {SPAN} = 5 THEN parent + 1 WHEN dataset % 2 = 0 AND node - dataset * {SPAN} = 6 THEN parent - 1 ELSE parent END AS parent, brlen FROM tree),
+{CLOSURE.replace("up AS (SELECT node, node", "up2 AS (SELECT node, node").replace("FROM up JOIN tree t", "FROM up2 up JOIN tree2 t")},
+{_LV.format(i=1, up="up")}, {_LV.format(i=2, up="up2")}, {_SPLIT.format(i=1, up="up")}, {_SPLIT.format(i=2, up="up2")}
+SELECT root, count(*) FILTER (j IS NULL) AS only_first, count(*) FILTER (i IS NULL) AS only_second, count(*) FILTER (i = 1 AND j = 1) AS shared,
+ round((count(*) FILTER (j IS NULL) + count(*) FILTER (i IS NULL)) / (count(*) FILTER (j IS NULL) + count(*) FILTER (i IS NULL) + 2 * count(*) FILTER (i = 1 AND j = 1)), 9) AS rf
+FROM (SELECT root, split, 1 AS i FROM s1) a FULL JOIN (SELECT root, split, 1 AS j FROM s2) b USING (root, split) GROUP BY root""",
     "tree",
-)(lambda t: distances.robinson_foulds(t, _regrafted(t), 6).withColumn("rf", F.round("rf", 9)))
+)(lambda t: distances.robinson_foulds(t, _regrafted(t)).withColumn("rf", F.round("rf", 9)))
 
 
 def _leaves(spark, sf_dir):
-    cells = derive(spark, sf_dir, "characters")
-    order = cells.select("cell").distinct().select("cell", (F.row_number().over(characters.Window.orderBy("cell")) + 63).alias("node"))
-    return cells.join(order, "cell").select("node", "site", "state")
+    cells = derive(spark, sf_dir, "characters").select(F.col("cell").alias("node"), "dataset", "site", "state")
+    return cells.join(derive(spark, sf_dir, "tree").filter("is_leaf").select("node"), "node", "left_semi")
 
 
-LEAVES = "lv AS (SELECT node, site, state FROM characters JOIN (SELECT cell, cast(row_number() OVER (ORDER BY cell) + 63 AS int) AS node FROM (SELECT DISTINCT cell FROM characters) c) o USING (cell))"
-QUERIES["small_parsimony"] = lambda spark, sf_dir: distances.small_parsimony(derive(spark, sf_dir, "tree"), _leaves(spark, sf_dir), 6)
-FITCH = """, f{k} AS (SELECT node // 2 AS node, site, CASE WHEN len(x) = 0 OR len(y) = 0 THEN list_concat(x, y) WHEN len(list_intersect(x, y)) > 0 THEN list_intersect(x, y) ELSE list_distinct(list_concat(x, y)) END AS s,
- c + CASE WHEN len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) = 0 THEN 1 ELSE 0 END AS c FROM (SELECT a.node, a.site, a.s AS x, b.s AS y, a.c + b.c AS c FROM f{j} a JOIN f{j} b ON a.site = b.site AND b.node = a.node + 1 AND a.node % 2 = 0) z)"""
-SQL["small_parsimony"] = with_derived(f"WITH {LEAVES}, f0 AS (SELECT node, site, CASE WHEN state IS NULL THEN CAST([] AS INTEGER[]) ELSE [state] END AS s, 0 AS c FROM lv)" + "".join(FITCH.format(k=k, j=k - 1) for k in range(1, 7)) + " SELECT site, CAST(c AS BIGINT) AS changes FROM f6")
+LEAVES = "lv AS (SELECT cell AS node, dataset, site, state FROM characters SEMI JOIN (SELECT node AS cell FROM tree WHERE is_leaf) k USING (cell))"
+STATES = f"""{CLOSURE}, {DEPTHS}, {LEAVES}, ow AS (SELECT ancestor, site, CASE WHEN min(state) = max(state) THEN min(state) WHEN count(state) > 0 THEN 0 END AS own FROM up JOIN lv USING (node) GROUP BY ancestor, site),
+st AS (SELECT node, site, coalesce(state, 0) AS state FROM (SELECT node, site FROM nd JOIN (SELECT DISTINCT root, site FROM lv JOIN nd USING (node)) s USING (root)) e
+ LEFT JOIN (SELECT node, site, arg_min(own, up) AS state FROM up JOIN ow USING (ancestor) WHERE own IS NOT NULL GROUP BY node, site) f USING (node, site))"""
+MOVES = """mv AS (SELECT nd.root, c.site, c.state, c.node, p.state AS before, c.state <> 0 AND c.state <> coalesce(p.state, 0) AS moved
+ FROM st c JOIN tree t ON c.node = t.node JOIN nd ON nd.node = c.node LEFT JOIN st p ON p.node = t.parent AND p.site = c.site)"""
 
 
-def _likelihood(spark, sf_dir):
-    leaves = _leaves(spark, sf_dir).cache()
-    priors = spark.range(1, 6).select(F.col("id").cast("int").alias("state"), F.lit(0.2).alias("q")).crossJoin(leaves.select("site").distinct())
-    return likelihood.level_likelihood(derive(spark, sf_dir, "tree"), leaves, priors, 6, 0.1, 0.05).withColumn("llh", F.round("llh", 6))
+def _on_trees(name, sql, f):
+    """A query on the trees and their leaves' states."""
+    QUERIES[name] = lambda spark, sf_dir: f(derive(spark, sf_dir, "tree"), _leaves(spark, sf_dir))
+    SQL[name] = with_derived(sql)
 
 
-QUERIES["level_likelihood"] = _likelihood
-# one value column for each state: zero, silent and the five mutations, as lists
-_EDGE = "SELECT v.node // 2 AS node, site, d, z, sl, al FROM l{j} v JOIN (SELECT node AS tn, brlen AS d FROM tree) t ON v.node = t.tn"
-_LEVEL = """, e{k} AS (SELECT *, greatest(z - d * 1.1e0, sl + ln(1 - exp(-d * 0.1e0)), list_max(al) + ln(0.2e0 * (1 - exp(-d))) - d * 0.1e0) AS m FROM ({edge}) x),
-l{k} AS (SELECT node, site, sum(m + ln(exp(z - d * 1.1e0 - m) + exp(sl + ln(1 - exp(-d * 0.1e0)) - m) + list_sum(list_transform(al, lambda a: exp(a + ln(0.2e0 * (1 - exp(-d))) - d * 0.1e0 - m))))) AS z, sum(sl) AS sl,
+def _fifths(leaves):
+    return leaves.select("site").distinct().select("site", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("state"), F.lit(0.2).alias("q"))
+
+
+_on_trees("ancestral_states", f"WITH RECURSIVE {STATES} SELECT node, site, state FROM st", distances.ancestral_states)
+_on_trees(
+    "small_parsimony",
+    f"WITH RECURSIVE {STATES}, {MOVES} SELECT root, site, count(*) FILTER (moved) AS changes, round(count(*) FILTER (moved) * -ln(0.2e0), 6) AS score FROM mv GROUP BY root, site",
+    lambda t, v: distances.small_parsimony(t, v, _fifths(v)).withColumn("score", F.round("score", 6)),
+)
+_on_trees(
+    "parsimony_scores",
+    f"WITH RECURSIVE {STATES}, {MOVES} SELECT root, CAST(count(*) FILTER (moved) AS double) AS score, round(count(*) FILTER (moved) / (SELECT count(*) FROM nd WHERE nd.root = mv.root), 9) AS normalised FROM mv GROUP BY root",
+    lambda t, v: distances.parsimony_scores(t, v).withColumn("normalised", F.round("normalised", 9)),
+)
+_on_trees(
+    "site_mutations",
+    f"WITH RECURSIVE {STATES}, {MOVES} SELECT root, site, node, before, state AS after FROM mv WHERE before <> state",
+    lambda t, v: distances.site_mutations(t, distances.ancestral_states(t, v)),
+)
+_on_trees(
+    "allelic_coupling",
+    f"""{LCA}, {LEAVES}, hm AS (SELECT x.node AS a, y.node AS b, round(coalesce(sum(CASE WHEN x.state IS NULL OR y.state IS NULL THEN NULL WHEN x.state = y.state THEN 0 WHEN x.state = 0 OR y.state = 0 THEN 1 ELSE 2 END)
+ / nullif(count(*) FILTER (x.state IS NOT NULL AND y.state IS NOT NULL), 0), 0), 9) AS d FROM lv x JOIN lv y ON x.dataset = y.dataset AND x.site = y.site AND x.node < y.node GROUP BY x.node, y.node)
+SELECT a, b, round(distance, 9) AS distance, d FROM pr JOIN hm USING (a, b)""",
+    lambda t, v: distances.allelic_coupling(t, v, by=("dataset",)).select("a", "b", F.round("distance", 9).alias("distance"), F.round("d", 9).alias("d")),
+)
+_query("aligned_branches", "SELECT coalesce(a.node, b.node) AS node, a.brlen AS first, b.brlen AS second FROM (SELECT * FROM tree WHERE NOT is_leaf) a FULL JOIN (SELECT node, brlen * 2 AS brlen FROM tree WHERE parent IS NOT NULL) b ON a.node = b.node", "tree")(
+    lambda t: distances.aligned_branches(t.filter("not is_leaf"), t.filter("parent is not null").withColumn("brlen", F.col("brlen") * 2))
+)
+_query(
+    "pruned_trees",
+    f"""WITH RECURSIVE {CLOSURE}, {DEPTHS}, kp AS (SELECT node FROM tree WHERE is_leaf AND brlen > 0.2e0), dn AS (SELECT u.node, u.ancestor, u.up FROM up u SEMI JOIN kp ON u.node = kp.node),
+vi AS (SELECT dn.ancestor, dn.node, dn.up, c.ancestor AS via FROM dn LEFT JOIN up c ON c.node = dn.node AND c.up = dn.up - 1),
+sy AS (SELECT ancestor AS node, bool_or(up = 0) AS is_leaf FROM vi GROUP BY ancestor HAVING count(DISTINCT via) > 1 OR bool_or(up = 0)),
+nr AS (SELECT u.node, arg_min(u.ancestor, u.up) AS parent, arg_min(u.length, u.up) AS length FROM up u JOIN sy a ON u.node = a.node JOIN sy b ON u.ancestor = b.node WHERE u.up > 0 GROUP BY u.node)
+SELECT sy.node, nr.parent, round(coalesce(nr.length, nd.height + t.brlen), 9) AS brlen, sy.is_leaf FROM sy LEFT JOIN nr ON sy.node = nr.node JOIN nd ON nd.node = sy.node JOIN tree t ON t.node = nd.root""",
+    "tree",
+)(lambda t: distances.pruned(t, t.filter("is_leaf and brlen > 0.2").select("node")).withColumn("brlen", F.round("brlen", 9)))
+_query(
+    "duplicates_attached",
+    """WITH cp AS (SELECT node AS seed, node + 10000000 AS copy FROM tree WHERE is_leaf AND brlen > 0.4e0)
+SELECT CASE WHEN seed IS NULL THEN node ELSE -node END AS node, parent, brlen, is_leaf AND seed IS NULL AS is_leaf FROM tree LEFT JOIN cp ON node = seed
+UNION ALL SELECT seed, -seed, 0e0, true FROM cp UNION ALL SELECT copy, -seed, 0e0, true FROM cp""",
+    "tree",
+)(lambda t: distances.with_duplicates(t, t.filter("is_leaf and brlen > 0.4").select(F.col("node").alias("seed"), (F.col("node") + 10000000).alias("copy"))))
+
+_on_trees(
+    "level_likelihood",
+    # one value column for each state: zero, silent and the five mutations, as lists; levels from the deepest up
+    f"WITH RECURSIVE {CLOSURE}, {DEPTHS}, {LEAVES}, l0 AS (SELECT node, site, CASE WHEN state IS NULL THEN ln(0.05e0) WHEN state = 0 THEN ln(0.95e0) ELSE -1e6 END AS z, CASE WHEN state IS NULL THEN 0e0 ELSE -1e6 END AS sl, list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN state IS NULL THEN ln(0.05e0) WHEN state = k THEN ln(0.95e0) ELSE -1e6 END) AS al FROM lv), v6 AS (SELECT * FROM l0 WHERE false)"
+    + "".join(f""", e{k} AS (SELECT *, greatest(z - d * 1.1e0, sl + ln(1 - exp(-d * 0.1e0)), list_max(al) + ln(0.2e0 * (1 - exp(-d))) - d * 0.1e0) AS m FROM
+ (SELECT coalesce(t.parent, t.node) AS node, v.site, t.brlen AS d, z, sl, al FROM (SELECT l0.* FROM l0 UNION ALL SELECT * FROM v{k + 1}) v JOIN tree t ON v.node = t.node JOIN nd ON nd.node = v.node AND nd.depth = {k}) x),
+v{k} AS (SELECT node, site, sum(m + ln(exp(z - d * 1.1e0 - m) + exp(sl + ln(1 - exp(-d * 0.1e0)) - m) + list_sum(list_transform(al, lambda a: exp(a + ln(0.2e0 * (1 - exp(-d))) - d * 0.1e0 - m))))) AS z, greatest(-1e7, sum(sl)) AS sl,
  [greatest(-1e7, sum(al2[1])), greatest(-1e7, sum(al2[2])), greatest(-1e7, sum(al2[3])), greatest(-1e7, sum(al2[4])), greatest(-1e7, sum(al2[5]))] AS al
- FROM (SELECT *, list_transform(al, lambda a: greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0))) + ln(exp(a - d * 0.1e0 - greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0)))) + exp(sl + ln(1 - exp(-d * 0.1e0)) - greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0)))))) AS al2 FROM e{k}) y GROUP BY node, site)"""
-SQL["level_likelihood"] = with_derived(
-    f"WITH {LEAVES}, l0 AS (SELECT node, site, CASE WHEN state IS NULL THEN ln(0.05e0) WHEN state = 0 THEN ln(0.95e0) ELSE -1e6 END AS z, CASE WHEN state IS NULL THEN 0e0 ELSE -1e6 END AS sl, list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN state IS NULL THEN ln(0.05e0) WHEN state = k THEN ln(0.95e0) ELSE -1e6 END) AS al FROM lv)"
-    + "".join(_LEVEL.format(k=k, edge=_EDGE.format(j=k - 1)) for k in range(1, 8))
-    + " SELECT site, round(z, 6) AS llh FROM l7"
+ FROM (SELECT *, list_transform(al, lambda a: greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0))) + ln(exp(a - d * 0.1e0 - greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0)))) + exp(sl + ln(1 - exp(-d * 0.1e0)) - greatest(a - d * 0.1e0, sl + ln(1 - exp(-d * 0.1e0)))))) AS al2 FROM e{k}) y GROUP BY node, site)""" for k in range(5, -1, -1))
+    + " SELECT node AS root, site, round(z, 6) AS llh FROM v0",
+    lambda t, v: likelihood.level_likelihood(t, v, _fifths(v), 0.1, 0.05).withColumn("llh", F.round("llh", 6)),
 )
 
 # -- inference and simulation ----------------------------------------------------------------------------------------
 
 
-def _inference_data(spark, sf_dir):
-    return inference.data_from(_leaves(spark, sf_dir).withColumnRenamed("node", "cell"))
+def _simulated(spark):
+    return simulation.simulate(simulation.balanced_tree(spark, 6, 0.2), simulation.uniform_priors(spark, 7, 5), 6, 0.1, 0.05)
+
+
+def _inference_data(spark):
+    leaves = _simulated(spark).filter("is_leaf").select(F.col("node").alias("cell"), "site", F.when(F.col("state") >= 0, F.col("state")).alias("state"))
+    return inference.data_from(leaves)
 
 
-def _tree_text(spark, sf_dir):
-    rows = {r["node"]: r for r in derive(spark, sf_dir, "tree").collect()}  # 127 nodes, fixed
-    text = lambda i: (f"({text(2 * i)},{text(2 * i + 1)})" if 2 * i in rows else str(i)) + f":{rows[i]['brlen']}"
+def _tree_text() -> str:
+    """The balanced tree that the states were simulated on."""
+    text = lambda i: (f"({text(2 * i)},{text(2 * i + 1)})" if i < 64 else str(i)) + ":0.2"
     return text(1) + ";"
 
 
-QUERIES["fit_tree"] = lambda spark, sf_dir: inference.multi_start(spark, _tree_text(spark, sf_dir), _inference_data(spark, sf_dir), 4, settings=inference.Settings(tolerance=1e-6, most_rounds=200))
-QUERIES["search_topology"] = lambda spark, sf_dir: inference.search(spark, _tree_text(spark, sf_dir), _inference_data(spark, sf_dir), most_moves=2)
-QUERIES["simulate_characters"] = lambda spark, sf_dir: simulation.simulate(simulation.balanced_tree(spark, 6, 0.2), simulation.uniform_priors(spark, 7, 5), 6, 0.1, 0.05)
+QUERIES["fit_tree"] = lambda spark, sf_dir: inference.multi_start(spark, _tree_text(), _inference_data(spark), 4, settings=inference.Settings(tolerance=1e-6, most_rounds=200))
+QUERIES["search_topology"] = lambda spark, sf_dir: inference.search(spark, _tree_text(), _inference_data(spark), most_moves=2)
+QUERIES["simulate_characters"] = lambda spark, sf_dir: _simulated(spark)
 
 # -- streaming -----------------------------------------------------------------------------------------------------
 

@@ -43,21 +43,26 @@ ALLELES = "SELECT cellBC, intBC, r1, r2, r3, r1 || r2 || r3 AS allele, UMI, read
 #: Share of barcodes by cell, from events.
 CELL_BARCODES = "SELECT user_id AS cell, event_type AS intBC, count(*) AS n FROM events GROUP BY user_id, event_type"
 
-#: Character matrix in long form: 64 cells by 7 sites; state null when missing.
-CHARACTERS = """
-SELECT c.cell, s.site, CASE WHEN v.state IS NULL OR v.flag = 'R' THEN NULL ELSE v.state END AS state
-FROM (SELECT cell, cast(row_number() OVER (ORDER BY cell) AS int) AS leaf FROM (SELECT DISTINCT l_orderkey AS cell FROM lineitem) d) c
+#: Many data sets of SPAN order keys each: the nodes of a tree, whose leaves are cells with 7 sites.
+SPAN = 41
+
+#: Character matrix in long form, of all cells: state null when missing; in one of eight data sets a site is unmutated.
+CHARACTERS = f"""
+SELECT c.o_orderkey + 1 AS cell, cast(floor(c.o_orderkey / {SPAN}e0) AS int) AS dataset, s.site,
+  CASE WHEN v.state IS NULL OR v.flag = 'R' THEN NULL WHEN cast(floor(c.o_orderkey / {SPAN}e0) AS int) % 8 = s.site THEN 0 ELSE v.state END AS state
+FROM (SELECT DISTINCT o_orderkey FROM orders) c
 CROSS JOIN (SELECT DISTINCT cast(l_linenumber AS int) AS site FROM lineitem) s
 LEFT JOIN (SELECT l_orderkey AS cell, cast(l_linenumber AS int) AS site, cast(min(l_partkey) % 6 AS int) AS state, min(l_returnflag) AS flag
-           FROM lineitem GROUP BY l_orderkey, l_linenumber) v ON c.cell = v.cell AND s.site = v.site
-WHERE c.leaf <= 64
+           FROM lineitem GROUP BY l_orderkey, l_linenumber) v ON c.o_orderkey = v.cell AND s.site = v.site
 """
 
-#: A balanced tree over 64 leaves, heap-numbered: node 1 is the root, 64..127 are leaves.
-TREE = """
-SELECT cast(node AS int) AS node, cast(floor(node / 2e0) AS int) AS parent, ((node * 37) % 11 + 1) / 20e0 AS brlen, node >= 64 AS is_leaf
-FROM (SELECT DISTINCT o_orderkey AS node FROM orders WHERE o_orderkey BETWEEN 1 AND 127
-      UNION SELECT row_number() OVER (ORDER BY o_orderkey) AS node FROM orders) x WHERE node BETWEEN 1 AND 127
+#: A tree for each data set, none with leaves of one depth: binary ones in turn with ones of three children a node.
+TREE = f"""
+SELECT base + i AS node, CASE WHEN i = 1 THEN NULL WHEN dataset % 2 = 0 THEN base + cast(floor(i / 2e0) AS bigint) ELSE base + cast(floor((i + 1) / 3e0) AS bigint) END AS parent,
+  ((base + i) * 37 % 11 + 1) / 20e0 AS brlen, child > {SPAN} OR base + child > last AS is_leaf, dataset
+FROM (SELECT *, CASE WHEN dataset % 2 = 0 THEN 2 * i ELSE 3 * i - 1 END AS child FROM (
+  SELECT cast(floor(o_orderkey / {SPAN}e0) AS bigint) * {SPAN} AS base, o_orderkey % {SPAN} + 1 AS i, cast(floor(o_orderkey / {SPAN}e0) AS int) AS dataset, last
+  FROM (SELECT DISTINCT o_orderkey FROM orders) o CROSS JOIN (SELECT max(o_orderkey) + 1 AS last FROM orders) m) x) y
 """
 
 ALL = {"molecules": MOLECULES, "reads": READS, "alleles": ALLELES, "cell_barcodes": CELL_BARCODES, "characters": CHARACTERS, "tree": TREE}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cladewright.functions import model, trees
-from cladewright.operators import inference, likelihood, simulation
+from cladewright.operators import distances, inference, likelihood, simulation
 
 CHERRY = trees.parse_newick("((a:1,b:1):1,c:1):1;")
 #: Published values of the negative log-likelihood on the tree above, one site, alphabet {1}.
@@ -98,14 +98,48 @@ def test_neighbour_joining_recovers_additive_distances():
     assert {got.label[i]: round(g[i], 6) for i in got.leaves.tolist()} == {x: round(h[i], 6) for x, i in at.items()}
 
 
-def test_kernel_equals_relational_likelihood(spark):
-    tree = simulation.balanced_tree(spark, 3, 0.3)
-    priors = simulation.uniform_priors(spark, 3, 4)
-    states = simulation.simulate(tree, priors, 3, 0.3, 0.2, seed=5).filter("is_leaf").selectExpr("node", "site", "if(state = -1, null, state) as state")
-    rel = sum(r.llh for r in likelihood.level_likelihood(tree, states, priors, 3, 0.3, 0.2).collect())
-    data = inference.data_from(states.withColumnRenamed("node", "cell"), priors)
-    text = lambda i: (f"({text(2 * i)},{text(2 * i + 1)})" if i < 8 else str(i)) + ":0.3"
-    assert math.isclose(-rel, model.nllh(trees.parse_newick(text(1) + ";"), data, 0.3, 0.2), rel_tol=1e-8)
+def relational(spark, tree, states, priors, nu, phi):
+    """The negative log-likelihood by joins; states: {leaf: [state or '?', ...]}, priors: one {state: q} for each site."""
+    at = {x: i for i, x in enumerate(tree.label)}
+    kids = [len(k) for k in tree.children]
+    edges = [(i, int(p) if p >= 0 else None, float(d), n == 0) for i, (p, d, n) in enumerate(zip(tree.parent, tree.length, kids, strict=True))]
+    edges = spark.createDataFrame(edges, "node long, parent long, brlen double, is_leaf boolean")
+    rows = [(at[x], j, None if v == "?" else v) for x, row in states.items() for j, v in enumerate(row)]
+    rows = spark.createDataFrame(rows, "node long, site int, state int")
+    q = spark.createDataFrame([(j, a, float(v)) for j, p in enumerate(priors) for a, v in p.items()], "site int, state int, q double")
+    return -sum(r.llh for r in likelihood.level_likelihood(edges, rows, q, nu, phi).collect())
+
+
+def test_relational_likelihood_on_unbalanced_trees(spark):
+    for states, phi, want in GOLDEN[::3]:
+        assert math.isclose(relational(spark, CHERRY, dict(zip("abc", ([s] for s in states), strict=True)), [{1: 1.0}], 0, phi), want, abs_tol=1e-7)
+    halves = {x: [1] for x in "abc"}
+    assert math.isclose(relational(spark, CHERRY, halves, [{1: 0.5, 2: 0.5}], 0, 0), 1.0297894223949402, abs_tol=1e-7)
+    rng = np.random.default_rng(4)
+    star = trees.parse_newick("(a:.3,(b:.2,c:.4,d:.1):.3,((e:.2):.1,f:.5):.2):.1;")
+    states = {x: [(0, 1, 2, "?")[v] for v in rng.integers(0, 4, 6)] for x in "abcdef"}
+    priors = [{1: 0.4, 2: 0.6}] * 6
+    for t in (TREE6, star):
+        assert math.isclose(relational(spark, t, states, priors, 0.2, 0.1), model.nllh(t, model.data_of(states, priors), 0.2, 0.1), rel_tol=1e-8)
+
+
+def test_parsimony_on_unbalanced_trees(spark):
+    edges = spark.createDataFrame([(1, None, 1.0, False), (2, 1, 1.0, False), (3, 1, 1.0, True), (4, 2, 1.0, True), (5, 2, 1.0, True)], "node long, parent long, brlen double, is_leaf boolean")
+    rows = [(3, 0, 1), (4, 0, 2), (5, 0, 1), (3, 1, None), (4, 1, 2), (5, 1, 2), (3, 2, 0), (4, 2, None), (5, 2, None), (3, 3, 1), (4, 3, 1), (5, 3, 1)]
+    leaves = spark.createDataFrame(rows, "node long, site int, state int")
+    got = {r.site: r.changes for r in distances.small_parsimony(edges, leaves).collect()}
+    assert got == {0: 3, 1: 1, 2: 0, 3: 1}
+    states = {(r.node, r.site): r.state for r in distances.ancestral_states(edges, leaves).collect()}
+    assert len(states) == 20 and states[1, 1] == 2 and states[3, 1] == 2 and states[2, 0] == 0 and states[4, 2] == 0
+
+
+def test_unrooted_distance_ignores_the_root(spark):
+    schema = "node long, parent long, brlen double, is_leaf boolean"
+    first = spark.createDataFrame([(9, None, 1.0, False), (8, 9, 1.0, False), (7, 9, 1.0, False), (1, 8, 1.0, True), (2, 8, 1.0, True), (3, 7, 1.0, True), (4, 7, 1.0, True)], schema)
+    # the same unrooted tree, rooted beside leaf 1, with a leaf that the first has not
+    second = spark.createDataFrame([(9, None, 1.0, False), (1, 9, 1.0, True), (8, 9, 1.0, False), (2, 8, 1.0, True), (7, 8, 1.0, False), (3, 7, 1.0, True), (6, 7, 1.0, False), (4, 6, 1.0, True), (5, 6, 1.0, True)], schema)
+    r = distances.robinson_foulds(first, second).first()
+    assert (r.only_first, r.only_second, r.shared, r.rf) == (0, 0, 1, 0.0)
 
 
 def test_search_finds_the_best_of_all_four_leaf_trees(spark):
