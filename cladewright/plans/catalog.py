@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
 from cladewright.operators import characters, distances, inference, likelihood, lineages, molecules, simulation
+from cladewright.plans import preprocess
 from cladewright.sources.derived import SPAN, derive, with_derived
 from cladewright.streaming import counts as streaming
 
@@ -343,3 +344,8 @@ QUERIES["simulate_characters"] = lambda spark, sf_dir: _simulated(spark)
 
 QUERIES["streamed_molecule_counts"] = lambda spark, sf_dir: streaming.drained_counts(spark, sf_dir)
 SQL["streamed_molecule_counts"] = "SELECT user_id AS cell, event_type AS intBC, count(*) AS n FROM events GROUP BY user_id, event_type"
+
+# -- preprocess stages ---------------------------------------------------------------------------------------------
+
+QUERIES |= preprocess.QUERIES
+SQL |= preprocess.SQL

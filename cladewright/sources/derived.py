@@ -65,7 +65,15 @@ FROM (SELECT *, CASE WHEN dataset % 2 = 0 THEN 2 * i ELSE 3 * i - 1 END AS child
   FROM (SELECT DISTINCT o_orderkey FROM orders) o CROSS JOIN (SELECT max(o_orderkey) + 1 AS last FROM orders) m) x) y
 """
 
-ALL = {"molecules": MOLECULES, "reads": READS, "alleles": ALLELES, "cell_barcodes": CELL_BARCODES, "characters": CHARACTERS, "tree": TREE}
+#: Alignments of reads of 60 bases or so to a reference, with one insertion and one deletion each.
+ALIGNMENTS = f"""
+SELECT 'read' || cast(l_orderkey AS varchar(20)) || '_' || cast(l_linenumber AS varchar(20)) || '_' || cast(l_partkey AS varchar(20)) || '_' || cast(l_suppkey AS varchar(20)) AS readName,
+  cast(l_partkey % 3 AS int) AS ReferenceBegin, cast(l_suppkey % 2 AS int) AS QueryBegin, {_dna("(l_orderkey * 7 + l_partkey)", 10)} || {_dna("(l_partkey * 31)", 10)} || {_dna("(l_suppkey * 977 + l_orderkey)", 10)} || {_dna("(l_orderkey * 13)", 10)} || {_dna("(l_partkey * 7 + l_linenumber)", 10)} || {_dna("(l_orderkey * 3)", 10)} AS seq,
+  cast(5 + l_partkey % 17 AS varchar(5)) || 'M' || cast(1 + l_orderkey % 6 AS varchar(5)) || 'I' || cast(3 + l_suppkey % 20 AS varchar(5)) || 'M' || cast(1 + l_partkey % 9 AS varchar(5)) || 'D' || cast(4 + l_linenumber AS varchar(5)) || 'M' AS CIGAR
+FROM lineitem
+"""
+
+ALL = {"alignments": ALIGNMENTS, "molecules": MOLECULES, "reads": READS, "alleles": ALLELES, "cell_barcodes": CELL_BARCODES, "characters": CHARACTERS, "tree": TREE}
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

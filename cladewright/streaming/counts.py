@@ -22,7 +22,10 @@ def drained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts after the stream over the events file has been drained."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
-    name = f"counts_{uuid.uuid4().hex}"
-    query = count_molecules(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/counts-{uuid.uuid4().hex}"
+    # each batch replaces the table by the counts so far; nothing is kept on the driver
+    store = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    counted = count_molecules(stream)
+    query = counted.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counted.schema).parquet(f"{folder}/counts")

@@ -1,5 +1,7 @@
+import pytest
+
+from cladewright.operators import alleles, lineages, molecules, stages
 from cladewright.sources import matrices
-from cladewright.operators import lineages, molecules
 
 
 def test_matrix_round_trip(spark, tmp_path):
@@ -42,3 +44,36 @@ def test_consensus_votes(spark):
     rows = [("c", "u", "ACG", "III"), ("c", "u", "ACT", "I!I"), ("c", "u", "AGT", "!!I")]
     r = molecules.call_consensus(spark.createDataFrame(rows, "cellBC string, UMI string, seq string, qual string")).first()
     assert r.seq == "ACT" and r.qual[0] == chr(33 + 31)
+
+
+def test_alleles_of_known_alignments(spark):
+    reference = "AACCGGTTAAC" + "GGGGCCCC" + "ACGTACGTACGTACGTACGTACGT"
+    rows = [
+        ("whole", "43M", 0, 0, reference),
+        ("deleted", "25M4D14M", 0, 0, reference[:25] + reference[29:]),
+        ("inserted", "27M2I16M", 0, 0, reference[:27] + "TT" + reference[27:]),
+        ("no barcode", "5M20D18M", 0, 0, reference[:5] + reference[25:]),
+    ]
+    df = spark.createDataFrame(rows, "readName string, CIGAR string, ReferenceBegin int, QueryBegin int, seq string")
+    got = {r.readName: r for r in alleles.call_alleles(df, reference, (11, 19), (27, 38), 3, True, 4).collect()}
+    assert [got[k].intBC for k in ("whole", "deleted", "inserted", "no barcode")] == ["GGGGCCCC"] * 3 + ["NC"]
+    assert got["whole"].r1 == "ACGT[None]ACGT" and got["deleted"].r1 == "GTAC[26:4D]CGTA"[:4].replace("GTAC", reference[21:25]) + "[26:4D]" + reference[29:33]
+    assert got["inserted"].r1 == reference[23:27] + "[28:2I]TT" + reference[27:31] and got["inserted"].r2.count("None") == 1
+    assert got["no barcode"].r1 == reference[1:5] + "[6:20D]" + reference[25:29]
+
+
+def test_settings_run_their_stages(spark):
+    found = stages.read_settings("[filter_molecules]\nmin_umis = 3\nrule = 0.5\nconflicts = true\nsites = [1, 2]\nname = 'x'\n[other]\n")
+    assert found == {"filter_molecules": {"min_umis": 3, "rule": 0.5, "conflicts": True, "sites": (1, 2), "name": "x"}, "other": {}}
+    rows = [("c", f"{i}", "b" if i < 5 else "d", "x" if i else "y", 10) for i in range(8)]
+    df = spark.createDataFrame(rows, "cellBC string, UMI string, intBC string, allele string, readCount long")
+    out = stages.run_stages(df, "[general]\n[filter_molecules]\nmin_umis = 3\nmin_reads_per_umi = 1\n", first="filter_molecules")
+    assert sorted(r.UMI for r in out.collect()) == [str(i) for i in range(1, 8)]
+    with pytest.raises(ValueError):
+        stages.run_stages(df, "[filter_molecules]\n", last="align")
+
+
+def test_cells_without_a_group_are_zero(spark):
+    rows = [(f"x{i}", b, 10) for i in range(6) for b in ("p", "q")] + [("z", f"u{i}", 1) for i in range(9)]
+    got = {r.cell: r.lineageGrp for r in lineages.assign_groups(spark.createDataFrame(rows, "cell string, intBC string, n long"), 2).collect()}
+    assert got == {f"x{i}": 1 for i in range(6)} | {"z": 0} or got["z"] in (0, 2)
