@@ -28,7 +28,7 @@ SPELLINGS = (
     ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("copyright owner", "copyright holder"),
     ("copyright owners", "copyright holders"), ("favour", "favor"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"),
     ("https", "http"), ("initialise", "initialize"), ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"),
-    ("licenced", "licensed"), ("licences", "licenses"), ("licencing", "licensing"), ("maximise", "maximize"),
+    ("licenced", "licensed"), ("licencee", "licensee"), ("licencees", "licensees"), ("licences", "licenses"), ("licencing", "licensing"), ("maximise", "maximize"),
     ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("offence", "offense"), ("optimise", "optimize"),
     ("organisation", "organization"), ("organisations", "organizations"), ("per cent", "percent"), ("practise", "practice"),
     ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("sub licence", "sublicense"),
