@@ -51,15 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that goes with cleanup()."""
+    path = f"{shared_dir(spark)}/cladewright-{name}"
+    _made.append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later steps survive lost executors.
 
     The table stays until cleanup(), as lazy results may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cladewright-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

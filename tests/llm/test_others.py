@@ -119,3 +119,22 @@ def test_pipeline_runs_its_stages(spark):
         last = spark.createDataFrame(out.toPandas(), docs.schema)
         assert 0 < last.count() <= docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, last, SF).count() == last.count()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """run() on nulls, empty texts, repeated rows and clashing columns, and on an empty table."""
+    from cladewright.llm import common
+
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    documents(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    passage = " ".join(ROWS[0][1].split()[3:16])
+    for folder in (tmp_path, tmp_path / "none"):
+        spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in got]
+    assert 0 not in ids  # it holds the passage; what its copies kept are lines of their own
+    assert {None, 3, 6, 7, 12} <= set(ids) and ids.count(10) == 1
+    assert all(r.taken <= 3 * r["size"] for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    common.cleanup(spark)
