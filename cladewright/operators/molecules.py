@@ -145,14 +145,15 @@ def collapse_alleles(alleles: DataFrame, sites=("r1", "r2", "r3"), extra: tuple[
 
 
 def call_consensus(reads: DataFrame, min_quality: int = 30) -> DataFrame:
-    """One consensus for each (cellBC, UMI): at each place the base with most reads of good quality, then most reads.
+    """One consensus for each (cellBC, UMI): at each place the base with most reads of good quality, then most reads,
+    then the best average quality.
 
     Quality is 31 for a base with more than half of the reads and one of good quality, 10 otherwise; a tie gives N and 2.
     """
     place = reads.select("cellBC", "UMI", F.posexplode(F.arrays_zip(F.filter(F.split("seq", ""), lambda c: c != "").alias("b"), F.filter(F.split("qual", ""), lambda c: c != "").alias("q"))).alias("pos", "z"))
-    votes = place.filter("z.b is not null").groupBy("cellBC", "UMI", "pos", F.col("z.b").alias("base")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.ascii("z.q") - 33 >= min_quality).alias("good"))
-    order = Window.partitionBy("cellBC", "UMI", "pos").orderBy(F.desc("good"), F.desc("c"))
-    ranked = votes.select("*", F.rank().over(order).alias("rk"), F.count(F.lit(1)).over(order.rangeBetween(0, 0)).alias("ties"), F.sum("c").over(Window.partitionBy("cellBC", "UMI", "pos")).alias("total"))
+    votes = place.filter("z.b is not null").groupBy("cellBC", "UMI", "pos", F.col("z.b").alias("base")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.ascii("z.q") - 33 >= min_quality).alias("good"), F.avg(F.ascii("z.q") - 33).alias("mean"))
+    order = Window.partitionBy("cellBC", "UMI", "pos").orderBy(F.desc("good"), F.desc("c"), F.desc("mean"))
+    ranked = votes.select("*", F.rank().over(order).alias("rk"), F.count(F.lit(1)).over(Window.partitionBy("cellBC", "UMI", "pos", "good", "c", "mean")).alias("ties"), F.sum("c").over(Window.partitionBy("cellBC", "UMI", "pos")).alias("total"))
     best = ranked.filter("rk = 1").groupBy("cellBC", "UMI", "pos").agg(F.min("base").alias("base"), F.max("ties").alias("ties"), F.max("c").alias("c"), F.max("good").alias("good"), F.max("total").alias("total"))
     sure = (F.col("c") > 0.5 * F.col("total")) & (F.col("good") > 0)
     called = best.select("cellBC", "UMI", "pos", F.when(F.col("ties") > 1, "N").otherwise(F.col("base")).alias("base"), F.when(F.col("ties") > 1, 2).when(sure, 31).otherwise(10).alias("q"))

@@ -77,3 +77,9 @@ def test_cells_without_a_group_are_zero(spark):
     rows = [(f"x{i}", b, 10) for i in range(6) for b in ("p", "q")] + [("z", f"u{i}", 1) for i in range(9)]
     got = {r.cell: r.lineageGrp for r in lineages.assign_groups(spark.createDataFrame(rows, "cell string, intBC string, n long"), 2).collect()}
     assert got == {f"x{i}": 1 for i in range(6)} | {"z": 0} or got["z"] in (0, 2)
+
+
+def test_consensus_ties_go_to_the_better_average(spark):
+    rows = [("c", "u", "AA", "5!"), ("c", "u", "CC", "4!")]
+    r = molecules.call_consensus(spark.createDataFrame(rows, "cellBC string, UMI string, seq string, qual string")).first()
+    assert r.seq == "AN" and r.qual == chr(33 + 10) + chr(33 + 2)
