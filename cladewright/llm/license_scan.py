@@ -32,7 +32,7 @@ SPELLINGS = (
     ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("offence", "offense"), ("optimise", "optimize"),
     ("organisation", "organization"), ("organisations", "organizations"), ("per cent", "percent"), ("practise", "practice"),
     ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("sub licence", "sublicense"),
-    ("sub license", "sublicense"), ("sublicence", "sublicense"), ("sub licensing", "sublicensing"), ("utilisation", "utilization"),
+    ("sub license", "sublicense"), ("sublicence", "sublicense"), ("sublicenced", "sublicensed"), ("sublicences", "sublicenses"), ("sub licensing", "sublicensing"), ("utilisation", "utilization"),
     ("whilst", "while"), ("wilful", "willful"),
 )
 
