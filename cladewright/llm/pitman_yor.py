@@ -1,22 +1,25 @@
 """Hierarchical Pitman-Yor language model over a sharded corpus.
 
-Restaurants. Each token is a customer in the restaurant of its context, a class of the token before it: the whole token
-if it has at most three bytes, its last three otherwise, hashed to one of COARSE * FINE classes; texts begin in a class
-of their own. Fine restaurants of one coarse class share it as parent, coarse restaurants share the root, and the root's
-base is uniform over the vocabulary and one unknown token. The number of restaurants is a fixed parameter; what they hold
-grows with the corpus.
-
-Sharding. Tables of one token, in all restaurants, depend on other tokens only through totals of restaurants. So
-tokens are dealt to shards by hash. A shard holds the training counts of its tokens' (token, class) pairs and all their
-tables, never their occurrences, and a Gibbs sweep is one pass over the shards with the totals of the pass before, a
-bounded array. A sweep seats all customers of a token anew, given the parent's probability: tables of fine restaurants
-are customers of coarse ones, those of coarse ones customers of the root. The last pass runs the same seeded chain as the
-pass that gave its totals, so that each sample's probabilities add up to one exactly; scores are the log of probabilities
-averaged over samples.
-
-Data flow. One scan turns texts into chunks of token occurrences, packed for each shard; one shuffle brings them to
-their shard and part, a part being the chunks of about PART_BYTES of text, so that a token that a third of all
-occurrences are does not fill a task. The pairs of parts are merged FAN at a time into those of their shard; log
+Restaurants. Each token is a customer in the restaurant of its context, the whole token before it (texts begin in a
+context of their own). All contexts share the root as parent, and the root's base is uniform over the vocabulary and one
+unknown token. There are as many restaurants as there are different tokens, so what the model gathers grows with the
+corpus. Longer contexts are not kept.
+
+Sharding. Contexts are dealt to shards by hash, so that a restaurant lies in one shard with all its customers and tables,
+and only the root is shared. A shard holds the training counts of (context, token) pairs, never occurrences: the most
+frequent context holds at most one row for each token of the vocabulary. The root is dealt by token into buckets. Shards
+send it the tables of each of their tokens, it seats them as its customers, and each shard gets back the root's state of
+its own tokens only. Nothing but sums over all tokens reaches the driver.
+
+Sampling. A Gibbs step takes all customers of one dish out of a restaurant and seats them again one by one, given the
+others' tables and the parent's probability; the dishes of a shard take this step together, given the totals of the
+sweep before. Rounds alternate between contexts, given the root of the round before, and the root. The last pass
+runs the same seeded chain as the round that gave the root its customers, so that each sample's probabilities add up to
+one exactly; scores are the log of probabilities averaged over samples.
+
+Data flow. One scan turns texts into chunks of pairs and their occurrences, packed for each shard; one shuffle brings
+them to their shard and part, a part being the chunks of about PART_BYTES of text, so that a context that a third of all
+occurrences have does not fill a task. The pairs of parts are merged FAN at a time into those of their shard; log
 probabilities go down the same tree to the parts, where occurrences are scored; sums for each document return by chunk.
 
 Defined cases: a null text is empty and has the end token only; null doc_ids are learned from and not held out; rows
@@ -35,13 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import PrefixHash, mix, saved, spans, table, text_steps, visible_bytes
 
-COARSE, FINE = 64, 64
-STRENGTH = (50.0, 20.0, 10.0)  # of root, coarse and fine restaurants
-BURN, SAMPLES, SEED = 2, 4, 11
-KINDS = COARSE * FINE
+#: Strengths of the root and of contexts; a small one of contexts scored best on held-out texts of sf0.001.
+STRENGTH = (20.0, 0.1)
+BURN, SAMPLES, ROUNDS, SEED = 2, 4, 2, 11
 #: Text for a chunk, for a part of the occurrences of a shard, and for a shard; parts merged at once.
 CHUNK_BYTES, PART_BYTES, SHARD_BYTES, FAN = 12 << 20, 96 << 20, 256 << 20, 16
-END = np.uint64(0xE4D5B0F1A2937C61)
+BEGIN, END = np.uint64(0x8F1C3A5D27B6940E), np.uint64(0xE4D5B0F1A2937C61)
 
 
 def is_held_out(doc_id) -> bool:
@@ -71,26 +73,18 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
-    """(token hashes with one end after each text, class of the token before each, number for each text)."""
+    """(token hashes with one end after each text, hash of the token before each, number for each text)."""
     start, end = spans(data, offsets, visible_bytes())
     counts = np.diff(np.searchsorted(start, offsets))
-    prefix = PrefixHash(data, fold_case=True)
-    word = prefix.of(start, end) if len(start) else np.zeros(0, np.uint64)
-    if len(start):
-        tail = prefix.of(np.maximum(start, end - 3), end)
-        brief = (end - start <= 3).astype(np.uint64)
-        coarse = 1 + mix(prefix.of(np.maximum(start, end - 1), end) + brief) % np.uint64(COARSE - 1)
-        own = (coarse * np.uint64(FINE) + mix(tail + brief) % np.uint64(FINE)).astype(np.uint16)
-    else:
-        own = np.zeros(0, np.uint16)
+    word = PrefixHash(data, fold_case=True).of(start, end) if len(start) else np.zeros(0, np.uint64)
     n = counts + 1
     last = np.cumsum(n) - 1
-    is_end = np.zeros(n.sum(), bool)
-    is_end[last] = True
-    out, before = np.full(len(is_end), END), np.zeros(len(is_end), np.uint16)
-    out[~is_end] = word
-    after = np.concatenate(([0], np.flatnonzero(~is_end) + 1))[1:]  # the place after each word is in its text
-    before[after] = own
+    out = np.full(n.sum(), END)
+    inner = np.ones(len(out), bool)
+    inner[last] = False
+    out[inner] = word
+    before = np.concatenate(([BEGIN], out[:-1]))
+    before[last - counts] = BEGIN
     return out, before, n
 
 
@@ -100,26 +94,31 @@ def _chunk_task(n_shards: int):
     def chunk(key, ids, parts):
         word, before, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
         train = np.array([not is_held_out(i) for i in ids])
-        doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-        shard = (word % np.uint64(n_shards)).astype(np.int64)
+        doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        shard = (mix(before) % np.uint64(n_shards)).astype(np.int16 if n_shards < 1 << 15 else np.int64)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(n_shards + 1))
         for s in range(n_shards):
             at = order[edges[s] : edges[s + 1]]
             if not len(at) and s:
                 continue
-            unique, index = np.unique(word[at], return_inverse=True)
-            per_doc = np.bincount(doc[at], minlength=len(n)).astype(np.uint32)
+            contexts, context = np.unique(before[at], return_inverse=True)
+            words, index = np.unique(word[at], return_inverse=True)
+            pairs, index = np.unique(context * np.int64(max(1, len(words))) + index, return_inverse=True)
+            count = np.bincount(index[train[doc[at].astype(np.int64)]], minlength=len(pairs))
+            # only sums of documents are wanted of occurrences, so within a document they are put in the order of pairs
+            both = np.sort(doc[at] << np.uint64(32) | index.astype(np.uint64))
+            per_doc = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(n)).astype(np.uint32)
             extra = [pack(np.array([x or 0 for x in ids], np.int64)), pack(np.array([x is None for x in ids], np.uint8)), pack(n.astype(np.uint32))] if s == 0 else [None] * 3
-            yield [s, key, unique.tobytes(), pack(index.astype(np.uint32)), pack(before[at]), pack(per_doc), pack(train.astype(np.uint8)), *extra]
+            yield [s, key, *_table(contexts, words, pairs, count), pack(both.astype(np.uint32)), pack(per_doc), *extra]
 
-    names = ["shard", "chunk", "words", "word", "before", "per_doc", "train", "doc_ids", "doc_nulls", "doc_tokens"]
+    names = _names(CHUNK_ROW)
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
         ids, parts, size, number = [], [], 0, 0
 
         def rows():
@@ -141,43 +140,57 @@ def _chunk_task(n_shards: int):
     return run
 
 
-CHUNK_ROW = "shard int, chunk long, words binary, word binary, before binary, per_doc binary, train binary, doc_ids binary, doc_nulls binary, doc_tokens binary"
-TABLE_ROW = "shard int, part int, words binary, pair_word binary, pair_class binary, pair_count binary"
+PAIRS = "contexts binary, words binary, pair_context binary, pair_word binary, pair_count binary"
+CHUNK_ROW = f"shard int, chunk long, {PAIRS}, occurrence binary, per_doc binary, doc_ids binary, doc_nulls binary, doc_tokens binary"
+TABLE_ROW = f"shard int, part int, {PAIRS}"
 PART_ROW = f"{TABLE_ROW}, occurrence binary, chunks binary, chunk_docs binary, per_doc binary, docs array<struct<chunk:long,ids:binary,nulls:binary,tokens:binary>>"
-RATED_ROW = "shard int, part int, words binary, pair_word binary, pair_class binary, log_p binary, word_count binary"
+RATED_ROW = "shard int, part int, contexts binary, words binary, pair_context binary, pair_word binary, log_p binary, word_count binary"
 
 
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _codes(vocabulary: np.ndarray, words: bytes, word: bytes, kind: bytes) -> np.ndarray:
-    """(token, class) pairs as numbers: the token's place in a sorted vocabulary, then the class."""
-    place = np.searchsorted(vocabulary, np.frombuffer(words, np.uint64)).astype(np.int64)
-    return place[unpack(word)] * KINDS + unpack(kind)
+def _table(contexts: np.ndarray, words: np.ndarray, pairs: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Columns of PAIRS; pairs: place of the context times the number of words, plus place of the word."""
+    n = max(1, len(words))
+    return [contexts.tobytes(), words.tobytes(), pack((pairs // n).astype(np.uint32)), pack((pairs % n).astype(np.uint32)), pack(count.astype(np.int64))]
 
 
-def _table(vocabulary: np.ndarray, pairs: np.ndarray, count: np.ndarray) -> list[bytes]:
-    return [vocabulary.tobytes(), pack((pairs // KINDS).astype(np.uint32)), pack((pairs % KINDS).astype(np.uint16)), pack(count.astype(np.int64))]
+def _vocabulary(hashes) -> np.ndarray:
+    return np.unique(np.concatenate([np.frombuffer(w, np.uint64) for w in hashes]))
 
 
-def _vocabulary(words) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(w, np.uint64) for w in words]))
+def _codes(contexts: np.ndarray, words: np.ndarray, row) -> np.ndarray:
+    """Pairs of a row as numbers, in sorted lists of contexts and words that include the row's own."""
+    c = np.searchsorted(contexts, np.frombuffer(row.contexts, np.uint64)).astype(np.int64)
+    w = np.searchsorted(words, np.frombuffer(row.words, np.uint64)).astype(np.int64)
+    return c[unpack(row.pair_context)] * max(1, len(words)) + w[unpack(row.pair_word)]
+
+
+def _merged(frame):
+    """(columns of PAIRS of all rows together, place of each row's pairs among them)."""
+    contexts, words = _vocabulary(frame["contexts"]), _vocabulary(frame["words"])
+    pairs, place = np.unique(np.concatenate([_codes(contexts, words, r) for r in frame.itertuples()]), return_inverse=True)
+    count = np.bincount(place, np.concatenate([unpack(x) for x in frame["pair_count"]]), len(pairs))
+    return _table(contexts, words, pairs, count), place
 
 
 def _part_task(key, frame):
-    """A part of the chunks of a shard -> its (token, class) pairs with training counts, and its occurrences as pairs."""
+    """A part of the chunks of a shard -> its (context, token) pairs with training counts, and its occurrences as pairs."""
     import pandas as pd
 
     frame = frame.sort_values("chunk", ignore_index=True)
-    vocabulary = _vocabulary(frame["words"])
+    columns, place = _merged(frame)
     per_doc = [unpack(x) for x in frame["per_doc"]]
-    learned = np.concatenate([np.repeat(unpack(t).astype(bool), n) for t, n in zip(frame["train"], per_doc, strict=True)])
-    pairs, occurrence = np.unique(np.concatenate([_codes(vocabulary, r.words, r.word, r.before) for r in frame.itertuples()]), return_inverse=True)
-    count = np.bincount(occurrence[learned], minlength=len(pairs))
+    occurrence, begin = [], 0
+    for r in frame.itertuples():
+        own = unpack(r.occurrence)
+        occurrence.append(place[begin + own.astype(np.int64)].astype(np.uint32))
+        begin += len(unpack(r.pair_word))
     docs = [{"chunk": r.chunk, "ids": r.doc_ids, "nulls": r.doc_nulls, "tokens": r.doc_tokens} for r in frame.itertuples() if r.doc_ids is not None]
     sizes = np.array([len(n) for n in per_doc], np.uint32)
-    row = [int(key[0]), int(key[1]), *_table(vocabulary, pairs, count), pack(occurrence.astype(np.uint32)), pack(frame["chunk"].to_numpy()), pack(sizes), pack(np.concatenate(per_doc)), docs]
+    row = [int(key[0]), int(key[1]), *columns, pack(np.concatenate(occurrence)), pack(frame["chunk"].to_numpy()), pack(sizes), pack(np.concatenate(per_doc)), docs]
     return pd.DataFrame([row], columns=[*_names(TABLE_ROW), "occurrence", "chunks", "chunk_docs", "per_doc", "docs"])
 
 
@@ -185,23 +198,21 @@ def _merge_task(key, frame):
     """Pairs of some parts of a shard -> one table, with counts added up."""
     import pandas as pd
 
-    vocabulary = _vocabulary(frame["words"])
-    pairs, index = np.unique(np.concatenate([_codes(vocabulary, r.words, r.pair_word, r.pair_class) for r in frame.itertuples()]), return_inverse=True)
-    count = np.bincount(index, np.concatenate([unpack(x) for x in frame["pair_count"]]), len(pairs))
-    return pd.DataFrame([[int(key[0]), int(key[1]), *_table(vocabulary, pairs, count)]], columns=_names(TABLE_ROW))
+    return pd.DataFrame([[int(key[0]), int(key[1]), *_merged(frame)[0]]], columns=_names(TABLE_ROW))
 
 
 def _hand_down_task(key, above, below):
     """A rated table and those it was merged from -> each of those, rated."""
     import pandas as pd
 
-    top = above.iloc[0]
-    vocabulary = np.frombuffer(top["words"], np.uint64)
-    codes, log_p, count = _codes(vocabulary, top["words"], top["pair_word"], top["pair_class"]), unpack(top["log_p"]), unpack(top["word_count"])
+    top = next(above.itertuples())
+    contexts, words = np.frombuffer(top.contexts, np.uint64), np.frombuffer(top.words, np.uint64)
+    codes, log_p, count = _codes(contexts, words, top), unpack(top.log_p), unpack(top.word_count)
     rows = []
     for r in below.itertuples():
-        at = np.searchsorted(codes, _codes(vocabulary, r.words, r.pair_word, r.pair_class))
-        rows.append([r.shard, r.part, r.words, r.pair_word, r.pair_class, pack(log_p[at]), pack(count[at])])
+        at = np.searchsorted(codes, _codes(contexts, words, r))
+        mine = np.searchsorted(words, np.frombuffer(r.words, np.uint64))
+        rows.append([r.shard, r.part, r.contexts, r.words, r.pair_context, r.pair_word, pack(log_p[at]), pack(count[mine])])
     return pd.DataFrame(rows, columns=_names(RATED_ROW))
 
 
@@ -228,20 +239,25 @@ def handed_down(rated: DataFrame, levels: list[DataFrame]) -> DataFrame:
 
 @dataclass
 class Totals:
-    """What shards share: sizes, discounts, and for each sample the customers and tables of every restaurant."""
+    """Sums over all tokens: sizes, strengths and discounts of root and contexts, and for each sample the root's customers and tables."""
 
     n_tokens: float
     n_types: float
-    discount: tuple[float, float, float]
-    customers: np.ndarray  # of fine restaurants; the same in all samples
-    fine_tables: np.ndarray  # (samples, fine restaurants)
-    coarse_tables: np.ndarray  # (samples, COARSE)
-    root_tables: np.ndarray  # (samples,)
+    strength: tuple[float, float]
+    discount: tuple[float, float]
+    customers: np.ndarray  # (SAMPLES,)
+    tables: np.ndarray  # (SAMPLES,)
+
+    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Root probabilities (tokens, SAMPLES) of tokens with these customers and tables there."""
+        d, s = self.discount[0], self.strength[0]
+        return (customers - d * tables + (s + d * self.tables) / (self.n_types + 1)) / (s + self.customers)
 
 
-def seat(customers: np.ndarray, draw_new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating customers one by one, where draw_new weighs opening a table.
+def seat(customers: np.ndarray, others: np.ndarray, strength: float, discount: float, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables after seating the customers of dishes one by one.
 
+    others: tables of other dishes in the restaurant of each; parent: probability of the dish in the restaurant above.
     The first 64 customers of a dish are seated singly; later ones in batches of a sixteenth of those seated, with
     the chance at the batch's start.
     """
@@ -250,7 +266,8 @@ def seat(customers: np.ndarray, draw_new: np.ndarray, discount: float, rng: np.r
     while len(at):
         step = 1 if seated < 64 else seated // 16
         here = np.minimum(customers[at] - seated, step)
-        chance = draw_new[at] / (draw_new[at] + seated - discount * t[at])
+        draw_new = (strength + discount * (others[at] + t[at])) * parent[at]
+        chance = draw_new / (draw_new + seated - discount * t[at])
         t[at] += rng.random(len(at)) < chance if step == 1 else rng.binomial(here.astype(np.int64), chance)
         seated += step
         at = at[customers[at] > seated]
@@ -258,157 +275,140 @@ def seat(customers: np.ndarray, draw_new: np.ndarray, discount: float, rng: np.r
 
 
 class Shard:
-    """The tables of a shard's tokens, from a row of TABLE_ROW."""
+    """The restaurants of a shard's contexts, from a row of TABLE_ROW."""
 
     def __init__(self, row):
-        self.number = row["shard"]
-        self.word, self.kind, self.count = (unpack(row[k]) for k in ("pair_word", "pair_class", "pair_count"))
-        self.word, self.kind = self.word.astype(np.int64), self.kind.astype(np.int64)
-        coarse = self.word * COARSE + self.kind // FINE
-        self.coarse, self.to_coarse = np.unique(coarse, return_inverse=True)
-        self.coarse_word, self.coarse_kind = self.coarse // COARSE, self.coarse % COARSE
-        self.n_words = int(self.word.max()) + 1 if len(self.word) else 0
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.word, self.count, self.n_words)
-
-    def chain(self, totals: Totals):
-        """Yields the seating of each sample: (fine tables, coarse customers, coarse tables, root customers, root tables).
-
-        Weights use the mean totals of the pass before; the chain depends on them, the seed and the shard only.
-        """
-        rng = np.random.default_rng((SEED, self.number))
-        d0, d1, d2 = totals.discount
-        s0, s1, s2 = STRENGTH
-        fine, coarse, root = totals.fine_tables.mean(0), totals.coarse_tables.mean(0), totals.root_tables.mean()
-        c1_all, c0_all = fine.reshape(COARSE, FINE).sum(1), coarse.sum()
-        some = (self.count > 0).astype(np.float64)
-        t2 = some
-        c1 = np.bincount(self.to_coarse, t2, len(self.coarse))
-        t1 = np.minimum(c1, 1)
-        c0 = np.bincount(self.coarse_word, t1, self.n_words)
-        t0 = np.minimum(c0, 1)
-        base = 1 / (totals.n_types + 1)
+        self.number = int(row.shard)
+        self.words = np.frombuffer(row.words, np.uint64)
+        self.context, self.word = unpack(row.pair_context).astype(np.int64), unpack(row.pair_word).astype(np.int64)
+        self.count = unpack(row.pair_count)
+        self.n_contexts = int(self.context.max()) + 1 if len(self.context) else 0
+
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, x, len(self.words))
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, x, self.n_contexts)
+
+    def chain(self, parent: np.ndarray, strength: float, discount: float, number: int):
+        """Yields the tables of each pair in each sample; parent: root probability of each word of the shard."""
+        rng = np.random.default_rng((SEED, number, self.number))
+        parent = parent[self.word]
+        t = np.minimum(self.count, 1).astype(np.float64)
         for sweep in range(BURN + SAMPLES):
-            p0 = (c0 - d0 * t0 + (s0 + d0 * root) * base) / (s0 + c0_all)
-            p1 = (c1 - d1 * t1 + (s1 + d1 * coarse[self.coarse_kind]) * p0[self.coarse_word]) / (s1 + c1_all[self.coarse_kind])
-            t2 = seat(self.count, (s2 + d2 * fine[self.kind]) * p1[self.to_coarse], d2, rng)
-            c1 = np.bincount(self.to_coarse, t2, len(self.coarse))
-            t1 = seat(c1, (s1 + d1 * coarse[self.coarse_kind]) * p0[self.coarse_word], d1, rng)
-            c0 = np.bincount(self.coarse_word, t1, self.n_words)
-            t0 = seat(c0, np.full(len(c0), (s0 + d0 * root) * base), d0, rng)
+            t = seat(self.count, self.by_context(t)[self.context] - t, strength, discount, parent, rng)
             if sweep >= BURN:
-                yield t2, c1, t1, c0, t0
+                yield t
 
-    def probabilities(self, seating: Totals, own: Totals) -> np.ndarray:
-        """For each pair the predictive probability of the token after the class, averaged over samples.
+    def probabilities(self, chain, strength: float, discount: float, root: np.ndarray) -> np.ndarray:
+        """For each pair the predictive probability of the token after the context, averaged over samples.
 
-        seating: totals that the chain was run with; own: totals of that very chain over all shards.
+        root: root probabilities (words, SAMPLES) under the tables of the very chain, in all shards.
         """
-        d0, d1, d2 = own.discount
-        s0, s1, s2 = STRENGTH
-        base = 1 / (own.n_types + 1)
+        customers = self.by_context(self.count)[self.context]
         total = np.zeros(len(self.word))
-        for k, (t2, c1, t1, c0, t0) in enumerate(self.chain(seating)):
-            fine, coarse = own.fine_tables[k], own.coarse_tables[k]
-            p0 = (c0 - d0 * t0 + (s0 + d0 * own.root_tables[k]) * base) / (s0 + coarse.sum())
-            p1 = (c1 - d1 * t1 + (s1 + d1 * coarse[self.coarse_kind]) * p0[self.coarse_word]) / (s1 + fine.reshape(COARSE, FINE).sum(1)[self.coarse_kind])
-            total += (self.count - d2 * t2 + (s2 + d2 * fine[self.kind]) * p1[self.to_coarse]) / (s2 + own.customers[self.kind])
+        for k, t in enumerate(chain):
+            back = strength + discount * self.by_context(t)[self.context]
+            inner = (self.count - discount * t + back * root[self.word, k]) / np.maximum(strength + customers, 1e-300)
+            total += np.where(customers > 0, inner, root[self.word, k])
         return total / SAMPLES
 
 
-FACT = "name string, place int, v array<double>"
+CUSTOMERS, TABLES = [f"c{k}" for k in range(SAMPLES)], [f"t{k}" for k in range(SAMPLES)]
+SENT_ROW = f"shard int, word long, n long, once long, twice long, parent double, {', '.join(f'{c} double' for c in CUSTOMERS)}"
+ROOT_ROW = f"{SENT_ROW}, {', '.join(f'{t} double' for t in TABLES)}, lead boolean"
 
 
-def _facts(rows):
-    import pyarrow as pa
+def _sent(s: Shard, n, once, twice, parent, customers):
+    import pandas as pd
 
-    names, places, values = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(places, pa.int32()), pa.array(values, pa.list_(pa.float64()))], ["name", "place", "v"])
+    first = {"shard": np.full(len(s.words), s.number, np.int32), "word": s.words.view(np.int64), "n": n, "once": once, "twice": twice, "parent": parent}
+    return pd.DataFrame(first | {c: x.astype(np.float64) for c, x in zip(CUSTOMERS, customers, strict=True)}).astype({"n": "int64", "once": "int64", "twice": "int64"})
 
 
-def _count_task(batches):
-    """Sizes, numbers of pairs and tokens met once and twice, and customers and types of each restaurant."""
-    for batch in batches:
-        for row in batch.to_pylist():
+def _count_task(frames):
+    """Shards -> for each of their words: customers, pairs met once and twice, and one table for each context it follows."""
+    for frame in frames:
+        for row in frame.itertuples():
             s = Shard(row)
-            some, c = s.count > 0, s.word_counts()
-            kinds = np.bincount(s.kind[some], minlength=KINDS)
-            customers = np.bincount(s.kind, s.count, KINDS)
-            c1 = np.bincount(s.to_coarse, some, len(s.coarse))
-            coarse = np.bincount(s.coarse_kind[c1 > 0], minlength=COARSE)
-            c0 = np.bincount(s.coarse_word, c1 > 0, s.n_words)
-            pick = lambda x: [float((x == 1).sum()), float((x == 2).sum())]
-            rows = [("size", 0, [float(c.sum()), float((c > 0).sum())]), ("once", 0, pick(c0)), ("once", 1, pick(c1)), ("once", 2, pick(s.count))]
-            rows += [("customers", i, [float(customers[i])]) for i in np.flatnonzero(customers)]
-            rows += [("fine", i, [float(kinds[i])]) for i in np.flatnonzero(kinds)] + [("coarse", i, [float(coarse[i])]) for i in np.flatnonzero(coarse)]
-            yield _facts(rows)
-
-
-def _sweep_task(shared):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                s, samples = Shard(row), []
-                for t2, _, t1, _, t0 in s.chain(shared.value):
-                    samples.append((np.bincount(s.kind, t2, KINDS), np.bincount(s.coarse_kind, t1, COARSE), t0.sum()))
-                rows = [("root", 0, [float(x[2]) for x in samples])]
-                for name, k in (("fine", 0), ("coarse", 1)):
-                    x = np.stack([x[k] for x in samples])
-                    rows += [(name, i, x[:, i].tolist()) for i in np.flatnonzero(x.any(0))]
-                yield _facts(rows)
+            tables = s.by_word(s.count > 0)
+            yield _sent(s, s.by_word(s.count), s.by_word(s.count == 1), s.by_word(s.count == 2), np.zeros(len(s.words)), [tables] * SAMPLES)
+
+
+def _aligned(s: Shard, root):
+    """The root's rows for the words of a shard, in the order of its words."""
+    root = root.iloc[np.argsort(root["word"].to_numpy().view(np.uint64))]
+    return root["n"].to_numpy(), root[CUSTOMERS].to_numpy(), root[TABLES].to_numpy(), root["parent"].to_numpy()
+
+
+def _sweep_task(totals: Totals, number: int):
+    """A shard and the root's state of its words -> the tables of each word, summed over the shard's contexts."""
+
+    def run(key, pairs, root):
+        s = Shard(next(pairs.itertuples()))
+        n, customers, tables, _ = _aligned(s, root)
+        parent = totals.root(customers, tables).mean(1)
+        zero = np.zeros(len(s.words))
+        return _sent(s, n, zero, zero, parent, [s.by_word(t) for t in s.chain(parent, totals.strength[1], totals.discount[1], number)])
 
     return run
 
 
-def _gathered(facts: DataFrame, width: int) -> dict[str, dict[int, list[float]]]:
-    """Sums over shards; at most COARSE * FINE places of each name."""
-    sums = facts.groupBy("name", "place").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)])
-    out: dict[str, dict[int, list[float]]] = {}
-    for r in sums.collect():
-        out.setdefault(r["name"], {})[r["place"]] = [r[f"v{i}"] or 0.0 for i in range(width)]
-    return out
+def _root_task(strength: float, discount: float, sizes: tuple[float, float, float], number: int):
+    """A bucket of the root's words as sent by shards -> the same rows with sums over shards, and tables.
+
+    sizes: tokens, types and tables so far. The first row of a word leads, for sums over words.
+    """
 
+    def run(key, frame):
+        frame = frame.sort_values(["word", "shard"], ignore_index=True)
+        word = frame["word"].to_numpy()
+        lead = np.concatenate(([True], word[1:] != word[:-1]))
+        at, of = np.flatnonzero(lead), np.cumsum(lead) - 1
+        rng = np.random.default_rng((SEED, 1 << 20, number, int(key[0])))
+        for c in ["n", *CUSTOMERS][number > 0 :]:  # counts are whole from the first round on
+            frame[c] = np.add.reduceat(frame[c].to_numpy(), at)[of]
+        parent = np.full(len(at), 1 / (sizes[1] + 1))
+        for c, t in zip(CUSTOMERS, TABLES, strict=True):
+            own = frame[c].to_numpy()[at]
+            some = (own > 0).astype(np.float64)
+            frame[t] = seat(own, sizes[2] - some, strength, discount, parent, rng)[of]
+        frame["lead"] = lead
+        return frame[_names(ROOT_ROW)]
 
-def _array(found: dict[int, list[float]], n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, width))
-    for place, v in found.items():
-        out[place] = v[:width]
-    return out.T
+    return run
 
 
-def _rate_task(shared_seating, shared_own):
-    """A shard's table -> the log probability of each pair and the training count of its token."""
+def _rate_task(totals: Totals, number: int):
+    """A shard and the root's last state of its words -> the log probability of each pair, the count of each token."""
 
-    def run(batches):
-        import pyarrow as pa
+    def run(key, pairs, root):
+        import pandas as pd
 
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = Shard(row)
-                log_p = np.log10(s.probabilities(shared_seating.value, shared_own.value)) if len(s.word) else np.zeros(0)
-                count = s.word_counts()[s.word].astype(np.int64) if len(s.word) else np.zeros(0, np.int64)
-                cols = [row["shard"], row["part"], row["words"], row["pair_word"], row["pair_class"], pack(log_p), pack(count)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cols, types, strict=True)], _names(RATED_ROW))
+        row = next(pairs.itertuples())
+        s = Shard(row)
+        n, customers, tables, parent = _aligned(s, root)
+        local = totals.strength[1], totals.discount[1]
+        log_p = np.log10(s.probabilities(s.chain(parent, *local, number), *local, totals.root(customers, tables)))
+        return pd.DataFrame([[row.shard, row.part, row.contexts, row.words, row.pair_context, row.pair_word, pack(log_p), pack(n)]], columns=_names(RATED_ROW))
 
     return run
 
 
-def _score_task(shared_own):
+def _score_task(totals: Totals):
     """Rated parts -> for each chunk the sums of its documents' scores, base scores and known tokens."""
 
     def run(batches):
         import pyarrow as pa
 
-        own = shared_own.value
         for batch in batches:
             for row in batch.to_pylist():
                 log_p, c = unpack(row["log_p"]), unpack(row["word_count"])
-                log_base = np.log10((c + 1) / (own.n_tokens + own.n_types + 1))
+                log_base, known = np.log10((c + 1) / (totals.n_tokens + totals.n_types + 1)), (c > 0).astype(np.float64)
+                word = unpack(row["pair_word"])
                 occurrence, per_doc = unpack(row["occurrence"]), unpack(row["per_doc"])
                 doc = np.repeat(np.arange(len(per_doc)), per_doc)
-                sums = [np.bincount(doc, x[occurrence], len(per_doc)) for x in (log_p, log_base, (c > 0).astype(np.float64))]
+                sums = [np.bincount(doc, x[occurrence], len(per_doc)) for x in (log_p, log_base[word], known[word])]
                 edges = np.concatenate(([0], np.cumsum(unpack(row["chunk_docs"]), dtype=np.int64)))
                 docs = {d["chunk"]: d for d in row["docs"] or []}
                 for k, chunk in enumerate(unpack(row["chunks"]).tolist()):
@@ -420,7 +420,7 @@ def _score_task(shared_own):
     return run
 
 
-def _document_task(shared_own):
+def _document_task(n_tokens: float):
     def run(frame):
         import pandas as pd
 
@@ -431,15 +431,14 @@ def _document_task(shared_own):
             "doc_id": pd.array([None if x else int(i) for i, x in zip(ids, nulls, strict=True)], dtype="Int64"),
             "held_out": [not x and is_held_out(int(i)) for i, x in zip(ids, nulls, strict=True)],
             "n_tokens": unpack(own["tokens"]).astype(np.int64), "n_known": np.rint(known).astype(np.int64),
-            "train_tokens": int(shared_own.value.n_tokens), "base_score": base, "score": score,
+            "train_tokens": int(n_tokens), "base_score": base, "score": score,
         })
 
     return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each document."""
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards, n_parts = max(12, -(-size // SHARD_BYTES)), max(1, -(-size // PART_BYTES))
@@ -448,21 +447,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
     levels = merged_tables(parts, n_parts)
     pairs = levels[-1]
 
-    facts = _gathered(pairs.mapInArrow(_count_task, FACT), 2)
-    n_tokens, n_types = facts.get("size", {}).get(0, (0.0, 0.0))
-    discount = tuple(max(0.1, min(0.95, n1 / max(1.0, n1 + 2 * n2))) for n1, n2 in (facts.get("once", {}).get(i, (0.0, 0.0)) for i in range(3)))
-    repeat = lambda x: np.repeat(x[:1], SAMPLES, axis=0)
-    seating = Totals(n_tokens, n_types, discount, _array(facts.get("customers", {}), KINDS, 1)[0], repeat(_array(facts.get("fine", {}), KINDS, 1)), repeat(_array(facts.get("coarse", {}), COARSE, 1)), np.full(SAMPLES, n_types))
-    for _ in range(2):
-        found = _gathered(pairs.mapInArrow(_sweep_task(spark.sparkContext.broadcast(seating)), FACT), SAMPLES)
-        own = Totals(n_tokens, n_types, discount, seating.customers, _array(found.get("fine", {}), KINDS, SAMPLES), _array(found.get("coarse", {}), COARSE, SAMPLES), np.array(found.get("root", {}).get(0, [0.0] * SAMPLES)))
-        last, seating = seating, own
-    shared_own = spark.sparkContext.broadcast(own)
-    rated = handed_down(saved(pairs.mapInArrow(_rate_task(spark.sparkContext.broadcast(last), shared_own), RATED_ROW), "rated"), levels)
-    scored = parts.select("shard", "part", "occurrence", "chunks", "chunk_docs", "per_doc", "docs").join(rated.select("shard", "part", "log_p", "word_count"), ["shard", "part"])
-    sums = scored.mapInArrow(_score_task(shared_own), "chunk long, score binary, base binary, known binary, ids binary, nulls binary, tokens binary")
+    sent = saved(pairs.mapInPandas(_count_task, SENT_ROW), "sent")
+    n_tokens, once, twice = (x or 0 for x in sent.agg(F.sum("n"), F.sum("once"), F.sum("twice")).first())
+    types = sent.groupBy("word").agg(F.sum("n").alias("n"), F.sum(CUSTOMERS[0]).alias("c")).filter("n > 0")
+    n_types, root_once, root_twice, n_tables = (x or 0 for x in types.agg(F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("int")), F.sum((F.col("c") == 2).cast("int")), F.count(F.lit(1))).first())
+    discount = tuple(max(0.1, min(0.95, n1 / max(1.0, n1 + 2 * n2))) for n1, n2 in ((root_once, root_twice), (once, twice)))
+    for number in range(ROUNDS + 1):
+        if number:
+            sent = pairs.groupBy("shard").cogroup(root.groupBy("shard")).applyInPandas(_sweep_task(totals, number), SENT_ROW)
+        seated = sent.groupBy(F.pmod("word", F.lit(n_shards)).alias("bucket")).applyInPandas(_root_task(strength[0], discount[0], (n_tokens, n_types, n_tables), number), ROOT_ROW)
+        root = saved(seated, "root")
+        sums = [x or 0.0 for x in root.filter("lead").agg(*[F.sum(c) for c in (*CUSTOMERS, *TABLES)]).first()]
+        totals = Totals(n_tokens, n_types, strength, discount, np.array(sums[:SAMPLES]), np.array(sums[SAMPLES:]))
+        n_tables = float(totals.tables.mean())
+    rated = pairs.groupBy("shard").cogroup(root.groupBy("shard")).applyInPandas(_rate_task(totals, ROUNDS), RATED_ROW)
+    rated = handed_down(saved(rated, "rated"), levels)
+    scored = parts.select("shard", "part", "occurrence", "chunks", "chunk_docs", "per_doc", "docs").join(rated.select("shard", "part", "pair_word", "log_p", "word_count"), ["shard", "part"])
+    sums = scored.mapInArrow(_score_task(totals), "chunk long, score binary, base binary, known binary, ids binary, nulls binary, tokens binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = sums.groupBy("chunk").applyInPandas(_document_task(shared_own), schema)
+    out = sums.groupBy("chunk").applyInPandas(_document_task(n_tokens), schema)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 from fixtures import ROWS, documents, empty
@@ -21,21 +22,64 @@ def test_base_scores_and_counts(spark):
     assert any(r.held_out for r in got) and all(r.score < 0 for r in got)
 
 
+def table(word, context, shard=0):
+    """A shard's row with every pair of these contexts and words, seen or not; word 40 is never seen: the unknown."""
+    every = np.array([(c, w) for c in np.unique(context) for w in range(41)])
+    counts = np.zeros((int(context.max()) + 1, 41), np.int64)
+    np.add.at(counts, (context, word), 1)
+    columns = py._table(np.unique(context).astype(np.uint64), np.arange(41, dtype=np.uint64), np.searchsorted(np.unique(context), every[:, 0]) * 41 + every[:, 1], counts[every[:, 0], every[:, 1]])
+    return SimpleNamespace(shard=shard, **dict(zip(py._names(py.PAIRS), columns, strict=True)))
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    word, kind = rng.integers(0, 40, 3000), rng.integers(0, 5, 3000) * py.FINE + rng.integers(0, 3, 3000)
-    every = np.array([(w, k) for w in range(41) for k in np.unique(kind)])  # word 40 is never seen: the unknown
-    code, count = np.unique(word * 4096 + kind, return_counts=True)
-    seen = dict(zip(code.tolist(), count.tolist(), strict=True))
-    counts = np.array([seen.get(int(w) * 4096 + int(k), 0) for w, k in every])
-    row = {"shard": 0, "pair_word": py.pack(every[:, 0].astype(np.uint32)), "pair_class": py.pack(every[:, 1].astype(np.uint16)), "pair_count": py.pack(counts)}
-    s, kinds = py.Shard(row), py.COARSE * py.FINE
-    ones = np.ones((py.SAMPLES, kinds))
-    seating = py.Totals(3000, 40, (0.5, 0.6, 0.7), np.bincount(kind, minlength=kinds).astype(float), ones, ones[:, : py.COARSE], np.full(py.SAMPLES, 40.0))
-    chain = list(s.chain(seating))
-    own = py.Totals(3000, 40, seating.discount, seating.customers, np.stack([np.bincount(s.kind, x[0], kinds) for x in chain]), np.stack([np.bincount(s.coarse_kind, x[2], py.COARSE) for x in chain]), np.array([x[4].sum() for x in chain]))
-    p = s.probabilities(seating, own)
-    assert np.allclose(np.bincount(every[:, 1], p)[np.unique(kind)], 1.0)
+    word, context = rng.integers(0, 40, 3000), rng.integers(0, 9, 3000)
+    shards = [py.Shard(table(word[context % 2 == k], context[context % 2 == k], k)) for k in range(2)]
+    weight = np.full(41, 1 / 41)
+    chains = [list(s.chain(weight, 2.0, 0.6, 1)) for s in shards]
+    customers = sum(np.stack([s.by_word(t) for t in chain], 1) for s, chain in zip(shards, chains, strict=True))
+    tables = np.minimum(customers, 1)
+    totals = py.Totals(3000, 40, (20.0, 2.0), (0.5, 0.6), customers.sum(0), tables.sum(0))
+    root = totals.root(customers, tables)
+    assert np.allclose(root.sum(0), 1)
+    for s, chain in zip(shards, chains, strict=True):
+        assert np.allclose(s.by_context(s.probabilities(chain, 2.0, 0.6, root)), 1)
+
+
+def test_seats_between_one_table_and_one_for_each_customer():
+    rng = np.random.default_rng(1)
+    customers = np.array([0, 1, 2, 50, 5000] * 40)
+    t = py.seat(customers, np.full(200, 300.0), 2.0, 0.7, np.full(200, 0.01), rng)
+    assert ((t >= np.minimum(customers, 1)) & (t <= customers)).all()
+    sure = py.seat(customers, np.full(200, 300.0), 2.0, 0.7, np.full(200, 1e-12), rng)
+    assert (sure == np.minimum(customers, 1)).all()
+
+
+def kneser_ney(docs):
+    """Sum of log10 probabilities of held-out texts under an interpolated Kneser-Ney bigram with one discount a level."""
+    texts = [(py.is_held_out(d), [b"", *TOKEN.findall((x or "").encode().translate(FOLD)), None]) for d, x in docs]
+    pairs = Counter(p for held, ws in texts if not held for p in zip(ws, ws[1:], strict=False))
+    customers, types, follows = Counter(), Counter(), Counter()
+    for (u, w), c in pairs.items():
+        customers[u] += c
+        types[u] += 1
+        follows[w] += 1
+    discount = lambda c: (n := Counter(c.values()))[1] / (n[1] + 2 * n[2])
+    d0, d1 = discount(follows), discount(pairs)
+    base = d0 * len(follows) / len(pairs) / (len(follows) + 1)
+    total = 0.0
+    for held, ws in texts:
+        for u, w in zip(ws, ws[1:], strict=False) if held else ():
+            p = max(follows[w] - d0, 0) / len(pairs) + base
+            total += math.log10((max(pairs[u, w] - d1, 0) + d1 * types[u] * p) / customers[u] if customers[u] else p)
+    return total
+
+
+def test_held_out_text_is_no_worse_than_by_kneser_ney(spark):
+    sf = "/root/testdata/sf0.01"  # not the table by which the strengths were chosen
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = py.op3_pitman_yor(spark, sf).filter("held_out").agg({"score": "sum"}).first()[0]
+    assert got >= kneser_ney(docs)
 
 
 def test_held_out_text_is_better_than_base(spark):
