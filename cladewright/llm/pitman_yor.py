@@ -40,7 +40,7 @@ from .common import PrefixHash, mix, saved, spans, table, text_steps, visible_by
 
 #: Strengths of the root and of contexts; a small one of contexts scored best on held-out texts of sf0.001.
 STRENGTH = (20.0, 0.1)
-BURN, SAMPLES, ROUNDS, SEED = 2, 4, 2, 11
+BURN, SAMPLES, ROUNDS, SEED = 2, 4, 2, 11  # at least two rounds
 #: Text for a chunk, for a part of the occurrences of a shard, and for a shard; parts merged at once.
 CHUNK_BYTES, PART_BYTES, SHARD_BYTES, FAN = 12 << 20, 96 << 20, 256 << 20, 16
 BEGIN, END = np.uint64(0x8F1C3A5D27B6940E), np.uint64(0xE4D5B0F1A2937C61)
@@ -314,83 +314,134 @@ class Shard:
         return total / SAMPLES
 
 
-CUSTOMERS, TABLES = [f"c{k}" for k in range(SAMPLES)], [f"t{k}" for k in range(SAMPLES)]
-SENT_ROW = f"shard int, word long, n long, once long, twice long, parent double, {', '.join(f'{c} double' for c in CUSTOMERS)}"
-ROOT_ROW = f"{SENT_ROW}, {', '.join(f'{t} double' for t in TABLES)}, lead boolean"
+# Shards and buckets of the root exchange arrays, not rows: a shard's words, sorted by bucket and hash, keep their order in
+# all rounds, so hashes are sent once.
+SENT_ROW = "shard int, bucket int, words binary, n binary, once long, twice long, customers binary"
+ROOT_ROW = "shard int, bucket int, place binary, n binary, customers binary, tables binary, sums array<double>"
+SUMS = 4 + 2 * SAMPLES  # of tokens, types, words after one context and after two, and of customers and tables by sample
 
 
-def _sent(s: Shard, n, once, twice, parent, customers):
-    import pandas as pd
+def _by_bucket(words: np.ndarray, n_buckets: int):
+    """(order of words by bucket, edges of the buckets in it)."""
+    bucket = (words % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
 
-    first = {"shard": np.full(len(s.words), s.number, np.int32), "word": s.words.view(np.int64), "n": n, "once": once, "twice": twice, "parent": parent}
-    return pd.DataFrame(first | {c: x.astype(np.float64) for c, x in zip(CUSTOMERS, customers, strict=True)}).astype({"n": "int64", "once": "int64", "twice": "int64"})
 
+def _samples(blobs) -> np.ndarray:
+    """(words, SAMPLES) of packed arrays one after another."""
+    return np.concatenate([np.zeros((0, SAMPLES)), *[unpack(x).reshape(SAMPLES, -1).T for x in blobs]])
 
-def _count_task(frames):
-    """Shards -> for each of their words: customers, pairs met once and twice, and one table for each context it follows."""
-    for frame in frames:
-        for row in frame.itertuples():
-            s = Shard(row)
-            tables = s.by_word(s.count > 0)
-            yield _sent(s, s.by_word(s.count), s.by_word(s.count == 1), s.by_word(s.count == 2), np.zeros(len(s.words)), [tables] * SAMPLES)
 
+def _count_task(n_buckets: int):
+    """Shards -> for each bucket their words, with customers and one table for each context; and pairs met once and twice."""
 
-def _aligned(s: Shard, root):
-    """The root's rows for the words of a shard, in the order of its words."""
-    root = root.iloc[np.argsort(root["word"].to_numpy().view(np.uint64))]
-    return root["n"].to_numpy(), root[CUSTOMERS].to_numpy(), root[TABLES].to_numpy(), root["parent"].to_numpy()
+    def run(frames):
+        import pandas as pd
 
+        for frame in frames:
+            for row in frame.itertuples():
+                s = Shard(row)
+                order, edges = _by_bucket(s.words, n_buckets)
+                n, tables = s.by_word(s.count)[order].astype(np.int64), s.by_word(s.count > 0)[order].astype(np.uint32)
+                met = {"once": int((s.count == 1).sum()), "twice": int((s.count == 2).sum())}
+                rows = []
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    at = slice(edges[b], edges[b + 1])
+                    rows.append([s.number, b, s.words[order[at]].tobytes(), pack(n[at]), *(0 if rows else x for x in met.values()), pack(tables[at])])
+                yield pd.DataFrame(rows, columns=_names(SENT_ROW))
 
-def _sweep_task(totals: Totals, number: int):
-    """A shard and the root's state of its words -> the tables of each word, summed over the shard's contexts."""
+    return run
 
-    def run(key, pairs, root):
-        s = Shard(next(pairs.itertuples()))
-        n, customers, tables, _ = _aligned(s, root)
-        parent = totals.root(customers, tables).mean(1)
-        zero = np.zeros(len(s.words))
-        return _sent(s, n, zero, zero, parent, [s.by_word(t) for t in s.chain(parent, totals.strength[1], totals.discount[1], number)])
+
+def _root_rows(frame, place, customers: np.ndarray, tables: np.ndarray, n: np.ndarray | None = None):
+    """The state of a bucket for the shards of frame, each with the words at its place; sums in the first row."""
+    import pandas as pd
+
+    sums = [0.0] * 4 if n is None else [float(n.sum()), float((n > 0).sum()), float((customers[:, 0] == 1).sum()), float((customers[:, 0] == 2).sum())]
+    sums += [*customers.sum(0).tolist(), *tables.sum(0).tolist()]
+    packed = lambda x, at: pack(np.ascontiguousarray(x[at].T).astype(np.uint32).ravel())
+    rows = []
+    for row, at in zip(frame.itertuples(), place, strict=True):
+        first = [None, None] if n is None else [pack(np.diff(at, prepend=0).astype(np.uint32)), pack(n[at])]
+        rows.append([row.shard, row.bucket, *first, packed(customers, at), packed(tables, at), None if rows else sums])
+    return pd.DataFrame(rows, columns=_names(ROOT_ROW))
+
+
+def _first_root_task(frame):
+    """What shards first send to a bucket -> its state with one table for each word."""
+    frame = frame.sort_values("shard", ignore_index=True)
+    words = _vocabulary(frame["words"])
+    place = [np.searchsorted(words, np.frombuffer(x, np.uint64)) for x in frame["words"]]
+    every = np.concatenate(place)
+    n = np.bincount(every, np.concatenate([unpack(x) for x in frame["n"]]), len(words)).astype(np.int64)
+    customers = np.bincount(every, np.concatenate([unpack(x) for x in frame["customers"]]), len(words))
+    customers = np.repeat(customers[:, None], SAMPLES, axis=1)
+    return _root_rows(frame, place, customers, np.minimum(customers, 1), n)
+
+
+def _root_task(totals: Totals, number: int):
+    """The customers that shards send to a bucket, and the bucket's first state -> its state in this round."""
+
+    def run(key, sent, first):
+        sent, first = (x.sort_values("shard", ignore_index=True) for x in (sent, first))
+        place = [np.cumsum(unpack(x), dtype=np.int64) for x in first["place"]]
+        every, values = np.concatenate(place), _samples(sent["customers"])
+        rng = np.random.default_rng((SEED, 1 << 20, number, int(key[0])))
+        customers = np.stack([np.bincount(every, values[:, k]) for k in range(SAMPLES)], 1)
+        others, parent = totals.tables.mean() - 1, np.full(len(customers), 1 / (totals.n_types + 1))
+        seated = [seat(c, np.full(len(c), others), totals.strength[0], totals.discount[0], parent, rng) for c in customers.T]
+        return _root_rows(first, place, customers, np.stack(seated, 1))
 
     return run
 
 
-def _root_task(strength: float, discount: float, sizes: tuple[float, float, float], number: int):
-    """A bucket of the root's words as sent by shards -> the same rows with sums over shards, and tables.
+def _root_of(s: Shard, root, n_buckets: int):
+    """(customers, tables) at the root, (words, SAMPLES) each, for the words of a shard."""
+    order, _ = _by_bucket(s.words, n_buckets)
+    root = root.sort_values("bucket")
+    out = []
+    for column in ("customers", "tables"):
+        x = np.empty((len(order), SAMPLES))
+        x[order] = _samples(root[column])
+        out.append(x)
+    return out
 
-    sizes: tokens, types and tables so far. The first row of a word leads, for sums over words.
-    """
 
-    def run(key, frame):
-        frame = frame.sort_values(["word", "shard"], ignore_index=True)
-        word = frame["word"].to_numpy()
-        lead = np.concatenate(([True], word[1:] != word[:-1]))
-        at, of = np.flatnonzero(lead), np.cumsum(lead) - 1
-        rng = np.random.default_rng((SEED, 1 << 20, number, int(key[0])))
-        for c in ["n", *CUSTOMERS][number > 0 :]:  # counts are whole from the first round on
-            frame[c] = np.add.reduceat(frame[c].to_numpy(), at)[of]
-        parent = np.full(len(at), 1 / (sizes[1] + 1))
-        for c, t in zip(CUSTOMERS, TABLES, strict=True):
-            own = frame[c].to_numpy()[at]
-            some = (own > 0).astype(np.float64)
-            frame[t] = seat(own, sizes[2] - some, strength, discount, parent, rng)[of]
-        frame["lead"] = lead
-        return frame[_names(ROOT_ROW)]
+def _sweep_task(totals: Totals, number: int, n_buckets: int):
+    """A shard and the root's state of its words -> the tables of each word, summed over the shard's contexts."""
+
+    def run(key, pairs, root):
+        import pandas as pd
+
+        s = Shard(next(pairs.itertuples()))
+        parent = totals.root(*_root_of(s, root, n_buckets)).mean(1)
+        order, edges = _by_bucket(s.words, n_buckets)
+        sent = np.stack([s.by_word(t) for t in s.chain(parent, totals.strength[1], totals.discount[1], number)])[:, order].astype(np.uint32)
+        rows = [[s.number, b, pack(np.ascontiguousarray(sent[:, edges[b] : edges[b + 1]]).ravel())] for b in np.flatnonzero(np.diff(edges)).tolist()]
+        return pd.DataFrame(rows, columns=["shard", "bucket", "customers"])
 
     return run
 
 
-def _rate_task(totals: Totals, number: int):
-    """A shard and the root's last state of its words -> the log probability of each pair, the count of each token."""
+def _rate_task(before: Totals, totals: Totals, number: int, n_buckets: int):
+    """A shard and the root's states of its words -> the log probability of each pair, the count of each token.
+
+    States are the first one, which has the counts, and those of the rounds before the last and of the last.
+    """
 
     def run(key, pairs, root):
         import pandas as pd
 
         row = next(pairs.itertuples())
         s = Shard(row)
-        n, customers, tables, parent = _aligned(s, root)
+        parent = before.root(*_root_of(s, root[root["round"] == number - 1], n_buckets)).mean(1)
+        own = totals.root(*_root_of(s, root[root["round"] == number], n_buckets))
+        n = np.empty(len(s.words), np.int64)
+        n[_by_bucket(s.words, n_buckets)[0]] = np.concatenate([np.zeros(0, np.int64), *map(unpack, root[root["round"] == 0].sort_values("bucket")["n"])])
         local = totals.strength[1], totals.discount[1]
-        log_p = np.log10(s.probabilities(s.chain(parent, *local, number), *local, totals.root(customers, tables)))
-        return pd.DataFrame([[row.shard, row.part, row.contexts, row.words, row.pair_context, row.pair_word, pack(log_p), pack(n)]], columns=_names(RATED_ROW))
+        log_p = np.log10(s.probabilities(s.chain(parent, *local, number), *local, own))
+        return pd.DataFrame([[row.shard, row.part, row.contexts, row.words, row.pair_context, row.pair_word, pack(log_p.astype(np.float32)), pack(n)]], columns=_names(RATED_ROW))
 
     return run
 
@@ -403,7 +454,7 @@ def _score_task(totals: Totals):
 
         for batch in batches:
             for row in batch.to_pylist():
-                log_p, c = unpack(row["log_p"]), unpack(row["word_count"])
+                log_p, c = unpack(row["log_p"]).astype(np.float64), unpack(row["word_count"])
                 log_base, known = np.log10((c + 1) / (totals.n_tokens + totals.n_types + 1)), (c > 0).astype(np.float64)
                 word = unpack(row["pair_word"])
                 occurrence, per_doc = unpack(row["occurrence"]), unpack(row["per_doc"])
@@ -437,6 +488,10 @@ def _document_task(n_tokens: float):
     return run
 
 
+def _sums(root: DataFrame) -> list[float]:
+    return [x or 0.0 for x in root.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(SUMS)]).first()]
+
+
 def score_documents(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each document."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -447,23 +502,25 @@ def score_documents(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -
     levels = merged_tables(parts, n_parts)
     pairs = levels[-1]
 
-    sent = saved(pairs.mapInPandas(_count_task, SENT_ROW), "sent")
-    n_tokens, once, twice = (x or 0 for x in sent.agg(F.sum("n"), F.sum("once"), F.sum("twice")).first())
-    types = sent.groupBy("word").agg(F.sum("n").alias("n"), F.sum(CUSTOMERS[0]).alias("c")).filter("n > 0")
-    n_types, root_once, root_twice, n_tables = (x or 0 for x in types.agg(F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("int")), F.sum((F.col("c") == 2).cast("int")), F.count(F.lit(1))).first())
+    sent = saved(pairs.mapInPandas(_count_task(n_shards), SENT_ROW), "sent")
+    once, twice = (x or 0 for x in sent.agg(F.sum("once"), F.sum("twice")).first())
+    rounds = [saved(sent.groupBy("bucket").applyInPandas(_first_root_task, ROOT_ROW), "root")]
+    n_tokens, n_types, root_once, root_twice, *sums = _sums(rounds[0])
     discount = tuple(max(0.1, min(0.95, n1 / max(1.0, n1 + 2 * n2))) for n1, n2 in ((root_once, root_twice), (once, twice)))
-    for number in range(ROUNDS + 1):
-        if number:
-            sent = pairs.groupBy("shard").cogroup(root.groupBy("shard")).applyInPandas(_sweep_task(totals, number), SENT_ROW)
-        seated = sent.groupBy(F.pmod("word", F.lit(n_shards)).alias("bucket")).applyInPandas(_root_task(strength[0], discount[0], (n_tokens, n_types, n_tables), number), ROOT_ROW)
-        root = saved(seated, "root")
-        sums = [x or 0.0 for x in root.filter("lead").agg(*[F.sum(c) for c in (*CUSTOMERS, *TABLES)]).first()]
-        totals = Totals(n_tokens, n_types, strength, discount, np.array(sums[:SAMPLES]), np.array(sums[SAMPLES:]))
-        n_tables = float(totals.tables.mean())
-    rated = pairs.groupBy("shard").cogroup(root.groupBy("shard")).applyInPandas(_rate_task(totals, ROUNDS), RATED_ROW)
+    totals = [Totals(n_tokens, n_types, strength, discount, np.array(sums[:SAMPLES]), np.array(sums[SAMPLES:]))]
+    index = rounds[0].select("shard", "bucket", "place")
+    for number in range(1, ROUNDS + 1):
+        swept = pairs.groupBy("shard").cogroup(rounds[-1].select("shard", "bucket", "customers", "tables").groupBy("shard")).applyInPandas(_sweep_task(totals[-1], number, n_shards), "shard int, bucket int, customers binary")
+        rounds.append(saved(swept.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_root_task(totals[-1], number), ROOT_ROW), "root"))
+        sums = _sums(rounds[-1])[4:]
+        totals.append(Totals(n_tokens, n_types, strength, discount, np.array(sums[:SAMPLES]), np.array(sums[SAMPLES:])))
+    state = rounds[0].select("shard", "bucket", F.lit(0).alias("round"), "n", F.lit(None).cast("binary").alias("customers"), F.lit(None).cast("binary").alias("tables"))
+    for number in (ROUNDS - 1, ROUNDS):
+        state = state.unionByName(rounds[number].select("shard", "bucket", F.lit(number).alias("round"), F.lit(None).cast("binary").alias("n"), "customers", "tables"))
+    rated = pairs.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_rate_task(totals[-2], totals[-1], ROUNDS, n_shards), RATED_ROW)
     rated = handed_down(saved(rated, "rated"), levels)
     scored = parts.select("shard", "part", "occurrence", "chunks", "chunk_docs", "per_doc", "docs").join(rated.select("shard", "part", "pair_word", "log_p", "word_count"), ["shard", "part"])
-    sums = scored.mapInArrow(_score_task(totals), "chunk long, score binary, base binary, known binary, ids binary, nulls binary, tokens binary")
+    sums = scored.mapInArrow(_score_task(totals[-1]), "chunk long, score binary, base binary, known binary, ids binary, nulls binary, tokens binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = sums.groupBy("chunk").applyInPandas(_document_task(n_tokens), schema)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
