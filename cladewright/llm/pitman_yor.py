@@ -144,7 +144,9 @@ PAIRS = "contexts binary, words binary, pair_context binary, pair_word binary, p
 CHUNK_ROW = f"shard int, chunk long, {PAIRS}, occurrence binary, per_doc binary, doc_ids binary, doc_nulls binary, doc_tokens binary"
 TABLE_ROW = f"shard int, part int, {PAIRS}"
 PART_ROW = f"{TABLE_ROW}, occurrence binary, chunks binary, chunk_docs binary, per_doc binary, docs array<struct<chunk:long,ids:binary,nulls:binary,tokens:binary>>"
-RATED_ROW = "shard int, part int, contexts binary, words binary, pair_context binary, pair_word binary, log_p binary, word_count binary"
+#: A merged table (child null), or where the pairs and words of one of the tables that it was merged from lie in it.
+MERGED_ROW = f"{TABLE_ROW}, child int, pair_place binary, word_place binary"
+RATED_ROW = "shard int, part int, log_p binary, word_count binary"
 
 
 def _names(schema: str) -> list[str]:
@@ -169,11 +171,20 @@ def _codes(contexts: np.ndarray, words: np.ndarray, row) -> np.ndarray:
 
 
 def _merged(frame):
-    """(columns of PAIRS of all rows together, place of each row's pairs among them)."""
+    """(columns of PAIRS of all rows together, place of each row's pairs among them, words)."""
     contexts, words = _vocabulary(frame["contexts"]), _vocabulary(frame["words"])
-    pairs, place = np.unique(np.concatenate([_codes(contexts, words, r) for r in frame.itertuples()]), return_inverse=True)
+    codes = [_codes(contexts, words, r) for r in frame.itertuples()]
+    pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
     count = np.bincount(place, np.concatenate([unpack(x) for x in frame["pair_count"]]), len(pairs))
-    return _table(contexts, words, pairs, count), place
+    return _table(contexts, words, pairs, count), np.split(place, np.cumsum([len(c) for c in codes])[:-1]), words
+
+
+def _ascending(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=0).astype(np.uint32))
+
+
+def _from_ascending(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.int64)
 
 
 def _part_task(key, frame):
@@ -181,13 +192,9 @@ def _part_task(key, frame):
     import pandas as pd
 
     frame = frame.sort_values("chunk", ignore_index=True)
-    columns, place = _merged(frame)
+    columns, place, _ = _merged(frame)
     per_doc = [unpack(x) for x in frame["per_doc"]]
-    occurrence, begin = [], 0
-    for r in frame.itertuples():
-        own = unpack(r.occurrence)
-        occurrence.append(place[begin + own.astype(np.int64)].astype(np.uint32))
-        begin += len(unpack(r.pair_word))
+    occurrence = [at[unpack(x)].astype(np.uint32) for at, x in zip(place, frame["occurrence"], strict=True)]
     docs = [{"chunk": r.chunk, "ids": r.doc_ids, "nulls": r.doc_nulls, "tokens": r.doc_tokens} for r in frame.itertuples() if r.doc_ids is not None]
     sizes = np.array([len(n) for n in per_doc], np.uint32)
     row = [int(key[0]), int(key[1]), *columns, pack(np.concatenate(occurrence)), pack(frame["chunk"].to_numpy()), pack(sizes), pack(np.concatenate(per_doc)), docs]
@@ -195,45 +202,54 @@ def _part_task(key, frame):
 
 
 def _merge_task(key, frame):
-    """Pairs of some parts of a shard -> one table, with counts added up."""
+    """Pairs of some parts of a shard -> one table, with counts added up, and the place of each part's pairs in it."""
     import pandas as pd
 
-    return pd.DataFrame([[int(key[0]), int(key[1]), *_merged(frame)[0]]], columns=_names(TABLE_ROW))
+    frame = frame.sort_values("child", ignore_index=True)
+    columns, place, words = _merged(frame)
+    own = [int(key[0]), int(key[1])]
+    rows = [[*own, *columns, None, None, None]]
+    for r, at in zip(frame.itertuples(), place, strict=True):
+        rows.append([*own, *[None] * len(columns), r.child, _ascending(at), _ascending(np.searchsorted(words, np.frombuffer(r.words, np.uint64)))])
+    return pd.DataFrame(rows, columns=_names(MERGED_ROW))
 
 
-def _hand_down_task(key, above, below):
-    """A rated table and those it was merged from -> each of those, rated."""
+def _hand_down_task(key, above, places):
+    """A rated table and the places of those it was merged from -> each of those, rated."""
     import pandas as pd
 
-    top = next(above.itertuples())
-    contexts, words = np.frombuffer(top.contexts, np.uint64), np.frombuffer(top.words, np.uint64)
-    codes, log_p, count = _codes(contexts, words, top), unpack(top.log_p), unpack(top.word_count)
-    rows = []
-    for r in below.itertuples():
-        at = np.searchsorted(codes, _codes(contexts, words, r))
-        mine = np.searchsorted(words, np.frombuffer(r.words, np.uint64))
-        rows.append([r.shard, r.part, r.contexts, r.words, r.pair_context, r.pair_word, pack(log_p[at]), pack(count[mine])])
+    log_p, count = (unpack(above[c].iloc[0]) for c in ("log_p", "word_count"))
+    rows = [[r.shard, r.child, pack(log_p[_from_ascending(r.pair_place)]), pack(count[_from_ascending(r.word_place)])] for r in places.itertuples()]
     return pd.DataFrame(rows, columns=_names(RATED_ROW))
 
 
-def merged_tables(parts: DataFrame, n_parts: int) -> list[DataFrame]:
-    """The parts' tables, and each level of the tree above; the last has one table for each shard."""
-    levels = [parts.select(*_names(TABLE_ROW))]
+def merged_tables(parts: DataFrame, n_parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """One table for each shard, and for each level of the tree below the places of its tables in those above."""
+    top, places = parts.select(*_names(TABLE_ROW)), []
     while n_parts > 1:
         n_parts = -(-n_parts // FAN)
-        above = levels[-1].withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
-        levels.append(saved(above.groupBy("shard", "part").applyInPandas(_merge_task, TABLE_ROW), "tables"))
-    return levels
+        above = top.withColumn("child", F.col("part")).withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+        merged = saved(above.groupBy("shard", "part").applyInPandas(_merge_task, MERGED_ROW), "tables")
+        top = merged.filter("child is null").select(*_names(TABLE_ROW))
+        places.append(merged.filter("child is not null").select("shard", "part", "child", "pair_place", "word_place"))
+    return top, places
 
 
-def handed_down(rated: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Log probabilities of the last level's pairs -> those of the first level's."""
-    for below in reversed(levels[:-1]):
-        above = rated.withColumnRenamed("part", "node").groupBy("shard", "node")
-        rated = above.cogroup(below.withColumn("node", F.floor(F.col("part") / FAN).cast("int")).groupBy("shard", "node")).applyInPandas(_hand_down_task, RATED_ROW)
+def handed_down(rated: DataFrame, places: list[DataFrame]) -> DataFrame:
+    """Log probabilities of the shards' pairs -> those of the parts' pairs."""
+    for below in reversed(places):
+        rated = rated.groupBy("shard", "part").cogroup(below.groupBy("shard", "part")).applyInPandas(_hand_down_task, RATED_ROW)
     return rated
 
 
+def _release_shuffles(df: DataFrame) -> None:
+    """Spark deletes shuffle files when the driver collects their plans as garbage, which a long quiet driver seldom does.
+
+    Called where a saved table has made the shuffles before it needless.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 # -- the model -----------------------------------------------------------------------------------------------------
 
 
@@ -363,7 +379,7 @@ def _root_rows(frame, place, customers: np.ndarray, tables: np.ndarray, n: np.nd
     packed = lambda x, at: pack(np.ascontiguousarray(x[at].T).astype(np.uint32).ravel())
     rows = []
     for row, at in zip(frame.itertuples(), place, strict=True):
-        first = [None, None] if n is None else [pack(np.diff(at, prepend=0).astype(np.uint32)), pack(n[at])]
+        first = [None, None] if n is None else [_ascending(at), pack(n[at])]
         rows.append([row.shard, row.bucket, *first, packed(customers, at), packed(tables, at), None if rows else sums])
     return pd.DataFrame(rows, columns=_names(ROOT_ROW))
 
@@ -385,7 +401,7 @@ def _root_task(totals: Totals, number: int):
 
     def run(key, sent, first):
         sent, first = (x.sort_values("shard", ignore_index=True) for x in (sent, first))
-        place = [np.cumsum(unpack(x), dtype=np.int64) for x in first["place"]]
+        place = [_from_ascending(x) for x in first["place"]]
         every, values = np.concatenate(place), _samples(sent["customers"])
         rng = np.random.default_rng((SEED, 1 << 20, number, int(key[0])))
         customers = np.stack([np.bincount(every, values[:, k]) for k in range(SAMPLES)], 1)
@@ -441,7 +457,7 @@ def _rate_task(before: Totals, totals: Totals, number: int, n_buckets: int):
         n[_by_bucket(s.words, n_buckets)[0]] = np.concatenate([np.zeros(0, np.int64), *map(unpack, root[root["round"] == 0].sort_values("bucket")["n"])])
         local = totals.strength[1], totals.discount[1]
         log_p = np.log10(s.probabilities(s.chain(parent, *local, number), *local, own))
-        return pd.DataFrame([[row.shard, row.part, row.contexts, row.words, row.pair_context, row.pair_word, pack(log_p.astype(np.float32)), pack(n)]], columns=_names(RATED_ROW))
+        return pd.DataFrame([[row.shard, row.part, pack(log_p.astype(np.float32)), pack(n)]], columns=_names(RATED_ROW))
 
     return run
 
@@ -499,9 +515,9 @@ def score_documents(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -
     n_shards, n_parts = max(12, -(-size // SHARD_BYTES)), max(1, -(-size // PART_BYTES))
     chunks = source.mapInArrow(_chunk_task(n_shards), CHUNK_ROW).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(n_parts)).cast("int"))
     parts = saved(chunks.groupBy("shard", "part").applyInPandas(_part_task, PART_ROW), "parts")
-    levels = merged_tables(parts, n_parts)
-    pairs = levels[-1]
-
+    _release_shuffles(docs)
+    pairs, places = merged_tables(parts, n_parts)
+    _release_shuffles(docs)
     sent = saved(pairs.mapInPandas(_count_task(n_shards), SENT_ROW), "sent")
     once, twice = (x or 0 for x in sent.agg(F.sum("once"), F.sum("twice")).first())
     rounds = [saved(sent.groupBy("bucket").applyInPandas(_first_root_task, ROOT_ROW), "root")]
@@ -518,8 +534,9 @@ def score_documents(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -
     for number in (ROUNDS - 1, ROUNDS):
         state = state.unionByName(rounds[number].select("shard", "bucket", F.lit(number).alias("round"), F.lit(None).cast("binary").alias("n"), "customers", "tables"))
     rated = pairs.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_rate_task(totals[-2], totals[-1], ROUNDS, n_shards), RATED_ROW)
-    rated = handed_down(saved(rated, "rated"), levels)
-    scored = parts.select("shard", "part", "occurrence", "chunks", "chunk_docs", "per_doc", "docs").join(rated.select("shard", "part", "pair_word", "log_p", "word_count"), ["shard", "part"])
+    rated = saved(rated, "rated")
+    _release_shuffles(docs)
+    scored = parts.select("shard", "part", "pair_word", "occurrence", "chunks", "chunk_docs", "per_doc", "docs").join(handed_down(rated, places), ["shard", "part"])
     sums = scored.mapInArrow(_score_task(totals[-1]), "chunk long, score binary, base binary, known binary, ids binary, nulls binary, tokens binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = sums.groupBy("chunk").applyInPandas(_document_task(n_tokens), schema)
