@@ -42,7 +42,7 @@ from .common import PrefixHash, mix, saved, spans, table, text_steps, visible_by
 STRENGTH = (20.0, 0.1)
 BURN, SAMPLES, ROUNDS, SEED = 2, 4, 2, 11  # at least two rounds
 #: Text for a chunk, for a part of the occurrences of a shard, and for a shard; parts merged at once.
-CHUNK_BYTES, PART_BYTES, SHARD_BYTES, FAN = 12 << 20, 96 << 20, 256 << 20, 16
+CHUNK_BYTES, PART_BYTES, SHARD_BYTES, FAN = 12 << 20, 96 << 20, 64 << 20, 16
 BEGIN, END = np.uint64(0x8F1C3A5D27B6940E), np.uint64(0xE4D5B0F1A2937C61)
 
 
@@ -296,8 +296,9 @@ class Shard:
     def __init__(self, row):
         self.number = int(row.shard)
         self.words = np.frombuffer(row.words, np.uint64)
-        self.context, self.word = unpack(row.pair_context).astype(np.int64), unpack(row.pair_word).astype(np.int64)
+        self.context, self.word = unpack(row.pair_context), unpack(row.pair_word)
         self.count = unpack(row.pair_count)
+        self.many = np.flatnonzero(self.count > 1)  # only these can have more than one table
         self.n_contexts = int(self.context.max()) + 1 if len(self.context) else 0
 
     def by_word(self, x: np.ndarray) -> np.ndarray:
@@ -309,10 +310,12 @@ class Shard:
     def chain(self, parent: np.ndarray, strength: float, discount: float, number: int):
         """Yields the tables of each pair in each sample; parent: root probability of each word of the shard."""
         rng = np.random.default_rng((SEED, number, self.number))
-        parent = parent[self.word]
-        t = np.minimum(self.count, 1).astype(np.float64)
+        customers, context, parent = self.count[self.many], self.context[self.many], parent[self.word[self.many]]
+        t = np.minimum(self.count, 1).astype(np.float32)
         for sweep in range(BURN + SAMPLES):
-            t = seat(self.count, self.by_context(t)[self.context] - t, strength, discount, parent, rng)
+            others = self.by_context(t)[context] - t[self.many]
+            t = t.copy()
+            t[self.many] = seat(customers, others, strength, discount, parent, rng)
             if sweep >= BURN:
                 yield t
 
@@ -321,12 +324,15 @@ class Shard:
 
         root: root probabilities (words, SAMPLES) under the tables of the very chain, in all shards.
         """
-        customers = self.by_context(self.count)[self.context]
+        customers = self.by_context(self.count)
         total = np.zeros(len(self.word))
         for k, t in enumerate(chain):
-            back = strength + discount * self.by_context(t)[self.context]
-            inner = (self.count - discount * t + back * root[self.word, k]) / np.maximum(strength + customers, 1e-300)
-            total += np.where(customers > 0, inner, root[self.word, k])
+            tables, above = self.by_context(t), np.ascontiguousarray(root[:, k])
+            for low in range(0, len(total), 1 << 18):  # in slices, so that temporaries stay small
+                at = slice(low, low + (1 << 18))
+                here, p = customers[self.context[at]], above[self.word[at]]
+                inner = (self.count[at] - discount * t[at] + (strength + discount * tables[self.context[at]]) * p) / np.maximum(strength + here, 1e-300)
+                total[at] += np.where(here > 0, inner, p)
         return total / SAMPLES
 
 
