@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .additive_ann import op10_additive_ann
 from .decontamination import OP1_SQL, op1_decontamination
+from .filter_audit import OP13_SQL, op13_filter_audit
+from .fuzzy_simhash import op12_fuzzy_simhash
+from .importance import op11_importance_resampling
 from .license_scan import OP7_SQL, op7_license_scan
 from .line_dedup import op9_line_dedup
 from .mixing import op8_mixing
@@ -24,10 +27,14 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_additive_ann": op10_additive_ann,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_fuzzy_simhash": op12_fuzzy_simhash,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op7_license_scan": OP7_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
