@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, spans, table, text_steps, visible_bytes
+from .common import hashed_words, saved, spans, table, text_steps, visible_bytes
 
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 50, 65, 5, "#$%&*|"
 MEASURES = ("n_words", "n_distinct", "n_capitals", "n_symbols", "n_chars")
@@ -185,7 +185,8 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "source", filters: dic
     Empty docs give no rows. Other columns are not read, but for those that filters of one's own name among the measures.
     """
     filters = filters or default_filters()
-    masked = failures(measures(docs, part), filters).select("doc_id", "part", "mask")
+    # written once: both the digests and the masks are read from it
+    masked = failures(saved(measures(docs, part), "measures"), filters).select("doc_id", "part", "mask")
     known = labels.groupBy(F.col("doc_id").alias("__labelled")).agg(F.max("quality").alias("good"), F.max("toxic").alias("toxic"))
     both = masked.join(known, masked["doc_id"] == known["__labelled"], "left")
     return interactions(both.select("part", "mask", "good", "toxic"), "".join(filters))
