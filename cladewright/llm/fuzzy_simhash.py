@@ -1,13 +1,16 @@
 """Near duplicates by SimHash, found with Golay-code fuzzy hashing.
 
-A fingerprint of 64 bits is cut into three segments of at most 22 bits. If two fingerprints differ in at most four bits,
-then in some pair of segments they differ in at most two bits together: the third segment has two of four differences at
-least, or one of three (the pigeonhole). The binary Golay code of length 23 is perfect: every
-word is within three bits of exactly one of its 4,096 codewords, and flipping a bit of a word leads to one of at most five
-other codewords at distance four. The keys of a pair of segments are the codewords of both, and those with one of the two
-replaced by a neighbouring codeword: at most 11, one for each codeword pair that some word within one bit of the fingerprint
-decodes to. Two fingerprints that differ in at most two bits there have a word within one bit of both, and share its key.
-So no link is lost, and all candidates are verified by the number of differing bits.
+A fingerprint of 64 bits is cut into three segments of at most 22 bits. The binary Golay code of length 23 is perfect:
+every word is within three bits of exactly one of its 4,096 codewords, and flipping a bit leads to one of at most five other
+codewords at distance four. So two segments that differ in at most two bits share one of the (at most) six codewords within
+four bits of each: the one that the word between them decodes to. Four differences leave two cases (the pigeonhole):
+
+* One segment is equal, and another differs in at most two bits. Keys: the bits of one segment with each codeword near
+  another, at most 36 of 34 bits.
+* No segment is equal, so they differ in 1, 1 and at most 2 bits. A word with one bit flipped in each of two segments lies
+  between. Keys: triples of codewords, of which at most two are not the nearest, at most 91 of 36 bits.
+
+No link is lost so, and all candidates are verified by the number of differing bits.
 
 Only distinct fingerprints meet. A key's members are compared in blocks of at most CHUNK, which give each member the least
 fingerprint of its group there and no lists of pairs; a key with more members is dealt out to blocks of two chunks each.
@@ -30,11 +33,10 @@ from .common import saved, spans, table, text_steps, visible_bytes
 from .components import components
 
 WIDTH, SEED, BITS = 4, 42, 64
-#: Fingerprints link at this many differing bits, the number that three segments of a pair code can bear.
+#: Fingerprints link at this many differing bits; the cases of the segments are for four.
 DISTANCE = 4
 #: (lowest bit, number of bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = tuple(itertools.combinations(range(3), 2))
 CHUNK, MOST = 2_048, 65_536
 
 
@@ -127,23 +129,24 @@ def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, np.where(far > 0, (words[:, None] ^ far) >> CHECKS, -1)
 
 
-def pair_keys(bits: np.ndarray) -> np.ndarray:
-    """Up to 11 keys for each pair of segments, -1 where there are fewer; one row for each fingerprint."""
+def segment_keys(bits: np.ndarray) -> np.ndarray:
+    """Up to 127 keys of each fingerprint, -1 where there are fewer; one row for each fingerprint."""
     bits = bits.view(np.uint64)
-    parts = [codewords(((bits >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64)) for low, n in SEGMENTS]
-    out = []
-    for k, (i, j) in enumerate(PAIRS):
-        (a, more_a), (b, more_b) = parts[i], parts[j]
-        first = np.concatenate([a[:, None], more_a, np.repeat(a[:, None], 5, 1)], 1)
-        second = np.concatenate([b[:, None], np.repeat(b[:, None], 5, 1), more_b], 1)
-        out.append(np.where((first >= 0) & (second >= 0), (k << 24) | (first << 12) | second, -1))
+    exact = [((bits >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64) for low, n in SEGMENTS]
+    decoded = [codewords(x) for x in exact]
+    near = [np.concatenate([c[:, None], others], 1) for c, others in decoded]
+    out = [np.where(near[j] >= 0, (k << 40) | (exact[i][:, None] << 12) | near[j], -1) for k, (i, j) in enumerate(itertools.permutations(range(3), 2))]
+    # codeword numbers (0 the nearest) of the triples: not more than two others
+    picks = np.array([p for p in itertools.product(range(6), repeat=3) if min(p) == 0])
+    a, b, c = (near[k][:, picks[:, k]] for k in range(3))
+    out.append(np.where((a >= 0) & (b >= 0) & (c >= 0), (6 << 40) | (a << 24) | (b << 12) | c, -1))
     return np.concatenate(out, 1)
 
 
 def _key_task(batches):
     for df in batches:
         bits = df["bits"].to_numpy(np.int64)
-        keys = pair_keys(bits)
+        keys = segment_keys(bits)
         on = keys >= 0
         yield pd.DataFrame({"key": keys[on], "bits": np.repeat(bits, on.sum(1))})
 

@@ -49,12 +49,12 @@ def test_code_is_perfect_and_keys_lose_no_link():
     c = b ^ (np.uint64(1) << rng.integers(0, 64, len(a)).astype(np.uint64))
     for other in (b, c[np.bitwise_count(a.view(np.uint64) ^ c) <= 4]):
         mine = a if other is b else a[np.bitwise_count(a.view(np.uint64) ^ c) <= 4]
-        for x, y in zip(fuzzy_simhash.pair_keys(mine), fuzzy_simhash.pair_keys(other.view(np.int64)), strict=True):
+        for x, y in zip(fuzzy_simhash.segment_keys(mine), fuzzy_simhash.segment_keys(other.view(np.int64)), strict=True):
             assert set(x[x >= 0]) & set(y[y >= 0])
     # every way to spread four differences over the segments
     for places in itertools.combinations(range(0, 64, 3), 4):
         x = 0x0123456789ABCDEF
-        keys = fuzzy_simhash.pair_keys(np.array([x, x ^ sum(1 << p for p in places)], np.uint64).view(np.int64))
+        keys = fuzzy_simhash.segment_keys(np.array([x, x ^ sum(1 << p for p in places)], np.uint64).view(np.int64))
         assert set(keys[0][keys[0] >= 0]) & set(keys[1][keys[1] >= 0])
 
 
