@@ -12,10 +12,11 @@ four bits of each: the one that the word between them decodes to. Four differenc
 
 No link is lost so, and all candidates are verified by the number of differing bits.
 
-Only distinct fingerprints meet. A key's members are compared in blocks of at most CHUNK, which give each member the least
-fingerprint of its group there and no lists of pairs; a key with more members is dealt out to blocks of two chunks each.
-Keys of more than MOST members (a ball of fingerprints packed so densely that almost all are links) take another exact way
-whose work grows with the members only: each is sent to all words within two bits, of which two linked ones share one.
+Only distinct fingerprints meet. A key's members are compared in one block, which gives each member the least fingerprint
+of its group there and no lists of pairs. Keys with more than CHUNK members are told by counts over every SAMPLE-th row and
+dealt out to blocks of two chunks each; the estimate decides only where members are compared, never whether. Keys of more
+than MOST members (a ball of fingerprints packed so densely that almost all are links) take another exact way whose work
+grows with the members only: each is sent to all words within two bits, of which two linked ones share one.
 Groups are then joined by connected components.
 """
 
@@ -37,7 +38,7 @@ WIDTH, SEED, BITS = 4, 42, 64
 DISTANCE = 4
 #: (lowest bit, number of bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-CHUNK, MOST = 2_048, 65_536
+CHUNK, MOST, SAMPLE = 2_048, 65_536, 64
 
 
 # -- fingerprints --------------------------------------------------------------------------------------------------
@@ -206,6 +207,11 @@ def _block_task(distance: int):
                 ready = held
             else:
                 return
+            if not len(ready):
+                continue
+            block = ready["block"].to_numpy(np.int64)
+            again = block[1:] == block[:-1]
+            ready = ready[np.concatenate((again, [False])) | np.concatenate(([False], again))]  # most keys have one member
             bits = ready["bits"].to_numpy(np.int64)
             root = bits[block_roots(ready["block"].to_numpy(np.int64), bits, distance)] if len(bits) else bits
             on = root != bits
@@ -228,21 +234,26 @@ def _near_task(batches):
             yield pd.DataFrame({"word": words.ravel().view(np.int64), "bits": np.repeat(bits[k : k + 256], words.shape[1])})
 
 
-def links(distinct: DataFrame, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
+def links(distinct: DataFrame, chunk: int = CHUNK, most: int = MOST, sample: int = SAMPLE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column bits) that join all those within DISTANCE of each other."""
-    keys = saved(distinct.select("bits").mapInPandas(_key_task, "key long, bits long"), "keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = saved(sizes, "key-sizes")
-    met = keys.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    chunked = met.filter(F.col("n") <= most).withColumn("chunk", F.pmod(F.xxhash64("bits"), F.col("chunks")).cast("int"))
-    # one block for a small key, one for each pair of chunks of a large one
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: (c != F.col("chunk")) | (F.col("chunks") == 1))
-    placed = chunked.withColumn("other", F.explode(others))
-    block = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).bitwiseOR(F.lit(-(1 << 63))))
-    placed = placed.select(block.alias("block"), "bits").repartition("block").sortWithinPartitions("block")
+    keys = distinct.select("bits").mapInPandas(_key_task, "key long, bits long")
+    some = keys.filter(F.pmod(F.xxhash64("key", "bits"), F.lit(sample)) == 0)
+    large = some.groupBy("key").agg((sample * F.count(F.lit(1))).alias("n")).filter(F.col("n") > chunk)
+    large = saved(large.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")), "large-keys")
+    placed = keys.select(F.col("key").alias("block"), "bits")
+    if not large.isEmpty():
+        placed = keys.join(large, "key", "left_anti").select(F.col("key").alias("block"), "bits")
+        met = keys.join(large, "key")
+        # one block for each pair of chunks
+        chunked = met.filter(F.col("n") <= most).withColumn("chunk", F.pmod(F.xxhash64("bits"), F.col("chunks")).cast("int"))
+        others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))
+        chunked = chunked.withColumn("other", F.explode(others))
+        block = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).bitwiseOR(F.lit(-(1 << 63)))
+        placed = placed.unionByName(chunked.select(block.alias("block"), "bits"))
+    placed = placed.repartition("block").sortWithinPartitions("block")
     found = placed.mapInPandas(_block_task(DISTANCE), "a long, b long")
-    if not sizes.filter(F.col("n") > most).isEmpty():
-        crowded = met.filter(F.col("n") > most).select("bits").distinct()
+    if not large.filter(F.col("n") > most).isEmpty():
+        crowded = keys.join(large.filter(F.col("n") > most), "key").select("bits").distinct()
         words = saved(crowded.mapInPandas(_near_task, "word long, bits long"), "near-words")
         least = words.groupBy("word").agg(F.min("bits").alias("b"))
         found = found.unionByName(words.join(least, "word").filter("bits <> b").select(F.col("bits").alias("a"), "b"))

@@ -82,7 +82,7 @@ def test_large_keys_in_chunks_and_by_near_words(spark):
     bits = sorted({flipped(rng.choice(centres), rng.randint(0, 5)) for _ in range(500)})
     table = spark.createDataFrame([(b - (1 << 64) if b >> 63 else b,) for b in bits], "bits long")
     want = grouped(bits)
-    for options in ({}, {"chunk": 16}, {"chunk": 16, "most": 40}, {"most": 2}):
+    for options in ({}, {"chunk": 16, "sample": 1}, {"chunk": 16, "sample": 4}, {"chunk": 16, "most": 40, "sample": 1}, {"chunk": 1, "most": 2, "sample": 1}):
         edges = [(r.a % 2**64, r.b % 2**64) for r in fuzzy_simhash.links(table, **options).collect()]
         at = {b: i for i, b in enumerate(bits)}
         assert len(edges) < 40 * len(bits)
