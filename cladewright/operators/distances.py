@@ -157,10 +157,10 @@ def small_parsimony(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None
 
 
 def parsimony_scores(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None = None) -> DataFrame:
-    """(root, score, normalised): each tree's score over all sites, and that for each edge."""
+    """(root, score, normalised): each tree's score over all sites, and that for each inner node (null without one)."""
     score = small_parsimony(tree, leaves, priors).groupBy("root").agg(F.sum("score").alias("score"))
-    edges = node_depths(tree).groupBy("root").agg(F.count(F.lit(1)).alias("edges"))
-    return score.join(edges, "root").select("root", "score", (F.col("score") / F.col("edges")).alias("normalised"))
+    inner = node_depths(tree).join(tree.filter("not is_leaf").select("node"), "node", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("inner"))
+    return score.join(inner, "root", "left").select("root", "score", (F.col("score") / F.col("inner")).alias("normalised"))
 
 
 def site_mutations(tree: DataFrame, states: DataFrame) -> DataFrame:
@@ -171,10 +171,25 @@ def site_mutations(tree: DataFrame, states: DataFrame) -> DataFrame:
     return edge.filter("before <> after").join(roots, "node").select("root", "site", "node", "before", "after")
 
 
+def pair_consensus(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., a, b, consensus, d): for each pair of cells the states that both could have had, and the changes from them.
+
+    cells: by..., cell, site, state (null: missing). A site has the state that both share or that the only known one has;
+    two different states give 0, and neither known null. d counts the known states of the two that differ from it.
+    """
+    x = cells.select(*by, "site", F.col("cell").alias("a"), F.col("state").alias("x"))
+    y = cells.select(*by, "site", F.col("cell").alias("b"), F.col("state").alias("y"))
+    z = F.when(F.col("x").eqNullSafe(F.col("y")) | F.col("y").isNull(), F.col("x")).when(F.col("x").isNull(), F.col("y")).otherwise(0)
+    pairs = x.join(y, [*by, "site"]).filter("a < b").withColumn("z", z)
+    moved = sum((F.when(F.col(c) != F.col("z"), 1).otherwise(0) for c in ("x", "y")), start=F.lit(0))
+    out = pairs.groupBy(*by, "a", "b").agg(F.sort_array(F.collect_list(F.struct("site", "z"))).alias("s"), F.sum(moved).alias("d"))
+    return out.select(*by, "a", "b", F.col("s.z").alias("consensus"), "d")
+
+
 def allelic_coupling(tree: DataFrame, leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, distance, d): for each pair of leaves of a tree its path length and the weighted Hamming distance of states."""
-    d = weighted_hamming(leaves.withColumnRenamed("node", "cell"), by=by)
-    return leaf_lcas(tree).select("a", "b", "distance").join(d, ["a", "b"])
+    """(a, b, distance, consensus, d): for each pair of leaves of a tree its path length and its pair_consensus."""
+    pairs = pair_consensus(leaves.withColumnRenamed("node", "cell"), by)
+    return leaf_lcas(tree).select("a", "b", "distance").join(pairs, ["a", "b"]).select("a", "b", "distance", "consensus", "d")
 
 
 def tree_coupling(tree: DataFrame) -> DataFrame:
@@ -182,6 +197,15 @@ def tree_coupling(tree: DataFrame) -> DataFrame:
     return leaf_lcas(tree).groupBy("lca").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean_distance"))
 
 
+def coupled_leaves(tree: DataFrame, states: DataFrame) -> DataFrame:
+    """(a, b, lca, distance, states): for each pair of leaves its path length and the sequence of its common ancestor.
+
+    states (node, site, state) of all nodes, as ancestral_states() gives them; sequences are in the order of sites.
+    """
+    rows = states.groupBy(F.col("node").alias("lca")).agg(F.sort_array(F.collect_list(F.struct("site", "state"))).alias("s"))
+    return leaf_lcas(tree).join(rows, "lca").select("a", "b", "lca", "distance", F.col("s.state").alias("states"))
+
+
 def aligned_branches(first: DataFrame, second: DataFrame) -> DataFrame:
     """(node, first, second): branch lengths of two trees side by side; null where only one tree has the node."""
     a, b = (t.select("node", F.col("brlen").alias(n)) for t, n in ((first, "first"), (second, "second")))
@@ -206,14 +230,18 @@ def pruned(tree: DataFrame, keep: DataFrame) -> DataFrame:
     return out.select("node", F.col("x.ancestor").alias("parent"), F.coalesce("x.length", "whole").alias("brlen"), F.col("leaf").alias("is_leaf"))
 
 
-def with_duplicates(tree: DataFrame, copies: DataFrame) -> DataFrame:
+#: Fixed value: the least length of an edge.
+LEAST_LENGTH = 0.005
+
+
+def with_duplicates(tree: DataFrame, copies: DataFrame, length: float = LEAST_LENGTH) -> DataFrame:
     """The tree with copies (seed, copy) hung beside their seed leaf: the leaf becomes an inner node numbered -seed.
 
-    Seed and copies are its children, at length 0.
+    That keeps the leaf's length; seed and copies are its children, on edges of the given length.
     """
     seeds = copies.select(F.col("seed").alias("node")).distinct().withColumn("seeded", F.lit(True))
     marked = tree.select("node", "parent", "brlen", "is_leaf").join(seeds, "node", "left")
     hung = F.col("seeded").isNotNull()
     old = marked.select(F.when(hung, -F.col("node")).otherwise(F.col("node")).alias("node"), "parent", "brlen", (F.col("is_leaf") & ~hung).alias("is_leaf"))
     under = seeds.select("node", (-F.col("node")).alias("parent")).unionByName(copies.select(F.col("copy").alias("node"), (-F.col("seed")).alias("parent")))
-    return old.unionByName(under.select("node", "parent", F.lit(0.0).alias("brlen"), F.lit(True).alias("is_leaf")))
+    return old.unionByName(under.select("node", "parent", F.lit(length).alias("brlen"), F.lit(True).alias("is_leaf")))

@@ -26,22 +26,41 @@ def filter_molecule_table(
     return out if conflicts else molecules.map_intbcs(out)
 
 
-def call_lineage_groups(table: DataFrame, min_umis: int = 10, min_prop: float = 0.05, min_presence: float = 0.05, kinship: float = 0.25, inter: float = 0.35, cells_per_group: int = 10) -> DataFrame:
-    """The final allele table of molecules with each cell's lineage group (cellBC, intBC, allele, ..., lineageGrp).
+def refine_lineage_groups(
+    table: DataFrame, groups: DataFrame, min_umis: int = 10, min_reads: float = 2.0, min_presence: float = 0.05, inter: float | None = 0.35, sites: tuple[str, ...] = ("r1", "r2", "r3")
+) -> DataFrame:
+    """From molecules and first groups (cell, lineageGrp from 1) the final allele table with lineageGrp.
 
-    Cells are filtered, groups peeled off by their barcodes, cells matched to the groups' barcode sets and renumbered by
-    size, cells that fit several groups taken out, and molecules counted.
+    Of each group the barcodes with at least min_presence of its commonest one's cells are kept, and its cells go to the
+    group of most share. Groups are numbered anew by size; cells in none have 0, a group like others from here on. Cells
+    whose membership in their own group is under inter go (None: nobody). Then barcodes in min_presence or less of their
+    group's cells and the barcode NC go, molecules are counted and reads summed, and last the cells with under min_umis
+    molecules or min_reads reads a molecule in what is left go. Null barcodes, alleles and sites go with the count.
     """
-    kept = molecules.filter_cells(table, min_umis, 0.0)
-    shares = kept.groupBy(F.col("cellBC").alias("cell"), "intBC").agg(F.count(F.lit(1)).alias("n"))
-    groups = lineages.assign_groups(shares, cells_per_group).filter("lineageGrp > 0")
-    profiles = lineages.group_profiles(shares, groups, min_presence)
-    scored = lineages.score_kinships(shares, profiles).filter(F.col("kinship") >= kinship)
+    by_cell = table.filter("intBC is not null").groupBy(F.col("cellBC").alias("cell"), "intBC").agg(F.count("UMI").alias("n")).checkpoint()
+    grouped = groups.filter("lineageGrp > 0").select("cell", "lineageGrp")
+    assigned = by_cell.join(grouped.select("cell"), "cell", "left_semi")
+    scored = lineages.score_kinships(assigned, lineages.group_profiles(assigned, grouped, min_presence))
     named = lineages.renumber_by_size(scored.select("cell", "lineageGrp"))
-    final = lineages.group_profiles(shares, named, min_prop)
-    single = lineages.filter_inter_doublets(shares, named, final, inter)
-    labelled = kept.join(single.select(F.col("cell").alias("cellBC"), "lineageGrp"), "cellBC")
-    return molecules.collapse_alleles(labelled, extra=("lineageGrp",))
+    named = by_cell.select("cell").distinct().join(named, "cell", "left").select("cell", F.coalesce("lineageGrp", F.lit(0)).alias("lineageGrp")).checkpoint()
+    if inter:
+        named = lineages.filter_inter_doublets(by_cell, named, lineages.group_profiles(by_cell, named, 0.0), inter).checkpoint()
+    good = lineages.filter_group_barcodes(by_cell, named, min_presence).select(F.col("cell").alias("cellBC"), "intBC", "lineageGrp")
+    counted = molecules.collapse_alleles(table.join(good, ["cellBC", "intBC"]), sites, extra=("lineageGrp",))
+    return molecules.filter_cells(counted, min_umis, min_reads, umi_is_count=True)
+
+
+def call_lineage_groups(
+    table: DataFrame, min_umis: int = 10, min_reads: float = 2.0, min_cluster_prop: float = 0.005, min_presence: float = 0.05, kinship: float = 0.25, inter: float | None = 0.35, sites: tuple[str, ...] = ("r1", "r2", "r3")
+) -> DataFrame:
+    """The final allele table of molecules with each cell's lineage group (cellBC, intBC, allele, ..., lineageGrp).
+
+    Groups are peeled off by their barcodes until one has at most min_cluster_prop of all cells, and then refined.
+    """
+    by_cell = table.filter("intBC is not null").groupBy(F.col("cellBC").alias("cell"), "intBC").agg(F.count("UMI").alias("n"))
+    least = int(min_cluster_prop * by_cell.select("cell").distinct().count())
+    groups = lineages.assign_groups(by_cell, least, min_presence, kinship)
+    return refine_lineage_groups(table, groups, min_umis, min_reads, min_presence, inter, sites)
 
 
 STAGES = {

@@ -270,7 +270,7 @@ _on_trees(
 )
 _on_trees(
     "parsimony_scores",
-    f"WITH RECURSIVE {STATES}, {MOVES} SELECT root, CAST(count(*) FILTER (moved) AS double) AS score, round(count(*) FILTER (moved) / (SELECT count(*) FROM nd WHERE nd.root = mv.root), 9) AS normalised FROM mv GROUP BY root",
+    f"WITH RECURSIVE {STATES}, {MOVES} SELECT root, CAST(count(*) FILTER (moved) AS double) AS score, round(count(*) FILTER (moved) / (SELECT count(*) FROM nd JOIN tree i USING (node) WHERE nd.root = mv.root AND NOT i.is_leaf), 9) AS normalised FROM mv GROUP BY root",
     lambda t, v: distances.parsimony_scores(t, v).withColumn("normalised", F.round("normalised", 9)),
 )
 _on_trees(
@@ -280,10 +280,28 @@ _on_trees(
 )
 _on_trees(
     "allelic_coupling",
-    f"""{LCA}, {LEAVES}, hm AS (SELECT x.node AS a, y.node AS b, round(coalesce(sum(CASE WHEN x.state IS NULL OR y.state IS NULL THEN NULL WHEN x.state = y.state THEN 0 WHEN x.state = 0 OR y.state = 0 THEN 1 ELSE 2 END)
- / nullif(count(*) FILTER (x.state IS NOT NULL AND y.state IS NOT NULL), 0), 0), 9) AS d FROM lv x JOIN lv y ON x.dataset = y.dataset AND x.site = y.site AND x.node < y.node GROUP BY x.node, y.node)
-SELECT a, b, round(distance, 9) AS distance, d FROM pr JOIN hm USING (a, b)""",
-    lambda t, v: distances.allelic_coupling(t, v, by=("dataset",)).select("a", "b", F.round("distance", 9).alias("distance"), F.round("d", 9).alias("d")),
+    f"""{LCA}, {LEAVES}, pz AS (
+  SELECT x.node AS a, y.node AS b, x.site, x.state AS x, y.state AS y,
+    CASE WHEN x.state IS NOT DISTINCT FROM y.state OR y.state IS NULL THEN x.state WHEN x.state IS NULL THEN y.state ELSE 0 END AS z
+  FROM lv x JOIN lv y ON x.dataset = y.dataset AND x.site = y.site AND x.node < y.node),
+cs AS (
+  SELECT a, b, string_agg(coalesce(CAST(z AS varchar), '?'), '|' ORDER BY site) AS consensus,
+    CAST(sum(CASE WHEN x <> z THEN 1 ELSE 0 END + CASE WHEN y <> z THEN 1 ELSE 0 END) AS bigint) AS d FROM pz GROUP BY a, b)
+SELECT a, b, round(distance, 9) AS distance, consensus, d FROM pr JOIN cs USING (a, b)""",
+    lambda t, v: distances.allelic_coupling(t, v, by=("dataset",)).withColumns(
+        {"distance": F.round("distance", 9), "consensus": F.array_join(F.col("consensus").cast("array<string>"), "|", "?")}
+    ),
+)
+_on_trees(
+    "coupled_leaves",
+    f"""WITH RECURSIVE {STATES}, lf AS (SELECT up.* FROM up JOIN tree USING (node) WHERE is_leaf),
+pr AS (SELECT a.node AS a, b.node AS b, arg_min(a.ancestor, a.up) AS lca, arg_min(a.length + b.length, a.up) AS distance
+  FROM lf a JOIN lf b ON a.ancestor = b.ancestor AND a.node < b.node GROUP BY a.node, b.node),
+sq AS (SELECT node AS lca, string_agg(CAST(state AS varchar), '|' ORDER BY site) AS states FROM st GROUP BY node)
+SELECT a, b, lca, round(distance, 9) AS distance, states FROM pr JOIN sq USING (lca)""",
+    lambda t, v: distances.coupled_leaves(t, distances.ancestral_states(t, v)).withColumns(
+        {"distance": F.round("distance", 9), "states": F.array_join(F.col("states").cast("array<string>"), "|")}
+    ),
 )
 _query("aligned_branches", "SELECT coalesce(a.node, b.node) AS node, a.brlen AS first, b.brlen AS second FROM (SELECT * FROM tree WHERE NOT is_leaf) a FULL JOIN (SELECT node, brlen * 2 AS brlen FROM tree WHERE parent IS NOT NULL) b ON a.node = b.node", "tree")(
     lambda t: distances.aligned_branches(t.filter("not is_leaf"), t.filter("parent is not null").withColumn("brlen", F.col("brlen") * 2))
@@ -301,7 +319,7 @@ _query(
     "duplicates_attached",
     """WITH cp AS (SELECT node AS seed, node + 10000000 AS copy FROM tree WHERE is_leaf AND brlen > 0.4e0)
 SELECT CASE WHEN seed IS NULL THEN node ELSE -node END AS node, parent, brlen, is_leaf AND seed IS NULL AS is_leaf FROM tree LEFT JOIN cp ON node = seed
-UNION ALL SELECT seed, -seed, 0e0, true FROM cp UNION ALL SELECT copy, -seed, 0e0, true FROM cp""",
+UNION ALL SELECT seed, -seed, 0.005e0, true FROM cp UNION ALL SELECT copy, -seed, 0.005e0, true FROM cp""",
     "tree",
 )(lambda t: distances.with_duplicates(t, t.filter("is_leaf and brlen > 0.4").select(F.col("node").alias("seed"), (F.col("node") + 10000000).alias("copy"))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
-from cladewright.operators import alleles, characters, molecules, stages
+from cladewright.operators import alignment, alleles, characters, molecules, stages
 from cladewright.sources.derived import derive, with_derived
 
 QUERIES: dict = {}
@@ -78,10 +78,29 @@ _query(
     "SELECT cellBC, UMI, pos, base, n FROM (SELECT cellBC, UMI, pos, base, count(*) AS n, row_number() OVER (PARTITION BY cellBC, UMI, pos ORDER BY count(*) DESC, base) AS rn FROM (SELECT cellBC, UMI, CAST(unnest(range(0, 8)) AS int) AS pos, unnest(string_split(seq, '')) AS base FROM reads) p GROUP BY cellBC, UMI, pos, base) x WHERE rn = 1",
     "reads",
 )
+# reads of eight bases: a gap costs more than the four bases on its far side bring, so the best stretch has none
 _query(
-    "joined_alignments", lambda t: alleles.joined_alignments(t.select("readName", "seq"), t.select("seq", F.concat(F.length("seq"), F.lit("M")).alias("CIGAR")).distinct().filter("seq < 'G'")),
-    "SELECT readName, seq, CIGAR FROM reads LEFT JOIN (SELECT DISTINCT seq, length(seq) || 'M' AS CIGAR FROM reads WHERE seq < 'G') a USING (seq)", "reads",
-)
+    "joined_alignments",
+    lambda t: alignment.align_reads(t.select("readName", "seq"), REFERENCE),
+    f"""WITH sq AS (SELECT DISTINCT seq FROM reads),
+stretch AS (SELECT seq, i, j, n, 5 * n - 9 * hamming(substr(seq, i, n), substr('{REFERENCE}', j, n)) AS score
+  FROM sq, (SELECT unnest(range(1, 9))::int AS i), (SELECT unnest(range(1, {len(REFERENCE) + 1}))::int AS j), (SELECT unnest(range(1, 9))::int AS n) WHERE i + n <= 9 AND j + n <= {len(REFERENCE) + 1}),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, i + n, j + n, n) AS rn FROM stretch) x WHERE rn = 1)
+SELECT readName, seq, n || 'M' AS CIGAR, CAST(i - 1 AS int) AS QueryBegin, CAST(j - 1 AS int) AS ReferenceBegin, CAST(score AS double) AS AlignmentScore FROM reads JOIN best USING (seq)""",
+    "reads",
+)
+
+
+def _called(t):
+    """Reads of a target like the reference, with its own barcode and a cut, from the sequences of the alignments table."""
+    a, b = F.substring("seq", 1, 6), F.substring("seq", 7, 3)
+    cut = F.ascii(F.substring("seq", 10, 1)) % 7
+    read = F.concat(F.lit(REFERENCE[:8]), a, F.lit(REFERENCE[14:30]), F.when(cut > 3, b).otherwise(""), F.substring(F.lit(REFERENCE), (31 + cut).cast("int"), F.lit(len(REFERENCE))))
+    reads = t.select("readName", read.alias("seq")).dropDuplicates()
+    return alleles.call_alleles(alignment.align_reads(reads, REFERENCE), REFERENCE, BARCODE, CUTSITES, WIDTH, True, SIZE)
+
+
+_query("aligned_alleles", lambda t: _called(t).select("readName", "CIGAR", "AlignmentScore", "intBC", "r1", "r2", "r3", "allele"), None, "alignments")
 _query(
     "cutsite_codes", lambda t: alleles.cutsite_codes(t).select("cellBC", "intBC", "UMI", "s1", "s2", "s3"),
     "SELECT cellBC, intBC, UMI, " + ", ".join(f"CASE WHEN r{i} = 'None' THEN 0.9e0 WHEN contains(r{i}, 'D') THEN 1.9e0 WHEN contains(r{i}, 'I') THEN 2.9e0 ELSE 0e0 END AS s{i}" for i in (1, 2, 3)) + " FROM alleles", "alleles",
@@ -113,5 +132,43 @@ _query(
 )
 _query("filter_molecule_table", lambda t: stages.filter_molecule_table(t, 10, 2.0, doublets=0.8), None, "alleles")
 _query("call_lineage_groups", lambda t: stages.call_lineage_groups(t), None, "alleles")
+
+
+def _small_cells(alleles):
+    """Cells cut up by the order of their molecules, with few barcodes each; barcodes that begin with AC are not callable."""
+    cell = F.concat("cellBC", F.lit("-"), F.substring("UMI", 2, 3))
+    return alleles.withColumns({"cellBC": cell, "intBC": F.when(F.col("intBC").startswith("AC"), "NC").otherwise(F.col("intBC"))})
+
+
+def _refined(t):
+    t = _small_cells(t)
+    groups = t.select(F.col("cellBC").alias("cell"), (F.ascii(F.substring("cellBC", -1, 1)) % 5).alias("lineageGrp")).distinct().filter("lineageGrp > 0")
+    return stages.refine_lineage_groups(t, groups, 3, 20.0, 0.3, 0.2)
+
+
+_query(
+    "refine_lineage_groups",
+    _refined,
+    """WITH al AS (SELECT * REPLACE (cellBC || '-' || substr(UMI, 2, 3) AS cellBC, CASE WHEN starts_with(intBC, 'AC') THEN 'NC' ELSE intBC END AS intBC) FROM alleles),
+bc AS (SELECT cellBC AS cell, intBC, count(UMI) AS n FROM al GROUP BY ALL),
+gr AS (SELECT DISTINCT cell, ascii(substr(cell, length(cell), 1)) % 5 AS lg FROM bc WHERE ascii(substr(cell, length(cell), 1)) % 5 > 0),
+first_sets AS (SELECT lg, intBC FROM (SELECT lg, intBC, count(*) AS k, max(count(*)) OVER (PARTITION BY lg) AS mx FROM bc JOIN gr USING (cell) GROUP BY lg, intBC) x WHERE k / mx >= 0.3),
+sh AS (SELECT cell, intBC, n / sum(n) OVER (PARTITION BY cell) AS share FROM bc JOIN gr USING (cell)),
+kin AS (SELECT cell, s.lg, sum(share) AS kin FROM sh JOIN first_sets s USING (intBC) GROUP BY cell, s.lg),
+best AS (SELECT cell, lg FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(kin, 9) DESC, lg) AS rn FROM kin) x WHERE rn = 1),
+scored AS (SELECT cell, coalesce(best.lg, 1) AS lg FROM gr LEFT JOIN best USING (cell)),
+renamed AS (SELECT lg, row_number() OVER (ORDER BY count(*) DESC, lg DESC) AS new FROM scored GROUP BY lg),
+named AS (SELECT c.cell, coalesce(new, 0) AS lg FROM (SELECT DISTINCT cell FROM bc) c LEFT JOIN scored USING (cell) LEFT JOIN renamed USING (lg)),
+size AS (SELECT lg, count(*) AS cells FROM named GROUP BY lg),
+presence AS (SELECT lg, intBC, count(*) / any_value(cells) AS p FROM bc JOIN named USING (cell) JOIN size USING (lg) GROUP BY lg, intBC),
+raw AS (SELECT cell, p.lg, sum(p) / any_value(total) AS m FROM bc JOIN presence p USING (intBC) JOIN (SELECT lg, sum(p) AS total FROM presence GROUP BY lg) t ON t.lg = p.lg GROUP BY cell, p.lg),
+member AS (SELECT cell, lg, m / sum(m) OVER (PARTITION BY cell) AS m FROM raw),
+single AS (SELECT cell, lg FROM member JOIN named USING (cell, lg) WHERE m >= 0.2),
+held AS (SELECT lg, intBC FROM (SELECT lg, intBC, count(*) AS k FROM bc JOIN single USING (cell) GROUP BY lg, intBC) x JOIN (SELECT lg, count(*) AS cells FROM single GROUP BY lg) s USING (lg) WHERE k / cells > 0.3 AND intBC <> 'NC'),
+final AS (SELECT cellBC, intBC, allele, r1, r2, r3, CAST(lg AS int) AS lineageGrp, count(UMI) AS UMI, CAST(sum(readCount) AS bigint) AS readCount
+ FROM al JOIN single ON cell = cellBC SEMI JOIN held USING (lg, intBC) GROUP BY ALL)
+SELECT * FROM final WHERE cellBC IN (SELECT cellBC FROM final GROUP BY cellBC HAVING sum(UMI) >= 3 AND sum(readCount) / sum(UMI) >= 20)""",
+    "alleles",
+)
 _SETTINGS = "[general]\nname = x\n[filter_molecules]\nmin_umis = 10\ndoublets = 0.8\n[call_lineages]\nkinship = 0.2\n"
 _query("run_stages", lambda t: stages.run_stages(t, _SETTINGS, last="filter_molecules"), None, "alleles")

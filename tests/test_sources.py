@@ -83,3 +83,17 @@ def test_consensus_ties_go_to_the_better_average(spark):
     rows = [("c", "u", "AA", "5!"), ("c", "u", "CC", "4!")]
     r = molecules.call_consensus(spark.createDataFrame(rows, "cellBC string, UMI string, seq string, qual string")).first()
     assert r.seq == "AN" and r.qual == chr(33 + 10) + chr(33 + 2)
+
+
+def test_rare_barcodes_and_nc_leave_their_groups(spark):
+    rows = [(f"a{i}", b, f"{b}{i}{k}", 5) for i in range(40) for b in ("A", "B", "NC") for k in range(4)]
+    rows += [("a0", "RARE", f"R{k}", 5) for k in range(4)] + [(f"b{i}", b, f"{b}{i}{k}", 5) for i in range(30) for b in ("X", "Y") for k in range(6)]
+    rows += [("few", "X", "X1", 1), ("both", "A", "q1", 9), ("both", "B", "q2", 9), ("both", "X", "q3", 9), ("both", "Y", "q4", 9), (None, "A", "n1", 9), ("a1", None, "n2", 9)]
+    table = spark.createDataFrame([(c, b, u, n, "None", "1D", "2I", f"al{b}") for c, b, u, n in rows], "cellBC string, intBC string, UMI string, readCount long, r1 string, r2 string, r3 string, allele string")
+    got = stages.call_lineage_groups(table, min_umis=2, min_reads=2.0, inter=0.65).collect()
+    assert {r.intBC for r in got if r.cellBC[0] == "a"} == {"A", "B"} and {r.intBC for r in got if r.cellBC[0] == "b" and r.cellBC != "both"} == {"X", "Y"}
+    assert {(r.cellBC[0], r.lineageGrp) for r in got} == {("a", 1), ("b", 2)}
+    assert not {"few", "both", None} & {r.cellBC for r in got} and len(got) == 40 * 2 + 30 * 2
+    assert {(r.UMI, r.readCount) for r in got} == {(4, 20), (6, 30)}
+    kept = stages.call_lineage_groups(table, min_umis=1, min_reads=0.5, inter=None).collect()
+    assert "both" in {r.cellBC for r in kept} and "few" in {r.cellBC for r in kept} and "RARE" not in {r.intBC for r in kept}
