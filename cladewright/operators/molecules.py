@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewright.functions.sequences import all_qualities_reach, hamming
+from cladewright.functions.sequences import all_qualities_reach, hamming, letters
 
 
 def filter_qualities(reads: DataFrame, least: int = 10, columns=("qual",)) -> DataFrame:
@@ -145,17 +145,22 @@ def collapse_alleles(alleles: DataFrame, sites=("r1", "r2", "r3"), extra: tuple[
 
 
 def call_consensus(reads: DataFrame, min_quality: int = 30) -> DataFrame:
-    """One consensus for each (cellBC, UMI): at each place the base with most reads of good quality, then most reads,
-    then the best average quality.
+    """(cellBC, UMI, seq, qual, n): one consensus for each cell and UMI, as long as its longest read, and the reads it has.
 
-    Quality is 31 for a base with more than half of the reads and one of good quality, 10 otherwise; a tie gives N and 2.
+    At each place stands the base with most reads of good quality, then most reads, then the best average quality. Its
+    quality is 31 if more than half of all reads have it and one of them in good quality, else 10; a tie gives N and 2.
     """
-    place = reads.select("cellBC", "UMI", F.posexplode(F.arrays_zip(F.filter(F.split("seq", ""), lambda c: c != "").alias("b"), F.filter(F.split("qual", ""), lambda c: c != "").alias("q"))).alias("pos", "z"))
-    votes = place.filter("z.b is not null").groupBy("cellBC", "UMI", "pos", F.col("z.b").alias("base")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.ascii("z.q") - 33 >= min_quality).alias("good"), F.avg(F.ascii("z.q") - 33).alias("mean"))
-    order = Window.partitionBy("cellBC", "UMI", "pos").orderBy(F.desc("good"), F.desc("c"), F.desc("mean"))
-    ranked = votes.select("*", F.rank().over(order).alias("rk"), F.count(F.lit(1)).over(Window.partitionBy("cellBC", "UMI", "pos", "good", "c", "mean")).alias("ties"), F.sum("c").over(Window.partitionBy("cellBC", "UMI", "pos")).alias("total"))
-    best = ranked.filter("rk = 1").groupBy("cellBC", "UMI", "pos").agg(F.min("base").alias("base"), F.max("ties").alias("ties"), F.max("c").alias("c"), F.max("good").alias("good"), F.max("total").alias("total"))
-    sure = (F.col("c") > 0.5 * F.col("total")) & (F.col("good") > 0)
-    called = best.select("cellBC", "UMI", "pos", F.when(F.col("ties") > 1, "N").otherwise(F.col("base")).alias("base"), F.when(F.col("ties") > 1, 2).when(sure, 31).otherwise(10).alias("q"))
-    listed = called.groupBy("cellBC", "UMI").agg(F.sort_array(F.collect_list(F.struct("pos", "base", "q"))).alias("z"))
-    return listed.select("cellBC", "UMI", F.array_join("z.base", "").alias("seq"), F.array_join(F.transform("z.q", lambda q: F.char(q + 33)), "").alias("qual"))
+    keys = ["cellBC", "UMI"]
+    zipped = F.arrays_zip(letters("seq").alias("b"), letters("qual").alias("q"))
+    place = reads.select(*keys, F.posexplode(zipped).alias("pos", "z")).filter("z.b is not null")
+    phred = F.ascii("z.q") - 33
+    votes = place.groupBy(*keys, "pos", F.col("z.b").alias("base")).agg(F.count(F.lit(1)).alias("c"), F.count_if(phred >= min_quality).alias("good"), F.avg(phred).alias("mean"))
+    order = Window.partitionBy(*keys, "pos").orderBy(F.desc("good"), F.desc("c"), F.desc("mean"))
+    equal = Window.partitionBy(*keys, "pos", "good", "c", "mean")
+    ranked = votes.select("*", F.rank().over(order).alias("rk"), F.count(F.lit(1)).over(equal).alias("ties"), F.sum("c").over(Window.partitionBy(*keys, "pos")).alias("total"))
+    best = ranked.filter("rk = 1").groupBy(*keys, "pos").agg(F.min("base").alias("base"), *[F.max(c).alias(c) for c in ("ties", "c", "good", "total")])
+    listed = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "base", "ties", "c", "good"))).alias("z"), F.max("total").alias("n"))
+    sure = lambda x: (x["c"] > 0.5 * F.col("n")) & (x["good"] > 0)
+    quality = F.transform("z", lambda x: F.char(F.when(x["ties"] > 1, 2).when(sure(x), 31).otherwise(10) + 33))
+    bases = F.transform("z", lambda x: F.when(x["ties"] > 1, "N").otherwise(x["base"]))
+    return listed.select(*keys, F.array_join(bases, "").alias("seq"), F.array_join(quality, "").alias("qual"), "n")

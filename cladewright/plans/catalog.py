@@ -31,8 +31,8 @@ def _query(name: str, sql: str | None = None, source: str = "molecules"):
 
 # -- molecules -----------------------------------------------------------------------------------------------------
 
-_query("filter_qualities", "SELECT cellBC, UMI, readName FROM reads WHERE ascii(substr(qual, 1, 1)) >= 43 AND ascii(substr(qual, 2, 1)) >= 43 AND ascii(substr(qual, 3, 1)) >= 43", "reads")(
-    lambda t: molecules.filter_qualities(t).select("cellBC", "UMI", "readName")
+_query("filter_qualities", "SELECT cellBC, UMI, readName FROM reads WHERE list_bool_and(list_transform(range(1, 9), lambda i: ascii(substr(qual, i, 1)) >= 35))", "reads")(
+    lambda t: molecules.filter_qualities(t, 2).select("cellBC", "UMI", "readName")
 )
 _query(
     "resolve_umis",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
-from cladewright.operators import alignment, alleles, characters, molecules, stages
+from cladewright.operators import alignment, alleles, characters, molecules, stages, umis
 from cladewright.sources.derived import derive, with_derived
 
 QUERIES: dict = {}
@@ -57,14 +57,14 @@ SELECT readName, seq, CASE WHEN (intBC = 'NC' OR length(intBC) < {_HIGH - _LOW})
 
 def _barcodes(reads):
     """Raw barcodes of nine bases, and as whitelist those with an even last digit of their name."""
-    return reads.select("readName", F.concat("UMI", F.substring("seq", 1, 2)).alias("barcode"), F.concat("qual", F.substring("qual", 1, 2)).alias("barcode_qual")).distinct()
+    return reads.select("readName", F.concat("UMI", F.substring("seq", 1, 2)).alias("barcode"), F.substring("qual", 1, 5).alias("barcode_qual")).distinct()
 
 
 _WHITE = "wl AS (SELECT DISTINCT barcode FROM rw WHERE ascii(substr(barcode, 5, 1)) < 70)"
 _query(
     "correct_cells",
     lambda t: alleles.correct_cells(_barcodes(t), _barcodes(t).filter(F.ascii(F.substring("barcode", 5, 1)) < 70).select("barcode"), 0.6).select("readName", "barcode", "barcode_qual", "corrected"),
-    f"""WITH rw AS (SELECT DISTINCT readName, UMI || substr(seq, 1, 2) AS barcode, qual || substr(qual, 1, 2) AS barcode_qual FROM reads), {_WHITE},
+    f"""WITH rw AS (SELECT DISTINCT readName, UMI || substr(seq, 1, 2) AS barcode, substr(qual, 1, 5) AS barcode_qual FROM reads), {_WHITE},
 pr AS (SELECT barcode AS t, count(rw.readName) + 1 AS weight FROM wl LEFT JOIN rw USING (barcode) GROUP BY barcode),
 od AS (SELECT DISTINCT barcode, barcode_qual FROM rw ANTI JOIN wl USING (barcode)),
 nr AS (SELECT barcode, barcode_qual, t, weight * pow(10e0, -(ascii(substr(barcode_qual, CAST(list_position(list_transform(range(1, 6), lambda i: substr(barcode, CAST(i AS int), 1) <> substr(t, CAST(i AS int), 1)), true) AS int), 1)) - 33) / 10e0) AS p FROM od JOIN pr ON hamming(barcode, t) = 1),
@@ -78,6 +78,28 @@ _query(
     "SELECT cellBC, UMI, pos, base, n FROM (SELECT cellBC, UMI, pos, base, count(*) AS n, row_number() OVER (PARTITION BY cellBC, UMI, pos ORDER BY count(*) DESC, base) AS rn FROM (SELECT cellBC, UMI, CAST(unnest(range(0, 8)) AS int) AS pos, unnest(string_split(seq, '')) AS base FROM reads) p GROUP BY cellBC, UMI, pos, base) x WHERE rn = 1",
     "reads",
 )
+_VOTES = """ps AS (SELECT cellBC, UMI, i AS pos, substr(seq, i, 1) AS base, ascii(substr(qual, i, 1)) - 33 AS q FROM reads, (SELECT unnest(range(1, 9))::int AS i)),
+vt AS (SELECT cellBC, UMI, pos, base, count(*) AS c, count(*) FILTER (q >= 30) AS good, sum(q) AS s FROM ps GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER w AS rn, lead((good, c, s)) OVER w = (good, c, s) AS tied, sum(c) OVER (PARTITION BY cellBC, UMI, pos) AS n FROM vt WINDOW w AS (PARTITION BY cellBC, UMI, pos ORDER BY good DESC, c DESC, s DESC, base)),
+cs AS (SELECT cellBC, UMI, string_agg(CASE WHEN tied THEN 'N' ELSE base END, '' ORDER BY pos) AS seq, string_agg(CASE WHEN tied THEN '#' WHEN c > 0.5e0 * n AND good > 0 THEN '@' ELSE '+' END, '' ORDER BY pos) AS qual, CAST(max(n) AS bigint) AS n FROM rk WHERE rn = 1 GROUP BY cellBC, UMI)"""
+_query("consensus_sequences", molecules.call_consensus, f"WITH {_VOTES} SELECT * FROM cs", "reads")
+_query(
+    "umi_seeds",
+    lambda t: umis.propose_seeds(umis.prepared(t)),
+    f"""WITH {_VOTES}, md AS (SELECT cellBC, UMI, arg_min(seq, (-n, seq)) AS seq, max(n) AS most, CAST(sum(n) AS bigint) AS total FROM (SELECT cellBC, UMI, seq, count(*) AS n FROM reads GROUP BY ALL) x GROUP BY cellBC, UMI)
+SELECT cellBC, UMI, CASE WHEN most > 1 THEN md.seq ELSE cs.seq END AS seed, total FROM md JOIN cs USING (cellBC, UMI)""",
+    "reads",
+)
+_query(
+    "seed_mismatches",
+    lambda t: umis.mismatches_from_seed(t.join(umis.propose_seeds(umis.prepared(t)), ["cellBC", "UMI"])).select("readName", "cellBC", "UMI", "seq", "seed", "mismatches"),
+    f"""WITH {_VOTES}, md AS (SELECT cellBC, UMI, arg_min(seq, (-n, seq)) AS seq, max(n) AS most FROM (SELECT cellBC, UMI, seq, count(*) AS n FROM reads GROUP BY ALL) x GROUP BY cellBC, UMI),
+sd AS (SELECT cellBC, UMI, CASE WHEN most > 1 THEN md.seq ELSE cs.seq END AS seed FROM md JOIN cs USING (cellBC, UMI))
+SELECT readName, cellBC, UMI, seq, seed, CAST(len(list_filter(range(1, 9), lambda i: substr(seq, i, 1) <> substr(seed, i, 1) AND ascii(substr(qual, i, 1)) >= 53)) AS int) AS mismatches FROM reads JOIN sd USING (cellBC, UMI)""",
+    "reads",
+)
+_query("collapse_umis", lambda t: umis.collapse_umis(t, 1, 1), None, "reads")
+_query("collapse_umis_likelihood", lambda t: umis.collapse_umis(t, method="likelihood"), None, "reads")
 # reads of eight bases: a gap costs more than the four bases on its far side bring, so the best stretch has none
 _query(
     "joined_alignments",
@@ -126,9 +148,9 @@ UNION ALL SELECT 'umis_per_barcode', v, count(*) FROM (SELECT count(*) AS v FROM
 )
 _pairs = lambda t: t.select("cellBC", "UMI", "readName", "seq", "qual").join(alleles.mode_sequences(t).select("cellBC", "UMI", F.col("seq").alias("mode")), ["cellBC", "UMI"])
 _query(
-    "quality_mismatches", lambda t: _pairs(t).select("readName", "seq", "UMI", sequences.quality_hamming(F.substring("seq", 1, 3), F.substring("mode", 1, 3), F.col("qual"), F.lit("III"), 20).alias("mismatches")),
+    "quality_mismatches", lambda t: _pairs(t).select("readName", "seq", "UMI", sequences.quality_hamming(F.col("seq"), F.col("mode"), F.col("qual"), F.lit("I" * 8), 20).alias("mismatches")),
     "WITH md AS (SELECT cellBC, UMI, seq AS mode FROM (SELECT cellBC, UMI, seq, row_number() OVER (PARTITION BY cellBC, UMI ORDER BY count(*) DESC, seq) AS rn FROM reads GROUP BY cellBC, UMI, seq) x WHERE rn = 1) SELECT readName, seq, UMI, CAST("
-    + " + ".join(f"CASE WHEN substr(seq, {i}, 1) <> substr(mode, {i}, 1) AND ascii(substr(qual, {i}, 1)) - 33 >= 20 THEN 1 ELSE 0 END" for i in (1, 2, 3)) + " AS int) AS mismatches FROM reads JOIN md USING (cellBC, UMI)", "reads",
+    + " + ".join(f"CASE WHEN substr(seq, {i}, 1) <> substr(mode, {i}, 1) AND ascii(substr(qual, {i}, 1)) - 33 >= 20 THEN 1 ELSE 0 END" for i in range(1, 9)) + " AS int) AS mismatches FROM reads JOIN md USING (cellBC, UMI)", "reads",
 )
 _query("filter_molecule_table", lambda t: stages.filter_molecule_table(t, 10, 2.0, doublets=0.8), None, "alleles")
 _query("call_lineage_groups", lambda t: stages.call_lineage_groups(t), None, "alleles")

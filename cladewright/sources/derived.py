@@ -33,7 +33,9 @@ READS = f"""
 SELECT 'CELL' || cast(l_suppkey % 50 AS varchar(20)) AS cellBC, {_dna("(l_orderkey % 64)", 3)} AS UMI,
   cast(floor(l_quantity) AS bigint) AS readCount, {_dna("(l_partkey)", 8)} AS seq,
   'read' || cast(l_orderkey AS varchar(20)) || '_' || cast(l_linenumber AS varchar(20)) || '_' || cast(l_partkey AS varchar(20)) || '_' || cast(l_suppkey AS varchar(20)) AS readName,
-  chr(cast(33 + l_partkey % 40 AS int)) || chr(cast(33 + (l_partkey * 7) % 40 AS int)) || chr(cast(33 + (l_partkey * 11) % 40 AS int)) AS qual
+  chr(cast(33 + l_partkey % 40 AS int)) || chr(cast(33 + (l_partkey * 7) % 40 AS int)) || chr(cast(33 + (l_partkey * 11) % 40 AS int)) ||
+  chr(cast(33 + (l_orderkey + l_partkey) % 40 AS int)) || chr(cast(33 + (l_orderkey * 3 + l_partkey) % 40 AS int)) || chr(cast(33 + (l_orderkey * 7 + l_partkey) % 40 AS int)) ||
+  chr(cast(33 + (l_suppkey + l_partkey * 3) % 40 AS int)) || chr(cast(33 + (l_linenumber * 9 + l_partkey) % 40 AS int)) AS qual
 FROM lineitem
 """
 
