@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladewright.operators import ancestry
 
 def _pairs(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of cells at each site, within the data sets that the columns by name."""
@@ -67,8 +68,10 @@ def ancestors(tree: DataFrame) -> DataFrame:
 
 
 def node_depths(tree: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """(node, root, depth, height): edges and length between each node and its root."""
-    far = (ancestors(tree) if up is None else up).groupBy("node").agg(F.max(F.struct("up", "ancestor", "length")).alias("x"))
+    """(node, root, depth, height): edges and length between each node and its root; up is the closure, if it is at hand."""
+    if up is None:
+        return ancestry.doubled(tree)[0]
+    far = up.groupBy("node").agg(F.max(F.struct("up", "ancestor", "length")).alias("x"))
     return far.select("node", F.col("x.ancestor").alias("root"), F.col("x.up").alias("depth"), F.col("x.length").alias("height"))
 
 
@@ -133,8 +136,8 @@ def ancestral_states(tree: DataFrame, leaves: DataFrame) -> DataFrame:
     own = below.agg(F.when(F.min("state") == F.max("state"), F.min("state")).when(F.count("state") > 0, F.lit(0)).alias("own"))
     # the nearest node above that has known leaves
     seen = up.join(own, "ancestor").filter("own is not null").groupBy("node", "site").agg(F.min_by("own", "up").alias("state"))
-    every = tree.select("node").join(node_depths(tree, up).select("node", "root"), "node")
-    every = every.join(leaves.join(node_depths(tree, up).select("node", "root"), "node").select("root", "site").distinct(), "root")
+    roots = node_depths(tree).select("node", "root")
+    every = roots.join(leaves.join(roots, "node").select("root", "site").distinct(), "root")
     return every.join(seen, ["node", "site"], "left").select("node", "site", F.coalesce("state", F.lit(0)).alias("state"))
 
 

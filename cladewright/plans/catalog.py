@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
-from cladewright.operators import characters, distances, inference, likelihood, lineages, molecules, simulation
+from cladewright.operators import ancestry, characters, distances, inference, likelihood, lineages, molecules, simulation
 from cladewright.plans import preprocess
 from cladewright.sources.derived import SPAN, derive, with_derived
 from cladewright.streaming import counts as streaming
@@ -303,6 +303,32 @@ SELECT a, b, lca, round(distance, 9) AS distance, states FROM pr JOIN sq USING (
         {"distance": F.round("distance", 9), "states": F.array_join(F.col("states").cast("array<string>"), "|")}
     ),
 )
+_on_trees(
+    "edge_partition",
+    f"""WITH RECURSIVE {CLOSURE}, {LEAVES} SELECT ancestor AS node, site, CASE WHEN count(state) = 0 THEN '?' WHEN min(state) = 0 OR min(state) <> max(state) THEN 'z' ELSE CAST(min(state) AS varchar) END AS tag
+FROM up JOIN lv USING (node) GROUP BY ancestor, site""",
+    lambda t, v: ancestry.edge_partition(distances.ancestors(t), v),
+)
+
+
+def _asked(tree):
+    """Leaves of a tree by the last digits of their numbers; every seventh query also has a node that no tree has, or two trees."""
+    leaves = tree.filter("is_leaf").select((F.col("dataset") * 5 + F.col("node") % 5).alias("query"), "node")
+    odd = leaves.select("query").distinct().filter("query % 7 = 0")
+    far = leaves.filter("query % 35 = 5").select((F.col("query") + 5).alias("query"), "node")
+    return leaves.unionByName(odd.select("query", (-F.col("query") - 1).alias("node"))).unionByName(far)
+
+
+_query(
+    "common_ancestors",
+    f"""WITH RECURSIVE {CLOSURE}, {DEPTHS}, lf AS (SELECT dataset * 5 + node % 5 AS query, node FROM tree WHERE is_leaf),
+ak AS (SELECT query, node FROM lf UNION SELECT query, -query - 1 FROM lf WHERE query % 7 = 0 UNION SELECT query + 5, node FROM lf WHERE query % 35 = 5),
+kn AS (SELECT query, count(nd.node) AS n_known, count(*) - count(nd.node) AS n_unknown FROM ak LEFT JOIN nd USING (node) GROUP BY query),
+cm AS (SELECT query, ancestor, count(*) AS n FROM ak JOIN up USING (node) GROUP BY query, ancestor),
+lc AS (SELECT query, arg_max(cm.ancestor, depth) AS lca FROM cm JOIN kn USING (query) JOIN nd ON nd.node = cm.ancestor WHERE n = n_known GROUP BY query)
+SELECT query, lca, n_known, n_unknown FROM kn LEFT JOIN lc USING (query)""",
+    "tree",
+)(lambda t: ancestry.common_ancestors(t, _asked(t)))
 _query("aligned_branches", "SELECT coalesce(a.node, b.node) AS node, a.brlen AS first, b.brlen AS second FROM (SELECT * FROM tree WHERE NOT is_leaf) a FULL JOIN (SELECT node, brlen * 2 AS brlen FROM tree WHERE parent IS NOT NULL) b ON a.node = b.node", "tree")(
     lambda t: distances.aligned_branches(t.filter("not is_leaf"), t.filter("parent is not null").withColumn("brlen", F.col("brlen") * 2))
 )

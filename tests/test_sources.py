@@ -1,7 +1,7 @@
 import pytest
 
 from cladewright.operators import alleles, lineages, molecules, stages
-from cladewright.sources import matrices
+from cladewright.sources import lines, matrices
 
 
 def test_matrix_round_trip(spark, tmp_path):
@@ -22,7 +22,7 @@ def test_priors_keep_their_order(spark, tmp_path):
 
 def test_text_reads(spark, tmp_path):
     (tmp_path / "r.fastq").write_text("@r1 x\nACGT\n+\nIIII\n@r2\nGG\n+\n@I\n")
-    assert sorted((r.readName, r.seq, r.qual) for r in matrices.read_fastq(spark, str(tmp_path / "r.fastq")).collect()) == [("r1", "ACGT", "IIII"), ("r2", "GG", "@I")]
+    assert sorted((r.readName, r.seq, r.qual) for r in lines.read_fastq(spark, str(tmp_path / "r.fastq")).collect()) == [("r1", "ACGT", "IIII"), ("r2", "GG", "@I")]
     (tmp_path / "a.sam").write_text("@HD\tVN:1\nC_U_7_f\t0\tr\t1\t9\t4M\t*\t0\t0\tACGT\tIIII\tCB:Z:xx\tAS:i:3\n")
     r = matrices.read_sam(spark, str(tmp_path / "a.sam")).first()
     assert (r.cellBC, r.UMI, r.readCount, r.CIGAR, r.tags["CB"]) == ("C", "U", 7, "4M", "xx")
