@@ -1,4 +1,4 @@
-"""Tree likelihood under heritable silencing and dropout, relationally and as a packed kernel.
+"""Tree likelihood under heritable silencing and dropout, and what it tells about inner nodes and edges, by joins.
 
 States of a site are 0 (unmutated), its alphabet, and -1 (silenced). Over an edge of length d with p = exp(-d): 0 stays
 with p^(1+nu), becomes alpha with q p^nu (1 - p); a mutation stays with p^nu; either is silenced with 1 - p^nu; silenced
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewright.operators.distances import node_depths
@@ -17,17 +17,42 @@ from cladewright.operators.distances import node_depths
 NEVER = -1e6  # the log of an impossible event, finite so that sums keep it
 
 
-def level_likelihood(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float) -> DataFrame:
-    """(root, site, llh) for each tree of a table: one join and one grouping a level, for all trees and sites at once.
+def _log(p: float) -> float:
+    return math.log(p) if p > 0 else NEVER
 
-    Leaves may have any depth and nodes any number of children: a level is met by the leaves at its depth and the nodes
-    that were lifted to it. leaves: node, site, state (null: missing). priors: site, state, q. A node's values for the
-    mutated states are an array in the order of the site's alphabet.
+
+def _ln(p: Column) -> Column:
+    return F.when(p > 0, F.log(p)).otherwise(F.lit(NEVER))
+
+
+def _low(x: Column) -> Column:
+    return F.greatest(x, F.lit(10 * NEVER))
+
+
+def _both(a: Column, b: Column) -> Column:
+    """The log of the sum of two numbers given by their logs."""
+    return F.greatest(a, b) + F.log1p(F.exp(F.least(a, b) - F.greatest(a, b)))
+
+
+def _summed(logs: Column) -> Column:
+    """The log of the sum of an array of numbers given by their logs."""
+    top = F.array_max(logs)
+    return top + F.log(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+
+
+def _placed(tree: DataFrame) -> DataFrame:
+    return tree.select("node", "parent", "brlen").join(node_depths(tree).select("node", "root", "depth"), "node").checkpoint()
+
+
+def _levels(tree: DataFrame, placed: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float):
+    """Yields the nodes of each level, from the deepest up, with what lies below them.
+
+    Columns: those of placed, site, q (of the site's alphabet, in order), the logs of the probability of all that is seen
+    below a node given its state (zero, silent, muts: an array in the order of the alphabet), and the same given the state
+    at the upper end of the edge above it (up_zero, up_silent, up_muts). Each level is checkpointed, and leaves are dealt to
+    their levels once.
     """
-    log = lambda p: F.when(p > 0, F.log(p)).otherwise(F.lit(NEVER))
     alphabet = priors.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("state", "q"))).alias("alphabet"))
-    placed = tree.select("node", "parent", "brlen").join(node_depths(tree).select("node", "root", "depth"), "node").checkpoint()
-    deepest = placed.agg(F.max("depth")).first()[0]
     missing, shown, hidden = F.col("state").isNull(), float(_log(1 - phi)), float(_log(phi))
     seen = leaves.join(alphabet, "site").select(
         "node", "site", F.transform("alphabet", lambda a: a["q"]).alias("q"),
@@ -35,28 +60,108 @@ def level_likelihood(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu:
         F.when(missing, 0.0).otherwise(NEVER).alias("silent"),
         F.transform("alphabet", lambda a: F.when(missing, hidden).when(a["state"] == F.col("state"), shown).otherwise(NEVER)).alias("muts"),
     )
-    d = F.col("brlen")
-    both = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(F.least(a, b) - F.greatest(a, b)))
-    low = lambda x: F.greatest(x, F.lit(10 * NEVER))
-    level = None
+    seen = seen.join(placed, "node").checkpoint()
+    deepest = seen.agg(F.max("depth")).first()[0]
+    d, level = F.col("brlen"), None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
-        here = placed.filter(F.col("depth") == depth)
-        level = seen if level is None else seen.unionByName(level)
-        edge = level.join(here, "node").withColumn("lost", F.col("silent") + log(1 - F.exp(-d * nu)))
-        # all ways that 0 can go, kept stable by the largest
-        ways = F.concat(F.array(F.col("zero") - d * (1 + nu), F.col("lost")), F.zip_with("muts", "q", lambda v, q: v + log(q * (1 - F.exp(-d))) - d * nu))
-        edge = edge.withColumn("ways", ways).withColumn("top", F.array_max("ways"))
-        zero = F.col("top") + F.log(F.aggregate("ways", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
-        kept = F.transform("muts", lambda v: both(v - d * nu, F.col("lost")))
-        # above a root there is nothing to meet: the root keeps its own number
-        up = edge.select(F.coalesce("parent", "root").alias("node"), "site", "q", zero.alias("zero"), (F.col("silent")).alias("silent"), kept.alias("muts"))
+        here = seen.filter(F.col("depth") == depth)
+        here = here if level is None else here.unionByName(level.join(placed, "node"))
+        edge = here.withColumn("lost", F.col("silent") + _ln(1 - F.exp(-d * nu)))
+        # all ways that 0 can go
+        ways = F.concat(F.array(F.col("zero") - d * (1 + nu), F.col("lost")), F.zip_with("muts", "q", lambda v, q: v + _ln(q * (1 - F.exp(-d))) - d * nu))
+        kept = F.transform("muts", lambda v: _both(v - d * nu, F.col("lost")))
+        edge = edge.withColumns({"up_zero": _summed(ways), "up_silent": F.col("silent"), "up_muts": kept}).drop("lost").checkpoint()
+        yield edge
         total = F.aggregate("m", F.transform(F.get("m", F.lit(0)), lambda _: F.lit(0.0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-        level = up.groupBy("node", "site").agg(F.first("q").alias("q"), low(F.sum("zero")).alias("zero"), low(F.sum("silent")).alias("silent"), F.collect_list("muts").alias("m"))
-        level = level.select("node", "site", "q", "zero", "silent", F.transform(total, low).alias("muts"))
+        level = edge.filter("parent is not null").groupBy(F.col("parent").alias("node"), "site").agg(
+            F.first("q").alias("q"), _low(F.sum("up_zero")).alias("zero"), _low(F.sum("up_silent")).alias("silent"), F.collect_list("up_muts").alias("m")
+        )
+        level = level.select("node", "site", "q", "zero", "silent", F.transform(total, _low).alias("muts"))
+
+
+def level_likelihood(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float) -> DataFrame:
+    """(root, site, llh) for each tree of a table: one join and one grouping a level, for all trees and sites at once.
+
+    Leaves may have any depth and nodes any number of children: a level is met by the leaves at its depth and the nodes
+    that were lifted to it. leaves: node, site, state (null: missing). priors: site, state, q.
+    """
+    level = None
+    for level in _levels(tree, _placed(tree), leaves, priors, nu, phi):
+        pass
     if level is None:
-        return seen.select(F.col("node").alias("root"), "site", F.col("zero").alias("llh")).limit(0)
-    return level.select(F.col("node").alias("root"), "site", F.col("zero").alias("llh"))
+        return leaves.select(F.col("node").alias("root"), "site", F.lit(0.0).alias("llh")).limit(0)
+    return level.select("root", "site", F.col("up_zero").alias("llh"))
 
 
-def _log(p: float) -> float:
-    return math.log(p) if p > 0 else NEVER
+#: What an edge can do: stay unmutated, mutate, be silenced, keep a mutation, be silenced after one, stay silenced.
+MOVES = ("zero_zero", "zero_mutated", "zero_silent", "mutated_kept", "mutated_silent", "silent_silent")
+
+
+def outside_pass(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float) -> DataFrame:
+    """(root, node, site, p_zero, p_silent, p_mutated, and one column for each of MOVES) given all that is seen.
+
+    p_zero, p_silent and the array p_mutated (in the order of the site's alphabet) are the probabilities of a node's states,
+    those of MOVES of what happened on the edge above it; each set sums to one. Going down from the roots, a level joins
+    what its parents have outside them with what lies below its siblings: that below the parent less that below the node.
+    """
+    placed = _placed(tree)
+    levels = list(_levels(tree, placed, leaves, priors, nu, phi))[::-1]
+    d, out, above = F.col("brlen"), None, None
+    whole = levels[0].select("root", "site", F.col("up_zero").alias("llh")) if levels else None
+    keep, lose = -d * nu, _ln(1 - F.exp(-d * nu))
+    for level in levels:
+        if above is None:  # over a root everything is unmutated
+            joint = level.withColumns({"j_zero": F.lit(0.0), "j_silent": F.lit(10 * NEVER), "j_muts": F.transform("q", lambda _: F.lit(10 * NEVER))})
+        else:
+            rest = {f"j_{c}": F.col(f"o_{c}") - F.col(f"up_{c}") for c in ("zero", "silent")}
+            joint = level.join(above, ["parent", "site"]).withColumns(rest | {"j_muts": F.zip_with("o_muts", "up_muts", lambda o, u: o - u)})
+        came = F.zip_with("j_muts", "q", lambda j, q: _both(j + keep, F.col("j_zero") + _ln(q * (1 - F.exp(-d))) + keep))
+        silenced = _summed(F.concat(F.array(F.col("j_silent"), F.col("j_zero") + lose), F.transform("j_muts", lambda j: j + lose)))
+        joint = joint.withColumns({"out_zero": F.col("j_zero") + keep - d, "out_silent": silenced, "out_muts": came})
+        chance = lambda x: F.exp(x - F.col("llh"))
+        over = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+        fresh = F.zip_with("muts", "q", lambda v, q: chance(F.col("j_zero") + _ln(q * (1 - F.exp(-d))) + keep + v))
+        moves = (
+            chance(F.col("j_zero") + keep - d + F.col("zero")),
+            over(fresh),
+            chance(F.col("j_zero") + lose + F.col("silent")),
+            over(F.zip_with("j_muts", "muts", lambda j, v: chance(j + keep + v))),
+            over(F.transform("j_muts", lambda j: chance(j + lose + F.col("silent")))),
+            chance(F.col("j_silent") + F.col("silent")),
+        )
+        told = joint.join(whole, ["root", "site"]).select(
+            "root", "node", "site",
+            chance(F.col("out_zero") + F.col("zero")).alias("p_zero"), chance(F.col("out_silent") + F.col("silent")).alias("p_silent"),
+            F.zip_with("out_muts", "muts", lambda o, v: chance(o + v)).alias("p_mutated"),
+            *[m.alias(n) for m, n in zip(moves, MOVES, strict=True)],
+            # what a child meets, but for what lies below itself
+            (F.col("out_zero") + F.col("zero")).alias("o_zero"), (F.col("out_silent") + F.col("silent")).alias("o_silent"),
+            F.zip_with("out_muts", "muts", lambda o, v: o + v).alias("o_muts"),
+        ).checkpoint()
+        above = told.select(F.col("node").alias("parent"), "site", "o_zero", "o_silent", "o_muts")
+        done = told.drop("o_zero", "o_silent", "o_muts")
+        out = done if out is None else out.unionByName(done)
+    if out is None:
+        raise ValueError("no leaf of the tree has a state")
+    return out
+
+
+def expected_transitions(posteriors: DataFrame) -> DataFrame:
+    """(root, node, one column for each of MOVES): how often each happened on the edge above a node, over all sites."""
+    return posteriors.groupBy("root", "node").agg(*[F.sum(m).alias(m) for m in MOVES])
+
+
+def spatial_likelihood(tree: DataFrame, locations: DataFrame, sigma: float) -> DataFrame:
+    """(root, llh) of places that spread by Brownian motion: locations (node, x, y), with sigma the spread of length one.
+
+    An edge counts if both its ends have a place and it has a length above 0; a tree without such edges has 0. Constants of
+    the normal density are left out.
+    """
+    at = locations.select("node", "x", "y").dropna()
+    above = at.select(F.col("node").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"))
+    spread = sigma * F.sqrt("brlen")
+    one = lambda a, b: -(0.5 * F.pow((F.col(a) - F.col(b)) / spread, 2) + F.log(spread))
+    edges = tree.filter("parent is not null and brlen > 0").select("node", "parent", "brlen").join(at, "node").join(above, "parent")
+    roots = node_depths(tree).select("node", "root")
+    llh = edges.join(roots, "node").groupBy("root").agg(F.sum(one("x", "px") + one("y", "py")).alias("llh"))
+    return roots.select("root").distinct().join(llh, "root", "left").select("root", F.coalesce("llh", F.lit(0.0)).alias("llh"))

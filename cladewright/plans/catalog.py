@@ -255,7 +255,8 @@ MOVES = """mv AS (SELECT nd.root, c.site, c.state, c.node, p.state AS before, c.
 def _on_trees(name, sql, f):
     """A query on the trees and their leaves' states."""
     QUERIES[name] = lambda spark, sf_dir: f(derive(spark, sf_dir, "tree"), _leaves(spark, sf_dir))
-    SQL[name] = with_derived(sql)
+    if sql is not None:
+        SQL[name] = with_derived(sql)
 
 
 def _fifths(leaves):
@@ -329,6 +330,34 @@ lc AS (SELECT query, arg_max(cm.ancestor, depth) AS lca FROM cm JOIN kn USING (q
 SELECT query, lca, n_known, n_unknown FROM kn LEFT JOIN lc USING (query)""",
     "tree",
 )(lambda t: ancestry.common_ancestors(t, _asked(t)))
+
+
+def _rounded(df, *kept):
+    """All other columns to six places, arrays as text."""
+    def to(c, kind):
+        if kind.startswith("array"):
+            return F.array_join(F.transform(c, lambda x: F.round(x, 6).cast("string")), "|").alias(c)
+        return F.round(c, 6).alias(c)
+
+    return df.select(*kept, *[to(c, t) for c, t in df.dtypes if c not in kept])
+
+
+_on_trees("state_posteriors", None, lambda t, v: _rounded(likelihood.outside_pass(t, v, _fifths(v), 0.1, 0.05), "root", "node", "site"))
+_on_trees(
+    "expected_transitions", None,
+    lambda t, v: _rounded(likelihood.expected_transitions(likelihood.outside_pass(t, v, _fifths(v), 0.1, 0.05)), "root", "node"),
+)
+_query(
+    "spatial_likelihood",
+    f"""WITH RECURSIVE {CLOSURE}, {DEPTHS}, pl AS (SELECT node, node * 17 % 101 / 10e0 AS x, node * 29 % 97 / 10e0 AS y FROM tree WHERE node % 11 <> 3),
+eg AS (SELECT root, 0.7e0 * sqrt(t.brlen) AS s, c.x - p.x AS dx, c.y - p.y AS dy FROM tree t JOIN nd USING (node) JOIN pl c ON c.node = t.node JOIN pl p ON p.node = t.parent WHERE t.brlen > 0)
+SELECT root, round(coalesce(llh, 0), 6) AS llh FROM (SELECT DISTINCT root FROM nd) r LEFT JOIN (SELECT root, sum(-(0.5e0 * (dx / s) ** 2 + ln(s)) - (0.5e0 * (dy / s) ** 2 + ln(s))) AS llh FROM eg GROUP BY root) e USING (root)""",
+    "tree",
+)(
+    lambda t: likelihood.spatial_likelihood(
+        t, t.filter("node % 11 <> 3").select("node", (F.col("node") * 17 % 101 / 10.0).alias("x"), (F.col("node") * 29 % 97 / 10.0).alias("y")), 0.7
+    ).withColumn("llh", F.round("llh", 6))
+)
 _query("aligned_branches", "SELECT coalesce(a.node, b.node) AS node, a.brlen AS first, b.brlen AS second FROM (SELECT * FROM tree WHERE NOT is_leaf) a FULL JOIN (SELECT node, brlen * 2 AS brlen FROM tree WHERE parent IS NOT NULL) b ON a.node = b.node", "tree")(
     lambda t: distances.aligned_branches(t.filter("not is_leaf"), t.filter("parent is not null").withColumn("brlen", F.col("brlen") * 2))
 )
