@@ -27,6 +27,13 @@ def resolve_umis(reads: DataFrame) -> DataFrame:
     return ranked.filter("rn = 1").select("cellBC", "UMI", "readName", "seq", F.col("readCount").alias("first"), "second", "total")
 
 
+def resolved_molecules(reads: DataFrame, min_umis: int = 10, min_reads: float = 2.0) -> DataFrame:
+    """Of each cell and UMI the row with most reads (ties: the smaller name), in cells with enough UMIs and reads a UMI."""
+    order = Window.partitionBy("cellBC", "UMI").orderBy(F.desc("readCount"), "readName", "seq")
+    best = reads.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
+    return filter_cells(best, min_umis, min_reads)
+
+
 def filter_cells(molecules: DataFrame, min_umis: int = 10, min_reads: float = 2.0, umi_is_count: bool = False) -> DataFrame:
     """Molecules of cells with enough UMIs and reads per UMI; UMI is a sequence, or a count where umi_is_count."""
     n = F.sum("UMI") if umi_is_count else F.count(F.lit(1))
@@ -75,24 +82,35 @@ def correct_intbcs(alleles: DataFrame, prop: float = 0.5, most_umis: int = 10, d
     return alleles.join(renamed, ["cellBC", "allele", "intBC"], "left").withColumn("intBC", F.coalesce("to", "intBC")).drop("to")
 
 
-def umi_corrections(molecules: DataFrame, distance: int = 1) -> DataFrame:
-    """(cellBC, intBC, UMI, to): each UMI's most abundant neighbour within distance, before chains are followed."""
-    order = Window.partitionBy("cellBC", "intBC").orderBy(F.desc("readCount"), F.desc("UMI"))
-    ranked = molecules.select("cellBC", "intBC", "UMI", "readCount", F.row_number().over(order).alias("rn"))
-    other = ranked.select("cellBC", "intBC", F.col("UMI").alias("to"), F.col("rn").alias("rn1"))
-    near = ranked.join(other, ["cellBC", "intBC"]).filter((F.col("rn1") < F.col("rn")) & (hamming("UMI", "to") <= distance))
-    return near.groupBy("cellBC", "intBC", "UMI").agg(F.min_by("to", "rn1").alias("to"))
+def umi_corrections(molecules: DataFrame, distance: int = 1, keys: tuple[str, ...] = ("cellBC", "intBC")) -> DataFrame:
+    """(keys..., UMI, to): each UMI's most abundant neighbour within distance, before chains are followed.
+
+    Every (distance + 1)-th letter makes a piece of a UMI, whatever its length; close UMIs have one of these pieces in
+    common, so only those with an equal piece meet.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc("readCount"), F.desc("UMI"))
+    ranked = molecules.select(*keys, "UMI", "readCount", F.row_number().over(order).alias("rn"))
+    of = lambda p: F.array_join(F.filter(letters("UMI"), lambda _, i: i % (distance + 1) == p), "")
+    pieces = F.array(*[F.struct(F.lit(p).alias("part"), of(p).alias("piece")) for p in range(distance + 1)])
+    cut = ranked.select(*keys, "UMI", "rn", F.explode(pieces).alias("cut_piece")).select(*keys, "UMI", "rn", "cut_piece.part", "cut_piece.piece")
+    other = cut.withColumnsRenamed({"UMI": "to", "rn": "rn1"})
+    near = cut.join(other, [*keys, "part", "piece"]).filter((F.col("rn1") < F.col("rn")) & (hamming("UMI", "to") <= distance))
+    return near.groupBy(*keys, "UMI").agg(F.min_by("to", "rn1").alias("to"))
 
 
-def correct_umis(molecules: DataFrame, distance: int = 1, most_rounds: int = 32) -> DataFrame:
+def correct_umis(molecules: DataFrame, distance: int = 1, most_rounds: int = 32, by_allele: bool = False) -> DataFrame:
     """Reads summed over chains of UMIs that differ in few places; the root keeps its attributes.
 
-    Chains are followed by doubling: each round replaces a target by the target's own target.
+    UMIs must be unique for each cell and intBC; more than one row is an error. by_allele corrects within an allele only.
+    A readName is made anew of cell, UMI and reads. Chains are followed by doubling: each round replaces a target by the
+    target's own target.
     """
-    keys = ["cellBC", "intBC"]
+    keys = ["cellBC", "intBC", *(["allele"] if by_allele else [])]
+    if not repeated_umis(molecules).isEmpty():
+        raise ValueError("several rows of one cell, intBC and UMI: resolve UMIs first")
     if distance == 0:
         return molecules
-    links = umi_corrections(molecules, distance).checkpoint()
+    links = umi_corrections(molecules, distance, tuple(keys)).checkpoint()
     for _ in range(most_rounds):
         step = links.select(*keys, F.col("UMI").alias("to"), F.col("to").alias("further"))
         longer = links.join(step, [*keys, "to"], "left")
@@ -101,7 +119,8 @@ def correct_umis(molecules: DataFrame, distance: int = 1, most_rounds: int = 32)
         links = longer.select(*keys, "UMI", F.coalesce("further", "to").alias("to")).checkpoint()
     moved = molecules.join(links, [*keys, "UMI"], "left").withColumn("to", F.coalesce("to", "UMI"))
     total = moved.groupBy(*keys, F.col("to").alias("UMI")).agg(F.sum("readCount").alias("total"))
-    return molecules.join(total, [*keys, "UMI"]).withColumn("readCount", F.col("total")).drop("total")
+    out = molecules.join(total, [*keys, "UMI"]).withColumn("readCount", F.col("total")).drop("total")
+    return out.withColumn("readName", F.concat_ws("_", "cellBC", "UMI", "readCount")) if "readName" in out.columns else out
 
 
 def conflicting_share(alleles: DataFrame) -> DataFrame:

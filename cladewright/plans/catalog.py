@@ -76,6 +76,18 @@ _query(
 root AS (SELECT cellBC, intBC, UMI, arg_max(cur, k) AS root FROM chain GROUP BY cellBC, intBC, UMI)
 SELECT m.cellBC, m.intBC, root.root AS UMI, cast(sum(m.readCount) AS bigint) AS readCount FROM molecules m JOIN root ON m.cellBC = root.cellBC AND m.intBC = root.intBC AND m.UMI = root.UMI GROUP BY m.cellBC, m.intBC, root.root""",
 )(lambda t: molecules.correct_umis(t, 2).select("cellBC", "intBC", "UMI", "readCount"))
+_LINKS_BY_ALLELE = LINKS.replace("molecules", "alleles").replace("cellBC, intBC", "cellBC, intBC, allele").replace("b.cellBC, b.intBC", "b.cellBC, b.intBC, b.allele").replace(
+    "a.intBC = b.intBC", "a.intBC = b.intBC AND a.allele = b.allele"
+)
+_query(
+    "correct_umis_by_allele",
+    f"""WITH RECURSIVE {_LINKS_BY_ALLELE}, chain AS (
+  SELECT cellBC, intBC, allele, UMI, UMI AS cur, 0 AS k FROM alleles UNION ALL
+  SELECT chain.cellBC, chain.intBC, chain.allele, chain.UMI, l.dest, k + 1 FROM chain JOIN l USING (cellBC, intBC, allele) WHERE chain.cur = l.UMI),
+root AS (SELECT cellBC, intBC, allele, UMI, arg_max(cur, k) AS root FROM chain GROUP BY cellBC, intBC, allele, UMI)
+SELECT m.cellBC, m.intBC, m.allele, root.root AS UMI, cast(sum(m.readCount) AS bigint) AS readCount FROM alleles m JOIN root USING (cellBC, intBC, allele, UMI) GROUP BY m.cellBC, m.intBC, m.allele, root.root""",
+    "alleles",
+)(lambda t: molecules.correct_umis(t, 2, by_allele=True).select("cellBC", "intBC", "allele", "UMI", "readCount"))
 PROP = "SELECT cellBC, sum(n - main) / sum(n) AS prop FROM (SELECT cellBC, intBC, sum(n) AS n, max(n) AS main FROM (SELECT cellBC, intBC, allele, count(*) AS n FROM alleles GROUP BY ALL) a GROUP BY ALL) b GROUP BY cellBC"
 _query("conflicting_share", f"SELECT cellBC, round(prop, 9) AS prop FROM ({PROP}) p", "alleles")(lambda t: molecules.conflicting_share(t).withColumn("prop", F.round("prop", 9)))
 _query("filter_intra_doublets", f"SELECT cellBC, intBC, UMI FROM alleles WHERE cellBC IN (SELECT cellBC FROM ({PROP}) p WHERE prop <= 0.76)", "alleles")(lambda t: molecules.filter_intra_doublets(t, 0.76).select("cellBC", "intBC", "UMI"))

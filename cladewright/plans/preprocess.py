@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
-from cladewright.operators import alignment, alleles, characters, molecules, stages, umis
+from cladewright.operators import alignment, alleles, characters, molecules, runner, stages, umis
 from cladewright.sources.derived import derive, with_derived
 
 QUERIES: dict = {}
@@ -192,5 +192,42 @@ final AS (SELECT cellBC, intBC, allele, r1, r2, r3, CAST(lg AS int) AS lineageGr
 SELECT * FROM final WHERE cellBC IN (SELECT cellBC FROM final GROUP BY cellBC HAVING sum(UMI) >= 3 AND sum(readCount) / sum(UMI) >= 20)""",
     "alleles",
 )
-_SETTINGS = "[general]\nname = x\n[filter_molecules]\nmin_umis = 10\ndoublets = 0.8\n[call_lineages]\nkinship = 0.2\n"
-_query("run_stages", lambda t: stages.run_stages(t, _SETTINGS, last="filter_molecules"), None, "alleles")
+_SETTINGS = "[general]\nname = x\n[filter_molecules]\nmin_umis = 10\ndoublets = 0.8\n[call_lineages]\nkinship = 0.2\ninter = 0.05\n"
+_query("run_stages", lambda t: stages.run_stages(t, _SETTINGS), None, "alleles")
+
+
+_CONFIGURATION = f"""[general]
+name = 'chain'
+output_directory = ''
+reference_filepath = ''
+input_files = []
+[align]
+ref = '{REFERENCE}'
+[call_alleles]
+ref = '{REFERENCE}'
+barcode_interval = {BARCODE}
+cutsite_locations = {list(CUTSITES)}
+cutsite_width = {WIDTH}
+context_size = {SIZE}
+[filter_molecule_table]
+min_umi_per_cell = 2
+doublet_threshold = 0.9
+[call_lineages]
+min_umi_per_cell = 2
+min_cluster_prop = 0.1
+inter_doublet_threshold = 0.05
+"""
+
+
+def _chain(t):
+    """From sequences of molecules to lineage groups: five stages."""
+    name = F.split("readName", "_")
+    near = F.concat(F.lit(REFERENCE[:8]), F.lit("CA"), F.substring("seq", 19, 2), F.substring("seq", 19, 2), F.lit(REFERENCE[14:30]), F.substring(F.lit(REFERENCE), (31 + F.ascii(F.substring("seq", 25, 1)) % 7).cast("int"), F.lit(len(REFERENCE))))
+    reads = t.select(F.concat(F.lit("CELL"), name[3]).alias("cellBC"), F.substring("seq", 1, 10).alias("UMI"), near.alias("seq"), (F.ascii(F.substring("seq", 30, 1)) % 5 + 2).cast("long").alias("readCount"))
+    reads = reads.groupBy("cellBC", "UMI").agg(F.min("seq").alias("seq"), F.sum("readCount").alias("readCount"))
+    reads = reads.withColumn("readName", F.concat_ws("_", "cellBC", "UMI", "readCount"))
+    settings = runner.parse_settings(_CONFIGURATION)
+    return runner.apply_stages(reads, settings, runner.chosen_stages(settings, "align"))
+
+
+_query("preprocess_chain", _chain, None, "alignments")
