@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
-from cladewright.operators import ancestry, characters, distances, inference, likelihood, lineages, molecules, simulation
+from cladewright.operators import ancestry, characters, distances, evaluation, inference, likelihood, lineages, molecules, simulation
 from cladewright.plans import preprocess
 from cladewright.sources.derived import SPAN, derive, with_derived
 from cladewright.streaming import counts as streaming
@@ -370,6 +370,26 @@ SELECT root, round(coalesce(llh, 0), 6) AS llh FROM (SELECT DISTINCT root FROM n
         t, t.filter("node % 11 <> 3").select("node", (F.col("node") * 17 % 101 / 10.0).alias("x"), (F.col("node") * 29 % 97 / 10.0).alias("y")), 0.7
     ).withColumn("llh", F.round("llh", 6))
 )
+
+
+def _scored(c, soft):
+    """Truths with dropouts, and estimates that are missing at every third site, sure, or torn between two states."""
+    state = F.col("state").cast("string")
+    told = F.when(F.col("site") % 3 == 0, "?").when(F.col("state").isNull(), "-1:0.6/0:0.4").when(F.col("site") % 3 == 1, F.concat(state, F.lit(":0.7/-1:0.3")))
+    told = F.coalesce(told, F.concat(F.lit("0:0.5/"), (F.col("state") + 1).cast("string"), F.lit(":0.5")))
+    truth = c.select(F.col("cell").alias("label"), "site", F.coalesce(state, F.lit("d")).alias("state"))
+    estimates = c.select(F.col("cell").alias("label"), "site", F.when(told != "?", sequences.soft_states(told)).alias("probs"))
+    return evaluation.score_sequences(truth, estimates, soft).withColumn("score", F.round("score", 9))
+
+
+for _name, _soft, _values in (("sequence_scores", True, ("0.4e0", "0.7e0", "0.5e0")), ("hard_sequence_scores", False, ("0e0", "1e0", "1e0"))):
+    _query(
+        _name,
+        f"""SELECT cell AS label, round(avg(v), 9) AS score, count(v) AS n_sites FROM (SELECT cell, CASE WHEN site % 3 = 0 THEN NULL WHEN state IS NULL THEN {_values[0]} WHEN site % 3 = 1 THEN {_values[1]}
+WHEN state = 0 THEN {_values[2]} ELSE 0e0 END AS v FROM characters) x GROUP BY cell""",
+        "characters",
+    )(lambda c, soft=_soft: _scored(c, soft))
+_on_trees("annotations", None, lambda t, v: evaluation.annotation_lines(likelihood.outside_pass(t, v, _fifths(v), 0.1, 0.05), _fifths(v)))
 _query("aligned_branches", "SELECT coalesce(a.node, b.node) AS node, a.brlen AS first, b.brlen AS second FROM (SELECT * FROM tree WHERE NOT is_leaf) a FULL JOIN (SELECT node, brlen * 2 AS brlen FROM tree WHERE parent IS NOT NULL) b ON a.node = b.node", "tree")(
     lambda t: distances.aligned_branches(t.filter("not is_leaf"), t.filter("parent is not null").withColumn("brlen", F.col("brlen") * 2))
 )
