@@ -53,16 +53,29 @@ def filter_umis(molecules: DataFrame, least: int = -1) -> DataFrame:
     return molecules.join(F.broadcast(read_threshold(molecules)), F.col("readCount") >= F.col("threshold")).drop("threshold")
 
 
+def deletions(x: Column, most: int) -> Column:
+    """A text and all that is left of it without up to most of its letters; texts within most edits share one of these."""
+    out = F.array(x)
+    for _ in range(most):
+        without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        shorter = F.flatten(F.transform(F.filter(out, lambda w: F.length(w) > 0), without))
+        out = F.array_distinct(F.concat(out, shorter))
+    return out
+
+
 def correct_to_whitelist(molecules: DataFrame, whitelist: DataFrame, most: int = 1) -> DataFrame:
     """intBC replaced by the only nearest whitelist entry within most edits; rows without one go.
 
-    Distinct barcodes meet the whitelist, not molecules.
+    Distinct barcodes meet the whitelist, not molecules, and only entries with which they share one of their deletions.
     """
     seen = molecules.select("intBC").filter("intBC is not null").distinct()
     listed = whitelist.select(F.trim("barcode").alias("barcode")).filter("barcode <> ''").distinct()
-    near = seen.join(listed, F.levenshtein("intBC", "barcode") <= most).select("intBC", "barcode", F.levenshtein("intBC", "barcode").alias("d"))
-    best = near.groupBy("intBC").agg(F.min("d").alias("d"), F.min_by("barcode", "d").alias("barcode"), F.sort_array(F.collect_list("d")).alias("ds"))
-    best = best.filter(F.size(F.filter("ds", lambda d: d == F.col("d"))) == 1).select("intBC", "barcode")
+    left = seen.select("intBC", F.explode(deletions(F.col("intBC"), most)).alias("rest"))
+    right = listed.select("barcode", F.explode(deletions(F.col("barcode"), most)).alias("rest"))
+    near = left.join(right, "rest").select("intBC", "barcode").distinct().withColumn("d", F.levenshtein("intBC", "barcode")).filter(F.col("d") <= most)
+    best = near.groupBy("intBC").agg(F.min("d").alias("least"), F.min(F.struct("d", "barcode")).alias("first"), F.max(F.struct((-F.col("d")).alias("less"), "barcode")).alias("last"))
+    # the only nearest one is the first and the last of those at the least distance
+    best = best.filter(F.col("first.barcode") == F.col("last.barcode")).select("intBC", F.col("first.barcode").alias("barcode"))
     return molecules.join(best, "intBC").withColumn("intBC", F.col("barcode")).drop("barcode")
 
 

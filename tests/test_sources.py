@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cladewright.operators import alleles, lineages, molecules, stages
@@ -97,3 +99,32 @@ def test_rare_barcodes_and_nc_leave_their_groups(spark):
     assert {(r.UMI, r.readCount) for r in got} == {(4, 20), (6, 30)}
     kept = stages.call_lineage_groups(table, min_umis=1, min_reads=0.5, inter=None).collect()
     assert "both" in {r.cellBC for r in kept} and "few" in {r.cellBC for r in kept} and "RARE" not in {r.intBC for r in kept}
+
+
+def test_whitelist_by_deletions_equals_all_pairs(spark):
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("ACG") for _ in range(k))
+    listed = sorted({word(rng.randint(3, 6)) for _ in range(40)})
+    seen = sorted({word(rng.randint(1, 7)) for _ in range(200)}) + [None]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, x, b, i)
+        return row[-1]
+
+    def _next(row, x, b, i):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    table = spark.createDataFrame([(s, 1) for s in seen], "intBC string, n int")
+    white = spark.createDataFrame([(w,) for w in [*listed, " ", f" {listed[0]} "]], "barcode string")
+    for most in (0, 1, 2):
+        want = []
+        for s in seen[:-1]:
+            d = sorted((edits(s, w), w) for w in listed)
+            if d[0][0] <= most and (len(d) == 1 or d[1][0] > d[0][0]):
+                want.append(d[0][1])
+        assert sorted(r.intBC for r in molecules.correct_to_whitelist(table, white, most).collect()) == sorted(want)
