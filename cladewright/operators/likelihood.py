@@ -44,13 +44,13 @@ def _placed(tree: DataFrame) -> DataFrame:
     return tree.select("node", "parent", "brlen").join(node_depths(tree).select("node", "root", "depth"), "node").checkpoint()
 
 
-def _levels(tree: DataFrame, placed: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float):
+def _levels(tree: DataFrame, placed: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float, every: int = 1):
     """Yields the nodes of each level, from the deepest up, with what lies below them.
 
     Columns: those of placed, site, q (of the site's alphabet, in order), the logs of the probability of all that is seen
     below a node given its state (zero, silent, muts: an array in the order of the alphabet), and the same given the state
-    at the upper end of the edge above it (up_zero, up_silent, up_muts). Each level is checkpointed, and leaves are dealt to
-    their levels once.
+    at the upper end of the edge above it (up_zero, up_silent, up_muts). Each level is checkpointed, or one of every so many
+    where levels are not read again, and leaves are dealt to their levels once.
     """
     alphabet = priors.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("state", "q"))).alias("alphabet"))
     missing, shown, hidden = F.col("state").isNull(), float(_log(1 - phi)), float(_log(phi))
@@ -70,7 +70,11 @@ def _levels(tree: DataFrame, placed: DataFrame, leaves: DataFrame, priors: DataF
         # all ways that 0 can go
         ways = F.concat(F.array(F.col("zero") - d * (1 + nu), F.col("lost")), F.zip_with("muts", "q", lambda v, q: v + _ln(q * (1 - F.exp(-d))) - d * nu))
         kept = F.transform("muts", lambda v: _both(v - d * nu, F.col("lost")))
-        edge = edge.withColumns({"up_zero": _summed(ways), "up_silent": F.col("silent"), "up_muts": kept}).drop("lost").checkpoint()
+        # kept stable by the largest
+        edge = edge.withColumn("ways", ways).withColumn("top", F.array_max("ways"))
+        summed = F.col("top") + F.log(F.aggregate("ways", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
+        edge = edge.withColumns({"up_zero": summed, "up_silent": F.col("silent"), "up_muts": kept}).drop("lost", "ways", "top")
+        edge = edge.checkpoint() if depth % every == 0 else edge
         yield edge
         total = F.aggregate("m", F.transform(F.get("m", F.lit(0)), lambda _: F.lit(0.0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
         level = edge.filter("parent is not null").groupBy(F.col("parent").alias("node"), "site").agg(
@@ -86,7 +90,7 @@ def level_likelihood(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu:
     that were lifted to it. leaves: node, site, state (null: missing). priors: site, state, q.
     """
     level = None
-    for level in _levels(tree, _placed(tree), leaves, priors, nu, phi):
+    for level in _levels(tree, _placed(tree), leaves, priors, nu, phi, every=3):
         pass
     if level is None:
         return leaves.select(F.col("node").alias("root"), "site", F.lit(0.0).alias("llh")).limit(0)
