@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
 from cladewright.operators import ancestry, characters, distances, evaluation, inference, likelihood, lineages, molecules, simulation
-from cladewright.plans import preprocess
+from cladewright.plans import phylogeny, preprocess
+from cladewright.plans.fragments import CLOSURE, DEPTHS
 from cladewright.sources.derived import SPAN, derive, with_derived
 from cladewright.streaming import counts as streaming
 
@@ -216,9 +217,6 @@ _query("pair_counts", COUNTS, "characters")(lambda t: distances.pair_counts(t, b
 _query("pairwise_branch_estimates", f"SELECT a, b, round(0 - ln(z_z / (z_z + a_z)), 9) AS d_a, round(0 - ln(z_z / (z_z + z_a)), 9) AS d_b FROM ({COUNTS}) c WHERE z_z > 0", "characters")(
     lambda t: distances.pairwise_branch_estimates(t, by=("dataset",)).select("a", "b", F.round("d_a", 9).alias("d_a"), F.round("d_b", 9).alias("d_b"))
 )
-CLOSURE = """up AS (SELECT node, node AS ancestor, 0 AS up, CAST(0 AS double) AS length FROM tree UNION ALL
- SELECT up.node, t.parent, up.up + 1, up.length + t.brlen FROM up JOIN tree t ON up.ancestor = t.node WHERE t.parent IS NOT NULL)"""
-DEPTHS = "nd AS (SELECT node, arg_max(ancestor, up) AS root, max(up) AS depth, max_by(length, up) AS height FROM up GROUP BY node)"
 _query("ancestors", f"WITH RECURSIVE {CLOSURE} SELECT node, ancestor, up, round(length, 9) AS length FROM up", "tree")(
     lambda t: distances.ancestors(t).select("node", "ancestor", "up", F.round("length", 9).alias("length"))
 )
@@ -454,3 +452,8 @@ SQL["streamed_molecule_counts"] = "SELECT user_id AS cell, event_type AS intBC,
 
 QUERIES |= preprocess.QUERIES
 SQL |= preprocess.SQL
+
+# -- texts, transforms, priors, results, heat maps and triplets --------------------------------------------------------
+
+QUERIES |= phylogeny.QUERIES
+SQL |= phylogeny.SQL

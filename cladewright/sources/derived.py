@@ -75,7 +75,24 @@ SELECT 'read' || cast(l_orderkey AS varchar(20)) || '_' || cast(l_linenumber AS
 FROM lineitem
 """
 
-ALL = {"alignments": ALIGNMENTS, "molecules": MOLECULES, "reads": READS, "alleles": ALLELES, "cell_barcodes": CELL_BARCODES, "characters": CHARACTERS, "tree": TREE}
+#: Lines of result files and logs, of one file an order: seven lines for each item of it.
+LOGS = """
+SELECT 'out/run' || cast(o AS varchar(20)) || '_' || CASE o % 5 WHEN 0 THEN 'nm' WHEN 1 THEN 'bm' WHEN 2 THEN 'nd' WHEN 3 THEN 'ns' ELSE 'other' END || '.txt' AS file,
+  cast(0 AS bigint) AS block, cast(i * 10 + k AS bigint) AS line,
+  CASE k WHEN 1 THEN CASE WHEN (o + i) % 4 = 0 THEN '' ELSE 'NNI Iter: ' || cast(i AS varchar(5)) END
+    WHEN 2 THEN 'Number of trees checked: ' || cast(p % 50 AS varchar(20))
+    WHEN 3 THEN '  Current score: -' || cast(s AS varchar(20)) || '.' || cast(p % 10 AS varchar(5))
+    WHEN 4 THEN 'Runtime (s): ' || cast(p % 9 AS varchar(5)) || '.5'
+    WHEN 5 THEN CASE (o + i) % 5 WHEN 0 THEN 'Optimal tree: (a' || cast(p AS varchar(20)) || ':1,b:2);' WHEN 1 THEN 'Optimal negative-llh: ' || cast(s AS varchar(20)) || '.25'
+      WHEN 2 THEN 'Optimal dropout rate: 0.' || cast(p % 10 AS varchar(5)) WHEN 3 THEN 'Optimal silencing rate: 0.' || cast(s % 10 AS varchar(5))
+      ELSE 'Optimal score for this search: -' || cast(s AS varchar(20)) || '.75' END
+    WHEN 6 THEN 'Current oldEM_solver score: -' || cast(s AS varchar(20)) || '.5, 0.' || cast(p % 10 AS varchar(5)) || ', 0.' || cast(s % 10 AS varchar(5)) || ', ' || cast(i AS varchar(5)) || '.25 seconds'
+    ELSE CASE WHEN (o + i) % 6 = 0 THEN 'no score' ELSE 'Current fastEM_solver score: -' || cast(s AS varchar(20)) || '.0, 0.' || cast(p % 7 AS varchar(5)) || ', 0.1, 0.' || cast(i AS varchar(5)) || ' seconds' END END AS value
+FROM (SELECT l_orderkey AS o, cast(l_linenumber AS int) AS i, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey, l_linenumber) x
+CROSS JOIN (SELECT DISTINCT cast(l_linenumber AS int) AS k FROM lineitem) y
+"""
+
+ALL = {"logs": LOGS, "alignments": ALIGNMENTS, "molecules": MOLECULES, "reads": READS, "alleles": ALLELES, "cell_barcodes": CELL_BARCODES, "characters": CHARACTERS, "tree": TREE}
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
