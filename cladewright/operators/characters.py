@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewright.operators.ordering import numbered
+
 SITES = ("r1", "r2", "r3")
 
 
@@ -45,6 +47,62 @@ def character_matrix(alleles: DataFrame, most: float = 0.999, sites=SITES) -> Da
     return long.join(state_codes(alleles, sites), ["character", "indel"]).groupBy("cellBC", "character").agg(F.array_sort(F.collect_set("state")).alias("states"))
 
 
+#: Fixed value: the state of a character that is missing in a cell.
+MISSING = -1
+
+
+def _kept_indels(alleles: DataFrame, ignored: DataFrame | None, most: float, missing: str | None, sites) -> DataFrame:
+    """(cellBC, character, indel) of the characters that stay; the missing allele is null."""
+    used = alleles.filter("cellBC is not null and intBC is not null")
+    if ignored is not None:
+        used = used.join(ignored.select("intBC").distinct(), "intBC", "left_anti")
+    long = indels(used, sites).withColumn("character", F.concat("intBC", "site"))
+    part = long.select("cellBC", "character", "indel").distinct().groupBy("character", "indel").agg(F.count(F.lit(1)).alias("n"))
+    diverse = part.groupBy("character").agg((F.max("n") / F.sum("n")).alias("top")).filter(F.col("top") <= most)
+    gone = F.lit(False) if missing is None else F.col("indel") == missing
+    return long.join(diverse, "character", "left_semi").select("cellBC", "character", F.when(~gone, F.col("indel")).alias("indel"))
+
+
+def matrix_states(alleles: DataFrame, ignored: DataFrame | None = None, most: float = 1.0, missing: str | None = None, priors: DataFrame | None = None, sites=SITES) -> DataFrame:
+    """(character, column, state, indel, q): the characters of an allele table, numbered from 1, and their mutated states.
+
+    A character is an intBC, less the ignored ones, with a cut site, unless one allele makes up more than most of its
+    distinct (cell, allele) rows; columns go by name. Indels other than uncut and missing ones are numbered from 1 in each
+    character by their first cell, then name. priors (indel, freq) give q, averaged for repeated indels, null for unknown
+    ones. A character without mutated indels has one row with a null state.
+    """
+    kept = _kept_indels(alleles, ignored, most, missing, sites)
+    columns = numbered(kept.select("character").distinct(), [], ["character"], "column")
+    cut = kept.filter("indel is not null").filter(~F.contains(F.lower("indel"), F.lit("none")))
+    first = cut.groupBy("character", "indel").agg(F.min("cellBC").alias("cell"))
+    coded = numbered(first, ["character"], ["cell", "indel"], "state").select("character", "indel", F.col("state").cast("int").alias("state"))
+    if priors is None:
+        coded = coded.withColumn("q", F.lit(None).cast("double"))
+    else:
+        coded = coded.join(priors.groupBy("indel").agg(F.avg("freq").alias("q")), "indel", "left")
+    return columns.join(coded, "character", "left").select("character", "column", "state", "indel", "q")
+
+
+def matrix_rows(alleles: DataFrame, states: DataFrame, ignored: DataFrame | None = None, most: float = 1.0, missing: str | None = None, sites=SITES, collapse: bool = True) -> DataFrame:
+    """(cellBC, row): what each cell shows at each column of matrix_states(), as an array of sorted arrays of states.
+
+    Uncut is 0, a missing or null indel and a column without rows of the cell -1; several states stay side by side, once
+    each, or with collapse=False as often as they occur. Cells and characters are not crossed: only what a cell shows is
+    joined, and the rest is filled within its row. Cells without any row of a kept character have no row here.
+    """
+    kept = _kept_indels(alleles, ignored, most, missing, sites)
+    told = kept.join(states.select("character", "column", "indel", "state"), ["character", "indel"], "left")
+    columns = states.select("character", F.col("column").alias("at")).distinct()
+    uncut = F.contains(F.lower("indel"), F.lit("none"))
+    told = told.join(columns, "character").withColumn("state", F.when(F.col("indel").isNull(), MISSING).when(uncut, 0).otherwise(F.col("state")))
+    gathered = F.collect_set("state") if collapse else F.collect_list("state")
+    shown = told.groupBy("cellBC", "at").agg(F.array_sort(gathered).alias("states"))
+    width = states.agg(F.max("column").alias("width"))
+    cells = shown.groupBy("cellBC").agg(F.map_from_entries(F.collect_list(F.struct("at", "states"))).alias("shown"))
+    filled = F.transform(F.sequence(F.lit(1).cast("long"), "width"), lambda i: F.coalesce(F.try_element_at("shown", i), F.array(F.lit(MISSING))))
+    return cells.crossJoin(F.broadcast(width)).select("cellBC", filled.alias("row"))
+
+
 def indel_priors(alleles: DataFrame, by=("intBC",), sites=SITES) -> DataFrame:
     """(indel, count, freq): in how many groups an indel occurs, and in what part of all."""
     total = alleles.select(*by).distinct().agg(F.count(F.lit(1)).alias("groups"))
@@ -77,6 +135,12 @@ def without_all_missing(characters: DataFrame, by: tuple[str, ...] = ()) -> Data
     return characters.join(seen.drop("known"), [*by, "site"], "left_semi")
 
 
+def present_sites(characters: DataFrame, priors: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The matrix and its priors (by..., site, state, q), both without the sites that no cell of a data set has a state at."""
+    seen = characters.filter("state is not null").select(*by, "site").distinct()
+    return tuple(t.join(seen, [*by, "site"], "left_semi") for t in (characters, priors))
+
+
 def average_rows(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., site, mean): the mean of the known states of the cells of each group."""
     return characters.groupBy(*by, "site").agg(F.avg("state").alias("mean"))

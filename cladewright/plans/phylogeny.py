@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cladewright.operators import distances, heatmaps, priors, results, tours, transforms, triplets
+from cladewright.operators import characters, distances, heatmaps, priors, results, tours, transforms, triplets
 from cladewright.plans.fragments import CLOSURE, DEPTHS
 from cladewright.sources import newick
 from cladewright.sources.derived import derive, with_derived
@@ -139,6 +139,81 @@ UNION ALL SELECT fd.dataset, fd.site, coalesce(state, 1), round(1e0 / count(*) O
     "characters",
 )
 
+# -- matrices ----------------------------------------------------------------------------------------------------------
+
+
+def _torn(alleles):
+    """Alleles of cells that differ within a barcode, some of them missing."""
+    return alleles.withColumn("r2", F.when(F.col("readCount") % 11 == 0, None).otherwise(F.col("r2")))
+
+
+def _matrix_parts(alleles):
+    t = _torn(alleles)
+    ignored = t.filter(F.col("intBC").startswith("AG")).select("intBC")
+    given = t.select(F.col("r1").alias("indel"), (F.ascii(F.substring("intBC", 3, 1)) / 100.0).alias("freq")).distinct()
+    return t, ignored, given
+
+
+def _states(alleles):
+    t, ignored, given = _matrix_parts(alleles)
+    return characters.matrix_states(t, ignored, 0.8, "1I", given).withColumn("q", F.round("q", 9))
+
+
+def _rows(alleles):
+    t, ignored, given = _matrix_parts(alleles)
+    states = characters.matrix_states(t, ignored, 0.8, "1I", given).checkpoint()
+    rows = characters.matrix_rows(t, states, ignored, 0.8, "1I")
+    return rows.select("cellBC", F.array_join(F.transform("row", lambda x: F.array_join(x.cast("array<string>"), "/")), ",").alias("row"))
+
+
+MATRIX = """tn AS (SELECT * REPLACE (CASE WHEN readCount % 11 = 0 THEN NULL ELSE r2 END AS r2) FROM alleles),
+lg AS (SELECT cellBC, intBC || unnest(['r1', 'r2', 'r3']) AS character, unnest([r1, r2, r3]) AS indel FROM tn WHERE NOT starts_with(intBC, 'AG')),
+dv AS (SELECT character FROM (SELECT character, indel, count(*) AS n FROM (SELECT DISTINCT * FROM lg) x GROUP BY ALL) y GROUP BY character HAVING max(n) / sum(n) <= 0.8),
+kp AS (SELECT cellBC, character, CASE WHEN indel <> '1I' THEN indel END AS indel FROM lg SEMI JOIN dv USING (character)),
+co AS (SELECT character, row_number() OVER (ORDER BY character) AS col FROM (SELECT DISTINCT character FROM kp) x),
+ct AS (SELECT character, indel, CAST(row_number() OVER (PARTITION BY character ORDER BY min(cellBC), indel) AS int) AS state FROM kp WHERE lower(indel) NOT LIKE '%none%' GROUP BY character, indel)"""
+_query(
+    "matrix_states",
+    _states,
+    f"""WITH {MATRIX}, pq AS (SELECT indel, avg(freq) AS q FROM (SELECT DISTINCT r1 AS indel, ascii(substr(intBC, 3, 1)) / 100e0 AS freq FROM tn) x GROUP BY indel)
+SELECT co.character, col AS "column", state, indel, round(q, 9) AS q FROM co LEFT JOIN ct ON ct.character = co.character LEFT JOIN pq USING (indel)""",
+    "alleles",
+)
+_query(
+    "matrix_rows",
+    _rows,
+    f"""WITH {MATRIX}, st AS (SELECT DISTINCT cellBC, col, CASE WHEN kp.indel IS NULL THEN -1 WHEN lower(kp.indel) LIKE '%none%' THEN 0 ELSE state END AS state
+ FROM kp JOIN co USING (character) LEFT JOIN ct ON ct.character = kp.character AND ct.indel = kp.indel),
+tk AS (SELECT cellBC, col, string_agg(CAST(state AS varchar), '/' ORDER BY state) AS token FROM st GROUP BY cellBC, col)
+SELECT cellBC, string_agg(coalesce(token, '-1'), ',' ORDER BY col) AS row FROM (SELECT cellBC, col, token FROM (SELECT DISTINCT cellBC FROM tk) c CROSS JOIN co LEFT JOIN tk USING (cellBC, col)) x GROUP BY cellBC""",
+    "alleles",
+)
+
+
+def _present(c):
+    """The priors of matrices that have no state at one site of every data set."""
+    holes = c.withColumn("state", F.when(F.col("dataset") % 7 + 1 != F.col("site"), F.col("state")))
+    given = c.filter("state > 0").select("dataset", "site", "state", (F.col("state") / 15.0).alias("q")).distinct()
+    cells, kept = characters.present_sites(holes, given, ("dataset",))
+    n = cells.groupBy("dataset", "site").agg(F.count(F.lit(1)).alias("n_cells"))
+    return kept.join(n, ["dataset", "site"]).withColumn("q", F.round("q", 9))
+
+
+_query(
+    "present_site_priors",
+    _present,
+    """WITH hl AS (SELECT dataset, site, count(*) AS n_cells FROM characters GROUP BY ALL HAVING count(CASE WHEN dataset % 7 + 1 <> site THEN state END) > 0)
+SELECT DISTINCT dataset, site, state, round(state / 15e0, 9) AS q, n_cells FROM characters JOIN hl USING (dataset, site) WHERE state > 0""",
+    "characters",
+)
+_query(
+    "normalised_priors",
+    lambda c: characters.normalised_priors(c.filter("state is not null").select("site", "state", (F.col("state") / 5.0).alias("q")).distinct()).withColumn("q", F.round("q", 9)),
+    """WITH pr AS (SELECT DISTINCT site, state, state / 5e0 AS q FROM characters WHERE state IS NOT NULL)
+SELECT site, state, round(q / sum(q) OVER (PARTITION BY site), 9) AS q FROM pr WHERE q > 0 AND q < 1""",
+    "characters",
+)
+
 # -- results of runs ---------------------------------------------------------------------------------------------------
 
 _query(
