@@ -112,16 +112,35 @@ def splits(tree: DataFrame, shared: DataFrame) -> DataFrame:
     return both.select("root", F.array_join(other.cast("array<string>"), ",").alias("split")).distinct()
 
 
+def split_hashes(tree: DataFrame, shared: DataFrame) -> DataFrame:
+    """(root, split): splits() as a pair of numbers each, without lists of leaves.
+
+    A leaf has two hashes of 64 bits; those of a side are put together by exclusive or, which does not mind the order, and
+    what all leaves of the tree add up to tells the other side. The side without the least leaf stands for a split. Different
+    splits get the same numbers with a chance of one in 2**128 a pair of them.
+    """
+    up = ancestors(tree)
+    roots = node_depths(tree, up).select("node", "root")
+    hashes = F.xxhash64("node").alias("h"), F.xxhash64(F.lit("leaf"), "node").alias("g")
+    leaves = tree.filter("is_leaf").select("node").join(shared, "node", "left_semi").join(roots, "node").select("node", "root", *hashes)
+    summed = F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"), F.count(F.lit(1)).alias("n"), F.min("node").alias("least")
+    whole = leaves.groupBy("root").agg(*summed).select("root", F.col("h").alias("whole_h"), F.col("g").alias("whole_g"), F.col("n").alias("total"), F.col("least").alias("first"))
+    below = up.select("node", "ancestor").join(leaves, "node").groupBy("root", "ancestor").agg(*summed)
+    both = below.join(whole, "root").filter((F.col("n") > 1) & (F.col("n") < F.col("total") - 1))
+    side = lambda c: F.when(F.col("least") == F.col("first"), F.col(c).bitwiseXOR(F.col(f"whole_{c}"))).otherwise(F.col(c)).alias(c)
+    return both.select("root", F.struct(side("h"), side("g")).alias("split")).distinct()
+
+
 def robinson_foulds(first: DataFrame, second: DataFrame) -> DataFrame:
     """(root, only_first, only_second, shared, rf): unrooted distance on the leaves that both have, by the first's root.
 
-    Trees correspond where a split or leaf of theirs does; both tables give corresponding trees the same root number.
+    Trees correspond where a split or leaf of theirs does; both tables give corresponding trees the same root number. Splits
+    are compared by split_hashes().
     """
     leaves = first.filter("is_leaf").select("node").join(second.filter("is_leaf").select("node"), "node", "left_semi")
-    a = splits(first, leaves).select("root", "split", F.lit(1).alias("i"))
-    b = splits(second, leaves).select("root", "split", F.lit(1).alias("j"))
-    both = a.join(b, ["root", "split"], "full").groupBy("root")
-    out = both.agg(F.count_if(F.col("j").isNull()).alias("only_first"), F.count_if(F.col("i").isNull()).alias("only_second"), F.count_if(F.col("i").isNotNull() & F.col("j").isNotNull()).alias("shared"))
+    a, b = (split_hashes(t, leaves).withColumn("side", F.lit(i)) for i, t in ((1, first), (2, second)))
+    met = a.unionByName(b).groupBy("root", "split").agg(F.sum("side").alias("side"))
+    out = met.groupBy("root").agg(*[F.count_if(F.col("side") == i).alias(n) for i, n in ((1, "only_first"), (2, "only_second"), (3, "shared"))])
     apart = F.col("only_first") + F.col("only_second")
     return out.withColumn("rf", apart / (apart + 2 * F.col("shared")))
 

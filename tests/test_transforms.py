@@ -1,10 +1,11 @@
 """Scaled, collapsed, resolved and subsampled trees by hand."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from cladewright.operators import transforms
+from cladewright.operators import distances, transforms
 
 EDGES = "node long, parent long, brlen double, is_leaf boolean"
 ROWS = [(1, None, 9.0, False), (2, 1, 0.1, False), (3, 2, 0.05, False), (4, 3, 2.0, True), (5, 3, 1.0, True), (6, 2, 4.0, True), (7, 1, 0.01, True), (8, 1, None, False), (9, 8, 3.0, True)]
@@ -69,3 +70,22 @@ def test_empty(spark):
     none = spark.createDataFrame([], EDGES)
     for f in (lambda t: transforms.scaled(t), lambda t: transforms.collapsed(t, 1.0), lambda t: transforms.resolved(t), lambda t: transforms.subsampled(t, 3)):
         assert f(none).count() == 0
+
+
+def test_splits_by_hash_are_those_by_lists(spark):
+    rng = random.Random(8)
+    rows, last = [], 0
+    for t in range(5):
+        n, first = 25 + 10 * t, last + 1
+        parents = {i: rng.randrange(first, i) for i in range(first + 1, first + n)}
+        rows += [(i, parents.get(i), 1.0, i not in parents.values()) for i in range(first, first + n)]
+        last = first + n
+    tree = spark.createDataFrame(rows, EDGES).checkpoint()
+    shared = tree.filter("is_leaf and node % 7 <> 0").select("node")
+    by_list = Counter(r.root for r in distances.splits(tree, shared).collect())
+    by_hash = distances.split_hashes(tree, shared).collect()
+    assert Counter(r.root for r in by_hash) == by_list and sum(by_list.values()) > 20
+    # the same splits, whichever node is the root: two trees of four leaves rooted at either end
+    one = spark.createDataFrame([(1, None, 1.0, False), (2, 1, 1.0, False), (3, 1, 1.0, False), (4, 2, 1.0, True), (5, 2, 1.0, True), (6, 3, 1.0, True), (7, 3, 1.0, True)], EDGES)
+    other = spark.createDataFrame([(1, None, 1.0, False), (4, 1, 1.0, True), (2, 1, 1.0, False), (5, 2, 1.0, True), (3, 2, 1.0, False), (6, 3, 1.0, True), (7, 3, 1.0, True)], EDGES)
+    assert distances.robinson_foulds(one, other).first().asDict() == {"root": 1, "only_first": 0, "only_second": 0, "shared": 1, "rf": 0.0}
