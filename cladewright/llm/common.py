@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,9 @@ def words_of(text: Column | str) -> Column:
 # -- scratch tables ------------------------------------------------------------------------------------------------
 
 _made: list[str] = []
+_tables: list[str] = []
+#: Spark's switch that lets the shuffle files of a query go as soon as the query has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,8 +73,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Writes within leave no shuffle files behind, as nothing reads them once what they led to is written."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
+def saved_in_buckets(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """As saved(), but a table in one bucket for each shuffle partition, so that joins on columns don't shuffle it again."""
+    spark = df.sparkSession
+    table_name = f"cladewright_{name}_{uuid.uuid4().hex}"
+    _tables.append(table_name)
+    df.write.option("path", scratch(spark, table_name)).bucketBy(shuffle_width(spark), *columns).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes the scratch tables written so far; call it when their results have been consumed."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     jvm = spark.sparkContext._jvm
     while _made:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())

@@ -21,6 +21,7 @@ Data flow. One scan turns texts into chunks of pairs and their occurrences, pack
 them to their shard and part, a part being the chunks of about PART_BYTES of text, so that a context that a third of all
 occurrences have does not fill a task. The pairs of parts are merged FAN at a time into those of their shard; log
 probabilities go down the same tree to the parts, where occurrences are scored; sums for each document return by chunk.
+Parts are a bucketed table, so that their occurrences are shuffled once only.
 
 Defined cases: a null text is empty and has the end token only; null doc_ids are learned from and not held out; rows
 that repeat a doc_id are scored one by one, and learned from one by one; without training tokens every token is
@@ -36,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, mix, saved, spans, table, text_steps, visible_bytes
+from .common import PrefixHash, freed_shuffles, mix, saved, saved_in_buckets, spans, table, text_steps, visible_bytes
 
 #: Strengths of the root and of contexts; a small one of contexts scored best on held-out texts of sf0.001.
 STRENGTH = (20.0, 0.1)
@@ -242,14 +243,6 @@ def handed_down(rated: DataFrame, places: list[DataFrame]) -> DataFrame:
     return rated
 
 
-def _release_shuffles(df: DataFrame) -> None:
-    """Spark deletes shuffle files when the driver collects their plans as garbage, which a long quiet driver seldom does.
-
-    Called where a saved table has made the shuffles before it needless.
-    """
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 # -- the model -----------------------------------------------------------------------------------------------------
 
 
@@ -475,7 +468,7 @@ def _score_task(totals: Totals):
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 log_p, c = unpack(row["log_p"]).astype(np.float64), unpack(row["word_count"])
                 log_base, known = np.log10((c + 1) / (totals.n_tokens + totals.n_types + 1)), (c > 0).astype(np.float64)
                 word = unpack(row["pair_word"])
@@ -516,14 +509,25 @@ def _sums(root: DataFrame) -> list[float]:
 
 def score_documents(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each document."""
+    with freed_shuffles(docs.sparkSession):
+        parts, rated, places, totals = _fitted(docs, strength)
+    occurrences = parts.select("shard", "part", "pair_word", "occurrence", "chunks", "chunk_docs", "per_doc", "docs")
+    # the occurrences lie in buckets; only log probabilities are shuffled to them
+    scored = occurrences.join(handed_down(rated, places).hint("shuffle_hash"), ["shard", "part"])
+    sums = scored.mapInArrow(_score_task(totals), "chunk long, score binary, base binary, known binary, ids binary, nulls binary, tokens binary")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = sums.groupBy("chunk").applyInPandas(_document_task(totals.n_tokens), schema)
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def _fitted(docs: DataFrame, strength: tuple[float, float]) -> tuple[DataFrame, DataFrame, list[DataFrame], Totals]:
+    """Parts with their occurrences, rated tables of shards, places of the levels between, and sums: all in saved tables."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards, n_parts = max(12, -(-size // SHARD_BYTES)), max(1, -(-size // PART_BYTES))
     chunks = source.mapInArrow(_chunk_task(n_shards), CHUNK_ROW).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(n_parts)).cast("int"))
-    parts = saved(chunks.groupBy("shard", "part").applyInPandas(_part_task, PART_ROW), "parts")
-    _release_shuffles(docs)
+    parts = saved_in_buckets(chunks.groupBy("shard", "part").applyInPandas(_part_task, PART_ROW), "parts", "shard", "part")
     pairs, places = merged_tables(parts, n_parts)
-    _release_shuffles(docs)
     sent = saved(pairs.mapInPandas(_count_task(n_shards), SENT_ROW), "sent")
     once, twice = (x or 0 for x in sent.agg(F.sum("once"), F.sum("twice")).first())
     rounds = [saved(sent.groupBy("bucket").applyInPandas(_first_root_task, ROOT_ROW), "root")]
@@ -540,13 +544,7 @@ def score_documents(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -
     for number in (ROUNDS - 1, ROUNDS):
         state = state.unionByName(rounds[number].select("shard", "bucket", F.lit(number).alias("round"), F.lit(None).cast("binary").alias("n"), "customers", "tables"))
     rated = pairs.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_rate_task(totals[-2], totals[-1], ROUNDS, n_shards), RATED_ROW)
-    rated = saved(rated, "rated")
-    _release_shuffles(docs)
-    scored = parts.select("shard", "part", "pair_word", "occurrence", "chunks", "chunk_docs", "per_doc", "docs").join(handed_down(rated, places), ["shard", "part"])
-    sums = scored.mapInArrow(_score_task(totals[-1]), "chunk long, score binary, base binary, known binary, ids binary, nulls binary, tokens binary")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = sums.groupBy("chunk").applyInPandas(_document_task(n_tokens), schema)
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return parts, saved(rated, "rated"), places, totals[-1]
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
