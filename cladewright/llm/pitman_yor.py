@@ -43,7 +43,8 @@ from .common import PrefixHash, freed_shuffles, mix, saved, saved_in_buckets, sp
 STRENGTH = (20.0, 0.1)
 BURN, SAMPLES, ROUNDS, SEED = 2, 4, 2, 11  # at least two rounds
 #: Text for a chunk, for a part of the occurrences of a shard, and for a shard; parts merged at once.
-CHUNK_BYTES, PART_BYTES, SHARD_BYTES, FAN = 12 << 20, 96 << 20, 64 << 20, 16
+CHUNK_BYTES, PART_BYTES, SHARD_BYTES, FAN = 12 << 20, 96 << 20, 32 << 20, 16
+SLICE = 1 << 18  # pairs of a shard that arithmetic works on at once, so that temporaries stay small
 BEGIN, END = np.uint64(0x8F1C3A5D27B6940E), np.uint64(0xE4D5B0F1A2937C61)
 
 
@@ -283,6 +284,14 @@ def seat(customers: np.ndarray, others: np.ndarray, strength: float, discount: f
     return t
 
 
+def _summed(index: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of x by index, in slices."""
+    out = np.zeros(n)
+    for low in range(0, len(index), SLICE):
+        out += np.bincount(index[low : low + SLICE], x[low : low + SLICE], n)
+    return out
+
+
 class Shard:
     """The restaurants of a shard's contexts, from a row of TABLE_ROW."""
 
@@ -290,20 +299,21 @@ class Shard:
         self.number = int(row.shard)
         self.words = np.frombuffer(row.words, np.uint64)
         self.context, self.word = unpack(row.pair_context), unpack(row.pair_word)
-        self.count = unpack(row.pair_count)
+        count = unpack(row.pair_count)
+        self.count = count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count
         self.many = np.flatnonzero(self.count > 1)  # only these can have more than one table
         self.n_contexts = int(self.context.max()) + 1 if len(self.context) else 0
 
     def by_word(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, x, len(self.words))
+        return _summed(self.word, x, len(self.words))
 
     def by_context(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, x, self.n_contexts)
+        return _summed(self.context, x, self.n_contexts)
 
     def chain(self, parent: np.ndarray, strength: float, discount: float, number: int):
         """Yields the tables of each pair in each sample; parent: root probability of each word of the shard."""
         rng = np.random.default_rng((SEED, number, self.number))
-        customers, context, parent = self.count[self.many], self.context[self.many], parent[self.word[self.many]]
+        customers, context, parent = self.count[self.many].astype(np.int64), self.context[self.many], parent[self.word[self.many]]
         t = np.minimum(self.count, 1).astype(np.float32)
         for sweep in range(BURN + SAMPLES):
             others = self.by_context(t)[context] - t[self.many]
@@ -321,12 +331,13 @@ class Shard:
         total = np.zeros(len(self.word))
         for k, t in enumerate(chain):
             tables, above = self.by_context(t), np.ascontiguousarray(root[:, k])
-            for low in range(0, len(total), 1 << 18):  # in slices, so that temporaries stay small
-                at = slice(low, low + (1 << 18))
+            for low in range(0, len(total), SLICE):
+                at = slice(low, low + SLICE)
                 here, p = customers[self.context[at]], above[self.word[at]]
                 inner = (self.count[at] - discount * t[at] + (strength + discount * tables[self.context[at]]) * p) / np.maximum(strength + here, 1e-300)
                 total[at] += np.where(here > 0, inner, p)
-        return total / SAMPLES
+        total /= SAMPLES
+        return total
 
 
 # Shards and buckets of the root exchange arrays, not rows: a shard's words, sorted by bucket and hash, keep their order in
@@ -358,7 +369,7 @@ def _count_task(n_buckets: int):
             for row in frame.itertuples():
                 s = Shard(row)
                 order, edges = _by_bucket(s.words, n_buckets)
-                n, tables = s.by_word(s.count)[order].astype(np.int64), s.by_word(s.count > 0)[order].astype(np.uint32)
+                n, tables = np.rint(s.by_word(s.count))[order].astype(np.int64), s.by_word(s.count > 0)[order].astype(np.uint32)
                 met = {"once": int((s.count == 1).sum()), "twice": int((s.count == 2).sum())}
                 rows = []
                 for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -455,8 +466,9 @@ def _rate_task(before: Totals, totals: Totals, number: int, n_buckets: int):
         n = np.empty(len(s.words), np.int64)
         n[_by_bucket(s.words, n_buckets)[0]] = np.concatenate([np.zeros(0, np.int64), *map(unpack, root[root["round"] == 0].sort_values("bucket")["n"])])
         local = totals.strength[1], totals.discount[1]
-        log_p = np.log10(s.probabilities(s.chain(parent, *local, number), *local, own))
-        return pd.DataFrame([[row.shard, row.part, pack(log_p.astype(np.float32)), pack(n)]], columns=_names(RATED_ROW))
+        p = s.probabilities(s.chain(parent, *local, number), *local, own)
+        log_p = np.log10(p, out=p).astype(np.float32)
+        return pd.DataFrame([[row.shard, row.part, pack(log_p), pack(n)]], columns=_names(RATED_ROW))
 
     return run
 
