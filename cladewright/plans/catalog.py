@@ -448,6 +448,12 @@ QUERIES["simulate_characters"] = lambda spark, sf_dir: _simulated(spark)
 QUERIES["streamed_molecule_counts"] = lambda spark, sf_dir: streaming.drained_counts(spark, sf_dir)
 SQL["streamed_molecule_counts"] = "SELECT user_id AS cell, event_type AS intBC, count(*) AS n FROM events GROUP BY user_id, event_type"
 
+QUERIES["streamed_window_counts"] = lambda spark, sf_dir: streaming.drained_windows(spark, sf_dir)
+SQL["streamed_window_counts"] = """
+SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M') AS started, event_type AS intBC, count(*) AS n
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2
+"""
+
 # -- preprocess stages ---------------------------------------------------------------------------------------------
 
 QUERIES |= preprocess.QUERIES
