@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 from fixtures import ROWS, documents, empty
 
+from cladewright.llm import common
 from cladewright.llm import pitman_yor as py
 
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -99,3 +100,25 @@ def test_parts_and_their_tree_change_no_score(spark, monkeypatch):
     monkeypatch.setattr(py, "PART_BYTES", max(1, size // 5))
     monkeypatch.setattr(py, "FAN", 2)
     assert rows() == want
+
+
+def test_cleanup_drops_the_bucketed_table_and_the_switch_is_as_before(spark):
+    before = spark.conf.get(common.FREE_SHUFFLES, None)
+    got = py.score_documents(documents(spark))
+    n = got.count()
+    assert got.count() == n == len(ROWS)  # results can be read again
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == before
+    mine = lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith("cladewright_parts")]
+    assert mine()
+    common.cleanup(spark)
+    assert not mine()
+
+
+def test_occurrences_are_not_shuffled_again(spark):
+    """The side of the last join that has the occurrences is a bucketed scan without an exchange."""
+    lines = py.score_documents(documents(spark))._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(k for k, x in enumerate(lines) if "ShuffledHashJoin" in x)
+    scan = next(k for k, x in enumerate(lines) if "FileScan" in x and "occurrence" in x)
+    assert "Bucketed: true" in lines[scan]
+    assert join < scan and not any("Exchange" in x for x in lines[join:scan])  # the join's first child comes first
+    assert any("Exchange" in x for x in lines[scan:])
