@@ -28,7 +28,7 @@ def simulate(tree: DataFrame, priors: DataFrame, depth: int, nu: float, phi: flo
     sites = priors.select("site").distinct()
     level, out = sites.select(F.lit(0).alias("node"), "site", F.lit(0).alias("state")), None
     for _ in range(depth + 1):
-        edge = level.withColumnRenamed("node", "parent").join(tree, "parent").join(F.broadcast(cuts), "site")
+        edge = level.withColumnRenamed("node", "parent").join(tree, "parent").join(cuts, "site")
         d = F.col("brlen")
         silenced = uniform(seed, "node", "site") < 1 - F.exp(-d * nu)
         mutated = uniform(seed + 1, "node", "site") < 1 - F.exp(-d)
@@ -43,6 +43,7 @@ def simulate(tree: DataFrame, priors: DataFrame, depth: int, nu: float, phi: flo
 
 
 def extra_dropout(characters: DataFrame, rate: float, seed: int = 0) -> DataFrame:
+    """States of (cell, site) made missing with this chance each, the same on every run; what is missing stays so."""
     return characters.withColumn("state", F.when(uniform(seed, "cell", "site") >= rate, F.col("state")))
 
 

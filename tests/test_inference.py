@@ -159,3 +159,15 @@ def test_simulated_shares(spark):
     assert abs(silent - (1 - math.exp(-d * 0.2))) < 0.04
     assert abs(zero - math.exp(-d * 1.2) * 0.9) < 0.04
     assert abs(rows.filter("state is null").count() / n - math.exp(-d * 0.2) * 0.1) < 0.02
+
+
+def test_extra_dropout_takes_its_share_and_nothing_else(spark):
+    cells = spark.range(20000).selectExpr("id div 20 as cell", "id % 20 as site", "if(id % 10 = 0, null, id % 3) as state")
+    states = lambda df: {(r.cell, r.site): r.state for r in df.collect()}
+    before, after = states(cells), states(simulation.extra_dropout(cells, 0.25, seed=4))
+    assert before.keys() == after.keys() and all(after[k] in (None, before[k]) for k in before)
+    known = [k for k in before if before[k] is not None]
+    assert abs(sum(after[k] is None for k in known) / len(known) - 0.25) < 0.02
+    assert after == states(simulation.extra_dropout(cells.repartition(7), 0.25, seed=4))
+    assert states(simulation.extra_dropout(cells, 0.0)) == before
+    assert not any(v is not None for v in states(simulation.extra_dropout(cells, 1.0)).values())
