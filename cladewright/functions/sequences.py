@@ -34,11 +34,12 @@ def cigar_chunks(cigar: Column | str) -> Column:
 
 
 def log_sum_exp(x: Column, *by: str) -> Column:
-    """Stable log of summed exponentials as a window over by."""
+    """Stable log of summed exponentials as a window over by. Nulls are left out; where all are minus infinity, so is the log."""
     from pyspark.sql import Window
 
     top = F.max(x).over(Window.partitionBy(*by))
-    return top + F.log(F.sum(F.exp(x - top)).over(Window.partitionBy(*by)))
+    summed = top + F.log(F.sum(F.exp(x - top)).over(Window.partitionBy(*by)))
+    return F.when(top == float("-inf"), top).otherwise(summed)
 
 
 def is_missing(token: Column) -> Column:
