@@ -7,16 +7,50 @@ any number of children, and leaves any depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewright.operators import ancestry
 
-def _pairs(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of cells at each site, within the data sets that the columns by name."""
-    a = characters.select(*by, F.col("cell").alias("a"), "site", F.col("state").alias("x"))
-    b = characters.select(*by, F.col("cell").alias("b"), "site", F.col("state").alias("y"))
-    return a.join(b, [*by, "site"]).filter("a < b")
+#: Cells of a data set that meet in one piece; larger data sets are dealt into pieces, every two of which meet.
+PIECE = 1024
+
+
+def cell_pairs(characters: DataFrame, by: tuple[str, ...], x: Column, y: Column, piece: int = PIECE) -> DataFrame:
+    """(by..., a, b, x, y): each pair of cells a < b of a data set with what they have at their common sites, in their order.
+
+    x and y say what is taken of a site's row for a and for b; a cell belongs to one data set. A cell's sites become one
+    row before cells meet, so that rows in the shuffle are cells, not sites of pairs, and no pairs are shuffled or stored.
+    """
+    row = F.sort_array(F.collect_list(F.struct("site", x.alias("x"), y.alias("y")))).alias("row")
+    cells = characters.filter("site is not null").groupBy(*by, "cell").agg(row)
+    cells = cells.select(*by, "cell", *[F.col(f"row.{c}").alias(c) for c in ("site", "x", "y")])
+    total = F.count(F.lit(1))
+    cells = cells.select("*", total.over(Window.partitionBy(*by)).alias("cells")) if by else cells.crossJoin(F.broadcast(cells.agg(total.alias("cells"))))
+    pieces = F.ceil(F.col("cells") / piece)
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("cell"), pieces)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    met = [*by, "low", "high"]
+    cells = cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    one = cells.select(*met, F.col("cell").alias("a"), F.col("own").alias("own_a"), F.col("site").alias("site_a"), "x")
+    two = cells.select(*met, F.col("cell").alias("b"), F.col("own").alias("own_b"), F.col("site").alias("site_b"), "y")
+    # two pieces meet for the pairs across them only
+    pairs = one.join(two, met).filter("a < b and (low = high or own_a <> own_b)")
+    # where the sites of both are not the same ones, once each, they are looked up
+    plain = (F.col("site_a") == F.col("site_b")) & (F.size(F.array_distinct("site_a")) == F.size("site_a"))
+    left, right = F.arrays_zip(F.col("site_a").alias("site"), F.col("x").alias("v")), F.arrays_zip(F.col("site_b").alias("site"), F.col("y").alias("v"))
+    same = F.flatten(F.transform(left, lambda p: F.transform(F.filter(right, lambda r: r["site"] == p["site"]), lambda r: F.struct(p["v"].alias("x"), r["v"].alias("y")))))
+    common = pairs.select(*by, "a", "b", F.when(~plain, same).alias("same"), "x", "y").filter("same is null or size(same) > 0")
+    return common.select(*by, "a", "b", *[F.when(F.col("same").isNull(), F.col(c)).otherwise(F.col(f"same.{c}")).alias(c) for c in ("x", "y")])
+
+
+def kinds_of_sites(pairs: DataFrame, keep: list[str], kind) -> DataFrame:
+    """keep... and kinds: the number that kind(x, y) gives each site of cell_pairs()."""
+    return pairs.select(*keep, F.zip_with("x", "y", kind).alias("kinds"))
+
+
+def of_kind(k: int) -> Column:
+    """The number of sites of a kind."""
+    return (F.size("kinds") - F.size(F.array_remove("kinds", F.lit(k)))).cast("long")
 
 
 def weighted_hamming(characters: DataFrame, weights: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -24,24 +58,38 @@ def weighted_hamming(characters: DataFrame, weights: DataFrame | None = None, by
 
     weights: site, weight; each site counts with its weight.
     """
-    pairs = _pairs(characters, by)
-    w = F.lit(1)
-    if weights is not None:
-        pairs, w = pairs.join(weights.select("site", "weight"), "site"), F.col("weight")
-    cost = F.when(F.col("x") == F.col("y"), 0).when((F.col("x") == 0) | (F.col("y") == 0), 1).otherwise(2)
-    known = F.col("x").isNotNull() & F.col("y").isNotNull()
-    d = F.sum(F.when(known, cost * w)) / F.nullif(F.count_if(known), F.lit(0))
-    return pairs.groupBy("a", "b").agg(F.coalesce(d, F.lit(0.0)).alias("d"))
+    cost = lambda u, v: F.when(u.isNull() | v.isNull(), None).when(u == v, 0).when((u == 0) | (v == 0), 1).otherwise(2)
+    if weights is None:
+        sites = kinds_of_sites(cell_pairs(characters, by, F.col("state"), F.col("state")), ["a", "b"], lambda u, v: F.coalesce(cost(u, v), F.lit(-1)))
+        known = F.size("kinds") - of_kind(-1)
+        return sites.select("a", "b", F.coalesce((of_kind(1) + 2 * of_kind(2)) / F.nullif(known, F.lit(0).cast("long")), F.lit(0.0)).alias("d"))
+    told = characters.join(weights.select("site", "weight"), "site")
+    pairs = cell_pairs(told, by, F.col("state"), F.struct("state", F.col("weight").cast("double").alias("weight")))
+    costs = pairs.select("a", "b", F.filter(F.zip_with("x", "y", lambda u, v: cost(u, v["state"]) * v["weight"]), lambda c: c.isNotNull()).alias("costs"))
+    known = F.size("costs")
+    total = F.aggregate("costs", F.lit(0.0), lambda a, c: a + c)
+    return costs.select("a", "b", F.when(known > 0, total / known).otherwise(0.0).alias("d"))
+
+
+#: Classes of a pair's site, by their numbers.
+PAIR_KINDS = ("z_z", "z_a", "a_z", "a_a", "a_b", "m_k", "k_m", "m_m")
 
 
 def pair_counts(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, ...): numbers of sites by class: both zero, one mutated, same and different mutations, and any missing."""
-    x, y = F.col("x"), F.col("y")
-    return _pairs(characters, by).groupBy("a", "b").agg(
-        F.count_if((x == 0) & (y == 0)).alias("z_z"), F.count_if((x == 0) & (y > 0)).alias("z_a"), F.count_if((x > 0) & (y == 0)).alias("a_z"),
-        F.count_if((x > 0) & (x == y)).alias("a_a"), F.count_if((x > 0) & (y > 0) & (x != y)).alias("a_b"),
-        F.count_if(x.isNull() & y.isNotNull()).alias("m_k"), F.count_if(x.isNotNull() & y.isNull()).alias("k_m"), F.count_if(x.isNull() & y.isNull()).alias("m_m"),
-    )
+
+    def kind(x, y):
+        told = {
+            "z_z": (x == 0) & (y == 0), "z_a": (x == 0) & (y > 0), "a_z": (x > 0) & (y == 0), "a_a": (x > 0) & (x == y), "a_b": (x > 0) & (y > 0),
+            "m_k": x.isNull() & y.isNotNull(), "k_m": x.isNotNull() & y.isNull(), "m_m": x.isNull() & y.isNull(),
+        }
+        out = F
+        for k, name in enumerate(PAIR_KINDS):
+            out = out.when(told[name], k)
+        return out.otherwise(-1)
+
+    sites = kinds_of_sites(cell_pairs(characters, by, F.col("state"), F.col("state")), ["a", "b"], kind)
+    return sites.select("a", "b", *[of_kind(k).alias(name) for k, name in enumerate(PAIR_KINDS)])
 
 
 def pairwise_branch_estimates(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -199,13 +247,11 @@ def pair_consensus(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     cells: by..., cell, site, state (null: missing). A site has the state that both share or that the only known one has;
     two different states give 0, and neither known null. d counts the known states of the two that differ from it.
     """
-    x = cells.select(*by, "site", F.col("cell").alias("a"), F.col("state").alias("x"))
-    y = cells.select(*by, "site", F.col("cell").alias("b"), F.col("state").alias("y"))
-    z = F.when(F.col("x").eqNullSafe(F.col("y")) | F.col("y").isNull(), F.col("x")).when(F.col("x").isNull(), F.col("y")).otherwise(0)
-    pairs = x.join(y, [*by, "site"]).filter("a < b").withColumn("z", z)
-    moved = sum((F.when(F.col(c) != F.col("z"), 1).otherwise(0) for c in ("x", "y")), start=F.lit(0))
-    out = pairs.groupBy(*by, "a", "b").agg(F.sort_array(F.collect_list(F.struct("site", "z"))).alias("s"), F.sum(moved).alias("d"))
-    return out.select(*by, "a", "b", F.col("s.z").alias("consensus"), "d")
+    sites = cell_pairs(cells, by, F.col("state"), F.col("state"))
+    shared = lambda x, y: F.when(x.eqNullSafe(y) | y.isNull(), x).when(x.isNull(), y).otherwise(0)
+    moved = lambda x, y: sum((F.when(c != shared(x, y), 1).otherwise(0) for c in (x, y)), start=F.lit(0))
+    d = F.aggregate(F.zip_with("x", "y", moved), F.lit(0).cast("long"), lambda a, c: a + c)
+    return sites.select(*by, "a", "b", F.zip_with("x", "y", shared).alias("consensus"), d.alias("d"))
 
 
 def allelic_coupling(tree: DataFrame, leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

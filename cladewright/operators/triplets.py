@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladewright.operators import distances
+
 #: Counts of a pair's sites: both zero, one mutated, different mutations, and one missing beside a zero or a mutation.
 COUNTS = ("zz", "az", "za", "ab", "zm", "mz", "am", "ma")
 
@@ -20,17 +22,24 @@ def pair_classes(characters: DataFrame, priors: DataFrame, by: Sequence[str] = (
     the priors of the mutations that both have; one without a prior counts as different mutations.
     """
     told = characters.join(priors.select("site", "state", "q"), ["site", "state"], "left").select(*by, "cell", "site", "state", "q")
-    x = told.select(*by, "site", F.col("cell").alias("a"), F.col("state").alias("x"), "q")
-    y = told.select(*by, "site", F.col("cell").alias("b"), F.col("state").alias("y"))
-    p = x.join(y, [*by, "site"]).filter("a < b")
-    zero, mutated, gone = lambda c: F.col(c) == 0, lambda c: F.col(c) > 0, lambda c: F.col(c).isNull()
-    equal = mutated("x") & (F.col("x") == F.col("y")) & F.col("q").isNotNull()
-    kinds = {
-        "zz": zero("x") & zero("y"), "az": mutated("x") & zero("y"), "za": zero("x") & mutated("y"), "ab": mutated("x") & mutated("y") & ~equal,
-        "zm": zero("x") & gone("y"), "mz": gone("x") & zero("y"), "am": mutated("x") & gone("y"), "ma": gone("x") & mutated("y"),
-    }
-    same = F.sort_array(F.collect_list(F.when(equal, F.col("q")))).alias("same")
-    return p.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(kinds[k]).alias(k) for k in COUNTS], same)
+    equal = lambda x, y: (x["state"] > 0) & (x["state"] == y) & x["q"].isNotNull()
+
+    def kind(x, y):
+        zero, mutated, gone = lambda c: c == 0, lambda c: c > 0, lambda c: c.isNull()
+        s = x["state"]
+        kinds = {
+            "zz": zero(s) & zero(y), "az": mutated(s) & zero(y), "za": zero(s) & mutated(y), "ab": mutated(s) & mutated(y),
+            "zm": zero(s) & gone(y), "mz": gone(s) & zero(y), "am": mutated(s) & gone(y), "ma": gone(s) & mutated(y),
+        }
+        out = F.when(equal(x, y), -1)
+        for k, name in enumerate(COUNTS):
+            out = out.when(kinds[name], k)
+        return out.otherwise(-1)
+
+    pairs = distances.cell_pairs(told, tuple(by), F.struct("state", "q"), F.col("state"))
+    same = F.sort_array(F.filter(F.zip_with("x", "y", lambda x, y: F.when(equal(x, y), x["q"])), lambda q: q.isNotNull())).alias("same")
+    sites = distances.kinds_of_sites(pairs, [*by, "a", "b", same], kind)
+    return sites.select(*by, "a", "b", F.size("kinds").cast("long").alias("n"), *[distances.of_kind(k).alias(name) for k, name in enumerate(COUNTS)], "same")
 
 
 def fitted_branches(counts: dict[str, np.ndarray], q: np.ndarray, pair: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], rounds: int):
