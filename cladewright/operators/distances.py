@@ -25,18 +25,19 @@ def cell_pairs(characters: DataFrame, by: tuple[str, ...], x: Column, y: Column,
     row = F.sort_array(F.collect_list(F.struct("site", x.alias("x"), y.alias("y")))).alias("row")
     cells = characters.filter("site is not null").groupBy(*by, "cell").agg(row)
     cells = cells.select(*by, "cell", *[F.col(f"row.{c}").alias(c) for c in ("site", "x", "y")])
+    cells = cells.withColumn("once", F.size(F.array_distinct("site")) == F.size("site"))
     total = F.count(F.lit(1))
     cells = cells.select("*", total.over(Window.partitionBy(*by)).alias("cells")) if by else cells.crossJoin(F.broadcast(cells.agg(total.alias("cells"))))
     pieces = F.ceil(F.col("cells") / piece)
     cells = cells.withColumn("own", F.pmod(F.xxhash64("cell"), pieces)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
     met = [*by, "low", "high"]
     cells = cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    one = cells.select(*met, F.col("cell").alias("a"), F.col("own").alias("own_a"), F.col("site").alias("site_a"), "x")
+    one = cells.select(*met, F.col("cell").alias("a"), F.col("own").alias("own_a"), F.col("site").alias("site_a"), "once", "x")
     two = cells.select(*met, F.col("cell").alias("b"), F.col("own").alias("own_b"), F.col("site").alias("site_b"), "y")
     # two pieces meet for the pairs across them only
     pairs = one.join(two, met).filter("a < b and (low = high or own_a <> own_b)")
     # where the sites of both are not the same ones, once each, they are looked up
-    plain = (F.col("site_a") == F.col("site_b")) & (F.size(F.array_distinct("site_a")) == F.size("site_a"))
+    plain = F.col("once") & (F.col("site_a") == F.col("site_b"))
     left, right = F.arrays_zip(F.col("site_a").alias("site"), F.col("x").alias("v")), F.arrays_zip(F.col("site_b").alias("site"), F.col("y").alias("v"))
     same = F.flatten(F.transform(left, lambda p: F.transform(F.filter(right, lambda r: r["site"] == p["site"]), lambda r: F.struct(p["v"].alias("x"), r["v"].alias("y")))))
     common = pairs.select(*by, "a", "b", F.when(~plain, same).alias("same"), "x", "y").filter("same is null or size(same) > 0")

@@ -94,11 +94,16 @@ def pairwise_branches(classes: DataFrame, by: Sequence[str] = (), rounds: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            sizes = f["same"].map(len).to_numpy() if len(f) else np.zeros(0, int)
-            q = np.concatenate([np.asarray(x, float) for x in f["same"]]) if sizes.sum() else np.zeros(0)
-            bounds = -np.log1p(-1 / f["n"].to_numpy(float)) / 2, 2 * np.log(f["n"].to_numpy(float))
-            got = fitted_branches({k: f[k].to_numpy() for k in COUNTS}, q, np.repeat(np.arange(len(f)), sizes), bounds, rounds)
-            yield f[names].assign(**dict(zip(("d_a", "d_b", "d_r", "llh"), got, strict=True)))
+            # pairs of equal classes have equal branches: each kind of pair is fitted once
+            counts, seen = np.column_stack([f[k].to_numpy() for k in ("n", *COUNTS)]), {}
+            of = np.array([seen.setdefault((c.tobytes(), x.tobytes()), len(seen)) for c, x in zip(counts, f["same"].map(lambda x: np.asarray(x, float)), strict=True)], int)
+            first = np.unique(of, return_index=True)[1]
+            some = f.iloc[first]
+            sizes = some["same"].map(len).to_numpy() if len(some) else np.zeros(0, int)
+            q = np.concatenate([np.asarray(x, float) for x in some["same"]]) if sizes.sum() else np.zeros(0)
+            bounds = -np.log1p(-1 / some["n"].to_numpy(float)) / 2, 2 * np.log(some["n"].to_numpy(float))
+            got = fitted_branches({k: some[k].to_numpy() for k in COUNTS}, q, np.repeat(np.arange(len(some)), sizes), bounds, rounds)
+            yield f[names].assign(**{k: v[of] for k, v in zip(("d_a", "d_b", "d_r", "llh"), got, strict=True)})
 
     return classes.filter("n > 1").mapInPandas(run, schema)
 

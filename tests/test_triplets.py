@@ -78,3 +78,18 @@ def test_heat_maps(spark):
     n = {(r.lineageGrp, r.intBC, r.site): r.n for r in heatmaps.distinct_alleles(alleles).collect()}
     assert n[1, "X", "r1"] == 2 and n[1, "X", "r3"] == 1 and n[2, "X", "r3"] == 1
     assert heatmaps.allele_heatmap(alleles.filter(F.lit(False))).count() == 0
+
+
+def test_pairs_of_equal_classes_are_fitted_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(c, s, (0, 1, 2)[s % 3]) for c in range(12) for s in range(6)], LONG)
+    prior = spark.createDataFrame([(s, k, 0.25) for s in range(6) for k in (1, 2)], "site int, state int, q double")
+    classes = triplets.pair_classes(rows, prior).toPandas()
+    sizes = []
+    fitted = triplets.fitted_branches
+    monkeypatch.setattr(triplets, "fitted_branches", lambda counts, *rest: sizes.append(len(counts["zz"])) or fitted(counts, *rest))
+    run = {}
+    spread = spark.createDataFrame(classes)
+    monkeypatch.setattr(type(spread), "mapInPandas", lambda self, f, schema: run.setdefault("f", f))
+    triplets.pairwise_branches(spread)
+    got = next(run["f"](iter([classes])))
+    assert len(got) == 66 and sizes == [1] and got[["d_a", "d_b", "d_r", "llh"]].drop_duplicates().shape[0] == 1
