@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewright.functions.sequences import all_qualities_reach, hamming, letters
+from cladewright.operators.stored import stored
 
 
 def filter_qualities(reads: DataFrame, least: int = 10, columns=("qual",)) -> DataFrame:
@@ -119,20 +120,24 @@ def correct_umis(molecules: DataFrame, distance: int = 1, most_rounds: int = 32,
     target's own target.
     """
     keys = ["cellBC", "intBC", *(["allele"] if by_allele else [])]
+    molecules = stored(molecules)
     if not repeated_umis(molecules).isEmpty():
         raise ValueError("several rows of one cell, intBC and UMI: resolve UMIs first")
     if distance == 0:
         return molecules
-    links = umi_corrections(molecules, distance, tuple(keys)).checkpoint()
+    links = stored(umi_corrections(molecules, distance, tuple(keys)))
     for _ in range(most_rounds):
         step = links.select(*keys, F.col("UMI").alias("to"), F.col("to").alias("further"))
         longer = links.join(step, [*keys, "to"], "left")
         if longer.filter("further is not null").isEmpty():
             break
-        links = longer.select(*keys, "UMI", F.coalesce("further", "to").alias("to")).checkpoint()
-    moved = molecules.join(links, [*keys, "UMI"], "left").withColumn("to", F.coalesce("to", "UMI"))
-    total = moved.groupBy(*keys, F.col("to").alias("UMI")).agg(F.sum("readCount").alias("total"))
-    out = molecules.join(total, [*keys, "UMI"]).withColumn("readCount", F.col("total")).drop("total")
+        links = stored(longer.select(*keys, "UMI", F.coalesce("further", "to").alias("to")))
+    # only what moves is grouped; a root is no UMI of a link
+    moved = molecules.select(*keys, "UMI", "readCount").join(links, [*keys, "UMI"])
+    gained = moved.groupBy(*keys, F.col("to").alias("UMI")).agg(F.sum("readCount").alias("gained"))
+    stay = molecules.dropna(subset=[*keys, "UMI"]).join(links.select(*keys, "UMI"), [*keys, "UMI"], "left_anti")
+    total = F.when(F.col("gained").isNotNull(), F.coalesce("readCount", F.lit(0)) + F.col("gained")).otherwise(F.col("readCount"))
+    out = stay.join(gained, [*keys, "UMI"], "left").withColumn("readCount", total).drop("gained").select(*[*keys, "UMI"], *[c for c in molecules.columns if c not in {*keys, "UMI"}])
     return out.withColumn("readName", F.concat_ws("_", "cellBC", "UMI", "readCount")) if "readName" in out.columns else out
 
 
