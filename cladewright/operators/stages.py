@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewright.operators import alleles, lineages, molecules
+from cladewright.operators.stored import stored
 
 
 def filter_molecule_table(
@@ -20,7 +21,7 @@ def filter_molecule_table(
     out = molecules.filter_umis(table.filter("intBC is not null"), min_reads_per_umi)
     out = molecules.filter_cells(out, min_umis, min_reads)
     if distance > 0:
-        out = molecules.correct_intbcs(out, prop, most_umis, distance)
+        out = stored(molecules.correct_intbcs(out, prop, most_umis, distance))
     if doublets and not conflicts:
         out = molecules.filter_intra_doublets(out, doublets)
     return out if conflicts else molecules.map_intbcs(out)
@@ -37,16 +38,17 @@ def refine_lineage_groups(
     group's cells and the barcode NC go, molecules are counted and reads summed, and last the cells with under min_umis
     molecules or min_reads reads a molecule in what is left go. Null barcodes, alleles and sites go with the count.
     """
-    by_cell = table.filter("intBC is not null").groupBy(F.col("cellBC").alias("cell"), "intBC").agg(F.count("UMI").alias("n")).checkpoint()
-    grouped = groups.filter("lineageGrp > 0").select("cell", "lineageGrp")
+    by_cell = table.filter("intBC is not null").groupBy(F.col("cellBC").alias("cell"), "intBC").agg(F.count("UMI").alias("n"))
+    by_cell = stored(by_cell)
+    grouped = stored(groups.filter("lineageGrp > 0").select("cell", "lineageGrp"))
     assigned = by_cell.join(grouped.select("cell"), "cell", "left_semi")
-    scored = lineages.score_kinships(assigned, lineages.group_profiles(assigned, grouped, min_presence))
-    named = lineages.renumber_by_size(scored.select("cell", "lineageGrp"))
-    named = by_cell.select("cell").distinct().join(named, "cell", "left").select("cell", F.coalesce("lineageGrp", F.lit(0)).alias("lineageGrp")).checkpoint()
+    scored = lineages.score_kinships(assigned, stored(lineages.group_profiles(assigned, grouped, min_presence)))
+    named = lineages.renumber_by_size(stored(scored.select("cell", "lineageGrp")))
+    named = stored(by_cell.select("cell").distinct().join(named, "cell", "left").select("cell", F.coalesce("lineageGrp", F.lit(0)).alias("lineageGrp")))
     if inter:
-        named = lineages.filter_inter_doublets(by_cell, named, lineages.group_profiles(by_cell, named, 0.0), inter).checkpoint()
+        named = stored(lineages.filter_inter_doublets(by_cell, named, stored(lineages.group_profiles(by_cell, named, 0.0)), inter))
     good = lineages.filter_group_barcodes(by_cell, named, min_presence).select(F.col("cell").alias("cellBC"), "intBC", "lineageGrp")
-    counted = molecules.collapse_alleles(table.join(good, ["cellBC", "intBC"]), sites, extra=("lineageGrp",))
+    counted = stored(molecules.collapse_alleles(table.join(good, ["cellBC", "intBC"]), sites, extra=("lineageGrp",)))
     return molecules.filter_cells(counted, min_umis, min_reads, umi_is_count=True)
 
 
@@ -57,7 +59,7 @@ def call_lineage_groups(
 
     Groups are peeled off by their barcodes until one has at most min_cluster_prop of all cells, and then refined.
     """
-    by_cell = table.filter("intBC is not null").groupBy(F.col("cellBC").alias("cell"), "intBC").agg(F.count("UMI").alias("n"))
+    by_cell = stored(table.filter("intBC is not null").groupBy(F.col("cellBC").alias("cell"), "intBC").agg(F.count("UMI").alias("n")))
     least = int(min_cluster_prop * by_cell.select("cell").distinct().count())
     groups = lineages.assign_groups(by_cell, least, min_presence, kinship)
     return refine_lineage_groups(table, groups, min_umis, min_reads, min_presence, inter, sites)
@@ -92,12 +94,15 @@ def read_settings(text: str) -> dict[str, dict]:
 
 
 def run_stages(table: DataFrame, settings: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Runs the sections of a configuration that name stages, in order, from first to last."""
+    """Runs the sections of a configuration that name stages, in order, from first to last.
+
+    What a stage reads is stored, as most stages read it several times.
+    """
     named = [(s, k) for s, k in read_settings(settings).items() if s in STAGES]
     names = [s for s, _ in named]
     for s in (first, last):
         if s is not None and s not in names:
             raise ValueError(f"no stage {s} in the configuration; there are {', '.join(names)}")
     for s, k in named[names.index(first) if first else 0 : (names.index(last) + 1) if last else None]:
-        table = STAGES[s](table, **k)
+        table = STAGES[s](stored(table), **k)
     return table

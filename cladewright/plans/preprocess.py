@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
 from cladewright.operators import alignment, alleles, characters, molecules, runner, stages, umis
+from cladewright.operators.stored import stored
 from cladewright.sources.derived import derive, with_derived
 
 QUERIES: dict = {}
@@ -163,7 +164,7 @@ def _small_cells(alleles):
 
 
 def _refined(t):
-    t = _small_cells(t)
+    t = stored(_small_cells(t))
     groups = t.select(F.col("cellBC").alias("cell"), (F.ascii(F.substring("cellBC", -1, 1)) % 5).alias("lineageGrp")).distinct().filter("lineageGrp > 0")
     return stages.refine_lineage_groups(t, groups, 3, 20.0, 0.3, 0.2)
 
