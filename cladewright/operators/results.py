@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladewright.operators.stored import stored
 from cladewright.sources.lines import counted_before, numbered_lines
 
 #: What the lines of a result file begin with.
@@ -73,13 +74,15 @@ def solver_differences(lines: DataFrame, first: str = "oldEM", second: str = "fa
     mean seconds only.
     """
     part = lambda k: F.regexp_extract("value", SOLVER_LINE, k)
-    told = lines.filter(F.col("value").rlike(SOLVER_LINE)).select("file", "block", "line", "value", part(1).alias("solver"))
-    told = told.filter(F.col("solver").isin(first, second))
     names = ("llh", "phi", "nu", "seconds")
+    scores = F.struct(*[part(i + 2).try_cast("double").alias(n) for i, n in enumerate(names)]).alias("s")
+    told = lines.filter(F.col("value").rlike(SOLVER_LINE)).select("file", "block", "line", part(1).alias("solver"), scores)
+    # lines are read and parsed once; each count reads its rows several times
+    told = stored(told.filter(F.col("solver").isin(first, second)))
     ranked = None
     for name, side in ((first, "a"), (second, "b")):
         mine = counted_before(told.filter(F.col("solver") == name), F.lit(True), "k")
-        rows = mine.select("file", "k", F.lit(side).alias("side"), F.struct(*[part(i + 2).try_cast("double").alias(n) for i, n in enumerate(names)]).alias("s"))
+        rows = mine.select("file", "k", F.lit(side).alias("side"), "s")
         ranked = rows if ranked is None else ranked.unionByName(rows)
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("s")))
     pairs = ranked.groupBy("file", "k").agg(of("a").alias("a"), of("b").alias("b"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from cladewright.operators import molecules, stages
+from cladewright.operators import characters, molecules, results, stages
 from cladewright.operators.stored import stored
 
 SCHEMA = "cellBC string, intBC string, UMI string, readCount long, allele string, r1 string, r2 string, r3 string"
@@ -54,3 +54,24 @@ def test_groups_are_refined_from_two_readings(spark, counted):
 def test_stored_rows_are_the_same(spark):
     df = spark.createDataFrame([("a", [1, None]), (None, None)], "x string, y array<int>")
     assert sorted(map(str, stored(df).collect())) == sorted(map(str, df.collect()))
+
+
+def test_lines_of_solvers_are_read_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        made.add(1)
+        return row
+
+    text = "Current {}_solver score: -{}.5, 0.1, 0.2, 1.25 seconds"
+    rows = [("f", 0, i, text.format("oldEM" if i % 2 else "fastEM", 5 + i)) for i in range(8)] + [("f", 0, 8, "other")]
+    lines = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "file string, block long, line long, value string")
+    (got,) = results.solver_differences(lines).collect()
+    assert made.value == len(rows) and (got.n_pairs, got.llh, got.second_seconds) == (4, -1.0, 1.25)
+
+
+def test_matrix_rows_read_alleles_once(spark, counted):
+    table, made, n = counted
+    states = spark.createDataFrame([(f"{g}{b}r1", i + 1, "n", 1) for i, (g, b) in enumerate((g, b) for g in "ACG" for b in "ACG")], "character string, column long, indel string, state int")
+    got = characters.matrix_rows(table, states).collect()
+    assert made.value == n and len(got) == 6 and all(len(r.row) == 9 and sum(x == [1] for x in r.row) == 3 for r in got)
