@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewright.operators.ordering import numbered
+from cladewright.operators.stored import stored
 
 SITES = ("r1", "r2", "r3")
 
@@ -51,11 +52,15 @@ def character_matrix(alleles: DataFrame, most: float = 0.999, sites=SITES) -> Da
 MISSING = -1
 
 
-def _kept_indels(alleles: DataFrame, ignored: DataFrame | None, most: float, missing: str | None, sites) -> DataFrame:
-    """(cellBC, character, indel) of the characters that stay; the missing allele is null."""
-    used = alleles.filter("cellBC is not null and intBC is not null")
+def _kept_indels(alleles: DataFrame, ignored: DataFrame | None, most: float, missing: str | None, sites, once: bool = True) -> DataFrame:
+    """(cellBC, character, indel) of the characters that stay, once rows of equal alleles are one; the missing allele is null.
+
+    What is used of the alleles is stored, as it is read several times.
+    """
+    used = alleles.filter("cellBC is not null and intBC is not null").select("cellBC", "intBC", *sites)
     if ignored is not None:
         used = used.join(ignored.select("intBC").distinct(), "intBC", "left_anti")
+    used = stored(used.distinct() if once else used)
     long = indels(used, sites).withColumn("character", F.concat("intBC", "site"))
     part = long.select("cellBC", "character", "indel").distinct().groupBy("character", "indel").agg(F.count(F.lit(1)).alias("n"))
     diverse = part.groupBy("character").agg((F.max("n") / F.sum("n")).alias("top")).filter(F.col("top") <= most)
@@ -90,7 +95,7 @@ def matrix_rows(alleles: DataFrame, states: DataFrame, ignored: DataFrame | None
     each, or with collapse=False as often as they occur. Cells and characters are not crossed: only what a cell shows is
     joined, and the rest is filled within its row. Cells without any row of a kept character have no row here.
     """
-    kept = _kept_indels(alleles, ignored, most, missing, sites)
+    kept = _kept_indels(alleles, ignored, most, missing, sites, collapse)
     told = kept.join(states.select("character", "column", "indel", "state"), ["character", "indel"], "left")
     columns = states.select("character", F.col("column").alias("at")).distinct()
     uncut = F.contains(F.lower("indel"), F.lit("none"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladewright.operators import characters, distances, heatmaps, priors, results, tours, transforms, triplets
+from cladewright.operators.stored import stored
 from cladewright.plans.fragments import CLOSURE, DEPTHS
 from cladewright.sources import newick
 from cladewright.sources.derived import derive, with_derived
@@ -148,7 +149,7 @@ def _torn(alleles):
 
 
 def _matrix_parts(alleles):
-    t = _torn(alleles)
+    t = stored(_torn(alleles))
     ignored = t.filter(F.col("intBC").startswith("AG")).select("intBC")
     given = t.select(F.col("r1").alias("indel"), (F.ascii(F.substring("intBC", 3, 1)) / 100.0).alias("freq")).distinct()
     return t, ignored, given
