@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladewright.functions import sequences
 from cladewright.operators import ancestry, characters, distances, evaluation, inference, likelihood, lineages, molecules, simulation
+from cladewright.operators.stored import stored
 from cladewright.plans import phylogeny, preprocess
 from cladewright.plans.fragments import CLOSURE, DEPTHS
 from cladewright.sources.derived import SPAN, derive, with_derived
@@ -263,8 +264,8 @@ MOVES = """mv AS (SELECT nd.root, c.site, c.state, c.node, p.state AS before, c.
 
 
 def _on_trees(name, sql, f):
-    """A query on the trees and their leaves' states."""
-    QUERIES[name] = lambda spark, sf_dir: f(derive(spark, sf_dir, "tree"), _leaves(spark, sf_dir))
+    """A query on the trees and their leaves' states, which are derived once and stored, as most steps read them."""
+    QUERIES[name] = lambda spark, sf_dir: f(stored(derive(spark, sf_dir, "tree")), stored(_leaves(spark, sf_dir)))
     if sql is not None:
         SQL[name] = with_derived(sql)
 

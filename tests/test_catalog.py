@@ -16,3 +16,8 @@ def test_query_equals_sql(spark, name):
 def test_every_query_has_rows_or_sql(spark):
     for name in sorted(set(catalog.QUERIES) - set(catalog.SQL)):
         assert catalog.QUERIES[name](spark, SF).limit(1).columns
+
+
+def test_trees_and_leaves_are_derived_once(spark):
+    plan = catalog.QUERIES["ancestral_states"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "o_orderkey" not in plan
