@@ -7,10 +7,12 @@ any number of children, and leaves any depth.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewright.operators import ancestry
+from cladewright.operators import ancestry, pairs
 
 #: Cells of a data set that meet in one piece; larger data sets are dealt into pieces, every two of which meet.
 PIECE = 1024
@@ -54,43 +56,73 @@ def of_kind(k: int) -> Column:
     return (F.size("kinds") - F.size(F.array_remove("kinds", F.lit(k)))).cast("long")
 
 
+#: Stands for a missing state among coded ones.
+MISSING = np.iinfo(np.int64).min
+
+
+def _states(state) -> tuple[np.ndarray, np.ndarray]:
+    """States as numbers, and their classes: 0 zero, 1 mutated, 2 missing, 3 other."""
+    value, known = state
+    value = value.astype(np.int64)
+    return np.where(known, value, MISSING), np.where(known, np.where(value == 0, 0, np.where(value > 0, 1, 3)), 2).astype(np.uint8)
+
+
+def _kinds(table: dict, x, y) -> np.ndarray:
+    """The kind of each site of pairs: table says which, by both classes and whether the states are equal; -1 elsewhere."""
+    kinds = np.full(32, -1, np.int8)
+    for (u, v, same), kind in table.items():
+        kinds[16 * same + 4 * u + v] = kind
+    return kinds[(x[0] == y[0]).astype(np.uint8) * np.uint8(16) + x[1] * np.uint8(4) + y[1]]
+
+
+def _counted(kinds: np.ndarray, start: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n kinds its number of sites in each pair; up to 8 kinds are counted at once in the bytes of a number."""
+    if n <= 8 and np.diff(start, append=len(kinds)).max(initial=0) < 256:
+        ones = np.append(np.uint64(1) << (np.uint64(8) * np.arange(n, dtype=np.uint64)), np.uint64(0))
+        sums = np.add.reduceat(ones[kinds], start)
+        return [(sums >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64) for k in range(n)]
+    return [np.add.reduceat((kinds == k).astype(np.int64), start) for k in range(n)]
+
+
+#: Costs of a site by the classes of its states: nothing where equal, 1 beside a zero, else 2.
+COSTS = {(u, v, same): 0 if same else 1 if 0 in (u, v) else 2 for u in (0, 1, 3) for v in (0, 1, 3) for same in (0, 1)}
+
+
 def weighted_hamming(characters: DataFrame, weights: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, d): 1 where one of two known states is 0, 2 where both are mutated and differ, over sites known in both.
 
     weights: site, weight; each site counts with its weight.
     """
-    cost = lambda u, v: F.when(u.isNull() | v.isNull(), None).when(u == v, 0).when((u == 0) | (v == 0), 1).otherwise(2)
+
+    def plain(x, y, start):
+        none, one, two = _counted(_kinds(COSTS, x, y), start, 3)
+        return [pa.array((one + 2 * two) / np.maximum(none + one + two, 1), pa.float64())]
+
+    def weighed(x, y, start):
+        cost = _kinds(COSTS, x, y)
+        known = (cost >= 0) & y[3]
+        n = np.add.reduceat(known.astype(np.int64), start)
+        return [pa.array(np.add.reduceat(np.where(known, cost * y[2], 0.0), start) / np.maximum(n, 1), pa.float64())]
+
     if weights is None:
-        sites = kinds_of_sites(cell_pairs(characters, by, F.col("state"), F.col("state")), ["a", "b"], lambda u, v: F.coalesce(cost(u, v), F.lit(-1)))
-        known = F.size("kinds") - of_kind(-1)
-        return sites.select("a", "b", F.coalesce((of_kind(1) + 2 * of_kind(2)) / F.nullif(known, F.lit(0).cast("long")), F.lit(0.0)).alias("d"))
-    told = characters.join(weights.select("site", "weight"), "site")
-    pairs = cell_pairs(told, by, F.col("state"), F.struct("state", F.col("weight").cast("double").alias("weight")))
-    costs = pairs.select("a", "b", F.filter(F.zip_with("x", "y", lambda u, v: cost(u, v["state"]) * v["weight"]), lambda c: c.isNotNull()).alias("costs"))
-    known = F.size("costs")
-    total = F.aggregate("costs", F.lit(0.0), lambda a, c: a + c)
-    return costs.select("a", "b", F.when(known > 0, total / known).otherwise(0.0).alias("d"))
+        return pairs.pair_results(characters, by, ["state"], _states, plain, "d double")
+    told = characters.join(weights.select("site", F.col("weight").cast("double").alias("weight")), "site")
+    return pairs.pair_results(told, by, ["state", "weight"], lambda s, w: (*_states(s), *w), weighed, "d double")
 
 
 #: Classes of a pair's site, by their numbers.
 PAIR_KINDS = ("z_z", "z_a", "a_z", "a_a", "a_b", "m_k", "k_m", "m_m")
+#: Those of the classes of both states and whether these are equal.
+KINDS_OF = {(0, 0, 1): 0, (0, 1, 0): 1, (1, 0, 0): 2, (1, 1, 1): 3, (1, 1, 0): 4, (2, 2, 1): 7} | {(2, k, 0): 5 for k in (0, 1, 3)} | {(k, 2, 0): 6 for k in (0, 1, 3)}
 
 
 def pair_counts(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, ...): numbers of sites by class: both zero, one mutated, same and different mutations, and any missing."""
 
-    def kind(x, y):
-        told = {
-            "z_z": (x == 0) & (y == 0), "z_a": (x == 0) & (y > 0), "a_z": (x > 0) & (y == 0), "a_a": (x > 0) & (x == y), "a_b": (x > 0) & (y > 0),
-            "m_k": x.isNull() & y.isNotNull(), "k_m": x.isNotNull() & y.isNull(), "m_m": x.isNull() & y.isNull(),
-        }
-        out = F
-        for k, name in enumerate(PAIR_KINDS):
-            out = out.when(told[name], k)
-        return out.otherwise(-1)
+    def counts(x, y, start):
+        return [pa.array(n) for n in _counted(_kinds(KINDS_OF, x, y), start, len(PAIR_KINDS))]
 
-    sites = kinds_of_sites(cell_pairs(characters, by, F.col("state"), F.col("state")), ["a", "b"], kind)
-    return sites.select("a", "b", *[of_kind(k).alias(name) for k, name in enumerate(PAIR_KINDS)])
+    return pairs.pair_results(characters, by, ["state"], _states, counts, ", ".join(f"{name} long" for name in PAIR_KINDS))
 
 
 def pairwise_branch_estimates(characters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -248,17 +280,24 @@ def pair_consensus(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     cells: by..., cell, site, state (null: missing). A site has the state that both share or that the only known one has;
     two different states give 0, and neither known null. d counts the known states of the two that differ from it.
     """
-    sites = cell_pairs(cells, by, F.col("state"), F.col("state"))
-    shared = lambda x, y: F.when(x.eqNullSafe(y) | y.isNull(), x).when(x.isNull(), y).otherwise(0)
-    moved = lambda x, y: sum((F.when(c != shared(x, y), 1).otherwise(0) for c in (x, y)), start=F.lit(0))
-    d = F.aggregate(F.zip_with("x", "y", moved), F.lit(0).cast("long"), lambda a, c: a + c)
-    return sites.select(*by, "a", "b", F.zip_with("x", "y", shared).alias("consensus"), d.alias("d"))
+    kind = dict(cells.dtypes)["state"]
+    whole = pa.int64() if kind == "bigint" else pa.int32()
+
+    def consensus(x, y, start):
+        (u, _), (v, _) = x, y
+        shared = np.where((u == v) | (v == MISSING), u, np.where(u == MISSING, v, 0))
+        moved = ((u != shared) & (u != MISSING)).astype(np.int64) + ((v != shared) & (v != MISSING))
+        states = pa.array(shared, pa.int64(), mask=shared == MISSING).cast(whole)
+        ends = pa.array(np.append(start, len(shared)).astype(np.int32))
+        return [pa.ListArray.from_arrays(ends, states), pa.array(np.add.reduceat(moved, start))]
+
+    return pairs.pair_results(cells, by, ["state"], _states, consensus, f"consensus array<{'bigint' if kind == 'bigint' else 'int'}>, d long", told=by)
 
 
 def allelic_coupling(tree: DataFrame, leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, distance, consensus, d): for each pair of leaves of a tree its path length and its pair_consensus."""
-    pairs = pair_consensus(leaves.withColumnRenamed("node", "cell"), by)
-    return leaf_lcas(tree).select("a", "b", "distance").join(pairs, ["a", "b"]).select("a", "b", "distance", "consensus", "d")
+    alike = pair_consensus(leaves.withColumnRenamed("node", "cell"), by)
+    return leaf_lcas(tree).select("a", "b", "distance").join(alike, ["a", "b"]).select("a", "b", "distance", "consensus", "d")
 
 
 def tree_coupling(tree: DataFrame) -> DataFrame:
