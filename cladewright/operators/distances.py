@@ -7,12 +7,15 @@ any number of children, and leaves any depth.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewright.operators import ancestry, pairs
+from cladewright.operators import ancestry, bundles, pairs
 
 #: Cells of a data set that meet in one piece; larger data sets are dealt into pieces, every two of which meet.
 PIECE = 1024
@@ -226,54 +229,182 @@ def robinson_foulds(first: DataFrame, second: DataFrame) -> DataFrame:
     return out.withColumn("rf", apart / (apart + 2 * F.col("shared")))
 
 
-def ancestral_states(tree: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(node, site, state): the state that all known leaves below a node have, 0 if they differ.
-
-    leaves: node, site, state (null: missing). A node without known leaves takes the state of the node above it.
-    """
+def _states_joined(tree: DataFrame, leaves: DataFrame) -> DataFrame:
+    """ancestral_states() by joins, for trees that no task should hold."""
     up = ancestors(tree)
     below = up.join(leaves.select("node", "site", "state"), "node").groupBy("ancestor", "site")
     own = below.agg(F.when(F.min("state") == F.max("state"), F.min("state")).when(F.count("state") > 0, F.lit(0)).alias("own"))
     # the nearest node above that has known leaves
     seen = up.join(own, "ancestor").filter("own is not null").groupBy("node", "site").agg(F.min_by("own", "up").alias("state"))
-    roots = node_depths(tree).select("node", "root")
+    roots = node_depths(tree, up).select("node", "root")
     every = roots.join(leaves.join(roots, "node").select("root", "site").distinct(), "root")
     return every.join(seen, ["node", "site"], "left").select("node", "site", F.coalesce("state", F.lit(0)).alias("state"))
 
 
-def small_parsimony(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None = None) -> DataFrame:
-    """(root, site, changes, score): mutations on the edges of each tree, under ancestral_states().
-
-    Above the root all sites are 0, and a mutated state is never undone: an edge changes a site where its lower end is
-    mutated and differs from its upper end. priors (site, state, q) weigh each change by -ln q; else score is changes.
-    """
-    states = ancestral_states(tree, leaves)
+def _moves_joined(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None) -> DataFrame:
+    """small_parsimony() by joins."""
+    states = _states_joined(tree, leaves)
     above = states.select(F.col("node").alias("parent"), "site", F.col("state").alias("before"))
     edge = states.join(tree.select("node", "parent"), "node").join(above, ["parent", "site"], "left")
     moved = (F.col("state") != 0) & (F.col("state") != F.coalesce("before", F.lit(0)))
     cost = F.lit(1.0)
     if priors is not None:
         edge, cost = edge.join(priors.select("site", "state", "q"), ["site", "state"], "left"), -F.log("q")
-    roots = node_depths(tree).select("node", "root")
+    roots = node_depths(tree, ancestors(tree)).select("node", "root")
     score = F.coalesce(F.sum(F.when(moved, cost)), F.lit(0.0))
     return edge.join(roots, "node").groupBy("root", "site").agg(F.count_if(moved).alias("changes"), score.alias("score"))
 
 
-def parsimony_scores(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None = None) -> DataFrame:
-    """(root, score, normalised): each tree's score over all sites, and that for each inner node (null without one)."""
-    score = small_parsimony(tree, leaves, priors).groupBy("root").agg(F.sum("score").alias("score"))
-    inner = node_depths(tree).join(tree.filter("not is_leaf").select("node"), "node", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("inner"))
+def _scores_joined(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None) -> DataFrame:
+    """parsimony_scores() by joins."""
+    score = _moves_joined(tree, leaves, priors).groupBy("root").agg(F.sum("score").alias("score"))
+    roots = node_depths(tree, ancestors(tree))
+    inner = roots.join(tree.filter("not is_leaf").select("node"), "node", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("inner"))
     return score.join(inner, "root", "left").select("root", "score", (F.col("score") / F.col("inner")).alias("normalised"))
 
 
-def site_mutations(tree: DataFrame, states: DataFrame) -> DataFrame:
-    """(root, site, node, before, after): edges on which a site changes, from the states of all nodes (null: unknown)."""
+def _mutations_joined(tree: DataFrame, states: DataFrame) -> DataFrame:
+    """site_mutations() by joins."""
     above = states.select(F.col("node").alias("parent"), "site", F.col("state").alias("before"))
     edge = states.select("node", "site", F.col("state").alias("after")).join(tree.filter("parent is not null").select("node", "parent"), "node").join(above, ["parent", "site"])
-    roots = node_depths(tree).select("node", "root")
+    roots = node_depths(tree, ancestors(tree)).select("node", "root")
     return edge.filter("before <> after").join(roots, "node").select("root", "site", "node", "before", "after")
 
 
+def _coupled_joined(tree: DataFrame, states: DataFrame) -> DataFrame:
+    """coupled_leaves() by joins."""
+    rows = states.groupBy(F.col("node").alias("lca")).agg(F.sort_array(F.collect_list(F.struct("site", "state"))).alias("s"))
+    return leaf_lcas(tree).join(rows, "lca").select("a", "b", "lca", "distance", F.col("s.state").alias("states"))
+
+
+def _inferred(trees: bundles.Trees) -> np.ndarray:
+    """The state of each cell: that of all known leaves below, 0 if they differ, or the one above where none is known."""
+    low = np.full(len(trees.cell_node), np.iinfo(np.int64).max)
+    high = np.full(len(low), np.iinfo(np.int64).min)
+    at, state = trees.row_cell[trees.known], trees.state[trees.known]
+    np.minimum.at(low, at, state)
+    np.maximum.at(high, at, state)
+    for level in reversed(trees.levels[1:]):
+        np.minimum.at(low, trees.above[level], low[level])
+        np.maximum.at(high, trees.above[level], high[level])
+    told, out = low <= high, np.where(low == high, low, 0)
+    for level in trees.levels:
+        above = trees.above[level]
+        out[level] = np.where(told[level], out[level], out[above] if len(above) and above[0] >= 0 else 0)
+    return out
+
+
+def _before(trees: bundles.Trees, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state at the upper end of the edge above each cell, and where there is such a node."""
+    some = trees.above >= 0
+    some &= trees.real[np.where(some, trees.parent[trees.cell_node], 0)]
+    return np.where(some, state[np.where(some, trees.above, 0)], 0), some
+
+
+def _kinds_of(leaves: DataFrame) -> tuple[str, str]:
+    kinds = dict(leaves.dtypes)
+    return kinds["site"], kinds["state"]
+
+
+def _typed(values: np.ndarray, kind: str) -> pa.Array:
+    return pa.array(values).cast(pa.int64() if kind == "bigint" else pa.int32())
+
+
+def ancestral_states(tree: DataFrame, leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(node, site, state): the state that all known leaves below a node have, 0 if they differ.
+
+    leaves: node, site, state (null: missing). A node without known leaves takes the state of the node above it. by are
+    columns of both tables that name sets of whole trees. Trees are worked out in bundles of sets.
+    """
+    site, kind = _kinds_of(leaves)
+
+    def kernel(trees):
+        real = trees.real[trees.cell_node]
+        yield [pa.array(trees.node[trees.cell_node[real]]), trees.site_values(trees.cell_site[real]), _typed(_inferred(trees)[real], kind)]
+
+    return bundles.in_bundles(tree, leaves, by, kernel, f"node long, site {site}, state {kind}", _states_joined)
+
+
+def _costs(priors: tuple, trees: bundles.Trees, state: np.ndarray) -> np.ndarray:
+    """-ln q of the state of each cell; 0 without a prior."""
+    sites, states, q = priors
+    if not len(q):
+        return np.zeros(len(state))
+    distinct = sites.unique()
+    of = lambda values: pc.fill_null(pc.index_in(values, value_set=distinct), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = np.unique(states)
+    keys = of(sites) * len(known) + np.searchsorted(known, states)
+    order = np.argsort(keys)
+    number = np.minimum(np.searchsorted(known, state), len(known) - 1)
+    wanted = np.where(known[number] == state, of(trees.sites)[trees.cell_site] * len(known) + number, -1)
+    at = np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)
+    with np.errstate(divide="ignore"):
+        return np.where(keys[order][at] == wanted, -np.log(q[order][at]), 0.0)
+
+
+def _changes(trees: bundles.Trees, priors: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each site of each tree the number of changes, and what they cost."""
+    state = _inferred(trees)
+    before, _ = _before(trees, state)
+    moved = (state != 0) & (state != before) & trees.real[trees.cell_node]
+    n = len(trees.slot_root)
+    changes = np.bincount(trees.cell_slot[moved], minlength=n)
+    if priors is None:
+        return changes, changes.astype(float)
+    return changes, np.bincount(trees.cell_slot[moved], _costs(priors, trees, state)[moved], n)
+
+
+def small_parsimony(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(root, site, changes, score): mutations on the edges of each tree, under ancestral_states().
+
+    Above the root all sites are 0, and a mutated state is never undone: an edge changes a site where its lower end is
+    mutated and differs from its upper end. priors (site, state, q) weigh each change by -ln q; else score is changes.
+    """
+    shared = None if priors is None else bundles.shared_priors(priors)
+    joined = lambda t, v: _moves_joined(t, v, priors)
+    if priors is not None and shared is None:
+        return joined(tree, leaves)
+
+    def kernel(trees):
+        changes, score = _changes(trees, shared)
+        yield [pa.array(trees.node[trees.slot_root]), trees.site_values(trees.slot_site), pa.array(changes), pa.array(score)]
+
+    return bundles.in_bundles(tree, leaves, by, kernel, f"root long, site {_kinds_of(leaves)[0]}, changes long, score double", joined)
+
+
+def parsimony_scores(tree: DataFrame, leaves: DataFrame, priors: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(root, score, normalised): each tree's score over all sites, and that for each inner node (null without one)."""
+    shared = None if priors is None else bundles.shared_priors(priors)
+    joined = lambda t, v: _scores_joined(t, v, priors)
+    if priors is not None and shared is None:
+        return joined(tree, leaves)
+
+    def kernel(trees):
+        _, score = _changes(trees, shared)
+        n = len(trees.node)
+        told = np.flatnonzero(np.bincount(trees.slot_root, minlength=n))
+        whole = np.bincount(trees.slot_root, score, n)[told]
+        inner = np.bincount(trees.root[trees.real & ~trees.is_leaf], minlength=n)[told]
+        yield [pa.array(trees.node[told]), pa.array(whole), pa.array(whole / np.maximum(inner, 1), mask=inner == 0)]
+
+    return bundles.in_bundles(tree, leaves, by, kernel, "root long, score double, normalised double", joined)
+
+
+def site_mutations(tree: DataFrame, leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(root, site, node, before, after): edges on which a site changes under ancestral_states()."""
+    site, kind = _kinds_of(leaves)
+
+    def kernel(trees):
+        state = _inferred(trees)
+        before, some = _before(trees, state)
+        at = np.flatnonzero(some & (before != state))
+        node = trees.cell_node[at]
+        yield [pa.array(trees.node[trees.root[node]]), trees.site_values(trees.cell_site[at]), pa.array(trees.node[node]), _typed(before[at], kind), _typed(state[at], kind)]
+
+    schema = f"root long, site {site}, node long, before {kind}, after {kind}"
+    return bundles.in_bundles(tree, leaves, by, kernel, schema, lambda t, v: _mutations_joined(t, _states_joined(t, v)))
+
+
 def pair_consensus(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., a, b, consensus, d): for each pair of cells the states that both could have had, and the changes from them.
 
@@ -305,13 +436,59 @@ def tree_coupling(tree: DataFrame) -> DataFrame:
     return leaf_lcas(tree).groupBy("lca").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean_distance"))
 
 
-def coupled_leaves(tree: DataFrame, states: DataFrame) -> DataFrame:
+#: Rows of a set beyond which pairs of its leaves are made by joins; pairs made at once.
+LARGE_PAIRS, PAIRS = 1 << 15, 1 << 19
+
+
+def _pairs_of_leaves(trees: bundles.Trees) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, lca, distance) of the pairs of leaves of each tree, a before b by number, some at a time."""
+    leaf = np.flatnonzero(trees.is_leaf & trees.real)
+    leaf = leaf[np.lexsort((trees.node[leaf], trees.root[leaf]))]
+    root = trees.root[leaf]
+    later = np.searchsorted(root, root, "right") - np.arange(len(leaf)) - 1
+    done, at = np.cumsum(later), 0
+    while at < len(leaf):
+        upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
+        n = later[at:upto]
+        a = np.repeat(np.arange(at, upto), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        a, b, at = leaf[a], leaf[b], upto
+        x, y, one, two = a.copy(), b.copy(), np.zeros(len(a)), np.zeros(len(a))
+        # the deeper of the two goes up until they meet
+        left = np.flatnonzero(x != y)
+        while len(left):
+            deep = trees.depth[x[left]] - trees.depth[y[left]]
+            up = left[deep >= 0]
+            one[up] += trees.brlen[x[up]]
+            x[up] = trees.parent[x[up]]
+            up = left[deep <= 0]
+            two[up] += trees.brlen[y[up]]
+            y[up] = trees.parent[y[up]]
+            left = left[x[left] != y[left]]
+        if len(a):
+            yield a, b, x, one + two
+
+
+def coupled_leaves(tree: DataFrame, leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, lca, distance, states): for each pair of leaves its path length and the sequence of its common ancestor.
 
-    states (node, site, state) of all nodes, as ancestral_states() gives them; sequences are in the order of sites.
+    Sequences are those of ancestral_states(), in the order of sites.
     """
-    rows = states.groupBy(F.col("node").alias("lca")).agg(F.sort_array(F.collect_list(F.struct("site", "state"))).alias("s"))
-    return leaf_lcas(tree).join(rows, "lca").select("a", "b", "lca", "distance", F.col("s.state").alias("states"))
+    kind = _kinds_of(leaves)[1]
+
+    def kernel(trees):
+        state = _inferred(trees)
+        for a, b, lca, distance in _pairs_of_leaves(trees):
+            some = trees.real[lca] & (trees.width[lca] > 0)
+            a, b, lca, distance = a[some], b[some], lca[some], distance[some]
+            n = trees.width[lca]
+            ends = np.append(0, np.cumsum(n))
+            at = np.arange(ends[-1]) + np.repeat(trees.start[lca] - ends[:-1], n)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _typed(state[at], kind))
+            yield [*[pa.array(trees.node[x]) for x in (a, b, lca)], pa.array(distance, mask=np.isnan(distance)), lists]
+
+    schema = f"a long, b long, lca long, distance double, states array<{kind}>"
+    return bundles.in_bundles(tree, leaves, by, kernel, schema, lambda t, v: _coupled_joined(t, _states_joined(t, v)), most=LARGE_PAIRS)
 
 
 def aligned_branches(first: DataFrame, second: DataFrame) -> DataFrame:

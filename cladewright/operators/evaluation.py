@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewright.operators import bundles, likelihood
+
 #: States of a simulated truth that stand for a dropout and for silencing, and the state of a silenced site.
 DROPPED, SILENCED, SILENT = "d", "s", "-1"
 
@@ -53,3 +60,43 @@ def annotation_lines(posteriors: DataFrame, priors: DataFrame) -> DataFrame:
     sites = posteriors.join(alphabet, "site").select("root", "node", "site", token)
     rows = sites.groupBy("root", "node").agg(F.sort_array(F.collect_list(F.struct("site", "token"))).alias("s"))
     return rows.select("root", "node", F.concat_ws(",", F.col("node").cast("string"), F.array_join("s.token", ",")).alias("line"))
+
+
+def _places(p: np.ndarray, places: int) -> np.ndarray:
+    """p in units of its last place, halves to the even digit of p as it is written; 0 where unknown."""
+    units = np.nan_to_num(p) * 10**places
+    out = np.rint(units).astype(np.int64)
+    near = np.flatnonzero(np.abs(np.abs(units - out) - 0.5) < 1e-6)
+    out[near] = [int(Decimal(repr(x)).scaleb(places).to_integral_value(ROUND_HALF_EVEN)) for x in p[near].tolist()]
+    return out
+
+
+def _tokens(told: likelihood.Outside, states: np.ndarray, at: np.ndarray) -> pa.Array:
+    """format_states() of some cells; states are those of their sites' alphabets."""
+    given = told.given[at]
+    sides = [(np.zeros(len(at), np.int64), told.p_zero[at], 2), (np.full(len(at), int(SILENT)), told.p_silent[at], 2)]
+    sides += [(np.where(given[:, k], states[:, k], 0), np.where(given[:, k], told.p_mutated[at, k], 0.0), 3) for k in range(given.shape[1])]
+    parts, sure = [], pa.nulls(len(at), pa.string())
+    for state, p, places in sides:
+        units, name = _places(p, places), pa.array(state).cast(pa.string())
+        texts = pa.array([repr(k / 10**places) for k in range(int(units.max(initial=0)) + 1)])
+        parts.append(pc.if_else(pa.array(units > 0), pc.binary_join_element_wise(name, texts.take(pa.array(np.maximum(units, 0))), ":"), None))
+        sure = pc.coalesce(sure, pc.if_else(pa.array(units == 10**places), name, None))
+    return pc.coalesce(sure, pc.binary_join_element_wise(*parts, "/", null_handling="skip"))
+
+
+def tree_annotations(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """annotation_lines() of likelihood.outside_pass(), written where they are made."""
+
+    def kernel(trees, shared):
+        told = likelihood.Outside(trees, shared, nu, phi)
+        at = np.flatnonzero(told.present)
+        tokens = _tokens(told, told.states[trees.cell_site[at]], at)
+        n = np.bincount(trees.cell_node[at], minlength=len(trees.node))
+        some = np.flatnonzero(n)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[some])).astype(np.int32)), tokens)
+        node = pa.array(trees.node[some])
+        yield [pa.array(trees.node[trees.root[some]]), node, pc.binary_join_element_wise(node.cast(pa.string()), pc.binary_join(lists, ","), ",")]
+
+    joined = lambda t, v: annotation_lines(likelihood.outside_joined(t, v, priors, nu, phi), priors)
+    return likelihood.on_bundles(tree, leaves, priors, by, kernel, "root long, node long, line string", joined)

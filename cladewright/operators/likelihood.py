@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewright.operators import bundles
 from cladewright.operators.distances import node_depths
 
 NEVER = -1e6  # the log of an impossible event, finite so that sums keep it
@@ -101,12 +105,142 @@ def level_likelihood(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu:
 MOVES = ("zero_zero", "zero_mutated", "zero_silent", "mutated_kept", "mutated_silent", "silent_silent")
 
 
-def outside_pass(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float) -> DataFrame:
+class Outside:
+    """What outside_pass() tells of the cells of some trees: arrays of a value a cell, p_mutated of one for each state of the alphabet.
+
+    present tells the cells at or above a leaf with a row of that site, given the states of its alphabet in given.
+    """
+
+    def __init__(self, trees: bundles.Trees, priors: tuple, nu: float, phi: float):
+        ln = lambda p: np.where(p > 0, np.log(np.maximum(p, np.finfo(float).tiny)), NEVER)
+        low = lambda x: np.maximum(x, 10 * NEVER)
+        both = lambda a, b: np.maximum(a, b) + np.log1p(np.exp(-np.abs(a - b)))
+        self.states, q, given = _alphabets(trees.sites, priors)
+        self.given = given[trees.cell_site]
+        q, d = q[trees.cell_site], trees.brlen[trees.cell_node]
+        n, m = self.given.shape
+        keep, lose, fresh_q = -d * nu, ln(1 - np.exp(-d * nu)), ln(q * (1 - np.exp(-d))[:, None])
+        if np.isnan(d).any():  # of an unknown length nothing is known
+            lose[np.isnan(d)] = fresh_q[np.isnan(d)] = np.nan
+
+        def summed(first, second, rest, given):
+            every = np.column_stack((first, second, np.where(given, rest, -np.inf)))
+            top = every.max(1)
+            return top + np.log(np.exp(every - top[:, None]).sum(1))
+
+        # below: of each level what lies below its nodes, and below the upper ends of their edges
+        zero, silent, muts, present = np.zeros(n), np.zeros(n), np.zeros((n, m)), np.zeros(n, bool)
+        told = given.any(1)[trees.cell_site[trees.row_cell]]
+        at, state, missing = trees.row_cell[told], trees.state[told], ~trees.known[told]
+        shown, hidden = _log(1 - phi), _log(phi)
+        present[at] = True
+        zero[at] = np.where(missing, hidden, np.where(state == 0, shown, NEVER))
+        silent[at] = np.where(missing, 0.0, NEVER)
+        muts[at] = np.where(missing[:, None], hidden, np.where(self.states[trees.cell_site[at]] == state[:, None], shown, NEVER))
+        up_zero, up_muts = np.zeros(n), np.zeros((n, m))
+        for depth in range(len(trees.levels) - 1, -1, -1):
+            here = trees.levels[depth]
+            lost = silent[here] + lose[here]
+            stay = muts[here] + keep[here, None]
+            up_zero[here] = summed(zero[here] + keep[here] - d[here], lost, stay + fresh_q[here], self.given[here])
+            up_muts[here] = both(stay, lost[:, None])
+            if depth:
+                over = trees.levels[depth - 1]
+                some = present[here]
+                to = trees.above[here][some] - over.start
+                size = over.stop - over.start
+                add = lambda x: np.bincount(to, x[here][some], size)  # noqa: B023, E731
+                present[over] |= np.bincount(to, minlength=size) > 0
+                zero[over], silent[over] = low(zero[over] + add(up_zero)), low(silent[over] + add(silent))
+                for k in range(m):
+                    muts[over, k] = low(muts[over, k] + add(up_muts[:, k]))
+        # outside: what a child meets, but for what lies below itself
+        llh = np.zeros(len(trees.slot_root))
+        if trees.levels:
+            llh[trees.cell_slot[trees.levels[0]]] = up_zero[trees.levels[0]]
+        llh = llh[trees.cell_slot]
+        j_zero, j_silent, j_muts = np.zeros(n), np.full(n, 10 * NEVER), np.full((n, m), 10 * NEVER)
+        out_zero, out_silent, out_muts = np.zeros(n), np.zeros(n), np.zeros((n, m))
+        for depth, here in enumerate(trees.levels):
+            if depth:
+                above = trees.above[here]
+                j_zero[here] = out_zero[above] + zero[above] - up_zero[here]
+                j_silent[here] = out_silent[above] + silent[above] - silent[here]
+                j_muts[here] = out_muts[above] + muts[above] - up_muts[here]
+            out_zero[here] = j_zero[here] + keep[here] - d[here]
+            out_silent[here] = summed(j_silent[here], j_zero[here] + lose[here], j_muts[here] + lose[here, None], self.given[here])
+            out_muts[here] = both(j_muts[here] + keep[here, None], j_zero[here, None] + fresh_q[here] + keep[here, None])
+        chance = lambda x: np.exp(x - (llh if x.ndim == 1 else llh[:, None]))
+        over = lambda x: np.where(self.given, chance(x), 0.0).sum(1)
+        self.present = present
+        self.p_zero, self.p_silent, self.p_mutated = chance(out_zero + zero), chance(out_silent + silent), chance(out_muts + muts)
+        self.moves = (
+            chance(out_zero + zero),
+            over(j_zero[:, None] + fresh_q + keep[:, None] + muts),
+            chance(j_zero + lose + silent),
+            over(j_muts + keep[:, None] + muts),
+            over(j_muts + (lose + silent)[:, None]),
+            chance(j_silent + silent),
+        )
+
+
+def _alphabets(sites: pa.Array, priors: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of sites its states, their q, and which of these places are given."""
+    known, states, q = priors
+    of = pc.fill_null(pc.index_in(known, value_set=sites), -1).to_numpy(zero_copy_only=False)
+    states, q, of = states[of >= 0], q[of >= 0], of[of >= 0].astype(np.int64)
+    n = np.bincount(of, minlength=len(sites))
+    order = np.lexsort((states, of))
+    of = of[order]
+    place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    shape = (len(sites), int(n.max(initial=0)))
+    out = np.full(shape, np.iinfo(np.int64).min), np.zeros(shape), np.zeros(shape, bool)
+    out[0][of, place], out[1][of, place], out[2][of, place] = states[order], q[order], True
+    return out
+
+
+def _known(x: np.ndarray) -> pa.Array:
+    return pa.array(x, mask=np.isnan(x))
+
+
+def on_bundles(tree: DataFrame, leaves: DataFrame, priors: DataFrame, by: tuple[str, ...], kernel, schema: str, joined) -> DataFrame:
+    """kernel(trees, priors) of all trees, or joined(tree, leaves) where the priors are too many for all tasks."""
+    shared = bundles.shared_priors(priors)
+    if shared is None:
+        return joined(tree, leaves)
+    if leaves.join(F.broadcast(priors.select("site").distinct()), "site", "left_semi").isEmpty():
+        raise ValueError("no leaf of the tree has a state")
+    return bundles.in_bundles(tree, leaves, by, lambda trees: kernel(trees, shared), schema, joined, phantoms=False)
+
+
+def outside_pass(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(root, node, site, p_zero, p_silent, p_mutated, and one column for each of MOVES) given all that is seen.
 
     p_zero, p_silent and the array p_mutated (in the order of the site's alphabet) are the probabilities of a node's states,
-    those of MOVES of what happened on the edge above it; each set sums to one. Going down from the roots, a level joins
-    what its parents have outside them with what lies below its siblings: that below the parent less that below the node.
+    those of MOVES of what happened on the edge above it; each set sums to one. by are columns of both tables that name sets
+    of whole trees. Trees are worked out in bundles of sets, level by level: going down from the roots, what is outside of a
+    node is what its parent has outside with what lies below its siblings.
+    """
+    kind = dict(leaves.dtypes)["site"]
+
+    def kernel(trees, shared):
+        told = Outside(trees, shared, nu, phi)
+        at = np.flatnonzero(told.present)
+        node, given = trees.cell_node[at], told.given[at]
+        ends = pa.array(np.append(0, np.cumsum(given.sum(1))).astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, _known(told.p_mutated[at][given]))
+        ids = [pa.array(trees.node[trees.root[node]]), pa.array(trees.node[node]), trees.site_values(trees.cell_site[at])]
+        yield [*ids, _known(told.p_zero[at]), _known(told.p_silent[at]), lists, *[_known(x[at]) for x in told.moves]]
+
+    schema = f"root long, node long, site {kind}, p_zero double, p_silent double, p_mutated array<double>, " + ", ".join(f"{m} double" for m in MOVES)
+    return on_bundles(tree, leaves, priors, by, kernel, schema, lambda t, v: outside_joined(t, v, priors, nu, phi))
+
+
+def outside_joined(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float) -> DataFrame:
+    """outside_pass() by joins, for trees that no task should hold.
+
+    Going down from the roots, a level joins what its parents have outside them with what lies below its siblings: that
+    below the parent less that below the node.
     """
     placed = _placed(tree)
     levels = list(_levels(tree, placed, leaves, priors, nu, phi))[::-1]
@@ -155,6 +289,19 @@ def expected_transitions(posteriors: DataFrame) -> DataFrame:
     return posteriors.groupBy("root", "node").agg(*[F.sum(m).alias(m) for m in MOVES])
 
 
+def tree_transitions(tree: DataFrame, leaves: DataFrame, priors: DataFrame, nu: float, phi: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """expected_transitions() of outside_pass(), added up where they are made."""
+
+    def kernel(trees, shared):
+        told = Outside(trees, shared, nu, phi)
+        node, n = trees.cell_node[told.present], len(trees.node)
+        some = np.flatnonzero(np.bincount(node, minlength=n))
+        yield [pa.array(trees.node[trees.root[some]]), pa.array(trees.node[some]), *[_known(np.bincount(node, x[told.present], n)[some]) for x in told.moves]]
+
+    schema = "root long, node long, " + ", ".join(f"{m} double" for m in MOVES)
+    return on_bundles(tree, leaves, priors, by, kernel, schema, lambda t, v: expected_transitions(outside_joined(t, v, priors, nu, phi)))
+
+
 def spatial_likelihood(tree: DataFrame, locations: DataFrame, sigma: float) -> DataFrame:
     """(root, llh) of places that spread by Brownian motion: locations (node, x, y), with sigma the spread of length one.
 

@@ -263,6 +263,10 @@ MOVES = """mv AS (SELECT nd.root, c.site, c.state, c.node, p.state AS before, c.
  FROM st c JOIN tree t ON c.node = t.node JOIN nd ON nd.node = c.node LEFT JOIN st p ON p.node = t.parent AND p.site = c.site)"""
 
 
+#: Trees and leaves come in sets, in which a tree lies whole.
+SETS = ("dataset",)
+
+
 def _on_trees(name, sql, f):
     """A query on the trees and their leaves' states, which are derived once and stored, as most steps read them."""
     QUERIES[name] = lambda spark, sf_dir: f(stored(derive(spark, sf_dir, "tree")), stored(_leaves(spark, sf_dir)))
@@ -274,21 +278,21 @@ def _fifths(leaves):
     return leaves.select("site").distinct().select("site", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("state"), F.lit(0.2).alias("q"))
 
 
-_on_trees("ancestral_states", f"WITH RECURSIVE {STATES} SELECT node, site, state FROM st", distances.ancestral_states)
+_on_trees("ancestral_states", f"WITH RECURSIVE {STATES} SELECT node, site, state FROM st", lambda t, v: distances.ancestral_states(t, v, SETS))
 _on_trees(
     "small_parsimony",
     f"WITH RECURSIVE {STATES}, {MOVES} SELECT root, site, count(*) FILTER (moved) AS changes, round(count(*) FILTER (moved) * -ln(0.2e0), 6) AS score FROM mv GROUP BY root, site",
-    lambda t, v: distances.small_parsimony(t, v, _fifths(v)).withColumn("score", F.round("score", 6)),
+    lambda t, v: distances.small_parsimony(t, v, _fifths(v), SETS).withColumn("score", F.round("score", 6)),
 )
 _on_trees(
     "parsimony_scores",
     f"WITH RECURSIVE {STATES}, {MOVES} SELECT root, CAST(count(*) FILTER (moved) AS double) AS score, round(count(*) FILTER (moved) / (SELECT count(*) FROM nd JOIN tree i USING (node) WHERE nd.root = mv.root AND NOT i.is_leaf), 9) AS normalised FROM mv GROUP BY root",
-    lambda t, v: distances.parsimony_scores(t, v).withColumn("normalised", F.round("normalised", 9)),
+    lambda t, v: distances.parsimony_scores(t, v, by=SETS).withColumn("normalised", F.round("normalised", 9)),
 )
 _on_trees(
     "site_mutations",
     f"WITH RECURSIVE {STATES}, {MOVES} SELECT root, site, node, before, state AS after FROM mv WHERE before <> state",
-    lambda t, v: distances.site_mutations(t, distances.ancestral_states(t, v)),
+    lambda t, v: distances.site_mutations(t, v, SETS),
 )
 _on_trees(
     "allelic_coupling",
@@ -311,7 +315,7 @@ pr AS (SELECT a.node AS a, b.node AS b, arg_min(a.ancestor, a.up) AS lca, arg_mi
   FROM lf a JOIN lf b ON a.ancestor = b.ancestor AND a.node < b.node GROUP BY a.node, b.node),
 sq AS (SELECT node AS lca, string_agg(CAST(state AS varchar), '|' ORDER BY site) AS states FROM st GROUP BY node)
 SELECT a, b, lca, round(distance, 9) AS distance, states FROM pr JOIN sq USING (lca)""",
-    lambda t, v: distances.coupled_leaves(t, distances.ancestral_states(t, v)).withColumns(
+    lambda t, v: distances.coupled_leaves(t, v, SETS).withColumns(
         {"distance": F.round("distance", 9), "states": F.array_join(F.col("states").cast("array<string>"), "|")}
     ),
 )
@@ -353,10 +357,10 @@ def _rounded(df, *kept):
     return df.select(*kept, *[to(c, t) for c, t in df.dtypes if c not in kept])
 
 
-_on_trees("state_posteriors", None, lambda t, v: _rounded(likelihood.outside_pass(t, v, _fifths(v), 0.1, 0.05), "root", "node", "site"))
+_on_trees("state_posteriors", None, lambda t, v: _rounded(likelihood.outside_pass(t, v, _fifths(v), 0.1, 0.05, SETS), "root", "node", "site"))
 _on_trees(
     "expected_transitions", None,
-    lambda t, v: _rounded(likelihood.expected_transitions(likelihood.outside_pass(t, v, _fifths(v), 0.1, 0.05)), "root", "node"),
+    lambda t, v: _rounded(likelihood.tree_transitions(t, v, _fifths(v), 0.1, 0.05, SETS), "root", "node"),
 )
 _query(
     "spatial_likelihood",
@@ -388,7 +392,7 @@ for _name, _soft, _values in (("sequence_scores", True, ("0.4e0", "0.7e0", "0.5e
 WHEN state = 0 THEN {_values[2]} ELSE 0e0 END AS v FROM characters) x GROUP BY cell""",
         "characters",
     )(lambda c, soft=_soft: _scored(c, soft))
-_on_trees("annotations", None, lambda t, v: evaluation.annotation_lines(likelihood.outside_pass(t, v, _fifths(v), 0.1, 0.05), _fifths(v)))
+_on_trees("annotations", None, lambda t, v: evaluation.tree_annotations(t, v, _fifths(v), 0.1, 0.05, SETS))
 _query("aligned_branches", "SELECT coalesce(a.node, b.node) AS node, a.brlen AS first, b.brlen AS second FROM (SELECT * FROM tree WHERE NOT is_leaf) a FULL JOIN (SELECT node, brlen * 2 AS brlen FROM tree WHERE parent IS NOT NULL) b ON a.node = b.node", "tree")(
     lambda t: distances.aligned_branches(t.filter("not is_leaf"), t.filter("parent is not null").withColumn("brlen", F.col("brlen") * 2))
 )
