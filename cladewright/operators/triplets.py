@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladewright.operators import distances
+from cladewright.operators import bundles, distances, pairs
 
 #: Counts of a pair's sites: both zero, one mutated, different mutations, and one missing beside a zero or a mutation.
 COUNTS = ("zz", "az", "za", "ab", "zm", "mz", "am", "ma")
@@ -108,6 +109,66 @@ def pairwise_branches(classes: DataFrame, by: Sequence[str] = (), rounds: int =
     return classes.filter("n > 1").mapInPandas(run, schema)
 
 
+#: Kinds of sites by the classes of both states (0 zero, 1 mutated, 2 missing); the last is a mutation that both have.
+_KINDS = {(0, 0): 0, (1, 0): 1, (0, 1): 2, (1, 1): 3, (0, 2): 4, (2, 0): 5, (1, 2): 6, (2, 1): 7}
+#: Distinct priors of a step up to which equal pairs are told by how often they have each.
+FEW = 64
+
+
+def _told_apart(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, of): where each distinct row of small whole numbers comes first, and which of these each row is."""
+    packed = np.zeros((len(rows), -(-rows.shape[1] // 4) * 4), np.uint16)
+    packed[:, : rows.shape[1]] = rows
+    keys = packed.view(np.uint64)
+    order = np.lexsort(keys.T)
+    new = np.ones(len(rows), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def cell_branches(characters: DataFrame, priors: DataFrame, by: Sequence[str] = (), rounds: int = 200) -> DataFrame:
+    """pairwise_branches() of pair_classes(), fitted where pairs meet: neither pairs nor their classes are rows on the way."""
+    given = priors.select("site", "state", F.col("q").cast("double").alias("q"))
+    # rows have few sites and states, so that a shuffle by these would put them into few tasks
+    few = given.limit(bundles.MOST_PRIORS + 1).count() <= bundles.MOST_PRIORS
+    told = characters.join(F.broadcast(given) if few else given, ["site", "state"], "left")
+    table = {(u, v, same): k for (u, v), k in _KINDS.items() for same in (0, 1)}
+
+    def coded(state, q):
+        return *distances._states(state), *q
+
+    def result(x, y, start):
+        total = len(x[0])
+        kinds = distances._kinds(table, x, y)
+        # the prior is that of the first of the two
+        at = np.flatnonzero((kinds == 3) & (x[0] == y[0]) & x[3])
+        kinds[at] = -1
+        size = np.diff(np.append(start, total))
+        pair = np.repeat(np.arange(len(start)), size)
+        counts = np.column_stack([size, *distances._counted(kinds, start, len(COUNTS))])
+        order = np.lexsort((x[2][at], pair[at]))
+        q, of = x[2][at][order], pair[at][order]
+        first, inverse = np.arange(len(start)), np.arange(len(start))
+        values, number = np.unique(q, return_inverse=True)
+        if len(values) <= FEW and (not len(size) or size.max() < 1 << 16):
+            # pairs of equal classes have equal branches: each kind of pair is fitted once
+            each = np.bincount(of * len(values) + number, minlength=len(start) * len(values)).reshape(len(start), len(values))
+            first, inverse = _told_apart(np.column_stack((counts, each)))
+            q, of = np.tile(values, len(first)), np.repeat(np.arange(len(first)), len(values))
+            n = each[first].ravel()
+            q, of = np.repeat(q, n), np.repeat(of, n)
+        some = counts[first]
+        n = np.maximum(some[:, 0], 2).astype(float)
+        bounds = -np.log1p(-1 / n) / 2, 2 * np.log(n)
+        got = fitted_branches({k: some[:, 1 + i] for i, k in enumerate(COUNTS)}, q, of, bounds, rounds)
+        return [pa.array(counts[:, 0]), *[pa.array(v[inverse]) for v in got]]
+
+    schema = "n long, d_a double, d_b double, d_r double, llh double"
+    return pairs.pair_results(told, tuple(by), ["state", "q"], coded, result, schema, told=tuple(by)).filter("n > 1").drop("n")
+
+
 def triplet_topologies(pairs: DataFrame, triples: DataFrame) -> DataFrame:
     """(triples..., topology): 1 where b and c are closest, 2 for a and c, 3 for a and b, by the longest shared branch.
 

@@ -314,7 +314,7 @@ FROM characters x JOIN characters y ON x.dataset = y.dataset AND x.site = y.site
 )
 _query(
     "pairwise_branches",
-    lambda c: triplets.pairwise_branches(triplets.pair_classes(c, _weights(c), ("dataset",)), ("dataset",), 60),
+    lambda c: triplets.cell_branches(stored(c), _weights(c), ("dataset",), 60),
     None,
     "characters",
 )

@@ -93,3 +93,18 @@ def test_pairs_of_equal_classes_are_fitted_once(spark, monkeypatch):
     triplets.pairwise_branches(spread)
     got = next(run["f"](iter([classes])))
     assert len(got) == 66 and sizes == [1] and got[["d_a", "d_b", "d_r", "llh"]].drop_duplicates().shape[0] == 1
+
+
+def test_branches_fitted_where_pairs_meet_are_those_of_their_classes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(d, 10 * d + c, s, [None, 0, 1, 2, 2, 5][int(rng.integers(6))]) for d in range(3) for c in range(6) for s in range(9) if rng.random() > 0.2] + [(4, 1, 0, 1), (4, 2, 0, 1)]
+    cells = spark.createDataFrame(rows, "dataset int, cell long, site int, state int")
+    prior = spark.createDataFrame([(s, v, v / 10 + s / 100) for s in range(9) for v in (1, 2)], "site int, state int, q double")
+    key = lambda df: sorted((r.dataset, r.a, r.b, *(round(r[c], 9) for c in ("d_a", "d_b", "d_r", "llh"))) for r in df.collect())
+    want = key(triplets.pairwise_branches(triplets.pair_classes(cells, prior, ("dataset",)), ("dataset",), 30))
+    assert len(want) == 45
+    for few in (64, 0):
+        monkeypatch.setattr(triplets, "FEW", few)
+        got = triplets.cell_branches(cells, prior, ("dataset",), 30)
+        assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        assert key(got) == want
